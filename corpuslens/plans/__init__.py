@@ -1,4 +1,4 @@
 """Named queries over the test tables; importing this package registers them all."""
 
-from corpuslens.plans import corpus, evaluation  # noqa: F401
+from corpuslens.plans import corpus, evaluation, shaping  # noqa: F401
 from corpuslens.plans.registry import ORACLE, QUERIES  # noqa: F401
