@@ -274,7 +274,7 @@ cells AS (
   SELECT split, 9, CAST(maxw AS VARCHAR) FROM per)
 SELECT ({"[" + ", ".join(f"'{m}'" for m in SUMMARY_METRICS) + "]"})[i + 1] AS metric,
        max(CASE WHEN split = 'train' THEN v END) AS train, max(CASE WHEN split = 'test' THEN v END) AS test
-FROM cells GROUP BY i""", [SPLIT_SQL]).replace(",\n, per AS", ",\nper AS"))
+FROM cells GROUP BY i""", [SPLIT_SQL]))
 def corpus_summary_q(spark, sf_dir):
     sp = PF.text_lengths(_split(spark, sf_dir))
     c = F.col("class")
