@@ -121,8 +121,12 @@ CORPUS_C_CTE = "corpus_c AS (SELECT doc_id AS _c0, text AS tweet, " + ", ".join(
 # predictions: (model, doc_id, label, reply), one row per model per labelled doc.
 # ---------------------------------------------------------------------------
 def predictions(spark: SparkSession, sf_dir: str) -> DataFrame:
-    labels = table(spark, sf_dir, "labels").select("doc_id", F.col("toxic").cast("int").alias("label"))
-    df = _explode_models(labels)
+    return predictions_from(table(spark, sf_dir, "labels"))
+
+
+def predictions_from(labels: DataFrame) -> DataFrame:
+    """Replies for a labels frame (batch or stream)."""
+    df = _explode_models(labels.select("doc_id", F.col("toxic").cast("int").alias("label")))
     key = (F.col("doc_id") * 7 + F.col("model_no") + 3 * F.col("label")) % 10
     return df.select("model", "model_no", "doc_id", "label", _reply_col(key).alias("reply"))
 
@@ -217,7 +221,11 @@ REWARD_LOG_CTE = """reward_log AS (
 
 def batch_log(spark: SparkSession, sf_dir: str) -> DataFrame:
     """(run, step, loss, learning_rate, epoch, ts); step = event_id; loss only on some rows."""
-    ev = table(spark, sf_dir, "events")
+    return batch_log_from(table(spark, sf_dir, "events"))
+
+
+def batch_log_from(ev: DataFrame) -> DataFrame:
+    """The batch log of an events frame (batch or stream)."""
     return ev.select(
         F.col("user_id").alias("run"), F.col("event_id").alias("step"),
         F.when(F.col("event_type") != "error", F.col("value") / 100.0).alias("loss"),
