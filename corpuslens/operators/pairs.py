@@ -92,8 +92,8 @@ PAD_ID, UNK_ID, FIRST_WORD_ID = 0, 1, 2
 def build_vocabulary(docs: DataFrame, text: str = "text") -> DataFrame:
     """(word, id, n): lower-cased white-space words of the whole corpus, ids
     from 2 in (count desc, word asc) order."""
-    counts = docs.select(F.explode(words(F.lower(col(text)))).alias("word")) \
-                 .groupBy("word").agg(F.count(F.lit(1)).alias("n"))
+    tokens = docs.select(F.explode(F.split(F.lower(col(text)), r"\s+")).alias("word")).where(F.col("word") != "")
+    counts = tokens.groupBy("word").agg(F.count(F.lit(1)).alias("n"))
     # key sorts as (count desc, word asc); bucket = inverted count + 2 chars
     inv = F.lpad((F.lit(10 ** 15) - F.col("n")).cast("string"), 16, "0")
     key = F.concat(inv, F.col("word"))

@@ -43,18 +43,35 @@ def describe(df: DataFrame, value: str, by: Sequence[str] = (), exact: bool = Tr
                                F.min(v).cast("double").alias("min"), *qs, F.max(v).cast("double").alias("max"))
 
 
-def histogram(df: DataFrame, value: str, bins: int, lo: float, hi: float, spark=None) -> DataFrame:
-    """Equal-width bins between lo and hi, last bin closed; empty bins kept.
-
-    lo / hi come from a one-row aggregate computed by the caller."""
-    width = (hi - lo) / bins if hi > lo else 1.0
-    idx = F.least(F.floor((F.col(value) - F.lit(lo)) / F.lit(width)), F.lit(bins - 1)).cast("int")
-    counts = df.where(F.col(value).isNotNull()).groupBy(idx.alias("bin")).agg(F.count(F.lit(1)).alias("count"))
-    spark = spark or df.sparkSession
-    all_bins = spark.range(bins).select(F.col("id").cast("int").alias("bin"))
-    out = all_bins.join(counts, "bin", "left")
-    return out.select("bin", (F.lit(lo) + F.col("bin") * F.lit(width)).alias("bin_start"),
-                      (F.lit(lo) + (F.col("bin") + 1) * F.lit(width)).alias("bin_end"),
+def histogram(df: DataFrame, value: str, bins: int, lo: float | None = None, hi: float | None = None,
+              spark=None) -> DataFrame:
+    """Equal-width bins between the minimum and maximum, last bin closed;
+    empty bins kept.
+
+    Integer values (lengths, counts) go through their frequency table first:
+    one pass over the data, a pre-aggregated shuffle bounded by the number of
+    distinct values, and min / max / binning on that small table, all in one
+    job.  For other types pass ``lo`` / ``hi`` from a one-row aggregate.
+    """
+    v = F.col(value)
+    if lo is None or hi is None:
+        freq = df.where(v.isNotNull()).groupBy(v.alias("v")).agg(F.count(F.lit(1)).alias("c"))
+        everything = Window.partitionBy(F.lit(0))  # one row per distinct value
+        lo_c, hi_c = F.min("v").over(everything).cast("double"), F.max("v").over(everything).cast("double")
+        freq = freq.withColumn("lo", lo_c).withColumn("hi", hi_c)
+    else:
+        freq = df.where(v.isNotNull()).select(v.alias("v"), F.lit(1).alias("c"),
+                                              F.lit(float(lo)).alias("lo"), F.lit(float(hi)).alias("hi"))
+    width = F.when(F.col("hi") > F.col("lo"), (F.col("hi") - F.col("lo")) / F.lit(float(bins))).otherwise(F.lit(1.0))
+    idx = F.least(F.floor((F.col("v") - F.col("lo")) / width), F.lit(bins - 1)).cast("int")
+    counts = freq.groupBy(idx.alias("bin")).agg(F.sum("c").alias("count"), F.first("lo").alias("lo"),
+                                                F.first("hi").alias("hi"))
+    edges = counts.agg(F.first("lo").alias("lo"), F.first("hi").alias("hi")) \
+        .select("lo", "hi", F.explode(F.sequence(F.lit(0), F.lit(bins - 1))).alias("bin"))
+    out = edges.join(counts.select("bin", "count"), "bin", "left")
+    w = F.when(F.col("hi") > F.col("lo"), (F.col("hi") - F.col("lo")) / F.lit(float(bins))).otherwise(F.lit(1.0))
+    return out.select("bin", (F.col("lo") + F.col("bin") * w).alias("bin_start"),
+                      (F.col("lo") + (F.col("bin") + 1) * w).alias("bin_end"),
                       F.coalesce(F.col("count"), F.lit(0)).cast("long").alias("count"))
 
 

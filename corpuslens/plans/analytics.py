@@ -236,8 +236,7 @@ SELECT CAST(b.bin AS INTEGER) AS bin, lo + b.bin * ((hi - lo) / 50.0) AS bin_sta
 FROM range(50) AS b(bin) CROSS JOIN mm LEFT JOIN c ON b.bin = c.bin""")
 def histogram_q(spark, sf_dir):
     t = PF.text_lengths(fx.table(spark, sf_dir, "documents")).select("word_count")
-    mm = t.agg(F.min("word_count").alias("lo"), F.max("word_count").alias("hi")).first()
-    return PF.histogram(t, "word_count", 50, float(mm["lo"]), float(mm["hi"]), spark)
+    return PF.histogram(t, "word_count", 50)
 
 
 @query("split_ratio", with_ctes(["corpus_a"], """
