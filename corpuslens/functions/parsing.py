@@ -155,7 +155,7 @@ def parse_after_answer_sql(e: str) -> str:
 
 
 def _first_word(text: Column) -> Column:
-    return F.coalesce(F.element_at(words(text), 1), F.lit(""))
+    return F.coalesce(F.try_element_at(words(text), F.lit(1)), F.lit(""))
 
 
 def _first_word_sql(e: str) -> str:

@@ -1,0 +1,113 @@
+"""Parser table: every rule on awkward replies, against a plain-Python
+statement of the same rule (the brute-force check)."""
+
+import pytest
+from pyspark.sql import functions as F
+
+from corpuslens.functions import parsing as P
+
+REPLIES = ["", "Yes", "Yes.", "no", "No.", "NO!", "I know", "not sure", "yesterday", "maybe", "y", "n",
+           "Not sarcastic.", "This is sarcastic.", "This is not being sarcastic", "Sarcastic? No",
+           "<think>no</think>yes", "</think>", "Answer: YES", "Answer: x Answer: no", "well, it could be yes",
+           "   yes", "It is ironic", "This is literal", "yes no", "  \tNo thanks\n", None]
+
+
+def py_contains(r):
+    r = (r or "").lower()
+    return 1 if "yes" in r else 0 if "no" in r else 0
+
+
+def py_contains_unclear(r):
+    c = (r or "").strip().lower()
+    if "</think>" in c:
+        c = c.split("</think>")[-1].strip()
+    return 1 if "yes" in c else 0 if "no" in c else -1
+
+
+def py_strict(r):
+    c = (r or "").strip().lower().strip(".")
+    return 1 if c == "yes" else 0 if c == "no" else -1
+
+
+def py_prefix_keywords(r):
+    c = (r or "").strip().lower()
+    if c.startswith("yes"):
+        return 1
+    if c.startswith("no"):
+        return 0
+    if "not sarcastic" in c or "not being sarcastic" in c:
+        return 0
+    return 1 if ("sarcastic" in c or "yes" in c.split()[:5]) else 0
+
+
+def py_prefix_or_phrase(r):
+    c = (r or "").strip().lower()
+    if c.startswith("yes") or ("sarcastic" in c and "not sarcastic" not in c):
+        return 1
+    if c.startswith("no") or "not sarcastic" in c:
+        return 0
+    return 1 if "yes" in c.split()[:5] else 0
+
+
+def py_phrase(r):
+    c = (r or "").lower()
+    if "sarcastic" in c and "not sarcastic" not in c:
+        return 1
+    return 0
+
+
+def _answer(r):
+    r = r or ""
+    return (r.split("Answer:")[-1] if "Answer:" in r else r).strip().lower()
+
+
+def py_after_answer(r):
+    a = _answer(r)
+    return 1 if a.startswith("yes") else 0
+
+
+def py_first_word(r):
+    a = _answer(r)
+    w = a.split()[0] if a.split() else ""
+    if w.startswith("yes"):
+        return 1
+    if w.startswith("no"):
+        return 0
+    return 1 if "yes" in a[:20] else 0
+
+
+PY = {
+    "parse_contains": py_contains, "parse_contains_unclear": py_contains_unclear, "parse_strict": py_strict,
+    "parse_prefix_keywords": py_prefix_keywords, "parse_prefix_or_phrase": py_prefix_or_phrase,
+    "parse_phrase": py_phrase, "parse_after_answer": py_after_answer, "parse_first_word": py_first_word,
+}
+
+
+@pytest.fixture(scope="module")
+def replies(spark):
+    return spark.createDataFrame([(i, r) for i, r in enumerate(REPLIES)], "i int, reply string")
+
+
+@pytest.mark.parametrize("rule", sorted(PY))
+def test_rule_matches_python(replies, rule):
+    fn = P.RULES[rule][0]
+    got = {r["i"]: r["p"] for r in replies.select("i", fn(F.col("reply")).alias("p")).collect()}
+    for i, reply in enumerate(REPLIES):
+        if reply is None and rule not in ("parse_contains", "parse_contains_unclear", "parse_strict"):
+            continue  # the reference never passes a missing reply to these
+        assert got[i] == PY[rule](reply), (rule, reply, got[i])
+
+
+def test_cut_prompt_and_word_bag(spark):
+    prompt = "Is it? Answer:"
+    rows = [(0, prompt + " yes indeed", "t"), (1, prompt + " n", "t"), (2, prompt + " No way", "t"),
+            (3, prompt + " hmm yes", "t"), (4, prompt + "", "t")]
+    df = spark.createDataFrame(rows, "i int, response string, text string").withColumn("prompt", F.lit(prompt))
+    got = [r["p"] for r in df.orderBy("i").select(P.parse_cut_prompt("response", "prompt").alias("p")).collect()]
+    assert got == [1, 0, 0, 1, 0]
+
+    bag = [(0, "the text here. this is ironic", "The text here."), (1, "not ironic at all", "x"),
+           (2, "quite literal", "x"), (3, "hmm this is sarcastic", "x"), (4, "hmm", "x")]
+    df = spark.createDataFrame(bag, "i int, response string, text string")
+    got = [r["p"] for r in df.orderBy("i").select(P.parse_word_bag("response", "text").alias("p")).collect()]
+    assert got == [1, 0, 0, 1, 0]
