@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from corpuslens.operators.compare import top_k_per_group
+from corpuslens.operators.quantiles import exact_percentile
 
 
 def unpivot_metrics(df: DataFrame, ids: Sequence[str], metrics: Sequence[str],
@@ -35,11 +36,15 @@ def run_variance(long: DataFrame, by: Sequence[str] = ("model", "metric"), run:
 
 
 def latency_stats(df: DataFrame, by: Sequence[str] = ("model",), ms: str = "ms") -> DataFrame:
-    """mean, sample std (0 for a single run), min, max, median, n."""
-    return df.groupBy(*by).agg(
+    """mean, sample std (0 for a single run), min, max, median, n.
+
+    The median is exact without holding a group's values in one buffer
+    (``quantiles.exact_percentile``)."""
+    stats = df.groupBy(*by).agg(
         F.avg(ms).alias("mean"), F.coalesce(F.stddev_samp(ms), F.lit(0.0)).alias("std"),
-        F.min(ms).alias("min"), F.max(ms).alias("max"), F.median(ms).alias("median"),
-        F.count(ms).alias("n_runs"))
+        F.min(ms).alias("min"), F.max(ms).alias("max"), F.count(ms).alias("n_runs"))
+    med = exact_percentile(df, by, ms, 0.5, "median")
+    return stats.join(med, list(by), "left").select(*by, "mean", "std", "min", "max", "median", "n_runs")
 
 
 def latency_stats_for(models: DataFrame, timings: DataFrame, key: str = "model", ms: str = "ms") -> DataFrame:

@@ -11,6 +11,7 @@ from corpuslens.operators import pairing as PG
 from corpuslens.operators import runs as R
 from corpuslens.operators.compare import custom_order, custom_order_sql, regression_flag
 from corpuslens.operators.normalize import decode_prediction, mean_std_text
+from corpuslens.operators.quantiles import exact_percentile
 from corpuslens.operators.scoring import yes_no_confidence
 from corpuslens.plans import fixtures as fx
 from corpuslens.plans.analytics import METRICS, RUNS_SQL, run_metrics_long
@@ -365,8 +366,9 @@ def latency_table_q(spark, sf_dir):
     models = fx.predictions(spark, sf_dir).select("model").distinct() \
         .unionByName(spark.range(1).select(F.lit("bert").alias("model"))).distinct()
     inv = F.create_map(*[F.lit(x) for k, v in LATENCY_KEYS.items() for x in (v, k)])
-    stats = lat.withColumn("model", inv[F.col("model")]).where(F.col("model").isNotNull()) \
-        .groupBy("model").agg(F.avg("ms").alias("mean"), F.stddev_samp("ms").alias("std"), F.median("ms").alias("median"))
+    mapped = lat.withColumn("model", inv[F.col("model")]).where(F.col("model").isNotNull())
+    stats = mapped.groupBy("model").agg(F.avg("ms").alias("mean"), F.stddev_samp("ms").alias("std")) \
+        .join(exact_percentile(mapped, ["model"], "ms", 0.5, "median"), "model", "left")
     t = models.join(stats, "model", "left")
     ref = F.max(F.when(F.col("model") == REFERENCE_MODEL, F.col("mean"))).over(Window.partitionBy(F.lit(0)))
 
