@@ -46,13 +46,22 @@ def exact_percentile(df: DataFrame, by: Sequence[str], value: str, p: float, nam
     brackets = brackets.select(*by, "_n", F.col("_b")[0].alias("_lo"), F.col("_b")[1].alias("_hi"),
                                F.floor(pos).cast("long").alias("_r0"), F.ceil(pos).cast("long").alias("_r1"),
                                (pos - F.floor(pos)).alias("_frac"))
-    brackets = brackets.cache()
-    side = F.broadcast(brackets) if brackets.count() <= MAX_BROADCAST_GROUPS else brackets
-    joined = base.join(side, by)
+    if whole:  # one group: the bracket is a few scalars, bound as literals
+        row = brackets.first()
+        if row is None:
+            return df.sparkSession.createDataFrame([], f"`{name}` double")
+        joined = base
+        for c in ("_n", "_lo", "_hi", "_r0", "_r1", "_frac"):
+            joined = joined.withColumn(c, F.lit(row[c]))
+    else:
+        brackets = brackets.cache()
+        side = F.broadcast(brackets) if brackets.count() <= MAX_BROADCAST_GROUPS else brackets
+        joined = base.join(side, by)
     below = joined.groupBy(*by).agg(F.count_if(F.col("_v") < F.col("_lo")).alias("_below"))
     inside = joined.where((F.col("_v") >= F.col("_lo")) & (F.col("_v") <= F.col("_hi")))
     ranked = inside.withColumn("_i", F.row_number().over(Window.partitionBy(*by).orderBy("_v")) - 1)
-    ranked = ranked.join(below, by)
+    ranked = ranked.join(below, by) if not whole else ranked.withColumn(
+        "_below", F.lit(below.first()["_below"]))
     ranked = ranked.withColumn("_rank", F.col("_below") + F.col("_i"))
     picked = ranked.where((F.col("_rank") == F.col("_r0")) | (F.col("_rank") == F.col("_r1"))).groupBy(*by).agg(
         F.max(F.when(F.col("_rank") == F.col("_r0"), F.col("_v"))).alias("_v0"),

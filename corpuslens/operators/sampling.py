@@ -114,8 +114,16 @@ def _cut_table(keyed: DataFrame, by: Sequence[str], quota: QuotaFn) -> DataFrame
     return cut.select(*by, "s._cut", "s._need")
 
 
-def _attach(keyed: DataFrame, cuts: DataFrame, by: Sequence[str]) -> DataFrame:
-    """Join the per-group cut rows to every row: broadcast after a size check."""
+def _attach(keyed: DataFrame, cuts: DataFrame, by: Sequence[str], whole: bool = False) -> DataFrame:
+    """Bring each group's cut to its rows.
+
+    One group: the cut is two scalars, bound as literals (no join).  Several:
+    a keyed join, broadcast after the group count is checked."""
+    if whole:
+        row = cuts.first()
+        cut = row["_cut"] if row is not None else None
+        need = row["_need"] if row is not None else 0
+        return keyed.withColumn("_cut", F.lit(cut).cast("string")).withColumn("_need", F.lit(need).cast("long"))
     cuts = cuts.cache()
     n_groups = cuts.count()
     side = F.broadcast(cuts) if n_groups <= MAX_BROADCAST_GROUPS else cuts
@@ -133,7 +141,7 @@ def select_by_quota(df: DataFrame, by: Sequence[str], key: Column, tiebreak: str
         df, by = df.withColumn("_g", F.lit(0)), ["_g"]
     keyed = df.withColumn("_k", key).withColumn("_b", bucket if bucket is not None else hex_bucket(F.col("_k")))
     cuts = _cut_table(keyed, by, quota)
-    joined = _attach(keyed, cuts, by)
+    joined = _attach(keyed, cuts, by, whole)
     # a group whose quota is never reached has no cut row: it takes nothing
     outside = joined.where(F.col("_cut").isNull() | (F.col("_b") != F.col("_cut"))) \
                     .withColumn("_sel", F.coalesce(F.col("_b") < F.col("_cut"), F.lit(False)))

@@ -37,19 +37,27 @@ def epoch_metrics(epochs: DataFrame, log: DataFrame, run: str = "run") -> DataFr
     """Each epoch row with the loss of the latest log entry at or before its
     end step (0 when there is none).
 
-    Written as an as-of lookup: epoch ends and log rows are merged into one
-    per-run sequence ordered by step and the last non-null loss is carried
-    forward, so no epoch is paired with all earlier log rows."""
-    marks = epochs.select(run, F.col("end_step").alias("_step"), F.lit(1).alias("_is_epoch"),
-                          F.lit(None).cast("double").alias("_loss"), "epoch")
-    entries = log.where(F.col("loss").isNotNull()).select(
-        run, F.col("step").alias("_step"), F.lit(0).alias("_is_epoch"), F.col("loss").alias("_loss"),
-        F.lit(None).cast("int").alias("epoch"))
-    w = Window.partitionBy(run).orderBy("_step", "_is_epoch").rowsBetween(Window.unboundedPreceding, 0)
-    merged = marks.unionByName(entries).withColumn("train_loss", F.last("_loss", ignorenulls=True).over(w))
-    losses = merged.where(F.col("_is_epoch") == 1).select(run, "epoch", F.coalesce("train_loss", F.lit(0.0))
-                                                          .alias("train_loss"))
-    return epochs.join(losses, [run, "epoch"])
+    An as-of lookup without pairing epochs with earlier log rows and without
+    ranking a whole run in one task:
+
+    1. per run, the sorted epoch end steps (one short array per run);
+    2. every log row finds its epoch interval (the first end step >= its
+       step) from that array;
+    3. ``max_by(loss, step)`` per (run, interval): a partial aggregate, so a
+       hot run is reduced map-side;
+    4. the last loss is carried forward over the small per-epoch table.
+    """
+    ends = epochs.groupBy(run).agg(F.array_sort(F.collect_set("end_step")).alias("_ends"))
+    entries = log.where(F.col("loss").isNotNull()).select(run, "step", "loss").join(ends, run)
+    interval = F.size(F.filter(F.col("_ends"), lambda e: e < F.col("step")))
+    last = entries.where(F.col("step") <= F.element_at("_ends", -1)) \
+        .groupBy(run, interval.alias("_k")).agg(F.max_by("loss", "step").alias("_loss"))
+    marks = epochs.join(ends, run).withColumn(
+        "_k", F.array_position("_ends", F.col("end_step")).cast("int") - 1)
+    marks = marks.join(last, [run, "_k"], "left")
+    w = Window.partitionBy(run).orderBy("_k", "epoch").rowsBetween(Window.unboundedPreceding, 0)
+    out = marks.withColumn("train_loss", F.coalesce(F.last("_loss", ignorenulls=True).over(w), F.lit(0.0)))
+    return out.drop("_ends", "_k", "_loss")
 
 
 def running_best(df: DataFrame, value: str = "eval_f1", run: str = "run", order: str = "epoch") -> DataFrame:

@@ -29,3 +29,15 @@ def test_entry_runs_with_stable_schema(spark):
     df = entry(spark)
     assert [f.name for f in df.schema.fields][:3] == ["model", "total_samples", "valid_predictions"]
     assert df.count() == 4
+
+
+FORBIDDEN = ("CartesianProduct", "BroadcastNestedLoopJoin", "BatchEvalPython")
+
+
+@pytest.mark.parametrize("name", NAMES)
+def test_plan_has_no_cross_join_or_row_udf(spark, name):
+    """No query pairs every row with every row, and none runs a row-at-a-time
+    Python UDF (the scorer's mapInPandas is batched)."""
+    df = queries()[name](spark, SF_SMALL)
+    plan = df._jdf.queryExecution().executedPlan().toString()
+    assert not [p for p in FORBIDDEN if p in plan], plan[:2000]
