@@ -63,7 +63,7 @@ def run_variance_q(spark, sf_dir):
 WITH runs AS (SELECT doc_id, CAST(run AS INTEGER) AS run, CAST(run * {SEED_STEP} AS INTEGER) AS seed
               FROM labels CROSS JOIN range({RUNS}) AS r(run)
               QUALIFY row_number() OVER (PARTITION BY run ORDER BY {S.seed_key_sql(f'run * {SEED_STEP}', 'doc_id')}, doc_id) <= {PER_RUN})
-SELECT count(DISTINCT run) AS num_runs, max(n) AS samples_per_run, sum(n) AS total_rows, list(seed ORDER BY seed) AS seeds
+SELECT count(DISTINCT run) AS num_runs, max(n) AS samples_per_run, CAST(sum(n) AS BIGINT) AS total_rows, list(seed ORDER BY seed) AS seeds
 FROM (SELECT run, seed, count(*) AS n FROM runs GROUP BY run, seed)""")
 def variance_config_q(spark, sf_dir):
     labels = fx.table(spark, sf_dir, "labels").select("doc_id")
@@ -188,7 +188,7 @@ WORDS_SQL = "len(list_filter(string_split_regex(text, '\\s+'), lambda x: x <> ''
 
 
 @query("text_lengths", with_ctes(["corpus_a"], f"""
-SELECT doc_id, length(text) AS text_length, {WORDS_SQL} AS word_count FROM corpus_a"""))
+SELECT doc_id, CAST(length(text) AS INTEGER) AS text_length, CAST({WORDS_SQL} AS INTEGER) AS word_count FROM corpus_a"""))
 def text_lengths_q(spark, sf_dir):
     return PF.text_lengths(fx.corpus_a(spark, sf_dir)).select(
         "doc_id", F.col("text_length"), F.col("word_count"))

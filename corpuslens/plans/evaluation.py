@@ -163,12 +163,12 @@ def per_class_metrics_q(spark, sf_dir):
 SELECT model, row_name, round(precision, 9) AS precision, round(recall, 9) AS recall, round(f1, 9) AS f1, support FROM (
   SELECT model, CASE cls WHEN 0 THEN 'notsarc' ELSE 'sarc' END AS row_name, precision, recall, f1, support FROM pc
   UNION ALL
-  SELECT model, 'accuracy', NULL, NULL, sum(recall * support) / sum(support), sum(support) FROM pc GROUP BY model
+  SELECT model, 'accuracy', NULL, NULL, sum(recall * support) / sum(support), CAST(sum(support) AS BIGINT) FROM pc GROUP BY model
   UNION ALL
-  SELECT model, 'macro avg', avg(precision), avg(recall), avg(f1), sum(support) FROM pc GROUP BY model
+  SELECT model, 'macro avg', avg(precision), avg(recall), avg(f1), CAST(sum(support) AS BIGINT) FROM pc GROUP BY model
   UNION ALL
   SELECT model, 'weighted avg', sum(precision * support) / sum(support), sum(recall * support) / sum(support),
-         sum(f1 * support) / sum(support), sum(support) FROM pc GROUP BY model)""",
+         sum(f1 * support) / sum(support), CAST(sum(support) AS BIGINT) FROM pc GROUP BY model)""",
     [PROB_PRED_CTE, "pc AS (" + _PER_CLASS_SQL + ")"]))
 def classification_report_q(spark, sf_dir):
     rep = M.classification_report(_probpred(spark, sf_dir), names=["notsarc", "sarc"])

@@ -41,3 +41,17 @@ def test_plan_has_no_cross_join_or_row_udf(spark, name):
     df = queries()[name](spark, SF_SMALL)
     plan = df._jdf.queryExecution().executedPlan().toString()
     assert not [p for p in FORBIDDEN if p in plan], plan[:2000]
+
+
+@pytest.mark.parametrize("name", sorted(oracle_sql()))
+def test_column_types_match_oracle(spark, con, name):
+    """Spark column types equal the DuckDB oracle's (bigint counts, double ratios, ...)."""
+    import re
+
+    from tools.type_check import spark_to_duck
+
+    sdf = queries()[name](spark, SF_SMALL)
+    rel = con.sql(oracle_sql()[name])
+    spark_t = {f.name: re.sub(r"\s", "", spark_to_duck(f.dataType.simpleString())).lower() for f in sdf.schema.fields}
+    duck_t = {c: re.sub(r"[\s\"]", "", str(t)).lower() for c, t in zip(rel.columns, rel.types)}
+    assert spark_t == duck_t
