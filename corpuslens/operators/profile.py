@@ -6,9 +6,11 @@ from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 from pyspark.sql.window import Window
 
 from corpuslens.functions.text import col, word_count
+from corpuslens.operators.quantiles import exact_percentile
 
 QUARTILES = (0.25, 0.5, 0.75)
 
@@ -32,15 +34,33 @@ def text_lengths(df: DataFrame, text: str = "text") -> DataFrame:
 def describe(df: DataFrame, value: str, by: Sequence[str] = (), exact: bool = True) -> DataFrame:
     """count, mean, sample std, min, quartiles, max (pandas ``describe``).
 
-    Exact percentiles keep a value-count map per group, which is small for
-    integer lengths; ``exact=False`` switches to mergeable sketches."""
+    Integer columns use Spark's exact ``percentile`` (its value -> count map is
+    bounded by the number of distinct values, small for lengths); fractional
+    columns use the bracketed exact percentile, which never holds a group's
+    values in one buffer.  ``exact=False`` switches to mergeable sketches."""
     v = F.col(value)
-    if exact:
-        qs = [F.percentile(v, q).alias(f"p{int(q * 100)}") for q in QUARTILES]
+    frac = isinstance(df.schema[value].dataType, (T.DoubleType, T.FloatType, T.DecimalType))
+    base = [F.count(v).alias("count"), F.avg(v).alias("mean"), F.stddev_samp(v).alias("std"),
+            F.min(v).cast("double").alias("min"), F.max(v).cast("double").alias("max")]
+    names = [f"p{int(q * 100)}" for q in QUARTILES]
+    if not exact:
+        qs = [F.percentile_approx(v, q, 10000).cast("double").alias(n) for q, n in zip(QUARTILES, names)]
+    elif not frac:
+        qs = [F.percentile(v, q).alias(n) for q, n in zip(QUARTILES, names)]
     else:
-        qs = [F.percentile_approx(v, q, 10000).cast("double").alias(f"p{int(q * 100)}") for q in QUARTILES]
-    return df.groupBy(*by).agg(F.count(v).alias("count"), F.avg(v).alias("mean"), F.stddev_samp(v).alias("std"),
-                               F.min(v).cast("double").alias("min"), *qs, F.max(v).cast("double").alias("max"))
+        out = df.groupBy(*by).agg(*base) if by else df.agg(*base)
+        for q, n in zip(QUARTILES, names):
+            p = exact_percentile(df, list(by), value, q, n)
+            out = out.join(p, list(by), "left") if by else _with_scalar(out, p, n)
+        return out.select(*by, "count", "mean", "std", "min", *names, "max")
+    g = df.groupBy(*by).agg(*base, *qs) if by else df.agg(*base, *qs)
+    return g.select(*by, "count", "mean", "std", "min", *names, "max")
+
+
+def _with_scalar(one_row: DataFrame, scalar: DataFrame, name: str) -> DataFrame:
+    """Attach the single value of a one-row frame as a literal column."""
+    row = scalar.first()
+    return one_row.withColumn(name, F.lit(row[name] if row is not None else None).cast("double"))
 
 
 def histogram(df: DataFrame, value: str, bins: int, lo: float | None = None, hi: float | None = None,

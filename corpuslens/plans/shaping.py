@@ -225,8 +225,8 @@ vocab AS (SELECT word, CAST(row_number() OVER (ORDER BY n DESC, word) + 1 AS INT
                 FROM (SELECT unnest(list_filter(string_split_regex(lower(text), '\\s+'), lambda x: x <> '')) AS word
                       FROM documents) GROUP BY word)),
 toks AS (SELECT doc_id, w.word, w.pos
-         FROM (SELECT doc_id, unnest(list_filter(string_split_regex(lower(text), '\\s+'), lambda x: x <> '')[1:16]) AS word,
-                      unnest(range(0, len(list_filter(string_split_regex(lower(text), '\\s+'), lambda x: x <> '')[1:16]))) AS pos
+         FROM (SELECT doc_id, unnest(list_filter(string_split_regex(lower(text), '\\s+'), lambda x: x <> '')[1:128]) AS word,
+                      unnest(range(0, len(list_filter(string_split_regex(lower(text), '\\s+'), lambda x: x <> '')[1:128]))) AS pos
                FROM documents) w),
 ids AS (SELECT t.doc_id, list(coalesce(v.id, 1) ORDER BY t.pos) AS ids
         FROM toks t LEFT JOIN vocab v ON t.word = v.word GROUP BY t.doc_id)"""
@@ -235,14 +235,14 @@ ids AS (SELECT t.doc_id, list(coalesce(v.id, 1) ORDER BY t.pos) AS ids
 @query("encode_fixed_length", f"""
 WITH {_VOCAB_SQL}
 SELECT d.doc_id,
-       list_concat(coalesce(i.ids, []::INTEGER[]), list_transform(range(16 - len(coalesce(i.ids, []::INTEGER[]))), lambda x: 0)) AS input_ids,
+       list_concat(coalesce(i.ids, []::INTEGER[]), list_transform(range(128 - len(coalesce(i.ids, []::INTEGER[]))), lambda x: 0)) AS input_ids,
        list_concat(list_transform(range(len(coalesce(i.ids, []::INTEGER[]))), lambda x: 1),
-                   list_transform(range(16 - len(coalesce(i.ids, []::INTEGER[]))), lambda x: 0)) AS attention_mask
+                   list_transform(range(128 - len(coalesce(i.ids, []::INTEGER[]))), lambda x: 0)) AS attention_mask
 FROM documents d LEFT JOIN ids i ON d.doc_id = i.doc_id""")
 def encode_fixed_length_q(spark, sf_dir):
     docs = fx.table(spark, sf_dir, "documents").select("doc_id", "text")
     vocab = PA.build_vocabulary(docs)
-    return PA.encode_fixed_length(docs, vocab, max_length=16)
+    return PA.encode_fixed_length(docs, vocab, max_length=128)
 
 
 MINED_CTE = f"""mined AS (

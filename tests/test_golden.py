@@ -63,3 +63,35 @@ def test_latency_stats_single_run_and_empty(spark):
 def test_rolling_drift_single_value_is_zero(spark):
     df = spark.createDataFrame([(1, 1, 0.7)], "run int, step int, chosen_mean double")
     assert T.rolling_drift(df).first()["drift"] == 0.0
+
+
+def test_histogram_counts_add_up_and_last_bin_closed(spark):
+    from corpuslens.operators.profile import histogram
+
+    df = spark.range(1, 1001).select((F.col("id") % 97).cast("int").alias("v"))
+    h = histogram(df, "v", 20).collect()
+    assert len(h) == 20 and sum(r["count"] for r in h) == 1000
+    assert h[-1]["count"] > 0 and h[-1]["bin_end"] == 96.0
+
+
+def test_confusion_cells_add_up_to_valid(spark):
+    rows = [(p, y) for p in (-1, 0, 1) for y in (0, 1) for _ in range(p + 3 + y)]
+    df = spark.createDataFrame(rows, "pred int, label int").withColumn("model", F.lit("m"))
+    r = M.metrics_with_unclear(df).first()
+    assert r["tp"] + r["fp"] + r["tn"] + r["fn"] == r["valid_predictions"]
+
+
+def test_describe_fractional_matches_pandas(spark):
+    import numpy as np
+    import pandas as pd
+
+    from corpuslens.operators.profile import describe
+
+    rng = np.random.default_rng(1)
+    vals = rng.gamma(2.0, 10.0, 3001)
+    df = spark.createDataFrame([(float(x),) for x in vals], "v double")
+    got = describe(df, "v").first()
+    want = pd.Series(vals).describe()
+    for ours, theirs in (("count", "count"), ("mean", "mean"), ("std", "std"), ("min", "min"),
+                         ("p25", "25%"), ("p50", "50%"), ("p75", "75%"), ("max", "max")):
+        assert got[ours] == pytest.approx(want[theirs], rel=1e-9), ours
