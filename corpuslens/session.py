@@ -23,6 +23,8 @@ _DEFAULTS = {
     "spark.sql.execution.arrow.pyspark.enabled": "true",
     "spark.ui.enabled": "false",
     "spark.ui.showConsoleProgress": "false",
+    # texts can be 20,000 words: keep scorer batches to a few thousand rows
+    "spark.sql.execution.arrow.maxRecordsPerBatch": "2000",
 }
 
 
