@@ -5,6 +5,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from corpuslens.functions.numeric import round_to
 from corpuslens.functions import parsing as P
 from corpuslens.operators import metrics as M
 from corpuslens.operators import profile as PF
@@ -55,7 +56,7 @@ SELECT model, metric, round(avg(value), 6) AS mean, round(stddev_pop(value), 6)
 FROM long GROUP BY model, metric""", [RUNS_SQL]))
 def run_variance_q(spark, sf_dir):
     v = R.run_variance(run_metrics_long(spark, sf_dir))
-    return v.select("model", "metric", *[F.round(c, 6).alias(c) for c in ("mean", "std", "variance")],
+    return v.select("model", "metric", *[round_to(c, 6).alias(c) for c in ("mean", "std", "variance")],
                     "min", "max", "values")
 
 
@@ -79,15 +80,15 @@ SELECT model, round(avg(ms), 6) AS mean, round(coalesce(stddev_samp(ms), 0.0), 6
 FROM latencies GROUP BY model"""))
 def latency_stats_q(spark, sf_dir):
     s = R.latency_stats(fx.latencies(spark, sf_dir))
-    return s.select("model", F.round("mean", 6).alias("mean"), F.round("std", 6).alias("std"), "min", "max",
-                    F.round("median", 6).alias("median"), "n_runs")
+    return s.select("model", round_to("mean", 6).alias("mean"), round_to("std", 6).alias("std"), "min", "max",
+                    round_to("median", 6).alias("median"), "n_runs")
 
 
 @query("latency_per_text", with_ctes(["latencies"], """
 SELECT model, text_id, round(avg(ms), 6) AS mean_ms, count(*) AS n FROM latencies GROUP BY model, text_id"""))
 def latency_per_text_q(spark, sf_dir):
     lat = fx.latencies(spark, sf_dir)
-    return lat.groupBy("model", "text_id").agg(F.round(F.avg("ms"), 6).alias("mean_ms"), F.count(F.lit(1)).alias("n"))
+    return lat.groupBy("model", "text_id").agg(round_to(F.avg("ms"), 6).alias("mean_ms"), F.count(F.lit(1)).alias("n"))
 
 
 @query("warmup_trim", with_ctes(["latencies"], """
@@ -105,7 +106,7 @@ FROM (SELECT model, avg(ms) AS mean FROM latencies GROUP BY model)"""))
 def speedup_vs_baseline_q(spark, sf_dir):
     s = fx.latencies(spark, sf_dir).groupBy("model").agg(F.avg("ms").alias("mean"))
     s = R.with_ratio_to(s, "mean", "model", LATENCY_BASELINE, "speedup", inverse=True)
-    return s.select("model", F.round("mean", 6).alias("mean"), F.round("speedup", 6).alias("speedup"))
+    return s.select("model", round_to("mean", 6).alias("mean"), round_to("speedup", 6).alias("speedup"))
 
 
 @query("overhead_pct", with_ctes(["latencies"], f"""
@@ -116,7 +117,7 @@ def overhead_pct_q(spark, sf_dir):
     s = fx.latencies(spark, sf_dir).groupBy("model").agg(F.avg("ms").alias("mean"))
     s = R.with_ratio_to(s, "mean", "model", OVERHEAD_BASE, "_r", inverse=False)
     base = F.col("mean") / F.col("_r")
-    return s.select("model", F.round(R.overhead_pct(F.col("mean"), base), 6).alias("overhead_pct"))
+    return s.select("model", round_to(R.overhead_pct(F.col("mean"), base), 6).alias("overhead_pct"))
 
 
 # ---------------------------------------------------------------------------
@@ -204,8 +205,8 @@ def _describe_sql(value: str, source: str, by: str = "") -> str:
 
 
 def _round_describe(df, keep):
-    return df.select(*keep, "count", *[F.round(c, 6).alias(c) for c in ("mean", "std")], "min",
-                     *[F.round(c, 6).alias(c) for c in ("p25", "p50", "p75")], "max")
+    return df.select(*keep, "count", *[round_to(c, 6).alias(c) for c in ("mean", "std")], "min",
+                     *[round_to(c, 6).alias(c) for c in ("p25", "p50", "p75")], "max")
 
 
 @query("describe_lengths", f"""
@@ -324,7 +325,7 @@ SELECT run, step, round(chosen_mean, 6) AS chosen_mean, round(rejected_mean, 6)
        round(chosen_mean / (rejected_mean + 1e-8), 6) AS reward_ratio FROM per_step""", [REWARD_STEP_SQL]))
 def reward_ratio_q(spark, sf_dir):
     r = _per_step(spark, sf_dir)
-    return r.select("run", "step", *[F.round(c, 6).alias(c) for c in ("chosen_mean", "rejected_mean", "reward_ratio")])
+    return r.select("run", "step", *[round_to(c, 6).alias(c) for c in ("chosen_mean", "rejected_mean", "reward_ratio")])
 
 
 @query("rolling_drift", with_ctes(["reward_log"], """
@@ -333,7 +334,7 @@ SELECT run, step, round(coalesce(stddev_pop(chosen_mean) OVER (PARTITION BY run
 FROM per_step""", [REWARD_STEP_SQL]))
 def rolling_drift_q(spark, sf_dir):
     d = T.rolling_drift(_per_step(spark, sf_dir))
-    return d.select("run", "step", F.round("drift", 6).alias("drift"))
+    return d.select("run", "step", round_to("drift", 6).alias("drift"))
 
 
 @query("log_batch_table", with_ctes(["batch_log"], """
@@ -385,5 +386,5 @@ FROM batch_log WHERE loss IS NOT NULL GROUP BY run, epoch"""))
 def epoch_mean_loss_q(spark, sf_dir):
     b = fx.batch_log(spark, sf_dir).where(F.col("loss").isNotNull())
     return b.groupBy("run", F.col("epoch").cast("int").alias("epoch")).agg(
-        F.round(F.avg("loss"), 6).alias("mean_loss"),
-        F.round(F.avg((F.col("loss") < 1.0).cast("double")), 6).alias("accuracy"))
+        round_to(F.avg("loss"), 6).alias("mean_loss"),
+        round_to(F.avg((F.col("loss") < 1.0).cast("double")), 6).alias("accuracy"))

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from corpuslens.functions.numeric import round_to
 from corpuslens.functions.text import head_chars
 from corpuslens.operators import metrics as M
 from corpuslens.operators import pairing as PG
@@ -73,7 +74,7 @@ def paired(spark, sf_dir):
     p = _parsed(spark, sf_dir)
     probs = fx.probabilities(spark, sf_dir).select("model", "doc_id", "probs")
     s = p.join(probs, ["model", "doc_id"])
-    s = s.withColumn("confidence", F.round(yes_no_confidence(F.element_at("probs", 2), F.element_at("probs", 1),
+    s = s.withColumn("confidence", round_to(yes_no_confidence(F.element_at("probs", 2), F.element_at("probs", 1),
                                                              F.col("pred")), 2))
     s = s.withColumn("answer", decode_prediction("pred"))
     pm = PG.pair_models(s, "sft", "dpo", value="pred", extra=["answer", "confidence", "reply"])
@@ -126,10 +127,10 @@ def disagreement_confidence_q(spark, sf_dir):
     p = paired(spark, sf_dir)
     c = _cells()
     conf = F.col("dpo_confidence")
-    return p.agg(F.round(PG.mean_where(conf, c["notsarc_sft_wrong_dpo_right"]), 6).alias("dpo_conf_fixed_fp"),
-                 F.round(PG.mean_where(conf, c["notsarc_sft_right_dpo_wrong"]), 6).alias("dpo_conf_new_fp"),
-                 F.round(F.avg("sft_confidence"), 6).alias("mean_sft_confidence"),
-                 F.round(F.avg("dpo_confidence"), 6).alias("mean_dpo_confidence"))
+    return p.agg(round_to(PG.mean_where(conf, c["notsarc_sft_wrong_dpo_right"]), 6).alias("dpo_conf_fixed_fp"),
+                 round_to(PG.mean_where(conf, c["notsarc_sft_right_dpo_wrong"]), 6).alias("dpo_conf_new_fp"),
+                 round_to(F.avg("sft_confidence"), 6).alias("mean_sft_confidence"),
+                 round_to(F.avg("dpo_confidence"), 6).alias("mean_dpo_confidence"))
 
 
 SCAN_LIMIT = 52  # rows 0..51 are examined
@@ -190,7 +191,7 @@ def latency_quality(spark, sf_dir):
     keys = F.create_map(*[F.lit(x) for kv in LATENCY_KEYS.items() for x in kv])
     lat = fx.latencies(spark, sf_dir).groupBy(F.col("model").alias("lat_key")).agg(F.avg("ms").alias("mean"))
     m = met.withColumn("lat_key", keys[F.col("model")]).where(F.col("lat_key").isNotNull())
-    return m.join(lat, "lat_key").select("model", F.round("mean", 6).alias("latency_ms"), "f1")
+    return m.join(lat, "lat_key").select("model", round_to("mean", 6).alias("latency_ms"), "f1")
 
 
 @query("latency_quality", with_ctes(["predictions", "latencies"], "SELECT model, latency_ms, f1 FROM latq",
@@ -229,7 +230,7 @@ def attach_error_bars_q(spark, sf_dir):
     scores = R.unpivot_metrics(_metrics(spark, sf_dir), ["model"], METRICS, 100.0).withColumnRenamed("value", "score")
     spread = R.run_variance(run_metrics_long(spark, sf_dir)).select("model", "metric", "std")
     j = scores.join(spread, ["model", "metric"], "left")
-    return j.select("model", "metric", "score", F.round(F.coalesce("std", F.lit(0.0)), 6).alias("error_bar"))
+    return j.select("model", "metric", "score", round_to(F.coalesce("std", F.lit(0.0)), 6).alias("error_bar"))
 
 
 # ---------------------------------------------------------------------------
@@ -317,7 +318,7 @@ def _sweep(spark, sf_dir):
     g = done.groupBy("event_type").agg(F.avg("value").alias("_v"))
     return g.select(betas[F.col("event_type")].alias("beta"),
                     F.concat(F.lit("beta_"), F.col("event_type")).alias("output_dir"),
-                    F.lit(3).alias("epoch"), F.round(F.col("_v") / 100.0 % 1, 6).alias("eval_f1"))
+                    F.lit(3).alias("epoch"), round_to(F.col("_v") / 100.0 % 1, 6).alias("eval_f1"))
 
 
 @query("sweep_best", """

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from corpuslens.functions.numeric import round_to
 from corpuslens.functions import parsing as P
 from corpuslens.functions.prompts import prompt_zero_shot, prompt_zero_shot_sql
 from corpuslens.functions.text import head_chars, head_chars_sql, pystrip_sql
@@ -172,7 +173,7 @@ SELECT model, row_name, round(precision, 9) AS precision, round(recall, 9) AS re
     [PROB_PRED_CTE, "pc AS (" + _PER_CLASS_SQL + ")"]))
 def classification_report_q(spark, sf_dir):
     rep = M.classification_report(_probpred(spark, sf_dir), names=["notsarc", "sarc"])
-    return rep.select("model", "row_name", *[F.round(c, 9).alias(c) for c in ("precision", "recall", "f1")], "support")
+    return rep.select("model", "row_name", *[round_to(c, 9).alias(c) for c in ("precision", "recall", "f1")], "support")
 
 
 @query("confusion_normalized", with_ctes(["predictions"], """

@@ -16,6 +16,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from corpuslens.functions.numeric import round_to
+
 TABLES = (
     "region nation customer supplier part orders lineitem events documents "
     "embeddings pages benchmark labels conversations"
@@ -252,10 +254,10 @@ def epoch_log(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.max("event_id").alias("end_step"),
         F.avg("value").alias("_v"), F.count(F.lit(1)).alias("_n"))
     return g.select("run", F.col("epoch").cast("int").alias("epoch"), "end_step",
-                    F.round((g["_v"] % 100) / 100.0, 6).alias("eval_accuracy"),
-                    F.round((g["_v"] % 97) / 97.0, 6).alias("eval_precision"),
-                    F.round((g["_n"] % 10) / 10.0, 6).alias("eval_recall"),
-                    F.round(((g["_v"] + g["_n"]) % 89) / 89.0, 6).alias("eval_f1"))
+                    round_to((g["_v"] % 100) / 100.0, 6).alias("eval_accuracy"),
+                    round_to((g["_v"] % 97) / 97.0, 6).alias("eval_precision"),
+                    round_to((g["_n"] % 10) / 10.0, 6).alias("eval_recall"),
+                    round_to(((g["_v"] + g["_n"]) % 89) / 89.0, 6).alias("eval_f1"))
 
 
 EPOCH_LOG_CTE = """epoch_log AS (

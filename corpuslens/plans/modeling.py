@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from corpuslens.functions.numeric import round_to
 from corpuslens.functions import parsing as P
 from corpuslens.operators import sampling as S
 from corpuslens.operators import scoring as SC
@@ -32,7 +33,7 @@ SELECT doc_id, CASE WHEN p_yes >= 0.5 THEN 'Yes' ELSE 'No' END AS reply, round(p
 def score_batches_q(spark, sf_dir):
     docs = fx.table(spark, sf_dir, "documents")
     s = SC.score_batches(docs)
-    return s.select("doc_id", "reply", F.round("p_yes", 9).alias("p_yes"), F.round("p_no", 9).alias("p_no"), "error")
+    return s.select("doc_id", "reply", round_to("p_yes", 9).alias("p_yes"), round_to("p_no", 9).alias("p_no"), "error")
 
 
 def _too_short(texts):
@@ -57,7 +58,7 @@ FROM (SELECT vec_id, CAST(embedding[1] AS DOUBLE) AS e1, CAST(embedding[2] AS DO
 def softmax_probs_q(spark, sf_dir):
     e = fx.table(spark, sf_dir, "embeddings")
     p = SC.softmax(F.slice("embedding", 1, 2))
-    return e.select("vec_id", F.round(F.element_at(p, 1), 9).alias("p0"), F.round(F.element_at(p, 2), 9).alias("p1"))
+    return e.select("vec_id", round_to(F.element_at(p, 1), 9).alias("p0"), round_to(F.element_at(p, 2), 9).alias("p1"))
 
 
 @query("argmax_class", """
@@ -78,7 +79,7 @@ def yes_no_confidence_q(spark, sf_dir):
     p = _parsed(spark, sf_dir).join(fx.probabilities(spark, sf_dir).select("model", "doc_id", "probs"),
                                     ["model", "doc_id"])
     c = SC.yes_no_confidence(F.element_at("probs", 2), F.element_at("probs", 1), F.col("pred"))
-    return p.select("model", "doc_id", "pred", F.round(c, 9).alias("confidence"))
+    return p.select("model", "doc_id", "pred", round_to(c, 9).alias("confidence"))
 
 
 @query("predicted_confidence", with_ctes(["probabilities"], """
@@ -86,7 +87,7 @@ SELECT model, round(avg(probs[pred + 1]), 9) AS mean_confidence, count(*) AS n
 FROM (SELECT *, CASE WHEN probs[2] > probs[1] THEN 1 ELSE 0 END AS pred FROM probabilities) GROUP BY model"""))
 def predicted_confidence_q(spark, sf_dir):
     p = SC.predicted_confidence(SC.probs_to_pred(fx.probabilities(spark, sf_dir)))
-    return p.groupBy("model").agg(F.round(F.avg("confidence"), 9).alias("mean_confidence"),
+    return p.groupBy("model").agg(round_to(F.avg("confidence"), 9).alias("mean_confidence"),
                                   F.count(F.lit(1)).alias("n"))
 
 

@@ -5,6 +5,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from corpuslens.functions.numeric import round_to
 from corpuslens.functions import parsing as P
 from corpuslens.functions import prompts as PR
 from corpuslens.functions.text import head_chars, stringify, stringify_sql
@@ -147,7 +148,7 @@ def percent_format_q(spark, sf_dir):
     from pyspark.sql.window import Window
     m = M.metrics_with_unclear(_parsed(spark, sf_dir))
     first = F.first("accuracy").over(Window.orderBy("model").rowsBetween(Window.unboundedPreceding, 0))
-    return m.select("model", F.round(F.col("accuracy") * 100, 1).alias("accuracy_pct"),
+    return m.select("model", round_to(F.col("accuracy") * 100, 1).alias("accuracy_pct"),
                     percent_text(F.col("accuracy")).alias("accuracy_text"),
                     signed_points((F.col("accuracy") - first) * 100).alias("delta_text"))
 

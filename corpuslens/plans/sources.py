@@ -5,6 +5,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from corpuslens.functions.numeric import round_to
 from corpuslens.operators import metrics as M
 from corpuslens.operators import pairs as PA
 from corpuslens.operators import runs as R
@@ -112,8 +113,8 @@ SELECT model, round(avg(ms), 6) AS mean, round(coalesce(stddev_samp(ms), 0.0), 6
 FROM latencies WHERE list_contains({LATENCY_ORDER}, model) GROUP BY model"""))
 def explode_latency_map_q(spark, sf_dir):
     stats = R.latency_stats(fx.latencies(spark, sf_dir))
-    stats = stats.select("model", *[F.round(c, 6).alias(c) for c in ("mean", "std")], "min", "max",
-                         F.round("median", 6).alias("median"), "n_runs")
+    stats = stats.select("model", *[round_to(c, 6).alias(c) for c in ("mean", "std")], "min", "max",
+                         round_to("median", 6).alias("median"), "n_runs")
     path = io.write_json_doc(io.build_latency_doc(stats), io.scratch_path(spark, "latency"))
     return io.explode_latency_map(spark.read.schema(io.LATENCY_DOC).json(path), LATENCY_ORDER)
 
