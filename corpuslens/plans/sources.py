@@ -4,6 +4,7 @@ the test tables to a fresh shared folder and reads it back."""
 from __future__ import annotations
 
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from corpuslens.functions.numeric import round_to
 from corpuslens.operators import metrics as M
@@ -73,7 +74,7 @@ def write_split_csv_q(spark, sf_dir):
     partition column recovered from the folder names."""
     parts = S.split_per_class(fx.corpus_a(spark, sf_dir), "class", "doc_id", 42, 0.8)
     path = io.write_csv(parts.select("doc_id", "class", "text", "split"), io.scratch_path(spark, "splits"), ["split"])
-    schema = io.CORPUS_A.add("split", "string")
+    schema = T.StructType(io.CORPUS_A.fields + [T.StructField("split", T.StringType())])  # a new schema
     return spark.read.schema(schema).options(**io.CSV_OPTIONS).csv(path).select("doc_id", "class", "split")
 
 
