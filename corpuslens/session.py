@@ -52,12 +52,17 @@ def checkpoint_dir(spark: SparkSession) -> str:
     only created when the setting is absent (local runs and tests).
     """
     current = spark.conf.get("spark.checkpoint.dir", None)
-    if not current:
-        current = spark.sparkContext.getCheckpointDir() if hasattr(spark.sparkContext, "getCheckpointDir") else None
+    try:
+        sc = spark.sparkContext  # absent under Spark Connect
+    except Exception:  # noqa: BLE001
+        sc = None
+    if not current and sc is not None:
+        current = sc.getCheckpointDir() if hasattr(sc, "getCheckpointDir") else None
     if not current:
         current = tempfile.mkdtemp(prefix="corpuslens-ckpt-")
         spark.conf.set("spark.checkpoint.dir", current)
-    spark.sparkContext.setCheckpointDir(current)
+    if sc is not None:
+        sc.setCheckpointDir(current)
     return current
 
 
