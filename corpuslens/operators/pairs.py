@@ -28,6 +28,11 @@ def mined_pairs(preds: DataFrame, text: str = "text", label: str = "label", pred
     else:
         chosen = F.when(truth, F.lit(PR.PAIR_YES)).otherwise(F.lit(PR.PAIR_NO))
         rejected = F.when(truth, F.lit(PR.PAIR_NO)).otherwise(F.lit(PR.PAIR_YES))
+    if short_form:  # second family: zero-shot prompt, no response, sft_correct
+        return preds.select(
+            "*", PR.prompt_zero_shot(col(text)).alias("prompt"), chosen.alias("chosen"), rejected.alias("rejected"),
+            col(label).alias("true_label"), col(pred).alias("sft_prediction"),
+            (col(pred) == col(label)).alias("sft_correct"))
     return preds.select(
         "*", PR.prompt_quoted(col(text), 0).alias("prompt"), chosen.alias("chosen"), rejected.alias("rejected"),
         col(label).alias("true_label"), col(pred).alias("sft_prediction"), col(response).alias("sft_response"),

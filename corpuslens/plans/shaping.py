@@ -269,6 +269,24 @@ def pairs_mined_q(spark, sf_dir):
     return PA.filter_pairs(_mined(spark, sf_dir), "mistakes_only")
 
 
+@query("pairs_mined_short", with_ctes(["predictions_text"], f"""
+SELECT p.doc_id, {PR.prompt_zero_shot_sql('p.text')} AS prompt,
+       CASE WHEN p.label = 1 THEN 'Yes' ELSE 'No' END AS chosen,
+       CASE WHEN p.label = 1 THEN 'No' ELSE 'Yes' END AS rejected,
+       p.label AS true_label, {P.parse_after_answer_sql('p.reply')} AS sft_prediction,
+       {P.parse_after_answer_sql('p.reply')} = p.label AS sft_correct
+FROM predictions_text p
+WHERE p.model = 'sft' AND {P.parse_after_answer_sql('p.reply')} <> p.label"""))
+def pairs_mined_short_q(spark, sf_dir):
+    """Second pair family: short Yes / No answers, the after-"Answer:" parser,
+    mistakes only."""
+    preds = fx.predictions_text(spark, sf_dir).where(F.col("model") == "sft")
+    preds = preds.withColumn("pred", P.parse_after_answer("reply"))
+    pairs = PA.mined_pairs(preds, short_form=True)
+    return pairs.where(~F.col("sft_correct")).select("doc_id", "prompt", "chosen", "rejected", "true_label",
+                                                     "sft_prediction", "sft_correct")
+
+
 @query("pairs_mined_summary", with_ctes(["predictions_text"], """
 SELECT 'mistakes_only' AS filter_strategy, count(*) AS total_examples_processed,
        count_if(NOT is_correct) AS total_examples_kept,

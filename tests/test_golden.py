@@ -95,3 +95,11 @@ def test_describe_fractional_matches_pandas(spark):
     for ours, theirs in (("count", "count"), ("mean", "mean"), ("std", "std"), ("min", "min"),
                          ("p25", "25%"), ("p50", "50%"), ("p75", "75%"), ("max", "max")):
         assert got[ours] == pytest.approx(want[theirs], rel=1e-9), ours
+
+
+def test_sweep_best_is_null_when_empty_and_ties_go_first(spark):
+    sweep = spark.createDataFrame([(0.1, 0.5), (0.05, 0.5), (0.2, 0.4)], "beta double, eval_f1 double")
+    best = sweep.agg(F.max_by("beta", F.struct(F.col("eval_f1"), -F.col("beta"))).alias("b")).first()["b"]
+    assert best == 0.05
+    empty = sweep.where("false").agg(F.max_by("beta", F.struct(F.col("eval_f1"), -F.col("beta"))).alias("b"))
+    assert empty.first()["b"] is None
