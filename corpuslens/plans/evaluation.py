@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from corpuslens.functions.numeric import round_to
 from corpuslens.functions import parsing as P
 from corpuslens.functions.prompts import prompt_zero_shot, prompt_zero_shot_sql
-from corpuslens.functions.text import head_chars, head_chars_sql, pystrip_sql
+from corpuslens.functions.text import head_chars, pystrip_sql
 from corpuslens.operators import metrics as M
 from corpuslens.operators.scoring import predicted_confidence, probs_to_pred
 from corpuslens.operators.parsing_ops import resolve_attempts
@@ -215,5 +215,3 @@ FROM probpred GROUP BY model""", [PROB_PRED_CTE]))
 def error_rate_q(spark, sf_dir):
     return M.error_rate(_probpred(spark, sf_dir))
 
-
-_ = head_chars_sql  # re-exported for other plans

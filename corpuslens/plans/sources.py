@@ -3,7 +3,6 @@ the test tables to a fresh shared folder and reads it back."""
 
 from __future__ import annotations
 
-from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from corpuslens.functions.numeric import round_to
