@@ -6,13 +6,15 @@ a seed under any partitioning.  Rows are ordered by ``md5('<seed>:<id>')``
 
 How it scales (no group is ever collected into one task):
 
-1. every row gets a bucket, the first four hex digits of its key (65,536
+1. every row gets a bucket, the first three hex digits of its key (4,096
    buckets, monotone in the key);
-2. a histogram ``(group, bucket) -> rows`` is aggregated map-side (tiny);
+2. a histogram ``(group, bucket) -> rows`` is aggregated map-side: each map
+   task forwards at most 4,096 counts per group, so the histogram shuffle
+   stays a small fraction of the input even with millions of rows per task;
 3. running sums over the histogram give, per group, the *cut* bucket where the
    running count reaches the quota and how many rows of it are still needed;
 4. rows below the cut bucket are taken and rows above are not, with no
-   shuffle; only the rows inside the cut bucket (about 1/65,536 of a group)
+   shuffle; only the rows inside the cut bucket (about 1/4,096 of a group)
    are ranked by a window.
 
 The per-group cut table has one row per group.  It is broadcast when its
@@ -28,7 +30,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-BUCKET_HEX_DIGITS = 4
+BUCKET_HEX_DIGITS = 3
 MAX_BROADCAST_GROUPS = 200_000
 
 QuotaFn = Callable[[DataFrame], DataFrame]
