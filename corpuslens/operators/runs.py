@@ -16,6 +16,8 @@ from pyspark.sql.window import Window
 from corpuslens.operators.compare import top_k_per_group
 from corpuslens.operators.quantiles import exact_percentile
 
+MAX_BROADCAST_ROWS = 2_000_000
+
 
 def unpivot_metrics(df: DataFrame, ids: Sequence[str], metrics: Sequence[str],
                     scale: float = 1.0) -> DataFrame:
@@ -63,7 +65,10 @@ def warmup_trim(df: DataFrame, by: Sequence[str], order: Sequence[str], w: int,
     the shuffle), then a left-anti join removes them: no group is ranked whole.
     """
     first = top_k_per_group(df.select(*by, *order, id_col), by, [F.col(c) for c in order], w).select(id_col)
-    return df.join(first, id_col, "left_anti")
+    first = first.cache()
+    # groups * w ids: broadcast when the count allows, so the timings are not shuffled
+    side = F.broadcast(first) if first.count() <= MAX_BROADCAST_ROWS else first
+    return df.join(side, id_col, "left_anti")
 
 
 def with_ratio_to(df: DataFrame, value: str, key: str, baseline: str, name: str,

@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 EPS = 1e-8
+MAX_BROADCAST_RUNS = 200_000
 
 
 def reward_ratio(log: DataFrame, run: str = "run", step: str = "step") -> DataFrame:
@@ -47,12 +48,15 @@ def epoch_metrics(epochs: DataFrame, log: DataFrame, run: str = "run") -> DataFr
        hot run is reduced map-side;
     4. the last loss is carried forward over the small per-epoch table.
     """
-    ends = epochs.groupBy(run).agg(F.array_sort(F.collect_set("end_step")).alias("_ends"))
-    entries = log.where(F.col("loss").isNotNull()).select(run, "step", "loss").join(ends, run)
+    ends = epochs.groupBy(run).agg(F.array_sort(F.collect_set("end_step")).alias("_ends")).cache()
+    # one short row per run: broadcast it (size checked), so a hot run's log
+    # rows are never shuffled by run; beyond the bound AQE splits skewed runs
+    side = F.broadcast(ends) if ends.count() <= MAX_BROADCAST_RUNS else ends
+    entries = log.where(F.col("loss").isNotNull()).select(run, "step", "loss").join(side, run)
     interval = F.size(F.filter(F.col("_ends"), lambda e: e < F.col("step")))
     last = entries.where(F.col("step") <= F.element_at("_ends", -1)) \
         .groupBy(run, interval.alias("_k")).agg(F.max_by("loss", "step").alias("_loss"))
-    marks = epochs.join(ends, run).withColumn(
+    marks = epochs.join(side, run).withColumn(
         "_k", F.array_position("_ends", F.col("end_step")).cast("int") - 1)
     marks = marks.join(last, [run, "_k"], "left")
     w = Window.partitionBy(run).orderBy("_k", "epoch").rowsBetween(Window.unboundedPreceding, 0)

@@ -32,7 +32,11 @@ def main() -> None:
              .config("spark.checkpoint.dir", tempfile.mkdtemp(prefix="corpuslens-ckpt-"))
              .config("spark.driver.memory", "8g").getOrCreate())
     spark.sparkContext.setLogLevel("ERROR")
+    from corpuslens.operators import metrics as M
+    from corpuslens.operators import runs as R
     from corpuslens.operators import sampling as S
+    from corpuslens.operators import trainlog as T
+    from corpuslens.operators.compare import top_k_per_group
     from corpuslens.operators.quantiles import exact_percentile
 
     data = spark.range(rows).select(
@@ -41,6 +45,21 @@ def main() -> None:
         (F.col("id") % 9973 * 1.37 + F.col("id") / 7.0).alias("ms"))
     data = data.repartition(64).cache()
     data.count()
+    # a training log where one run holds 95 % of the steps, 30 epochs per run
+    log = data.select(F.when(F.col("class") == "hot", 1).otherwise(F.col("doc_id") % 50 + 2).alias("run"),
+                      F.col("doc_id").alias("step"), (F.col("ms") % 3).alias("loss"))
+    epochs = log.groupBy("run").agg(F.max("step").alias("_m")).select(
+        "run", F.explode(F.sequence(F.lit(1), F.lit(30))).alias("epoch"), "_m") \
+        .select("run", F.col("epoch").cast("int").alias("epoch"), (F.col("_m") * F.col("epoch") / 30).cast("long")
+                .alias("end_step"))
+
+    def naive_epoch_loss():
+        marks = epochs.select("run", F.col("end_step").alias("_s"), F.lit(1).alias("_e"),
+                              F.lit(None).cast("double").alias("_l"), "epoch")
+        entries = log.select("run", F.col("step").alias("_s"), F.lit(0).alias("_e"), F.col("loss").alias("_l"),
+                             F.lit(None).cast("int").alias("epoch"))
+        w = Window.partitionBy("run").orderBy("_s", "_e").rowsBetween(Window.unboundedPreceding, 0)
+        return marks.unionByName(entries).withColumn("x", F.last("_l", ignorenulls=True).over(w)).where("_e = 1")
 
     cases = {
         "exact-n split, naive row_number per class": lambda: data.withColumn(
@@ -48,6 +67,13 @@ def main() -> None:
         "exact-n split, corpuslens split_per_class": lambda: S.split_per_class(data, "class", "doc_id", 42, 0.8),
         "median, Spark exact median per group": lambda: data.groupBy("class").agg(F.median("ms").alias("m")),
         "median, corpuslens exact_percentile": lambda: exact_percentile(data, ["class"], "ms", 0.5, "m"),
+        "top-20 per group, corpuslens top_k_per_group": lambda: top_k_per_group(data, ["class"], [F.col("ms")], 20),
+        "warm-up trim, corpuslens warmup_trim": lambda: R.warmup_trim(data, ["class"], ["ms", "doc_id"], 3, "doc_id"),
+        "epoch loss, naive merge + per-run window": naive_epoch_loss,
+        "epoch loss, corpuslens epoch_metrics": lambda: T.epoch_metrics(epochs, log),
+        "metrics, corpuslens metrics_with_unclear": lambda: M.metrics_with_unclear(
+            data.select(F.col("class").alias("model"), (F.col("doc_id") % 3 - 1).cast("int").alias("pred"),
+                        (F.col("doc_id") % 2).cast("int").alias("label"))),
     }
     timings = {}
     for label, build in cases.items():
