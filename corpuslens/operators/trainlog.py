@@ -23,11 +23,40 @@ def reward_ratio(log: DataFrame, run: str = "run", step: str = "step") -> DataFr
     return g.withColumn("reward_ratio", F.col("chosen_mean") / (F.col("rejected_mean") + EPS))
 
 
+def position_in_group(df: DataFrame, by: list[str], order: str, tiebreak: str | None = None,
+                      buckets: int = 4096) -> DataFrame:
+    """``df`` plus ``_pos``: the exact 1-based position of each row in
+    ``order`` (numeric) within its group, without ranking a group in one task:
+    equal-width ranges of ``order`` per group are the buckets of
+    ``sampling.global_position`` (offsets from a small histogram plus a rank
+    inside each bucket).  The per-group range table is broadcast after its
+    size is checked."""
+    from corpuslens.operators.sampling import global_position
+
+    rng = df.groupBy(*by).agg(F.min(order).alias("_lo"), F.max(order).alias("_hi")).cache()
+    side = F.broadcast(rng) if rng.count() <= MAX_BROADCAST_RUNS else rng
+    width = (F.col("_hi") - F.col("_lo") + 1) / F.lit(float(buckets))
+    bucket = F.least(F.floor((F.col(order) - F.col("_lo")) / width), F.lit(buckets - 1)).cast("int")
+    withb = df.join(side, by).withColumn("_bk", bucket).drop("_lo", "_hi")
+    out = global_position(withb, by, F.col(order), tiebreak or order, bucket=F.col("_bk"))
+    return out.drop("_bk", "_k")
+
+
 def rolling_drift(per_step: DataFrame, value: str = "chosen_mean", run: str = "run", step: str = "step",
                   window: int = 10) -> DataFrame:
-    """Population std of the last ``window`` values (0 with only one)."""
-    w = Window.partitionBy(run).orderBy(step).rowsBetween(-(window - 1), 0)
-    return per_step.withColumn("drift", F.coalesce(F.stddev_pop(value).over(w), F.lit(0.0)))
+    """Population std of the last ``window`` values (0 with only one).
+
+    A bounded frame without a per-run window: every row gets its exact
+    position in the run (``position_in_group``), its value is sent to the
+    next ``window`` positions (``explode`` of a short sequence), and each
+    position aggregates the at most ``window`` values it received.  No run is
+    ever ranked or framed in one task."""
+    pos = position_in_group(per_step, [run], step)
+    sent = pos.select(run, F.explode(F.sequence(F.col("_pos"), F.col("_pos") + (window - 1))).alias("_pos"),
+                      F.col(value).alias("_v"))
+    frames = sent.groupBy(run, "_pos").agg(F.stddev_pop("_v").alias("drift"))
+    out = pos.join(frames, [run, "_pos"])
+    return out.withColumn("drift", F.coalesce(F.col("drift"), F.lit(0.0))).drop("_pos")
 
 
 def log_batch_table(log: DataFrame) -> DataFrame:

@@ -103,3 +103,17 @@ def test_sweep_best_is_null_when_empty_and_ties_go_first(spark):
     assert best == 0.05
     empty = sweep.where("false").agg(F.max_by("beta", F.struct(F.col("eval_f1"), -F.col("beta"))).alias("b"))
     assert empty.first()["b"] is None
+
+
+def test_rolling_drift_equals_window_form_with_a_hot_run(spark):
+    from pyspark.sql import Window
+
+    df = spark.range(20_000).select(
+        F.when(F.col("id") % 10 < 9, 1).otherwise(F.col("id") % 7 + 2).alias("run"),
+        (F.col("id") * 3 + 1).alias("step"), ((F.col("id") * 37) % 101 / 7.0).alias("chosen_mean"))
+    got = {(r["run"], r["step"]): r["drift"] for r in T.rolling_drift(df).collect()}
+    w = Window.partitionBy("run").orderBy("step").rowsBetween(-9, 0)
+    want = {(r["run"], r["step"]): r["d"] for r in df.select("run", "step", F.stddev_pop("chosen_mean").over(w)
+                                                              .alias("d")).collect()}
+    assert got.keys() == want.keys()
+    assert all(abs(got[k] - want[k]) < 1e-9 for k in want)

@@ -29,6 +29,8 @@ def main() -> None:
              .config("spark.ui.showConsoleProgress", "false")
              .config("spark.eventLog.enabled", "true").config("spark.eventLog.dir", log_dir)
              .config("spark.sql.shuffle.partitions", "64").config("spark.sql.adaptive.enabled", "true")
+             # keep the 64 shuffle partitions visible: no coalescing of small partitions
+             .config("spark.sql.adaptive.coalescePartitions.enabled", "false")
              .config("spark.checkpoint.dir", tempfile.mkdtemp(prefix="corpuslens-ckpt-"))
              .config("spark.driver.memory", "8g").getOrCreate())
     spark.sparkContext.setLogLevel("ERROR")
@@ -71,6 +73,9 @@ def main() -> None:
         "warm-up trim, corpuslens warmup_trim": lambda: R.warmup_trim(data, ["class"], ["ms", "doc_id"], 3, "doc_id"),
         "epoch loss, naive merge + per-run window": naive_epoch_loss,
         "epoch loss, corpuslens epoch_metrics": lambda: T.epoch_metrics(epochs, log),
+        "rolling drift, naive per-run window": lambda: log.withColumn("drift", F.stddev_pop("loss").over(
+            Window.partitionBy("run").orderBy("step").rowsBetween(-9, 0))),
+        "rolling drift, corpuslens rolling_drift": lambda: T.rolling_drift(log, value="loss"),
         "metrics, corpuslens metrics_with_unclear": lambda: M.metrics_with_unclear(
             data.select(F.col("class").alias("model"), (F.col("doc_id") % 3 - 1).cast("int").alias("pred"),
                         (F.col("doc_id") % 2).cast("int").alias("label"))),
@@ -111,7 +116,8 @@ def main() -> None:
                     per_stage[ev["Stage ID"]].append(read)
     hot = int(rows * 0.95)
     out = ["# Skew check", "", f"Input: {rows:,} rows, one group ('hot') holds 95 % ({hot:,} rows); local[8], 64 "
-           "shuffle partitions, AQE on.  Shuffled records read per task, from Spark's event log (generated by "
+           "shuffle partitions, AQE on with partition coalescing off (so a balanced stage shows ~1/64 of its records "
+           "per task and a hot key shows as one oversized task).  Shuffled records read per task, from Spark's event log (generated by "
            "`tools/skew_check.py`).", "",
            "| Operation | Largest task (records) | Share of the hot group | Wall time (s) |", "| --- | --- | --- | --- |"]
     detail = ["", "Per stage (stages that read a shuffle):", "",
