@@ -93,12 +93,29 @@ def epoch_metrics(epochs: DataFrame, log: DataFrame, run: str = "run") -> DataFr
     return out.drop("_ends", "_k", "_loss")
 
 
-def running_best(df: DataFrame, value: str = "eval_f1", run: str = "run", order: str = "epoch") -> DataFrame:
-    """Best value before this row (0 at the start) and a strict new-best flag."""
-    w = Window.partitionBy(run).orderBy(order).rowsBetween(Window.unboundedPreceding, -1)
-    prev = F.coalesce(F.max(value).over(w), F.lit(0.0))
-    return df.withColumn("best_before", prev).withColumn("is_new_best", F.col(value) > prev) \
-             .withColumn("best_so_far", F.greatest(F.col(value), prev))
+def running_best(df: DataFrame, value: str = "eval_f1", run: str = "run", order: str = "epoch",
+                 buckets: int = 4096) -> DataFrame:
+    """Best value before this row (0 at the start) and a strict new-best flag.
+
+    A segmented scan rather than a whole-run window: rows are bucketed by
+    equal-width ranges of ``order`` per run; a running max runs over the
+    per-(run, bucket) maxima (at most ``buckets`` rows per run) and a window
+    inside each bucket adds the rows before this one in the same bucket."""
+    rng = df.groupBy(run).agg(F.min(order).alias("_lo"), F.max(order).alias("_hi")).cache()
+    side = F.broadcast(rng) if rng.count() <= MAX_BROADCAST_RUNS else rng
+    width = (F.col("_hi") - F.col("_lo") + 1) / F.lit(float(buckets))
+    b = df.join(side, run).withColumn(
+        "_bk", F.least(F.floor((F.col(order) - F.col("_lo")) / width), F.lit(buckets - 1)).cast("int")) \
+        .drop("_lo", "_hi")
+    per_bucket = b.groupBy(run, "_bk").agg(F.max(value).alias("_bmax"))
+    earlier = Window.partitionBy(run).orderBy("_bk").rowsBetween(Window.unboundedPreceding, -1)
+    per_bucket = per_bucket.withColumn("_before_bucket", F.max("_bmax").over(earlier)).drop("_bmax")
+    inside = Window.partitionBy(run, "_bk").orderBy(order).rowsBetween(Window.unboundedPreceding, -1)
+    b = b.join(per_bucket, [run, "_bk"]).withColumn("_in_bucket", F.max(value).over(inside))
+    prev = F.coalesce(F.greatest("_before_bucket", "_in_bucket"), F.lit(0.0))
+    return b.withColumn("best_before", prev).withColumn("is_new_best", F.col(value) > prev) \
+            .withColumn("best_so_far", F.greatest(F.col(value), prev)) \
+            .drop("_bk", "_before_bucket", "_in_bucket")
 
 
 def final_epoch(df: DataFrame, run: str = "run", order: str = "epoch") -> DataFrame:

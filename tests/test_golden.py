@@ -117,3 +117,16 @@ def test_rolling_drift_equals_window_form_with_a_hot_run(spark):
                                                               .alias("d")).collect()}
     assert got.keys() == want.keys()
     assert all(abs(got[k] - want[k]) < 1e-9 for k in want)
+
+
+def test_running_best_equals_window_form_with_a_hot_run(spark):
+    from pyspark.sql import Window
+
+    df = spark.range(20_000).select(
+        F.when(F.col("id") % 10 < 9, 1).otherwise(F.col("id") % 7 + 2).alias("run"),
+        (F.col("id") * 2 + 5).alias("epoch"), ((F.col("id") * 7919) % 10007 / 10007.0).alias("eval_f1"))
+    got = {(r["run"], r["epoch"]): (r["best_before"], r["is_new_best"]) for r in T.running_best(df).collect()}
+    w = Window.partitionBy("run").orderBy("epoch").rowsBetween(Window.unboundedPreceding, -1)
+    ref = df.withColumn("b", F.coalesce(F.max("eval_f1").over(w), F.lit(0.0)))
+    want = {(r["run"], r["epoch"]): (r["b"], r["eval_f1"] > r["b"]) for r in ref.collect()}
+    assert got == want

@@ -76,6 +76,9 @@ def main() -> None:
         "rolling drift, naive per-run window": lambda: log.withColumn("drift", F.stddev_pop("loss").over(
             Window.partitionBy("run").orderBy("step").rowsBetween(-9, 0))),
         "rolling drift, corpuslens rolling_drift": lambda: T.rolling_drift(log, value="loss"),
+        "running best, naive per-run window": lambda: log.withColumn("best", F.max("loss").over(
+            Window.partitionBy("run").orderBy("step").rowsBetween(Window.unboundedPreceding, -1))),
+        "running best, corpuslens running_best": lambda: T.running_best(log, value="loss", order="step"),
         "metrics, corpuslens metrics_with_unclear": lambda: M.metrics_with_unclear(
             data.select(F.col("class").alias("model"), (F.col("doc_id") % 3 - 1).cast("int").alias("pred"),
                         (F.col("doc_id") % 2).cast("int").alias("label"))),
