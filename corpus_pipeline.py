@@ -9,7 +9,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from corpuslens.llm import language_id, secrets_scan
+from corpuslens.llm import language_id, minhash_join, secrets_scan, sequence_packing, source_mix
 from corpuslens.llm._spark import table, written
 
 
@@ -18,14 +18,32 @@ def known_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
     return language_id.reject_unknown(docs)
 
 
+def one_of_each(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each group of near duplicates (shingles of five words, similarity 0.8 or more)."""
+    return minhash_join.drop_near_duplicates(docs, shingle=5, percent=80)
+
+
 def without_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """All documents, secrets replaced by a mark."""
     return secrets_scan.redact(docs)
 
 
+def mixed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents as often as the mix of sources takes them."""
+    return source_mix.mixed_documents(docs)
+
+
+def packed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Token pieces of all documents with their sequence and place."""
+    return sequence_packing.pack_documents(docs)
+
+
 STAGES = [
     ("language_id", known_language),
+    ("near_duplicates", one_of_each),
     ("secrets", without_secrets),
+    ("source_mix", mixed),
+    ("sequence_packing", packed),
 ]
 
 #: The language model is learned from the data, which SQL cannot express.
