@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import language_id, minhash_join, secrets_scan, sequence_packing, source_mix
+from . import embedding_dedup, language_id, learned_partitions, minhash_join, secrets_scan, sequence_packing, source_mix
 from ._spark import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -41,3 +41,14 @@ def op9_sequence_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query
 def op10_minhash_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return minhash_join.near_duplicates(table(spark, sf_dir, "documents"), shingle=2, percent=80)
+
+
+@query
+def op6_embedding_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return embedding_dedup.near_duplicates(table(spark, sf_dir, "embeddings"), threshold=0.93)
+
+
+@query
+def op3_learned_partitions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = table(spark, sf_dir, "embeddings")
+    return learned_partitions.search(rows, rows.where("vec_id % 20 = 0"), k=20)
