@@ -99,10 +99,42 @@ def shingles(h: np.ndarray, counts: np.ndarray, k: int) -> tuple[np.ndarray, np.
     short = np.flatnonzero((counts > 0) & (counts < k))
     for r in short:
         s = ends[r] - counts[r]
-        a = U(0)
+        a = np.zeros(1, np.uint64)
         for i in range(int(counts[r])):
-            a = mix(np.array([a * M1 + h[s + i] + U(i + 1)], np.uint64))[0]
-        acc[s] = a ^ M2
+            a = mix(a * M1 + h[s + i: s + i + 1] + U(i + 1))
+        acc[s] = a[0] ^ M2
         keep[s] = True
     per_row = np.where(counts >= k, counts - k + 1, (counts > 0).astype(np.int64))
     return acc[keep], per_row
+
+
+def sorted_runs(batches: Iterator[pa.RecordBatch], keys: int) -> Iterator[tuple[list[np.ndarray | pa.Array], np.ndarray]]:
+    """(columns, bounds) of whole groups from batches sorted by their first ``keys`` integer columns.
+
+    Group ``g`` is rows ``bounds[g]:bounds[g + 1]``; the last group of a batch waits for the next batch.
+    """
+    rest: pa.Table | None = None
+    for batch in batches:
+        now = pa.Table.from_batches([batch])
+        now = pa.concat_tables([rest, now]) if rest is not None else now
+        if not now.num_rows:
+            continue
+        new = np.zeros(now.num_rows, bool)
+        for c in range(keys):
+            k = now.column(c).to_numpy()
+            new[1:] |= k[1:] != k[:-1]
+        starts = np.flatnonzero(new)
+        cut = int(starts[-1]) if len(starts) else 0
+        rest = now.slice(cut)
+        if cut:
+            yield _columns(now.slice(0, cut)), np.concatenate([[0], starts])
+    if rest is not None and rest.num_rows:
+        yield _columns(rest), np.array([0, rest.num_rows])
+
+
+def _columns(t: pa.Table) -> list[np.ndarray | pa.Array]:
+    out = []
+    for c in t.columns:
+        c = c.combine_chunks()
+        out.append(c if pa.types.is_binary(c.type) else c.to_numpy(zero_copy_only=False))
+    return out

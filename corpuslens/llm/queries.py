@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import embedding_dedup, language_id, learned_partitions, minhash_join, secrets_scan, sequence_packing, source_mix
+from . import embedding_dedup, language_id, learned_partitions, minhash_join, passage_chains, secrets_scan, sequence_packing, source_mix
 from ._spark import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -52,3 +52,8 @@ def op6_embedding_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op3_learned_partitions(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = table(spark, sf_dir, "embeddings")
     return learned_partitions.search(rows, rows.where("vec_id % 20 = 0"), k=20)
+
+
+@query
+def op7_passage_chains(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return passage_chains.shared_passages(table(spark, sf_dir, "documents"))
