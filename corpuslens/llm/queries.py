@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import embedding_dedup, language_id, learned_partitions, minhash_join, passage_chains, secrets_scan, sequence_packing, source_mix
+from . import embedding_dedup, language_id, learned_partitions, license_scan, minhash_join, passage_chains, secrets_scan, sequence_packing, source_mix
 from ._spark import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -57,3 +57,8 @@ def op3_learned_partitions(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query
 def op7_passage_chains(spark: SparkSession, sf_dir: str) -> DataFrame:
     return passage_chains.shared_passages(table(spark, sf_dir, "documents"))
+
+
+@query
+def op4_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return license_scan.scan(table(spark, sf_dir, "documents"))
