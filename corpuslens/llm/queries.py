@@ -6,7 +6,8 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import embedding_dedup, language_id, learned_partitions, license_scan, minhash_join, passage_chains, secrets_scan, sequence_packing, source_mix
+from . import (embedding_dedup, language_id, learned_partitions, license_scan, minhash_join, passage_chains, secrets_scan,
+               sequence_packing, source_mix, warc_revisits)
 from ._spark import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -62,3 +63,11 @@ def op7_passage_chains(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query
 def op4_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return license_scan.scan(table(spark, sf_dir, "documents"))
+
+
+@query
+def op2_warc_revisits(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return warc_revisits.resolve(warc_revisits.capture_log(table(spark, sf_dir, "pages")))
+
+
+ORACLE["op2_warc_revisits"] = warc_revisits.ORACLE
