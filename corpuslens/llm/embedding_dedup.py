@@ -99,7 +99,8 @@ def links(nodes: DataFrame, centroids: np.ndarray, threshold: float, block: int)
                          "other": pa.array(np.concatenate([np.zeros(some.sum(), np.int64), centre[away]]),
                                            mask=np.arange(some.sum() + away.sum()) < some.sum())})
 
-    return home.union(member).groupBy("label", "cell", "i", "j").applyInArrow(compare, "node long, n long, other long")
+    parts = home.union(member).repartition("label", "cell", "i", "j")  # not by label and cell alone, as the join left it
+    return parts.groupBy("label", "cell", "i", "j").applyInArrow(compare, "node long, n long, other long")
 
 
 def near_duplicates(rows: DataFrame, vec_id: str = "vec_id", vector: str = "embedding", label: str = "label",

@@ -233,7 +233,8 @@ def search(base: DataFrame, queries: DataFrame, vec_id: str = "vec_id", vector:
         return pa.table({"query_row": number[a][q], "query_id": pa.array(asked, mask=asked == NO_ID),
                          "vec_id": pa.array(found, mask=found == NO_ID), "score": score})
 
-    found = asks.union(rows).groupBy("part", "i", "j").applyInArrow(compare, "query_row long, query_id long, vec_id long, score double")
+    both = asks.union(rows).repartition("part", "i", "j")  # not by part alone, as the joins left it
+    found = both.groupBy("part", "i", "j").applyInArrow(compare, "query_row long, query_id long, vec_id long, score double")
     w = Window.partitionBy("query_row").orderBy(F.desc("score"), F.col("vec_id").asc_nulls_last())
     return (found.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k)
             .select("query_id", "rank", "vec_id", "score"))

@@ -8,10 +8,10 @@
    into slices of at most ``slice_size`` fingerprints, whole templates each, so what
    a task holds is bounded; each slice is one pass over the documents.
 3. Candidates: the same hashes of every text (all of them, so winnowing
-   loses none) are looked up; hits of one template whose offsets differ by at
-   most ``band`` and that stand within the template's length form a candidate.
+   loses none) are looked up; hits of one template whose starts differ by at
+   most ``band`` words (half the template's words, if that is less) form a candidate.
 4. Alignment: the words around a candidate are aligned with the template in a
-   band of ``band`` words (local alignment: +1 equal, -1 other, -1 skipped), and the
+   band of so many words (local alignment: +1 equal, -1 other, -1 skipped), and the
    match is kept when ``coverage`` of the template's words are matched.  Of overlapping
    matches the one with more matched words stays (ties: the first template by id).
 
@@ -127,8 +127,9 @@ def candidates(index: Index, words: np.ndarray, counts: np.ndarray, k: int, band
     row = np.searchsorted(np.cumsum(counts), at, "right")
     order = np.lexsort((begin, template, row))
     row, template, begin = row[order], template[order], begin[order]
+    apart = np.array([min(band, len(w) // 2) for w in index.words])  # matches of one short template can follow closely
     new = np.ones(len(row), bool)
-    new[1:] = (np.diff(row) != 0) | (np.diff(template) != 0) | (np.diff(begin) > band)
+    new[1:] = (np.diff(row) != 0) | (np.diff(template) != 0) | (np.diff(begin) > apart[template[1:]])
     first = np.flatnonzero(new)
     last = np.append(first[1:], len(row)) - 1
     return list(zip(row[first].tolist(), template[first].tolist(), begin[first].tolist(), begin[last].tolist(), strict=True))
@@ -184,9 +185,10 @@ def _scan(index: Index, k: int, band: int, coverage: float, batches: Iterator[pa
             for row, t, lo, hi in candidates(index, words, counts, k, band):
                 begin, stop = int(ends[row] - counts[row]), int(ends[row])
                 template = index.words[t]
-                a = max(begin, lo - band)
-                part = words[a: min(stop, hi + len(template) + band)]
-                reach = band + (hi - lo + 1) // 2
+                side = min(band, len(template) // 2)
+                a = max(begin, lo - side)
+                part = words[a: min(stop, hi + len(template) + side)]
+                reach = side + (hi - lo + 1) // 2
                 x0, x1, y0, y1, equal = local_alignment(part, template, (lo + hi) // 2 - a, reach)
                 if equal and equal >= coverage * len(template):
                     x0, x1 = x0 + a, x1 + a
