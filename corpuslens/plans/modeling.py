@@ -113,19 +113,19 @@ def stream_confusion_q(spark, sf_dir):
     """Labels arrive as a file stream; replies are attached and parsed per
     micro-batch; the running counts' final state is read back."""
     schema = fx.table(spark, sf_dir, "labels").schema
-    labels = ST.file_stream(spark, sf_dir, schema, "labels.parquet")
+    labels = ST.table_stream(spark, f"{sf_dir}/labels.parquet", schema)
     preds = fx.predictions_from(labels).withColumn("pred", P.parse_contains_unclear("reply"))
     base = scratch_path(spark, "stream-confusion")
     ST.run_to_end(ST.start_confusion(preds, f"{base}/out", f"{base}/checkpoint"))
-    return spark.read.parquet(f"{base}/out")
+    return ST.read_confusion(spark, f"{base}/out")
 
 
 @query("stream_metric_log", with_ctes(["batch_log"], """
 SELECT run, step, loss, learning_rate, epoch FROM batch_log"""))
 def stream_metric_log_q(spark, sf_dir):
     schema = fx.table(spark, sf_dir, "events").schema
-    events = ST.file_stream(spark, sf_dir, schema, "events.parquet")
+    events = ST.table_stream(spark, f"{sf_dir}/events.parquet", schema)
     log = fx.batch_log_from(events)
     base = scratch_path(spark, "stream-log")
     ST.run_to_end(ST.start_metric_log(log, f"{base}/out", f"{base}/checkpoint"))
-    return spark.read.parquet(f"{base}/out").select("run", "step", "loss", "learning_rate", "epoch")
+    return ST.read_metric_log(spark, f"{base}/out").select("run", "step", "loss", "learning_rate", "epoch")

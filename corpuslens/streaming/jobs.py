@@ -2,12 +2,12 @@
 
 * ``stream_confusion``: running confusion counts per model as predictions
   arrive; complete-mode aggregate whose state is one row per model.  Each
-  micro-batch's full result overwrites a table in the shared folder, so a
-  reader always sees the latest totals (the final state equals the batch
-  ``confusion_counts``).
-* ``stream_metric_log``: training-log rows appended as they come, with
-  duplicates of (run, step) dropped inside a watermark so the dedupe state
-  stays bounded; the sink is an exactly-once file sink.
+  micro-batch writes its full result under its own batch number and readers
+  take the newest, so a failed write cannot lose the state before it (the final
+  state equals the batch ``confusion_counts``).
+* ``stream_metric_log``: training-log rows appended as they come, whatever the
+  order of their times; source and sink are exactly-once, nothing is dropped.
+  Steps that were logged twice are merged on the read side.
 
 Both take a streaming DataFrame and a shared folder for checkpoints and
 output; tests drive them with ``trigger(availableNow=True)``.
@@ -28,41 +28,61 @@ def confusion_stream(preds: DataFrame, pred: str = "pred", label: str = "label")
 
 
 def start_confusion(preds: DataFrame, out_path: str, checkpoint: str, available_now: bool = True) -> StreamingQuery:
-    """Complete-mode running counts; every micro-batch rewrites ``out_path``."""
-    def sink(batch: DataFrame, _epoch: int) -> None:
-        batch.write.mode("overwrite").parquet(out_path)
+    """Complete-mode running counts; micro-batch n writes ``out_path/batch=n``."""
+    counts = confusion_stream(preds)
+    empty = preds.sparkSession.createDataFrame([], counts.schema)
+    empty.write.mode("overwrite").parquet(f"{out_path}/batch=-1")  # what a reader sees before the first batch
 
-    w = confusion_stream(preds).writeStream.outputMode("complete").foreachBatch(sink) \
-        .option("checkpointLocation", checkpoint)
+    def sink(batch: DataFrame, number: int) -> None:
+        batch.write.mode("overwrite").parquet(f"{out_path}/batch={number}")
+
+    w = counts.writeStream.outputMode("complete").foreachBatch(sink).option("checkpointLocation", checkpoint)
     w = w.trigger(availableNow=True) if available_now else w.trigger(processingTime="10 seconds")
     return w.start()
 
 
-def metric_log_stream(log: DataFrame, watermark: str = "1 day") -> DataFrame:
-    """Deduplicate (run, step) within the watermark on ``ts``."""
-    log = log.withColumn("ts", F.col("ts").cast("timestamp"))  # event time must be TIMESTAMP
-    return log.withWatermark("ts", watermark).dropDuplicatesWithinWatermark(["run", "step"])
+def read_confusion(spark: SparkSession, out_path: str) -> DataFrame:
+    """The counts of the newest batch."""
+    batches = spark.read.parquet(out_path)
+    newest = batches.agg(F.max("batch")).first()[0]
+    return batches.where(F.col("batch") == (-1 if newest is None else newest)).drop("batch")
 
 
 def start_metric_log(log: DataFrame, out_path: str, checkpoint: str, available_now: bool = True) -> StreamingQuery:
-    w = metric_log_stream(log).writeStream.outputMode("append").format("parquet") \
+    """Append every row."""
+    w = log.writeStream.outputMode("append").format("parquet") \
         .option("path", out_path).option("checkpointLocation", checkpoint)
     w = w.trigger(availableNow=True) if available_now else w.trigger(processingTime="10 seconds")
     return w.start()
 
 
-def run_to_end(q: StreamingQuery, timeout_s: int = 600) -> None:
-    """Wait for an availableNow query to finish; raise its error if it failed."""
-    q.awaitTermination(timeout_s)
-    if q.isActive:
+def read_metric_log(spark: SparkSession, out_path: str) -> DataFrame:
+    """The log with one row per (run, step): of a step logged twice, the earliest entry."""
+    log = spark.read.parquet(out_path)
+    others = [c for c in log.columns if c not in ("run", "step", "ts")]
+    first = F.min(F.struct("ts", *others)).alias("row")
+    return log.groupBy("run", "step").agg(first).select("run", "step", "row.*").select(*log.columns)
+
+
+def run_to_end(q: StreamingQuery, timeout_s: float | None = None) -> None:
+    """Wait for an availableNow query to finish; raise its error if it failed.
+
+    There is no time limit unless the caller sets one; a query that is still
+    running then is stopped and ``TimeoutError`` raised, as its output is partial.
+    """
+    if timeout_s is None:
+        q.awaitTermination()
+    elif not q.awaitTermination(timeout_s):
         q.stop()
+        raise TimeoutError(f"the stream was still running after {timeout_s} s; its output is partial")
     if q.exception() is not None:
         raise RuntimeError(str(q.exception()))
 
 
-def file_stream(spark: SparkSession, folder: str, schema, name_glob: str = "*.parquet",
-                max_files: int = 1) -> DataFrame:
-    """Parquet files of ``folder`` matching ``name_glob`` as a stream
-    (``max_files`` per micro-batch)."""
-    return (spark.readStream.schema(schema).option("maxFilesPerTrigger", max_files)
-            .option("pathGlobFilter", name_glob).parquet(folder))
+def table_stream(spark: SparkSession, path: str, schema, max_bytes: int = 1 << 30) -> DataFrame:
+    """A Parquet table, one file or a folder of part files, as a stream of micro-batches of
+    about ``max_bytes``.  A path that does not exist raises."""
+    spark.read.schema(schema).parquet(path)  # raises where nothing is; reads nothing
+    # a plain path must be a folder; a pattern that only the path matches may be either
+    path = path.rstrip("/")
+    return spark.readStream.schema(schema).option("maxBytesPerTrigger", max_bytes).parquet(f"{path[:-1]}[{path[-1]}]")

@@ -4,6 +4,8 @@ the batch result; duplicate (run, step) log rows are dropped."""
 import datetime as dt
 import uuid
 
+import pytest
+from pyspark.errors import AnalysisException
 from pyspark.sql import functions as F
 
 from corpuslens.functions import parsing as P
@@ -29,22 +31,51 @@ def test_confusion_state_over_three_batches_equals_batch(spark):
     q = ST.start_confusion(preds, f"{base}/out", f"{base}/ckpt")
     ST.run_to_end(q)
     assert len(q.recentProgress) >= 3
-    got = {r["model"]: tuple(r[1:]) for r in spark.read.parquet(f"{base}/out").select("model", "tp", "fp", "tn", "fn").collect()}
+    got = {r["model"]: tuple(r[1:]) for r in ST.read_confusion(spark, f"{base}/out").select("model", "tp", "fp", "tn", "fn").collect()}
     batch = confusion_counts(fx.predictions_from(labels).withColumn("pred", P.parse_contains_unclear("reply")))
     want = {r["model"]: tuple(r[1:]) for r in batch.select("model", "tp", "fp", "tn", "fn").collect()}
     assert got == want
 
 
-def test_metric_log_drops_duplicates_within_watermark(spark):
+def test_metric_log_keeps_late_rows_and_merges_repeated_steps(spark):
     src = _folder(spark, "log")
     t0 = dt.datetime(2024, 1, 1)
-    rows = [(1, s, 0.5 + s, 1e-5, 1.0, t0 + dt.timedelta(minutes=s)) for s in range(20)]
     schema = "run long, step long, loss double, learning_rate double, epoch double, ts timestamp"
-    spark.createDataFrame(rows[:12], schema).coalesce(1).write.parquet(f"{src}/a")
-    spark.createDataFrame(rows[8:], schema).coalesce(1).write.parquet(f"{src}/b")  # steps 8-11 again
+    day = lambda k, steps: [(1, s, 0.5 + s, 1e-5, 1.0, t0 + dt.timedelta(days=k, minutes=s)) for s in steps]
+    for name, rows in (("a", day(10, range(20, 30))), ("b", day(1, range(10))), ("c", day(2, range(10, 20))), ("d", day(1, range(5)))):
+        spark.createDataFrame(rows, schema).coalesce(1).write.parquet(f"{src}/{name}")
     stream = spark.readStream.schema(schema).option("maxFilesPerTrigger", 1) \
         .option("recursiveFileLookup", "true").parquet(src)
     base = _folder(spark, "logout")
     ST.run_to_end(ST.start_metric_log(stream, f"{base}/out", f"{base}/ckpt"))
-    out = spark.read.parquet(f"{base}/out")
-    assert out.count() == 20 and out.select("run", "step").distinct().count() == 20
+    assert spark.read.parquet(f"{base}/out").count() == 35  # every row, however late
+    out = ST.read_metric_log(spark, f"{base}/out")
+    assert sorted(r.step for r in out.collect()) == list(range(30)) and out.columns == stream.columns
+
+
+@pytest.mark.parametrize("folder", [False, True])
+def test_table_stream_reads_a_file_or_a_folder(spark, folder):
+    labels = spark.read.parquet("/root/testdata/sf0.001/labels.parquet")
+    path = "/root/testdata/sf0.001/labels.parquet"
+    if folder:
+        path = _folder(spark, "parts") + "/labels.parquet"
+        labels.repartition(4).write.parquet(path)
+    base = _folder(spark, "copy")
+    q = ST.table_stream(spark, path, labels.schema).writeStream.format("parquet").option("path", f"{base}/out") \
+        .option("checkpointLocation", f"{base}/ckpt").trigger(availableNow=True).start()
+    ST.run_to_end(q)
+    assert spark.read.parquet(f"{base}/out").count() == labels.count()
+
+
+def test_table_stream_without_input_raises(spark):
+    with pytest.raises(AnalysisException):
+        ST.table_stream(spark, _folder(spark, "absent"), "a long").isStreaming  # noqa: B018
+
+
+def test_a_stream_past_its_limit_raises(spark):
+    rate = spark.readStream.format("rate").load()
+    base = _folder(spark, "slow")
+    q = rate.writeStream.format("noop").option("checkpointLocation", f"{base}/ckpt").start()
+    with pytest.raises(TimeoutError):
+        ST.run_to_end(q, timeout_s=1)
+    assert not q.isActive
