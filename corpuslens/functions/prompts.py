@@ -31,7 +31,7 @@ CHAT_USER_HEAD = "Is the following text sarcastic? Answer with only 'Yes' or 'No
 PAIR_YES = "Yes, this is sarcastic."
 PAIR_NO = "No, this is not sarcastic."
 # Synthetic rich pairs: seven reasons per class, and the fixed short rejection.
-SARCASM_REASONS = [
+POSITIVE_REASONS = [
     "This text is sarcastic. It uses irony to convey meaning opposite to the literal words.",
     "This is sarcastic. The statement employs exaggeration for humorous or critical effect.",
     "Sarcastic. The text implies the opposite of what's literally stated through tone.",
@@ -40,7 +40,7 @@ SARCASM_REASONS = [
     "Sarcastic. The exaggerated praise or criticism signals an ironic intent.",
     "Yes. This shows sarcasm through incongruity between literal words and implied meaning.",
 ]
-NON_SARCASM_REASONS = [
+NEGATIVE_REASONS = [
     "Not sarcastic. This is a straightforward, literal statement with no irony.",
     "No sarcasm. The text conveys its intended meaning directly without hidden implications.",
     "This is not sarcastic. It's a sincere statement meant to be taken at face value.",

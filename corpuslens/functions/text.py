@@ -10,17 +10,22 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 
+# White space as Python's ``str.split`` and ``str.strip`` know it (fixed values), for Java and for RE2.
+SPACE = r"[\t-\r\x1c-\x20\x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]"
+SPACE_SQL = (r"[\t-\r\x1c-\x20\x{85}\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}]")
+
+
 def col(c: Column | str) -> Column:
     return F.col(c) if isinstance(c, str) else c
 
 
 def pystrip(c: Column | str) -> Column:
     """Python ``str.strip()``: remove leading and trailing white space."""
-    return F.regexp_replace(col(c), r"^\s+|\s+$", "")
+    return F.regexp_replace(col(c), f"^{SPACE}+|{SPACE}+$", "")
 
 
 def pystrip_sql(e: str) -> str:
-    return f"regexp_replace({e}, '^\\s+|\\s+$', '', 'g')"
+    return f"regexp_replace({e}, '^{SPACE_SQL}+|{SPACE_SQL}+$', '', 'g')"
 
 
 def strip_dots(c: Column | str) -> Column:
@@ -34,11 +39,11 @@ def strip_dots_sql(e: str) -> str:
 
 def words(c: Column | str) -> Column:
     """Python ``str.split()``: white-space tokens, no empty ones."""
-    return F.filter(F.split(col(c), r"\s+"), lambda x: x != "")
+    return F.filter(F.split(col(c), f"{SPACE}+"), lambda x: x != "")
 
 
 def words_sql(e: str) -> str:
-    return f"list_filter(string_split_regex({e}, '\\s+'), lambda x: x <> '')"
+    return f"list_filter(string_split_regex({e}, '{SPACE_SQL}+'), lambda x: x <> '')"
 
 
 def first_words(c: Column | str, n: int) -> Column:

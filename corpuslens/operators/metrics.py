@@ -130,10 +130,15 @@ def classification_report(df: DataFrame, classes: Sequence[int] = (0, 1), names:
 
 def confusion_normalized(df: DataFrame, by: Sequence[str] = ("model",), pred: str = "pred",
                          label: str = "label") -> DataFrame:
-    """Row-normalised confusion matrix in percent: count / row total * 100."""
-    cells = df.groupBy(*by, label, pred).agg(F.count(F.lit(1)).alias("n"))
-    row_total = F.sum("n").over(Window.partitionBy(*by, label))
-    return cells.withColumn("pct", F.col("n") / row_total * 100.0)
+    """The four cells TN, FP, FN, TP in percent of their row (label): count / row
+    total * 100, 0 for an empty row.  Unclear replies are in no cell."""
+    c = confusion_counts(df, by, pred, label)
+    cell = lambda y, p, n, other: F.struct(F.lit(y).alias(label), F.lit(p).alias(pred), F.col(n).alias("n"),
+                                           (F.col(n) + F.col(other)).alias("row"))
+    cells = c.select(*by, F.explode(F.array(cell(0, 0, "tn", "fp"), cell(0, 1, "fp", "tn"),
+                                            cell(1, 0, "fn", "tp"), cell(1, 1, "tp", "fn"))).alias("c")).select(*by, "c.*")
+    pct = F.when(F.col("row") > 0, F.col("n") / F.col("row") * 100.0).otherwise(F.lit(0.0))
+    return cells.withColumn("pct", pct).drop("row")
 
 
 def per_class_accuracy(df: DataFrame, by: Sequence[str] = ("model",), pred: str = "pred",

@@ -13,8 +13,8 @@ ANSWERS = ("Yes", "No", "Unclear")
 
 
 def encode_label(c: Column | str) -> Column:
-    """'sarc' -> 1, anything else -> 0."""
-    return (col(c) == POSITIVE_CLASS).cast("int")
+    """'sarc' -> 1, anything else (null too) -> 0."""
+    return col(c).eqNullSafe(F.lit(POSITIVE_CLASS)).cast("int")
 
 
 def map_label(c: Column | str, mapping: dict) -> Column:

@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 
 from corpuslens.functions import prompts as PR
 from corpuslens.functions.text import col, words
-from corpuslens.operators.sampling import global_position
+from corpuslens.operators.sampling import global_position, with_ranges
 
 FILTERS = ("all", "mistakes_only", "confident_mistakes")
 
@@ -71,8 +71,8 @@ def pairs_summary(pairs: DataFrame, strategy: str = "mistakes_only", by: list[st
 def synthetic_rich_pairs(df: DataFrame, text: str, label: str, pick: Column) -> DataFrame:
     """Chosen: one of seven reason texts of the true class (picked by ``pick``,
     0..6); rejected: the fixed short opposite answer."""
-    sarc = F.array(*[F.lit(x) for x in PR.SARCASM_REASONS])
-    lit_ = F.array(*[F.lit(x) for x in PR.NON_SARCASM_REASONS])
+    sarc = F.array(*[F.lit(x) for x in PR.POSITIVE_REASONS])
+    lit_ = F.array(*[F.lit(x) for x in PR.NEGATIVE_REASONS])
     idx = (pick + 1).cast("int")
     truth = col(label) == 1
     return df.select("*", PR.prompt_definition(col(text)).alias("prompt"),
@@ -97,13 +97,11 @@ PAD_ID, UNK_ID, FIRST_WORD_ID = 0, 1, 2
 def build_vocabulary(docs: DataFrame, text: str = "text") -> DataFrame:
     """(word, id, n): lower-cased white-space words of the whole corpus, ids
     from 2 in (count desc, word asc) order."""
-    tokens = docs.select(F.explode(F.split(F.lower(col(text)), r"\s+")).alias("word")).where(F.col("word") != "")
+    tokens = docs.select(F.explode(words(F.lower(col(text)))).alias("word"))
     counts = tokens.groupBy("word").agg(F.count(F.lit(1)).alias("n"))
-    # key sorts as (count desc, word asc); bucket = inverted count + 2 chars
-    inv = F.lpad((F.lit(10 ** 15) - F.col("n")).cast("string"), 16, "0")
-    key = F.concat(inv, F.col("word"))
-    pos = global_position(counts, [], key, "word", bucket=F.concat(inv, F.substring("word", 1, 2)))
-    return pos.select("word", (F.col("_pos") + FIRST_WORD_ID - 1).cast("int").alias("id"), "n")
+    ranged = with_ranges(counts, [F.desc("n"), F.asc("word")], "_range")
+    pos = global_position(ranged, [], -F.col("n"), "word", bucket=F.col("_range"))
+    return pos.select("word", (F.col("_pos") + FIRST_WORD_ID - 1).cast("long").alias("id"), "n")
 
 
 def encode_fixed_length(docs: DataFrame, vocab: DataFrame, key: str = "doc_id", text: str = "text",
@@ -114,14 +112,12 @@ def encode_fixed_length(docs: DataFrame, vocab: DataFrame, key: str = "doc_id",
     only they are exploded and looked up; the join to the vocabulary is a
     shuffle join (the vocabulary grows with the corpus) with AQE splitting hot
     words."""
-    toks = docs.select(key, F.posexplode(F.slice(words(F.lower(col(text))), 1, max_length)).alias("pos", "word"))
+    toks = docs.select(key, F.posexplode_outer(F.slice(words(F.lower(col(text))), 1, max_length)).alias("pos", "word"))
     ided = toks.join(vocab.select("word", "id"), "word", "left") \
-               .select(key, "pos", F.coalesce("id", F.lit(UNK_ID)).alias("id"))
-    per_doc = ided.groupBy(key).agg(F.array_sort(F.collect_list(F.struct("pos", "id"))).alias("s"))
+               .select(key, "pos", F.when(F.col("pos").isNotNull(), F.coalesce("id", F.lit(UNK_ID).cast("long"))).alias("id"))
+    per_doc = ided.groupBy(key).agg(F.array_sort(F.collect_list(F.when(F.col("pos").isNotNull(), F.struct("pos", "id")))).alias("s"))
     ids = F.transform(F.col("s"), lambda x: x["id"])
-    out = docs.select(key).join(per_doc, key, "left")
-    ids = F.coalesce(ids, F.array().cast("array<int>"))
-    pad = F.array_repeat(F.lit(PAD_ID), F.lit(max_length) - F.size(ids))
-    return out.select(key, F.concat(ids, pad).alias("input_ids"),
-                      F.concat(F.array_repeat(F.lit(1), F.size(ids)),
-                               F.array_repeat(F.lit(0), F.lit(max_length) - F.size(ids))).alias("attention_mask"))
+    pad = F.array_repeat(F.lit(PAD_ID).cast("long"), F.lit(max_length) - F.size(ids))
+    return per_doc.select(key, F.concat(ids, pad).alias("input_ids"),
+                          F.concat(F.array_repeat(F.lit(1), F.size(ids)),
+                                   F.array_repeat(F.lit(0), F.lit(max_length) - F.size(ids))).alias("attention_mask"))

@@ -9,8 +9,8 @@ passes:
 1. per group: row count and a bracket ``[lo, hi]`` from ``percentile_approx``
    at p -/+ a margin larger than the sketch's rank error (mergeable sketches,
    partial aggregation);
-2. per group: the exact count of rows below ``lo`` (an aggregate), and a rank
-   of only the rows inside the bracket (about 2 * margin * n rows).
+2. per group: the exact count of rows below ``lo`` (an aggregate), and running
+   counts over the distinct values inside the bracket (about 2 * margin * n, fewer with ties).
 
 The bracket table has one row per group and is broadcast after its size is
 checked.
@@ -24,6 +24,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from corpuslens.session import materialise, null_safe_join
+
 ACCURACY = 100_000
 MARGIN = 4.0 / ACCURACY
 MAX_BROADCAST_GROUPS = 200_000
@@ -54,18 +56,18 @@ def exact_percentile(df: DataFrame, by: Sequence[str], value: str, p: float, nam
         for c in ("_n", "_lo", "_hi", "_r0", "_r1", "_frac"):
             joined = joined.withColumn(c, F.lit(row[c]))
     else:
-        brackets = brackets.cache()
-        side = F.broadcast(brackets) if brackets.count() <= MAX_BROADCAST_GROUPS else brackets
-        joined = base.join(side, by)
+        brackets = materialise(brackets)
+        joined = null_safe_join(base, brackets, by, hint=brackets.count() <= MAX_BROADCAST_GROUPS)
     below = joined.groupBy(*by).agg(F.count_if(F.col("_v") < F.col("_lo")).alias("_below"))
     inside = joined.where((F.col("_v") >= F.col("_lo")) & (F.col("_v") <= F.col("_hi")))
-    ranked = inside.withColumn("_i", F.row_number().over(Window.partitionBy(*by).orderBy("_v")) - 1)
-    ranked = ranked.join(below, by) if not whole else ranked.withColumn(
-        "_below", F.lit(below.first()["_below"]))
-    ranked = ranked.withColumn("_rank", F.col("_below") + F.col("_i"))
-    picked = ranked.where((F.col("_rank") == F.col("_r0")) | (F.col("_rank") == F.col("_r1"))).groupBy(*by).agg(
-        F.max(F.when(F.col("_rank") == F.col("_r0"), F.col("_v"))).alias("_v0"),
-        F.max(F.when(F.col("_rank") == F.col("_r1"), F.col("_v"))).alias("_v1"),
-        F.first("_frac").alias("_frac"))
+    # equal values count once, with how many they are: ties at the bracket stay one row
+    values = inside.groupBy(*by, "_v", "_r0", "_r1", "_frac").agg(F.count(F.lit(1)).alias("_c"))
+    upto = F.sum("_c").over(Window.partitionBy(*by).orderBy("_v").rowsBetween(Window.unboundedPreceding, 0))
+    values = null_safe_join(values.withColumn("_upto", upto), below, by)
+    last = F.col("_below") + F.col("_upto") - 1  # ranks of the value: first .. last
+    first = last - F.col("_c") + 1
+    has = lambda r: (F.col(r) >= first) & (F.col(r) <= last)
+    picked = values.groupBy(*by).agg(F.max(F.when(has("_r0"), F.col("_v"))).alias("_v0"),
+                                     F.max(F.when(has("_r1"), F.col("_v"))).alias("_v1"), F.first("_frac").alias("_frac"))
     out = picked.select(*by, (F.col("_v0") + F.col("_frac") * (F.col("_v1") - F.col("_v0"))).alias(name))
     return out.drop("_g") if whole else out

@@ -15,6 +15,7 @@ from pyspark.sql.window import Window
 
 from corpuslens.operators.compare import top_k_per_group
 from corpuslens.operators.quantiles import exact_percentile
+from corpuslens.session import materialise
 
 MAX_BROADCAST_ROWS = 2_000_000
 
@@ -65,7 +66,7 @@ def warmup_trim(df: DataFrame, by: Sequence[str], order: Sequence[str], w: int,
     the shuffle), then a left-anti join removes them: no group is ranked whole.
     """
     first = top_k_per_group(df.select(*by, *order, id_col), by, [F.col(c) for c in order], w).select(id_col)
-    first = first.cache()
+    first = materialise(first)
     # groups * w ids: broadcast when the count allows, so the timings are not shuffled
     side = F.broadcast(first) if first.count() <= MAX_BROADCAST_ROWS else first
     return df.join(side, id_col, "left_anti")

@@ -3,23 +3,29 @@
 Contract: the same counts, disjoint and complete splits, and the same rows for
 a seed under any partitioning.  Rows are ordered by ``md5('<seed>:<id>')``
 (ties by id); a sample of n from a group is the n rows first in that order.
+Ids identify rows: rows that share an id are taken or left together.
+
+A null group value is a group like any other in the splits (they stay
+complete); the balancing samples, which compare classes with each other, leave
+rows without a class out.
 
 How it scales (no group is ever collected into one task):
 
-1. every row gets a bucket, the first three hex digits of its key (4,096
-   buckets, monotone in the key);
+1. on narrow columns (group, key, id) every row gets a bucket, the first three
+   hex digits of its key (4,096 buckets, monotone in the key);
 2. a histogram ``(group, bucket) -> rows`` is aggregated map-side: each map
    task forwards at most 4,096 counts per group, so the histogram shuffle
    stays a small fraction of the input even with millions of rows per task;
 3. running sums over the histogram give, per group, the *cut* bucket where the
-   running count reaches the quota and how many rows of it are still needed;
-4. rows below the cut bucket are taken and rows above are not, with no
-   shuffle; only the rows inside the cut bucket (about 1/4,096 of a group)
-   are ranked by a window.
-
-The per-group cut table has one row per group.  It is broadcast when its
-measured row count is under ``MAX_BROADCAST_GROUPS``; otherwise the join is
-left to a shuffle join with AQE skew splitting.
+   running count reaches the quota; the same is done once more with the next
+   three digits inside it, and the few rows of the second cut (about one in 16
+   million of a group) are ranked for the exact last (key, id) taken;
+4. one pass over the wide rows compares (key, id) with the group's last one:
+   a filter behind one join with a table of one row per group.
+
+That table is broadcast when its counted rows are under
+``MAX_BROADCAST_GROUPS``; otherwise the join is left to a shuffle join with
+AQE skew splitting.
 """
 
 from __future__ import annotations
@@ -30,6 +36,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from corpuslens.session import materialise, null_safe_join
+
 BUCKET_HEX_DIGITS = 3
 MAX_BROADCAST_GROUPS = 200_000
 
@@ -104,53 +112,42 @@ def quota_shared_total(total_of: Callable[[Column], Column], by: Sequence[str])
 # ---------------------------------------------------------------------------
 # core
 # ---------------------------------------------------------------------------
-def _cut_table(keyed: DataFrame, by: Sequence[str], quota: QuotaFn) -> DataFrame:
-    hist = keyed.groupBy(*by, "_b").agg(F.count(F.lit(1)).alias("_c"))
-    groups = quota(hist.groupBy(*by).agg(F.sum("_c").alias("_n")))
-    groups = groups.select(*by, F.least(F.col("_quota"), F.col("_n")).alias("_quota"))
+def _cut(narrow: DataFrame, by: Sequence[str], groups: DataFrame) -> DataFrame:
+    """(by, _cut, _need): the bucket ``_b`` in which each group's running count reaches ``_quota``, and
+    how many of its rows are still needed."""
+    hist = narrow.groupBy(*by, "_b").agg(F.count(F.lit(1)).alias("_c"))
     w = Window.partitionBy(*by).orderBy("_b").rowsBetween(Window.unboundedPreceding, 0)
-    cum = hist.join(groups, list(by)).withColumn("_cum", F.sum("_c").over(w))
+    cum = null_safe_join(hist, groups, by).withColumn("_cum", F.sum("_c").over(w))
     cut = cum.where(F.col("_cum") >= F.col("_quota")).groupBy(*by).agg(
         F.min_by(F.struct(F.col("_b").alias("_cut"),
                           (F.col("_quota") - (F.col("_cum") - F.col("_c"))).alias("_need")), "_b").alias("s"))
     return cut.select(*by, "s._cut", "s._need")
 
 
-def _attach(keyed: DataFrame, cuts: DataFrame, by: Sequence[str], whole: bool = False) -> DataFrame:
-    """Bring each group's cut to its rows.
-
-    One group: the cut is two scalars, bound as literals (no join).  Several:
-    a keyed join, broadcast after the group count is checked."""
-    if whole:
-        row = cuts.first()
-        cut = row["_cut"] if row is not None else None
-        need = row["_need"] if row is not None else 0
-        return keyed.withColumn("_cut", F.lit(cut).cast("string")).withColumn("_need", F.lit(need).cast("long"))
-    cuts = cuts.cache()
-    n_groups = cuts.count()
-    side = F.broadcast(cuts) if n_groups <= MAX_BROADCAST_GROUPS else cuts
-    return keyed.join(side, list(by), "left")
-
-
 def select_by_quota(df: DataFrame, by: Sequence[str], key: Column, tiebreak: str | Column,
-                    quota: QuotaFn, bucket: Column | None = None) -> DataFrame:
-    """``df`` plus boolean ``_sel``: the row is among the first ``quota`` rows
-    of its group ordered by (key, tiebreak).  ``bucket`` must be monotone in
-    ``key``; by default the key's leading hex digits."""
+                    quota: QuotaFn) -> DataFrame:
+    """``df`` plus boolean ``_sel`` and the key ``_k``: the row is among the first ``quota`` rows
+    of its group ordered by (key, tiebreak); ``key`` is a hex string."""
     tb = F.col(tiebreak) if isinstance(tiebreak, str) else tiebreak
     whole = not by
-    if whole:  # one group: a constant key keeps the plan the same
-        df, by = df.withColumn("_g", F.lit(0)), ["_g"]
-    keyed = df.withColumn("_k", key).withColumn("_b", bucket if bucket is not None else hex_bucket(F.col("_k")))
-    cuts = _cut_table(keyed, by, quota)
-    joined = _attach(keyed, cuts, by, whole)
-    # a group whose quota is never reached has no cut row: it takes nothing
-    outside = joined.where(F.col("_cut").isNull() | (F.col("_b") != F.col("_cut"))) \
-                    .withColumn("_sel", F.coalesce(F.col("_b") < F.col("_cut"), F.lit(False)))
-    inside = joined.where(F.col("_b") == F.col("_cut"))
-    rank = F.row_number().over(Window.partitionBy(*by, "_b").orderBy("_k", tb))
-    inside = inside.withColumn("_sel", rank <= F.col("_need"))
-    out = outside.unionByName(inside).drop("_b", "_cut", "_need")
+    if whole:  # one group: its key is 0 on every row, computed so that the join on it stays a keyed one
+        df, by = df.withColumn("_g", F.pmod(F.xxhash64(tb), F.lit(1))), ["_g"]
+    by = list(by)
+    narrow = df.select(*by, key.alias("_k"), tb.alias("_t")).withColumn("_b", hex_bucket(F.col("_k")))
+    sizes = narrow.groupBy(*by, "_b").agg(F.count(F.lit(1)).alias("_n")).groupBy(*by).agg(F.sum("_n").alias("_n"))
+    groups = quota(sizes).select(*by, F.least(F.col("_quota"), F.col("_n")).alias("_quota")).where("_quota > 0")
+    first = _cut(narrow, by, groups)
+    inside = null_safe_join(narrow, first, by, hint=whole).where(F.col("_b") == F.col("_cut"))
+    inside = inside.select(*by, "_k", "_t", "_need", F.substring("_k", 1 + BUCKET_HEX_DIGITS, BUCKET_HEX_DIGITS).alias("_b"))
+    need = inside.groupBy(*by).agg(F.first("_need").alias("_quota"))
+    last = null_safe_join(inside.drop("_need"), _cut(inside, by, need), by).where(F.col("_b") == F.col("_cut"))
+    rank = F.row_number().over(Window.partitionBy(*by).orderBy("_k", "_t"))
+    last = last.withColumn("_i", rank).where(F.col("_i") == F.col("_need"))
+    last = materialise(last.select(*by, F.struct("_k", "_t").alias("_last")))
+    side = whole or last.count() <= MAX_BROADCAST_GROUPS
+    out = null_safe_join(df.withColumn("_k", key), last, by, "left", hint=side)
+    # a group whose quota is 0 has no last row: it takes nothing
+    out = out.withColumn("_sel", F.coalesce(F.struct(F.col("_k"), tb.alias("_t")) <= F.col("_last"), F.lit(False))).drop("_last")
     return out.drop("_g") if whole else out
 
 
@@ -165,11 +162,20 @@ def global_position(df: DataFrame, by: Sequence[str], key: Column, tiebreak: str
     w = (Window.partitionBy(*by) if by else Window.partitionBy(F.lit(0))).orderBy("_b") \
         .rowsBetween(Window.unboundedPreceding, -1)
     offsets = hist.withColumn("_off", F.coalesce(F.sum("_c").over(w), F.lit(0))).drop("_c")
-    joined = keyed.join(offsets, [*by, "_b"])  # AQE broadcasts the histogram when small
+    joined = null_safe_join(keyed, offsets, [*by, "_b"])  # AQE broadcasts the histogram when small
     rank = F.row_number().over(Window.partitionBy(*by, "_b").orderBy("_k", tb))
     return joined.withColumn("_pos", F.col("_off") + rank).drop("_b", "_off")
 
 
+def with_ranges(df: DataFrame, order: Sequence[str | Column], name: str = "_b") -> DataFrame:
+    """``df`` plus a range number that is monotone in ``order``.
+
+    Spark's range partitioning takes the edges from a sample of the data, so
+    outliers, bunched values and common prefixes still give ranges of like size (equal
+    rows share one).  Written once, because a second run could draw other edges."""
+    return materialise(df.repartitionByRange(*order).withColumn(name, F.spark_partition_id()))
+
+
 # ---------------------------------------------------------------------------
 # operators
 # ---------------------------------------------------------------------------
@@ -205,29 +211,29 @@ def split_random(df: DataFrame, id_col: str, seed: int = 42, frac: float = 0.8)
     return _split_col(sel)
 
 
-def split_ordinal(df: DataFrame, order_col: str, ratio: float = 0.9, buckets: int = 1 << 16) -> DataFrame:
+def split_ordinal(df: DataFrame, order_col: str, ratio: float = 0.9) -> DataFrame:
     """First int(N * ratio) rows in ``order_col`` order to train, rest to validation.
 
-    The order column is numeric; buckets are equal-width ranges between its
-    minimum and maximum (one small aggregate)."""
-    mm = df.agg(F.min(order_col).alias("lo"), F.max(order_col).alias("hi")).first()
-    lo, hi = (mm["lo"] or 0), (mm["hi"] or 0)
-    width = max((hi - lo + 1) / buckets, 1e-300)
-    bucket = F.lpad(F.floor((F.col(order_col) - F.lit(lo)) / F.lit(width)).cast("string"), 12, "0")
-    key = F.col(order_col)
-    sel = select_by_quota(df, [], key, order_col, quota_fraction_floor(ratio), bucket=bucket)
-    return _split_col(sel, ("train", "validation"))
+    Positions come from ranges of ``order_col`` with edges drawn from the data
+    (``with_ranges``), so an outlier does not put all rows in one range."""
+    ranged = with_ranges(df, [order_col], "_range")
+    pos = global_position(ranged, [], F.col(order_col), order_col, bucket=F.col("_range"))
+    zero = F.pmod(F.xxhash64(order_col), F.lit(1)).alias("_g")  # 0 on every row; see select_by_quota
+    total = ranged.groupBy(zero).agg(F.floor(F.count(F.lit(1)) * F.lit(ratio)).alias("_quota"))
+    out = null_safe_join(pos.withColumn("_g", zero), total, ["_g"], hint=True)
+    return _split_col(out.withColumn("_sel", F.col("_pos") <= F.col("_quota")).drop("_g", "_range", "_pos", "_quota"),
+                      ("train", "validation"))
 
 
 def sample_balanced(df: DataFrame, label: str, id_col: str, n: int, seed: int = 42) -> DataFrame:
-    """n // 2 rows of each class (all of a smaller class)."""
-    sel = select_by_quota(df, [label], seed_key(seed, id_col), id_col, quota_fixed(n // 2))
+    """n // 2 rows of each class (all of a smaller class); rows without a class are left out."""
+    sel = select_by_quota(df.where(F.col(label).isNotNull()), [label], seed_key(seed, id_col), id_col, quota_fixed(n // 2))
     return sel.where("_sel").drop("_sel", "_k")
 
 
 def balance_to_minority(df: DataFrame, label: str, id_col: str, n: int, seed: int = 42) -> DataFrame:
-    """Every class cut to min(minority size, n // 2)."""
-    sel = select_by_quota(df, [label], seed_key(seed, id_col), id_col, quota_to_minority(n))
+    """Every class cut to min(minority size, n // 2); rows without a class are left out."""
+    sel = select_by_quota(df.where(F.col(label).isNotNull()), [label], seed_key(seed, id_col), id_col, quota_to_minority(n))
     return sel.where("_sel").drop("_sel", "_k")
 
 

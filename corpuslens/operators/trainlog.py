@@ -12,8 +12,10 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from corpuslens.session import materialise, null_safe_join
+
 EPS = 1e-8
-MAX_BROADCAST_RUNS = 200_000
+MAX_BROADCAST_MARKS = 2_000_000  # epoch ends over all runs, 8 bytes each
 
 
 def reward_ratio(log: DataFrame, run: str = "run", step: str = "step") -> DataFrame:
@@ -23,22 +25,17 @@ def reward_ratio(log: DataFrame, run: str = "run", step: str = "step") -> DataFr
     return g.withColumn("reward_ratio", F.col("chosen_mean") / (F.col("rejected_mean") + EPS))
 
 
-def position_in_group(df: DataFrame, by: list[str], order: str, tiebreak: str | None = None,
-                      buckets: int = 4096) -> DataFrame:
+def position_in_group(df: DataFrame, by: list[str], order: str, tiebreak: str | None = None) -> DataFrame:
     """``df`` plus ``_pos``: the exact 1-based position of each row in
-    ``order`` (numeric) within its group, without ranking a group in one task:
-    equal-width ranges of ``order`` per group are the buckets of
+    ``order`` within its group (a null group is a group), without ranking a group in one task: ranges
+    of (group, order) with edges drawn from the data are the buckets of
     ``sampling.global_position`` (offsets from a small histogram plus a rank
-    inside each bucket).  The per-group range table is broadcast after its
-    size is checked."""
-    from corpuslens.operators.sampling import global_position
-
-    rng = df.groupBy(*by).agg(F.min(order).alias("_lo"), F.max(order).alias("_hi")).cache()
-    side = F.broadcast(rng) if rng.count() <= MAX_BROADCAST_RUNS else rng
-    width = (F.col("_hi") - F.col("_lo") + 1) / F.lit(float(buckets))
-    bucket = F.least(F.floor((F.col(order) - F.col("_lo")) / width), F.lit(buckets - 1)).cast("int")
-    withb = df.join(side, by).withColumn("_bk", bucket).drop("_lo", "_hi")
-    out = global_position(withb, by, F.col(order), tiebreak or order, bucket=F.col("_bk"))
+    inside each bucket), so bunched values are spread too."""
+    from corpuslens.operators.sampling import global_position, with_ranges
+
+    tb = tiebreak or order
+    withb = with_ranges(df, [*by, order, tb], "_bk")
+    out = global_position(withb, by, F.col(order), tb, bucket=F.col("_bk"))
     return out.drop("_bk", "_k")
 
 
@@ -55,7 +52,7 @@ def rolling_drift(per_step: DataFrame, value: str = "chosen_mean", run: str = "r
     sent = pos.select(run, F.explode(F.sequence(F.col("_pos"), F.col("_pos") + (window - 1))).alias("_pos"),
                       F.col(value).alias("_v"))
     frames = sent.groupBy(run, "_pos").agg(F.stddev_pop("_v").alias("drift"))
-    out = pos.join(frames, [run, "_pos"])
+    out = null_safe_join(pos, frames, [run, "_pos"])
     return out.withColumn("drift", F.coalesce(F.col("drift"), F.lit(0.0))).drop("_pos")
 
 
@@ -77,41 +74,38 @@ def epoch_metrics(epochs: DataFrame, log: DataFrame, run: str = "run") -> DataFr
        hot run is reduced map-side;
     4. the last loss is carried forward over the small per-epoch table.
     """
-    ends = epochs.groupBy(run).agg(F.array_sort(F.collect_set("end_step")).alias("_ends")).cache()
+    ends = materialise(epochs.groupBy(run).agg(F.array_sort(F.collect_set("end_step")).alias("_ends")))
     # one short row per run: broadcast it (size checked), so a hot run's log
     # rows are never shuffled by run; beyond the bound AQE splits skewed runs
-    side = F.broadcast(ends) if ends.count() <= MAX_BROADCAST_RUNS else ends
-    entries = log.where(F.col("loss").isNotNull()).select(run, "step", "loss").join(side, run)
+    marks = ends.agg(F.sum(F.size("_ends") + 8)).first()[0] or 0
+    hint = marks <= MAX_BROADCAST_MARKS
+    entries = null_safe_join(log.where(F.col("loss").isNotNull()).select(run, "step", "loss"), ends, [run], hint=hint)
     interval = F.size(F.filter(F.col("_ends"), lambda e: e < F.col("step")))
     last = entries.where(F.col("step") <= F.element_at("_ends", -1)) \
         .groupBy(run, interval.alias("_k")).agg(F.max_by("loss", "step").alias("_loss"))
-    marks = epochs.join(side, run).withColumn(
+    marks = null_safe_join(epochs, ends, [run], hint=hint).withColumn(
         "_k", F.array_position("_ends", F.col("end_step")).cast("int") - 1)
-    marks = marks.join(last, [run, "_k"], "left")
+    marks = null_safe_join(marks, last, [run, "_k"], "left")
     w = Window.partitionBy(run).orderBy("_k", "epoch").rowsBetween(Window.unboundedPreceding, 0)
     out = marks.withColumn("train_loss", F.coalesce(F.last("_loss", ignorenulls=True).over(w), F.lit(0.0)))
     return out.drop("_ends", "_k", "_loss")
 
 
-def running_best(df: DataFrame, value: str = "eval_f1", run: str = "run", order: str = "epoch",
-                 buckets: int = 4096) -> DataFrame:
-    """Best value before this row (0 at the start) and a strict new-best flag.
-
-    A segmented scan rather than a whole-run window: rows are bucketed by
-    equal-width ranges of ``order`` per run; a running max runs over the
-    per-(run, bucket) maxima (at most ``buckets`` rows per run) and a window
-    inside each bucket adds the rows before this one in the same bucket."""
-    rng = df.groupBy(run).agg(F.min(order).alias("_lo"), F.max(order).alias("_hi")).cache()
-    side = F.broadcast(rng) if rng.count() <= MAX_BROADCAST_RUNS else rng
-    width = (F.col("_hi") - F.col("_lo") + 1) / F.lit(float(buckets))
-    b = df.join(side, run).withColumn(
-        "_bk", F.least(F.floor((F.col(order) - F.col("_lo")) / width), F.lit(buckets - 1)).cast("int")) \
-        .drop("_lo", "_hi")
+def running_best(df: DataFrame, value: str = "eval_f1", run: str = "run", order: str = "epoch") -> DataFrame:
+    """Best value before this row (0 at the start) and a strict new-best flag; a null run is a run.
+
+    A segmented scan rather than a whole-run window: rows are cut into ranges of
+    (run, order) with edges drawn from the data; a running max runs over the
+    per-(run, range) maxima and a window inside each range adds the rows before
+    this one in the same range."""
+    from corpuslens.operators.sampling import with_ranges
+
+    b = with_ranges(df, [run, order], "_bk")
     per_bucket = b.groupBy(run, "_bk").agg(F.max(value).alias("_bmax"))
     earlier = Window.partitionBy(run).orderBy("_bk").rowsBetween(Window.unboundedPreceding, -1)
     per_bucket = per_bucket.withColumn("_before_bucket", F.max("_bmax").over(earlier)).drop("_bmax")
     inside = Window.partitionBy(run, "_bk").orderBy(order).rowsBetween(Window.unboundedPreceding, -1)
-    b = b.join(per_bucket, [run, "_bk"]).withColumn("_in_bucket", F.max(value).over(inside))
+    b = null_safe_join(b, per_bucket, [run, "_bk"]).withColumn("_in_bucket", F.max(value).over(inside))
     prev = F.coalesce(F.greatest("_before_bucket", "_in_bucket"), F.lit(0.0))
     return b.withColumn("best_before", prev).withColumn("is_new_best", F.col(value) > prev) \
             .withColumn("best_so_far", F.greatest(F.col(value), prev)) \

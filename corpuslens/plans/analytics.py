@@ -4,9 +4,11 @@ training-log analytics (2.11)."""
 from __future__ import annotations
 
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from corpuslens.functions.numeric import round_to
 from corpuslens.functions import parsing as P
+from corpuslens.functions.text import word_count_sql
 from corpuslens.operators import metrics as M
 from corpuslens.operators import profile as PF
 from corpuslens.operators import runs as R
@@ -115,9 +117,9 @@ FROM (SELECT model, mean, max(CASE WHEN model = '{OVERHEAD_BASE}' THEN mean END)
       FROM (SELECT model, avg(ms) AS mean FROM latencies GROUP BY model))"""))
 def overhead_pct_q(spark, sf_dir):
     s = fx.latencies(spark, sf_dir).groupBy("model").agg(F.avg("ms").alias("mean"))
-    s = R.with_ratio_to(s, "mean", "model", OVERHEAD_BASE, "_r", inverse=False)
-    base = F.col("mean") / F.col("_r")
-    return s.select("model", round_to(R.overhead_pct(F.col("mean"), base), 6).alias("overhead_pct"))
+    base = F.max(F.when(F.col("model") == OVERHEAD_BASE, F.col("mean"))).over(Window.partitionBy())  # one row per model
+    s = s.withColumn("base", base)
+    return s.select("model", round_to(R.overhead_pct(F.col("mean"), F.col("base")), 6).alias("overhead_pct"))
 
 
 # ---------------------------------------------------------------------------
@@ -185,7 +187,7 @@ def subtype_totals_q(spark, sf_dir):
     return wide.select(F.explode(cells).alias("c")).select("c.flag", "c.total")
 
 
-WORDS_SQL = "len(list_filter(string_split_regex(text, '\\s+'), lambda x: x <> ''))"
+WORDS_SQL = word_count_sql("text")
 
 
 @query("text_lengths", with_ctes(["corpus_a"], f"""

@@ -141,10 +141,7 @@ FROM (SELECT doc_id, class,
 def union_splits_q(spark, sf_dir):
     """Train and test appended (train first), renumbered in a seed-7 shuffle
     order inside each part."""
-    parts = S.split_per_class(_corpus(spark, sf_dir), "class", "doc_id", SEED, 0.8)
-    train = parts.where(F.col("split") == "train")
-    test = parts.where(F.col("split") == "test")
-    both = train.unionByName(test)
+    both = S.split_per_class(_corpus(spark, sf_dir), "class", "doc_id", SEED, 0.8)
     flag = F.when(F.col("split") == "train", F.lit("0")).otherwise(F.lit("1"))
     key = F.concat(flag, S.seed_key(7, "doc_id"))
     out = S.global_position(both, [], key, "doc_id", bucket=F.substring(key, 1, 1 + S.BUCKET_HEX_DIGITS))

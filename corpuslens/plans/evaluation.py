@@ -177,8 +177,11 @@ def classification_report_q(spark, sf_dir):
 
 
 @query("confusion_normalized", with_ctes(["predictions"], """
-SELECT model, label, pred, n, n / sum(n) OVER (PARTITION BY model, label) * 100.0 AS pct
-FROM (SELECT model, label, pred, count(*) AS n FROM parsed GROUP BY ALL)""", [PARSED_CTE]))
+SELECT model, label, pred, n, CASE WHEN sum(n) OVER (PARTITION BY model, label) > 0
+       THEN n / sum(n) OVER (PARTITION BY model, label) * 100.0 ELSE 0.0 END AS pct
+FROM (SELECT m.model, CAST(l.v AS INTEGER) AS label, CAST(p.v AS INTEGER) AS pred,
+             (SELECT count(*) FROM parsed x WHERE x.model = m.model AND x.label = l.v AND x.pred = p.v) AS n
+      FROM (SELECT DISTINCT model FROM parsed) m, (VALUES (0), (1)) l(v), (VALUES (0), (1)) p(v))""", [PARSED_CTE]))
 def confusion_normalized_q(spark, sf_dir):
     return M.confusion_normalized(_parsed(spark, sf_dir))
 

@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from corpuslens.functions.numeric import round_to
 from corpuslens.functions import parsing as P
+from corpuslens.functions.text import words_sql
 from corpuslens.operators import sampling as S
 from corpuslens.operators import scoring as SC
 from corpuslens.operators.normalize import encode_label
@@ -23,7 +24,7 @@ def _cue_hits_sql(t: str) -> str:
 
 _SCORE_SQL = f"""
 scored AS (
-  SELECT doc_id, least(({_cue_hits_sql('lt')}) / greatest(len(list_filter(string_split_regex(lt, '\\s+'), lambda x: x <> '')), 1) * 10, 1.0) AS p_yes
+  SELECT doc_id, least(({_cue_hits_sql('lt')}) / greatest(len({words_sql('lt')}), 1) * 10, 1.0) AS p_yes
   FROM (SELECT doc_id, lower(coalesce(text, '')) AS lt FROM documents))"""
 
 
@@ -32,33 +33,42 @@ SELECT doc_id, CASE WHEN p_yes >= 0.5 THEN 'Yes' ELSE 'No' END AS reply, round(p
        round(1.0 - p_yes, 9) AS p_no, NULL::VARCHAR AS error FROM scored""", [_SCORE_SQL]).replace("WITH ,", "WITH "))
 def score_batches_q(spark, sf_dir):
     docs = fx.table(spark, sf_dir, "documents")
-    s = SC.score_batches(docs)
+    s = SC.score_lexical(docs)
     return s.select("doc_id", "reply", round_to("p_yes", 9).alias("p_yes"), round_to("p_no", 9).alias("p_no"), "error")
 
 
-def _too_short(texts):
-    return texts.fillna("").str.len() < 20
+def _fails_on_short_texts():
+    """The lexical scorer, raising on a text of under 20 characters (what a
+    failing model call looks like to the caller)."""
+    score = SC.lexical_scorer()
+
+    def run(texts):
+        if (texts.fillna("").str.len() < 20).any():
+            raise ValueError("text too short to score")
+        return score(texts)
+
+    return run
 
 
 @query("score_errors_skipped", """
 SELECT count_if(length(coalesce(text, '')) >= 20) AS scored, count_if(length(coalesce(text, '')) < 20) AS skipped
 FROM documents""")
 def score_errors_skipped_q(spark, sf_dir):
-    """Rows whose scoring fails (here: texts under 20 characters) are
+    """Rows whose scoring raises (here: texts under 20 characters) are
     reported and left out; the counts of both."""
-    s = SC.score_batches(fx.table(spark, sf_dir, "documents"), fail_when=_too_short)
+    s = SC.score_batches(fx.table(spark, sf_dir, "documents"), scorer_factory=_fails_on_short_texts)
     return s.agg(F.count_if(F.col("error").isNull()).alias("scored"),
                  F.count_if(F.col("error").isNotNull()).alias("skipped"))
 
 
 @query("softmax_probs", """
-SELECT vec_id, round(exp(e1 - greatest(e1, e2)) / (exp(e1 - greatest(e1, e2)) + exp(e2 - greatest(e1, e2))), 9) AS p0,
-       round(exp(e2 - greatest(e1, e2)) / (exp(e1 - greatest(e1, e2)) + exp(e2 - greatest(e1, e2))), 9) AS p1
-FROM (SELECT vec_id, CAST(embedding[1] AS DOUBLE) AS e1, CAST(embedding[2] AS DOUBLE) AS e2 FROM embeddings)""")
+SELECT vec_id, CAST(unnest(range(len(e))) AS INTEGER) AS class_no, round(unnest(e) / list_sum(e), 9) AS p
+FROM (SELECT vec_id, list_transform(v, lambda x: exp(x - list_max(v))) AS e
+      FROM (SELECT vec_id, CAST(embedding AS DOUBLE[]) AS v FROM embeddings))""")
 def softmax_probs_q(spark, sf_dir):
     e = fx.table(spark, sf_dir, "embeddings")
-    p = SC.softmax(F.slice("embedding", 1, 2))
-    return e.select("vec_id", round_to(F.element_at(p, 1), 9).alias("p0"), round_to(F.element_at(p, 2), 9).alias("p1"))
+    p = e.select("vec_id", F.posexplode(SC.softmax("embedding")).alias("class_no", "p"))
+    return p.select("vec_id", "class_no", round_to("p", 9).alias("p"))
 
 
 @query("argmax_class", """

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from corpuslens.functions.numeric import round_to
 from corpuslens.functions import parsing as P
 from corpuslens.functions import prompts as PR
-from corpuslens.functions.text import head_chars, stringify, stringify_sql
+from corpuslens.functions.text import head_chars, stringify, stringify_sql, words_sql
 from corpuslens.operators import pairs as PA
 from corpuslens.operators.compare import custom_order, custom_order_sql, rename_models, rename_models_sql
 from corpuslens.operators.normalize import (
@@ -42,7 +42,7 @@ def normalize_schema_q(spark, sf_dir):
 
 
 @query("encode_label", with_ctes(["corpus_a"], """
-SELECT doc_id, class, CAST(class = 'sarc' AS INTEGER) AS label FROM corpus_a"""))
+SELECT doc_id, class, CASE WHEN class = 'sarc' THEN 1 ELSE 0 END AS label FROM corpus_a"""))
 def encode_label_q(spark, sf_dir):
     return fx.corpus_a(spark, sf_dir).select("doc_id", "class", encode_label("class").alias("label"))
 
@@ -82,13 +82,16 @@ def filter_in_list_q(spark, sf_dir):
 
 
 @query("filter_name_contains", with_ctes(["predictions"], """
-SELECT model, accuracy, contains(lower(model), 'gpt') AS is_reference FROM (""" + metrics_sql("parsed") + """)
-WHERE contains(lower(model), 'gpt') OR NOT contains(lower(model), 'gpt')""", [PARSED_CTE]))
+SELECT model, accuracy, (SELECT max(accuracy) FROM m WHERE contains(lower(model), 'gpt')) AS reference_accuracy
+FROM m WHERE NOT contains(lower(model), 'gpt')""", [PARSED_CTE, "m AS (" + metrics_sql("parsed") + ")"]))
 def filter_name_contains_q(spark, sf_dir):
-    """Reference (name contains 'gpt', case-blind) and local models, flagged."""
+    """The local models (name without 'gpt', case-blind), with the reference
+    model's accuracy beside them."""
+    from pyspark.sql.window import Window
     m = M.metrics_with_unclear(_parsed(spark, sf_dir))
     ref = F.lower("model").contains("gpt")
-    return m.where(ref | ~ref).select("model", "accuracy", ref.alias("is_reference"))
+    best = F.max(F.when(ref, F.col("accuracy"))).over(Window.partitionBy())  # one row per model
+    return m.withColumn("reference_accuracy", best).where(~ref).select("model", "accuracy", "reference_accuracy")
 
 
 PAIRED_CTE = """paired AS (
@@ -220,14 +223,14 @@ def chat_render_q(spark, sf_dir):
                        PR.render_chat("msgs", False).alias("transcript"))
 
 
-_VOCAB_SQL = """
-vocab AS (SELECT word, CAST(row_number() OVER (ORDER BY n DESC, word) + 1 AS INTEGER) AS id
+_VOCAB_SQL = f"""
+vocab AS (SELECT word, CAST(row_number() OVER (ORDER BY n DESC, word) + 1 AS BIGINT) AS id
           FROM (SELECT word, count(*) AS n
-                FROM (SELECT unnest(list_filter(string_split_regex(lower(text), '\\s+'), lambda x: x <> '')) AS word
+                FROM (SELECT unnest({words_sql('lower(text)')}) AS word
                       FROM documents) GROUP BY word)),
 toks AS (SELECT doc_id, w.word, w.pos
-         FROM (SELECT doc_id, unnest(list_filter(string_split_regex(lower(text), '\\s+'), lambda x: x <> '')[1:128]) AS word,
-                      unnest(range(0, len(list_filter(string_split_regex(lower(text), '\\s+'), lambda x: x <> '')[1:128]))) AS pos
+         FROM (SELECT doc_id, unnest({words_sql('lower(text)')}[1:128]) AS word,
+                      unnest(range(0, len({words_sql('lower(text)')}[1:128]))) AS pos
                FROM documents) w),
 ids AS (SELECT t.doc_id, list(coalesce(v.id, 1) ORDER BY t.pos) AS ids
         FROM toks t LEFT JOIN vocab v ON t.word = v.word GROUP BY t.doc_id)"""
@@ -236,9 +239,9 @@ ids AS (SELECT t.doc_id, list(coalesce(v.id, 1) ORDER BY t.pos) AS ids
 @query("encode_fixed_length", f"""
 WITH {_VOCAB_SQL}
 SELECT d.doc_id,
-       list_concat(coalesce(i.ids, []::INTEGER[]), list_transform(range(128 - len(coalesce(i.ids, []::INTEGER[]))), lambda x: 0)) AS input_ids,
-       list_concat(list_transform(range(len(coalesce(i.ids, []::INTEGER[]))), lambda x: 1),
-                   list_transform(range(128 - len(coalesce(i.ids, []::INTEGER[]))), lambda x: 0)) AS attention_mask
+       list_concat(coalesce(i.ids, []::BIGINT[]), list_transform(range(128 - len(coalesce(i.ids, []::BIGINT[]))), lambda x: 0)) AS input_ids,
+       list_concat(list_transform(range(len(coalesce(i.ids, []::BIGINT[]))), lambda x: 1),
+                   list_transform(range(128 - len(coalesce(i.ids, []::BIGINT[]))), lambda x: 0)) AS attention_mask
 FROM documents d LEFT JOIN ids i ON d.doc_id = i.doc_id""")
 def encode_fixed_length_q(spark, sf_dir):
     docs = fx.table(spark, sf_dir, "documents").select("doc_id", "text")
@@ -306,8 +309,8 @@ def _reasons_sql(xs):
 
 @query("pairs_synthetic_rich", with_ctes(["corpus_a"], f"""
 SELECT doc_id, {PR.prompt_definition_sql('text')} AS prompt,
-       CASE WHEN class = 'sarc' THEN {_reasons_sql(PR.SARCASM_REASONS)}[(doc_id * 31 + 42) % 7 + 1]
-            ELSE {_reasons_sql(PR.NON_SARCASM_REASONS)}[(doc_id * 31 + 42) % 7 + 1] END AS chosen,
+       CASE WHEN class = 'sarc' THEN {_reasons_sql(PR.POSITIVE_REASONS)}[(doc_id * 31 + 42) % 7 + 1]
+            ELSE {_reasons_sql(PR.NEGATIVE_REASONS)}[(doc_id * 31 + 42) % 7 + 1] END AS chosen,
        CASE WHEN class = 'sarc' THEN '{PR.REJECT_FOR_SARCASTIC}' ELSE '{PR.REJECT_FOR_LITERAL}' END AS rejected
 FROM corpus_a"""))
 def pairs_synthetic_rich_q(spark, sf_dir):

@@ -8,9 +8,13 @@ and tests.
 from __future__ import annotations
 
 import os
+import re
 import tempfile
+import uuid
+from collections.abc import Sequence
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 # Settings every job relies on. AQE re-plans joins at run time: a side whose
 # measured shuffle output is under the broadcast threshold becomes a broadcast,
@@ -38,7 +42,7 @@ def get_session(master: str | None = None, shuffle_partitions: int | None = None
     builder = SparkSession.builder.master(master).appName(app_name)
     for key, value in _DEFAULTS.items():
         builder = builder.config(key, value)
-    builder = builder.config("spark.driver.memory", os.environ.get("CORPUSLENS_DRIVER_MEMORY", "16g"))
+    builder = builder.config("spark.driver.memory", os.environ.get("CORPUSLENS_DRIVER_MEMORY", "8g"))
     builder = builder.config("spark.sql.shuffle.partitions", str(shuffle_partitions or 8))
     spark = builder.getOrCreate()
     spark.sparkContext.setLogLevel("ERROR")
@@ -48,8 +52,9 @@ def get_session(master: str | None = None, shuffle_partitions: int | None = None
 def checkpoint_dir(spark: SparkSession) -> str:
     """The shared checkpoint folder named by the cluster.
 
-    ``spark.checkpoint.dir`` is read from the session; a private folder is
-    only created when the setting is absent (local runs and tests).
+    ``spark.checkpoint.dir`` is read from the session.  Where it is unset, a private
+    folder is made for a ``local[...]`` master (local runs and tests); any other
+    master raises, as its executors do not see the driver's folders.
     """
     current = spark.conf.get("spark.checkpoint.dir", None)
     try:
@@ -59,14 +64,33 @@ def checkpoint_dir(spark: SparkSession) -> str:
     if not current and sc is not None:
         current = sc.getCheckpointDir() if hasattr(sc, "getCheckpointDir") else None
     if not current:
-        current = tempfile.mkdtemp(prefix="corpuslens-ckpt-")
+        master = sc.master if sc is not None else spark.conf.get("spark.master", "remote")
+        current = private_folder(master)
         spark.conf.set("spark.checkpoint.dir", current)
     if sc is not None:
         sc.setCheckpointDir(current)
     return current
 
 
-def cut_lineage(df: DataFrame) -> DataFrame:
-    """Materialise ``df`` in the shared checkpoint folder (survives executor loss)."""
-    checkpoint_dir(df.sparkSession)
-    return df.checkpoint(eager=True)
+def private_folder(master: str) -> str:
+    if not re.fullmatch(r"local(\[.*\])?", master):
+        raise RuntimeError(f"spark.checkpoint.dir is not set: master {master!r} needs a folder that all executors share")
+    return tempfile.mkdtemp(prefix="corpuslens-ckpt-")
+
+
+def materialise(df: DataFrame) -> DataFrame:
+    """Write ``df`` to the shared checkpoint folder and read it back: computed once, not held
+    in executor memory, and safe against lost executors."""
+    path = f"{checkpoint_dir(df.sparkSession).rstrip('/')}/table-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def null_safe_join(left: DataFrame, right: DataFrame, keys: Sequence[str], how: str = "inner", hint: bool = False) -> DataFrame:
+    """Join on ``keys`` where null equals null; the key columns come once, from ``left``."""
+    renamed = right.withColumnsRenamed({k: f"_r_{k}" for k in keys})
+    on = [F.col(k).eqNullSafe(F.col(f"_r_{k}")) for k in keys]
+    cond = on[0]
+    for c in on[1:]:
+        cond = cond & c
+    return left.join(F.broadcast(renamed) if hint else renamed, cond, how).drop(*[f"_r_{k}" for k in keys])
