@@ -43,29 +43,29 @@ def connected_components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFr
     smallest neighbour to its larger neighbours, then to its smaller ones.
     Both are grouped minima with map-side combine and one join; a hot node is
     never gathered.  Every round is written to the shared checkpoint folder.
-    Ends when a round leaves the edge list as it was (count and checksum).
+    Ends when every node is a centre or has one edge, to a centre.
     """
-    e = (edges.select(F.greatest(a, b).alias("u"), F.least(a, b).alias("v"))
-         .where("u is not null and v is not null and u <> v").distinct())
-    e = written(e)
-    state = None
-    while True:
+    e = written(edges.select(F.greatest(a, b).alias("u"), F.least(a, b).alias("v"))
+                .where("u is not null and v is not null and u <> v").distinct())
+    while not _stars(e):
         both = e.union(e.select(F.col("v").alias("u"), F.col("u").alias("v")))
         low = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
-        large = (both.where("v > u").join(low, "u").select(F.col("v").alias("u"), F.col("m").alias("v"))
-                 .where("u <> v").distinct())
+        large = both.where("v > u").join(low, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v")
         low = large.groupBy("u").agg(F.min("v").alias("m"))
         pairs = large.join(low, "u")
         e = written(pairs.where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v"))
                     .union(low.select("u", F.col("m").alias("v")))
                     .select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).where("u <> v").distinct())
-        now = e.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
-        if tuple(now) == state:
-            break
-        state = tuple(now)
-    tops = e.select(F.col("v").alias("node")).distinct().join(e.select(F.col("u").alias("node")), "node", "left_anti")
-    return (e.groupBy(F.col("u").alias("node")).agg(F.min("v").alias("component"))
-            .union(tops.select("node", F.col("node").alias("component"))))
+    return (e.select(F.col("u").alias("node"), F.col("v").alias("component"))
+            .union(e.select(F.col("v").alias("node"), F.col("v").alias("component")).distinct()))
+
+
+def _stars(e: DataFrame) -> bool:
+    """True when no node of the edges u -> v has two edges or is both an end and a centre."""
+    ends = e.select(F.col("u").alias("node"), F.col("v"), F.lit(False).alias("centre"))
+    centres = e.select(F.col("v").alias("node"), F.lit(None).cast(e.schema["v"].dataType).alias("v"), F.lit(True).alias("centre"))
+    n = ends.union(centres).groupBy("node").agg(F.min("v").alias("least"), F.max("v").alias("most"), F.max("centre").alias("centre"))
+    return n.where("least <> most or (centre and least is not null)").isEmpty()
 
 
 def spread(*cols: str | Column, buckets: int) -> Column:

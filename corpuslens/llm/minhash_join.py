@@ -45,7 +45,7 @@ from pyspark.sql import DataFrame, functions as F
 from ._batches import U, lower_ascii, mix, shingles, text_blocks, word_hashes, word_spans
 from ._spark import connected_components, small, small_batches, written
 
-COORDINATES, MATCHES, BLOCK, ROUNDS = 48, 26, 256, 2
+COORDINATES, MATCHES, BLOCK, ROUNDS = 48, 26, 256, 1
 
 
 def row_sets(texts: pa.Array, shingle: int) -> Iterator[np.ndarray]:
@@ -133,7 +133,7 @@ def clusters(nodes: DataFrame, matches: int, percent: int, rounds: int) -> DataF
     lists = written(posting_lists(nodes, matches))
     sigs = nodes.join(lists.select("node").distinct(), "node", "left_semi").select("node", "sig")
     sigs = written(sigs)
-    edges = None
+    edges = found = None
     at = lists.withColumn("cluster", F.col("node"))
     for k in range(rounds + 1):
         if k < rounds:
@@ -149,8 +149,9 @@ def clusters(nodes: DataFrame, matches: int, percent: int, rounds: int) -> DataF
                      .where((F.col("cluster") < F.col("cb")) & (F.least("n", "nb") * 100 >= F.greatest("n", "nb") * percent))
                      .select(F.col("node").alias("a"), "b").distinct())
         more = written(_agreeing(pairs, sigs, matches))
-        edges = more if edges is None else edges.union(more)
-        found = written(connected_components(edges))
+        if found is None or not more.isEmpty():
+            edges = more if edges is None else edges.union(more)
+            found = written(connected_components(edges))
         if k < rounds:
             at = (lists.join(found, "node", "left")
                   .select("key", "node", "n", F.coalesce("component", "node").alias("cluster")))
@@ -218,7 +219,7 @@ def confirmed(sets: DataFrame, percent: int, block: int) -> DataFrame:
     # every block with the first one; a cluster of one block just with itself
     first = F.when(F.col("block") == 0, F.sequence(F.least(F.lit(1), F.col("blocks") - 1), F.col("blocks") - 1))
     first = at.withColumn("part", F.explode(F.coalesce(first, F.array("block"))))
-    edges = written(first.groupBy("cluster", "part").applyInArrow(compare, "a long, b long"))
+    edges = written(first.repartition("cluster", "part").groupBy("cluster", "part").applyInArrow(compare, "a long, b long"))
     wide = at.where("blocks > 2")
     found = written(connected_components(edges))
     of = (wide.select("cluster", "node", "m", "blocks").join(found, "node", "left")
@@ -235,7 +236,7 @@ def confirmed(sets: DataFrame, percent: int, block: int) -> DataFrame:
     as_member = rest.withColumn("with", F.explode(F.sequence(F.lit(0).cast("long"), F.col("strays") - 1)))
     as_member = (as_member.where("stray is null or stray <> with")
                  .select("cluster", "node", "items", F.col("block").alias("part"), F.col("with").alias("stray")))
-    second = as_stray.union(as_member).groupBy("cluster", "part", "stray").applyInArrow(compare, "a long, b long")
+    second = as_stray.union(as_member).repartition("cluster", "part", "stray").groupBy("cluster", "part", "stray").applyInArrow(compare, "a long, b long")
     more = written(second)
     if more.isEmpty():
         return found
