@@ -44,12 +44,6 @@ def rename_models_sql(e: str, mapping: dict[str, str]) -> str:
     return f"coalesce(CASE {e} {whens} END, {e})"
 
 
-def best_by(df: DataFrame, value: str, metric: str, tie_order: Column | None = None) -> DataFrame:
-    """Arg-max of ``metric`` (ties to the smallest ``tie_order``) as one row."""
-    key = F.struct(F.col(metric), -tie_order) if tie_order is not None else F.col(metric)
-    return df.agg(F.max_by(F.col(value), key).alias(f"best_{value}"), F.max(metric).alias(f"best_{metric}"))
-
-
 def regression_flag(delta_points: Column) -> Column:
     """B - A in points: below -2 regression, above 0 improved, else none."""
     return (F.when(delta_points < -2, F.lit("regression"))

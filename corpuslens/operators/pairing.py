@@ -1,10 +1,8 @@
 """Pairing model outputs by key: side-by-side outcomes, disagreement cells,
 domain gaps and efficiency tables.
 
-Everything the reference pairs by list position is a keyed join here.  Both
-sides of ``pair_models`` come from the same long predictions table, so the
-self-join is a shuffle join on the item key (each key has one row per side:
-no hot key, no pair explosion).
+What is paired by list position elsewhere is keyed here: ``pair_models`` folds the
+long predictions table into one row per item with a grouped aggregate.
 """
 
 from __future__ import annotations
@@ -15,26 +13,20 @@ from pyspark.sql import functions as F
 
 def pair_models(preds: DataFrame, a: str, b: str, key: str = "doc_id", value: str = "pred",
                 extra: list[str] | None = None, model_col: str = "model") -> DataFrame:
-    """One row per key with model ``a``'s and ``b``'s values and correct flags."""
-    extra = extra or []
-    left = preds.where(F.col(model_col) == a).select(
-        key, "label", F.col(value).alias(f"{a}_{value}"), *[F.col(c).alias(f"{a}_{c}") for c in extra])
-    right = preds.where(F.col(model_col) == b).select(
-        key, F.col(value).alias(f"{b}_{value}"), *[F.col(c).alias(f"{b}_{c}") for c in extra])
-    out = left.join(right, key)
+    """One row per key that both models have, with ``a``'s and ``b``'s values and correct flags.
+
+    One conditional aggregate over the two models' rows, partly combined before
+    the shuffle, instead of a self-join."""
+    cols = [value, *(extra or [])]
+    of = lambda m: F.max(F.when(F.col(model_col) == m, F.struct("label", *cols)))  # noqa: E731  one row per (key, model)
+    both = preds.where(F.col(model_col).isin(a, b)).groupBy(key).agg(of(a).alias("_a"), of(b).alias("_b"))
+    out = both.where(F.col("_a").isNotNull() & F.col("_b").isNotNull()).select(
+        key, F.col("_a.label").alias("label"), *[F.col(f"_a.{c}").alias(f"{a}_{c}") for c in cols],
+        *[F.col(f"_b.{c}").alias(f"{b}_{c}") for c in cols])
     return out.withColumn(f"{a}_correct", F.col(f"{a}_{value}") == F.col("label")) \
               .withColumn(f"{b}_correct", F.col(f"{b}_{value}") == F.col("label"))
 
 
-def disagreement_counts(paired: DataFrame, a: str, b: str, label: str = "label") -> DataFrame:
-    """Per true class: A wrong / B right, and A right / B wrong."""
-    ac, bc = F.col(f"{a}_correct"), F.col(f"{b}_correct")
-    return paired.groupBy(label).agg(
-        F.count_if(~ac & bc).alias(f"{a}_wrong_{b}_right"),
-        F.count_if(ac & ~bc).alias(f"{a}_right_{b}_wrong"),
-        F.count(F.lit(1)).alias("n"))
-
-
 def mean_where(value: Column, cond: Column) -> Column:
     """Mean of ``value`` over rows where ``cond`` holds (null if none)."""
     return F.avg(F.when(cond, value))

@@ -57,6 +57,17 @@ def describe(df: DataFrame, value: str, by: Sequence[str] = (), exact: bool = Tr
     return g.select(*by, "count", "mean", "std", "min", *names, "max")
 
 
+def describe_columns(df: DataFrame, values: Sequence[str]) -> DataFrame:
+    """``describe`` of several integer columns, one row each (``measure``), from one aggregate."""
+    def stats(c: str) -> Column:
+        v = F.col(c)
+        return F.struct(F.lit(c).alias("measure"), F.count(v).alias("count"), F.avg(v).alias("mean"), F.stddev_samp(v).alias("std"),
+                        F.min(v).cast("double").alias("min"), *[F.percentile(v, q).alias(f"p{int(q * 100)}") for q in QUARTILES],
+                        F.max(v).cast("double").alias("max"))
+
+    return df.agg(F.array(*[stats(c) for c in values]).alias("rows")).select(F.inline("rows"))
+
+
 def _with_scalar(one_row: DataFrame, scalar: DataFrame, name: str) -> DataFrame:
     """Attach the single value of a one-row frame as a literal column."""
     row = scalar.first()
@@ -71,9 +82,12 @@ def histogram(df: DataFrame, value: str, bins: int, lo: float | None = None, hi:
     Integer values (lengths, counts) go through their frequency table first:
     one pass over the data, a pre-aggregated shuffle bounded by the number of
     distinct values, and min / max / binning on that small table, all in one
-    job.  For other types pass ``lo`` / ``hi`` from a one-row aggregate.
+    job.  For fractional values the bounds come from a one-row aggregate first.
     """
     v = F.col(value)
+    if lo is None and isinstance(df.schema[value].dataType, (T.DoubleType, T.FloatType, T.DecimalType)):
+        ends = df.agg(F.min(v).cast("double").alias("lo"), F.max(v).cast("double").alias("hi")).first()
+        lo, hi = (0.0, 0.0) if ends["lo"] is None else (ends["lo"], ends["hi"])
     if lo is None or hi is None:
         freq = df.where(v.isNotNull()).groupBy(v.alias("v")).agg(F.count(F.lit(1)).alias("c"))
         everything = Window.partitionBy(F.lit(0))  # one row per distinct value
@@ -86,13 +100,14 @@ def histogram(df: DataFrame, value: str, bins: int, lo: float | None = None, hi:
     idx = F.least(F.floor((F.col("v") - F.col("lo")) / width), F.lit(bins - 1)).cast("int")
     counts = freq.groupBy(idx.alias("bin")).agg(F.sum("c").alias("count"), F.first("lo").alias("lo"),
                                                 F.first("hi").alias("hi"))
-    edges = counts.agg(F.first("lo").alias("lo"), F.first("hi").alias("hi")) \
-        .select("lo", "hi", F.explode(F.sequence(F.lit(0), F.lit(bins - 1))).alias("bin"))
-    out = edges.join(counts.select("bin", "count"), "bin", "left")
+    # one row with at most `bins` counts, opened up again with the empty bins
+    row = counts.agg(F.first("lo").alias("lo"), F.first("hi").alias("hi"),
+                     F.map_from_entries(F.collect_list(F.struct("bin", "count"))).alias("c")).where("lo is not null")
+    out = row.select("lo", "hi", "c", F.explode(F.sequence(F.lit(0), F.lit(bins - 1))).alias("bin"))
     w = F.when(F.col("hi") > F.col("lo"), (F.col("hi") - F.col("lo")) / F.lit(float(bins))).otherwise(F.lit(1.0))
     return out.select("bin", (F.col("lo") + F.col("bin") * w).alias("bin_start"),
                       (F.col("lo") + (F.col("bin") + 1) * w).alias("bin_end"),
-                      F.coalesce(F.col("count"), F.lit(0)).cast("long").alias("count"))
+                      F.coalesce(F.col("c")[F.col("bin")], F.lit(0)).cast("long").alias("count"))
 
 
 def share_by(df: DataFrame, count: str, by: Sequence[str], name: str = "pct") -> DataFrame:

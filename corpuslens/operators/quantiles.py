@@ -58,7 +58,10 @@ def exact_percentile(df: DataFrame, by: Sequence[str], value: str, p: float, nam
     else:
         brackets = materialise(brackets)
         joined = null_safe_join(base, brackets, by, hint=brackets.count() <= MAX_BROADCAST_GROUPS)
-    below = joined.groupBy(*by).agg(F.count_if(F.col("_v") < F.col("_lo")).alias("_below"))
+    # percentile_approx counts ranks to n, the definition here to n - 1: the value next to the bracket may be wanted
+    v = F.col("_v")
+    below = joined.groupBy(*by).agg(F.count_if(v < F.col("_lo")).alias("_below"), F.max(F.when(v < F.col("_lo"), v)).alias("_prev"),
+                                    F.min(F.when(v > F.col("_hi"), v)).alias("_next"))
     inside = joined.where((F.col("_v") >= F.col("_lo")) & (F.col("_v") <= F.col("_hi")))
     # equal values count once, with how many they are: ties at the bracket stay one row
     values = inside.groupBy(*by, "_v", "_r0", "_r1", "_frac").agg(F.count(F.lit(1)).alias("_c"))
@@ -68,6 +71,9 @@ def exact_percentile(df: DataFrame, by: Sequence[str], value: str, p: float, nam
     first = last - F.col("_c") + 1
     has = lambda r: (F.col(r) >= first) & (F.col(r) <= last)
     picked = values.groupBy(*by).agg(F.max(F.when(has("_r0"), F.col("_v"))).alias("_v0"),
-                                     F.max(F.when(has("_r1"), F.col("_v"))).alias("_v1"), F.first("_frac").alias("_frac"))
+                                     F.max(F.when(has("_r1"), F.col("_v"))).alias("_v1"),
+                                     *[F.first(c).alias(c) for c in ("_frac", "_r0", "_r1", "_below", "_prev", "_next")])
+    near = lambda v, r: F.coalesce(F.col(v), F.when(F.col(r) < F.col("_below"), F.col("_prev")).otherwise(F.col("_next")))
+    picked = picked.withColumn("_v0", near("_v0", "_r0")).withColumn("_v1", near("_v1", "_r1"))
     out = picked.select(*by, (F.col("_v0") + F.col("_frac") * (F.col("_v1") - F.col("_v0"))).alias(name))
     return out.drop("_g") if whole else out

@@ -15,7 +15,7 @@ from pyspark.sql.window import Window
 
 from corpuslens.operators.compare import top_k_per_group
 from corpuslens.operators.quantiles import exact_percentile
-from corpuslens.session import materialise
+from corpuslens.session import materialise, null_safe_join
 
 MAX_BROADCAST_ROWS = 2_000_000
 
@@ -47,7 +47,7 @@ def latency_stats(df: DataFrame, by: Sequence[str] = ("model",), ms: str = "ms")
         F.avg(ms).alias("mean"), F.coalesce(F.stddev_samp(ms), F.lit(0.0)).alias("std"),
         F.min(ms).alias("min"), F.max(ms).alias("max"), F.count(ms).alias("n_runs"))
     med = exact_percentile(df, by, ms, 0.5, "median")
-    return stats.join(med, list(by), "left").select(*by, "mean", "std", "min", "max", "median", "n_runs")
+    return null_safe_join(stats, med, list(by), "left").select(*by, "mean", "std", "min", "max", "median", "n_runs")
 
 
 def latency_stats_for(models: DataFrame, timings: DataFrame, key: str = "model", ms: str = "ms") -> DataFrame:

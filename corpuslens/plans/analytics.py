@@ -217,9 +217,52 @@ SELECT 'text_length' AS measure, * FROM ({_describe_sql('text_length', 't')})
 UNION ALL SELECT 'word_count', * FROM ({_describe_sql('word_count', 't')})""")
 def describe_lengths_q(spark, sf_dir):
     t = PF.text_lengths(fx.table(spark, sf_dir, "documents"))
-    a = PF.describe(t, "text_length").withColumn("measure", F.lit("text_length"))
-    b = PF.describe(t, "word_count").withColumn("measure", F.lit("word_count"))
-    return _round_describe(a.unionByName(b), ["measure"])
+    return _round_describe(PF.describe_columns(t, ["text_length", "word_count"]), ["measure"])
+
+
+_CONFIDENCE_CTE = "conf AS (SELECT model, CASE WHEN probs[2] > probs[1] THEN probs[2] ELSE probs[1] END AS v FROM probabilities)"
+
+
+def _confidences(spark, sf_dir):
+    return predicted_confidence(probs_to_pred(fx.probabilities(spark, sf_dir)))
+
+
+@query("describe_confidence", with_ctes(["probabilities"], _describe_sql("v", "conf", "model"), [_CONFIDENCE_CTE]))
+def describe_confidence_q(spark, sf_dir):
+    """A fractional column: exact quartiles without holding a model's values in one buffer."""
+    return _round_describe(PF.describe(_confidences(spark, sf_dir), "confidence", ["model"]), ["model"])
+
+
+@query("histogram_confidence", with_ctes(["probabilities"], """
+, mm AS (SELECT CAST(min(v) AS DOUBLE) AS lo, CAST(max(v) AS DOUBLE) AS hi FROM conf),
+c AS (SELECT CAST(least(floor((v - lo) / ((hi - lo) / 20.0)), 19) AS INTEGER) AS bin, count(*) AS n FROM conf, mm GROUP BY 1)
+SELECT CAST(b.bin AS INTEGER) AS bin, lo + b.bin * ((hi - lo) / 20.0) AS bin_start,
+       lo + (b.bin + 1) * ((hi - lo) / 20.0) AS bin_end, coalesce(c.n, 0) AS count
+FROM range(20) AS b(bin) CROSS JOIN mm LEFT JOIN c ON b.bin = c.bin""", [_CONFIDENCE_CTE]))
+def histogram_confidence_q(spark, sf_dir):
+    return PF.histogram(_confidences(spark, sf_dir).select("confidence"), "confidence", 20)
+
+
+@query("latency_stats_all_models", with_ctes(["latencies"], """
+SELECT m.model, round(coalesce(avg(ms), 0.0), 6) AS mean, round(coalesce(stddev_samp(ms), 0.0), 6) AS std,
+       coalesce(min(ms), 0.0) AS min, coalesce(max(ms), 0.0) AS max, round(coalesce(median(ms), 0.0), 6) AS median, count(ms) AS n_runs
+FROM (SELECT DISTINCT model FROM latencies UNION SELECT 'offline') m LEFT JOIN latencies l ON m.model = l.model GROUP BY m.model"""))
+def latency_stats_all_models_q(spark, sf_dir):
+    """Also a model without timings: zeros."""
+    timings = fx.latencies(spark, sf_dir)
+    models = timings.select("model").union(spark.range(1).select(F.lit("offline").alias("model"))).distinct()
+    s = R.latency_stats_for(models, timings)
+    return s.select("model", *[round_to(c, 6).alias(c) for c in ("mean", "std")], "min", "max", round_to("median", 6).alias("median"), "n_runs")
+
+
+@query("run_names", with_ctes(["batch_log"], """
+SELECT run, 'run-' || run || '-' || strftime(min(ts), '%Y%m%d-%H%M') AS run_name, strftime(max(ts), '%Y-%m-%d') AS last_date
+FROM batch_log GROUP BY run"""))
+def run_names_q(spark, sf_dir):
+    """Run names stamped with the first log time (a value of the data, so results repeat)."""
+    g = fx.batch_log(spark, sf_dir).groupBy("run").agg(F.min("ts").alias("a"), F.max("ts").alias("b"))
+    return g.select("run", F.concat(F.lit("run-"), F.col("run").cast("string"), F.lit("-"), F.date_format("a", "yyyyMMdd-HHmm")).alias("run_name"),
+                    F.date_format("b", "yyyy-MM-dd").alias("last_date"))
 
 
 @query("describe_by_class", with_ctes(["corpus_a"], f"""

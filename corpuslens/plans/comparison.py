@@ -68,9 +68,9 @@ paired AS (
   JOIN documents d ON a.doc_id = d.doc_id)"""
 
 
-def paired(spark, sf_dir):
+def paired(spark, sf_dir, with_text=True):
     """Paired predictions of SFT and DPO: text, truth, both answers with
-    confidences and raw replies."""
+    confidences and raw replies.  The text is joined only where it is asked for."""
     p = _parsed(spark, sf_dir)
     probs = fx.probabilities(spark, sf_dir).select("model", "doc_id", "probs")
     s = p.join(probs, ["model", "doc_id"])
@@ -78,9 +78,9 @@ def paired(spark, sf_dir):
                                                              F.col("pred")), 2))
     s = s.withColumn("answer", decode_prediction("pred"))
     pm = PG.pair_models(s, "sft", "dpo", value="pred", extra=["answer", "confidence", "reply"])
-    docs = fx.table(spark, sf_dir, "documents").select("doc_id", "text")
-    pm = pm.join(docs, "doc_id")
-    return pm.select("doc_id", "text", F.when(F.col("label") == 1, "sarc").otherwise("notsarc").alias("true_label"),
+    if with_text:
+        pm = pm.join(fx.table(spark, sf_dir, "documents").select("doc_id", "text"), "doc_id")
+    return pm.select("doc_id", *["text"] * with_text, F.when(F.col("label") == 1, "sarc").otherwise("notsarc").alias("true_label"),
                      "label", F.col("sft_answer").alias("sft_prediction"), "sft_confidence",
                      F.col("sft_reply").alias("sft_response"), F.col("dpo_answer").alias("dpo_prediction"),
                      "dpo_confidence", F.col("dpo_reply").alias("dpo_response"), "sft_correct", "dpo_correct")
@@ -114,7 +114,7 @@ _CELLS_SQL = {
 @query("disagreement_counts", with_ctes(["predictions", "probabilities"], "SELECT " + ", ".join(
     f"count_if({c}) AS {n}" for n, c in _CELLS_SQL.items()) + ", count(*) AS n FROM paired", [PARSED_CTE, PAIRED_SQL]))
 def disagreement_counts_q(spark, sf_dir):
-    p = paired(spark, sf_dir)
+    p = paired(spark, sf_dir, with_text=False)
     return p.agg(*[F.count_if(c).alias(n) for n, c in _cells().items()], F.count(F.lit(1)).alias("n"))
 
 
@@ -124,7 +124,7 @@ SELECT round(avg(CASE WHEN {_CELLS_SQL['notsarc_sft_wrong_dpo_right']} THEN dpo_
        round(avg(sft_confidence), 6) AS mean_sft_confidence, round(avg(dpo_confidence), 6) AS mean_dpo_confidence
 FROM paired""", [PARSED_CTE, PAIRED_SQL]))
 def disagreement_confidence_q(spark, sf_dir):
-    p = paired(spark, sf_dir)
+    p = paired(spark, sf_dir, with_text=False)
     c = _cells()
     conf = F.col("dpo_confidence")
     return p.agg(round_to(PG.mean_where(conf, c["notsarc_sft_wrong_dpo_right"]), 6).alias("dpo_conf_fixed_fp"),
@@ -141,24 +141,28 @@ SCAN_LIMIT = 52  # rows 0..51 are examined
 hit AS (SELECT max(idx) AS idx FROM firsts WHERE dpo_correct AND NOT sft_correct)
 SELECT hit.idx IS NOT NULL AS found_dpo_better_example, CAST(hit.idx AS BIGINT) AS "index",
        (SELECT doc_id FROM firsts WHERE firsts.idx = hit.idx) AS doc_id,
-       CAST(coalesce(hit.idx + 1, (SELECT count(*) FROM paired)) AS BIGINT) AS samples_checked
-FROM hit""", [PARSED_CTE, PAIRED_SQL]))
+       CAST(coalesce(hit.idx + 1, (SELECT count(*) FROM paired)) AS BIGINT) AS samples_checked,
+       f.text, f.true_label, f.sft_prediction, f.sft_confidence, f.sft_response, f.dpo_prediction, f.dpo_confidence, f.dpo_response
+FROM hit LEFT JOIN firsts f ON f.idx = hit.idx""", [PARSED_CTE, PAIRED_SQL]))
 def find_better_example_q(spark, sf_dir):
     """The last row among the first 52 (id order) where DPO is right and SFT
-    wrong; samples_checked = index + 1, or the whole set when none is found."""
-    p = paired(spark, sf_dir)
+    wrong, with its text, replies and confidences; samples_checked = index + 1, or
+    the whole set when none is found."""
+    p = paired(spark, sf_dir, with_text=False)
     first = p.orderBy("doc_id").limit(SCAN_LIMIT)  # the scan stops at row 51: limit is the feature
     first = first.withColumn("idx", F.row_number().over(Window.orderBy("doc_id")) - 1)  # 52 rows
+    shown = ["true_label", "sft_prediction", "sft_confidence", "sft_response", "dpo_prediction", "dpo_confidence", "dpo_response"]
     hit = first.where(F.col("dpo_correct") & ~F.col("sft_correct")).agg(
-        F.max_by("doc_id", "idx").alias("doc_id"), F.max("idx").alias("idx"), F.lit(None).cast("long").alias("total"))
-    total = p.agg(F.lit(None).cast("long").alias("doc_id"), F.lit(None).cast("int").alias("idx"),
-                  F.count(F.lit(1)).alias("total"))
+        F.max(F.struct("idx", "doc_id", *shown)).alias("hit"), F.lit(None).cast("long").alias("total"))
+    total = p.agg(F.lit(None).cast(hit.schema["hit"].dataType).alias("hit"), F.count(F.lit(1)).alias("total"))
     # two one-row aggregates folded into one row (no join)
-    out = hit.unionByName(total).agg(F.max("doc_id").alias("doc_id"), F.max("idx").alias("idx"),
-                                     F.max("total").alias("total"))
-    return out.select(F.col("idx").isNotNull().alias("found_dpo_better_example"),
-                      F.col("idx").cast("long").alias("index"), "doc_id",
-                      F.coalesce(F.col("idx") + 1, F.col("total")).cast("long").alias("samples_checked"))
+    out = hit.unionByName(total).agg(F.max("hit").alias("hit"), F.max("total").alias("total"))
+    out = out.select(F.col("hit").isNotNull().alias("found_dpo_better_example"), F.col("hit.idx").cast("long").alias("index"),
+                     F.col("hit.doc_id").alias("doc_id"),
+                     F.coalesce(F.col("hit.idx") + 1, F.col("total")).cast("long").alias("samples_checked"),
+                     *[F.col(f"hit.{c}").alias(c) for c in shown])
+    text = fx.table(spark, sf_dir, "documents").select("doc_id", "text")
+    return F.broadcast(out).join(text, "doc_id", "left")
 
 
 @query("domain_gap", with_ctes(["predictions"], """

@@ -195,7 +195,9 @@ def per_class_accuracy_q(spark, sf_dir):
 
 @query("misclassified_examples", with_ctes(["probabilities"], """
 SELECT p.model, p.doc_id, p.label, p.pred, p.probs[1] AS prob_0, p.probs[2] AS prob_1,
-       p.probs[p.pred + 1] AS confidence, substring(d.text, 1, 100) AS text_preview
+       p.probs[p.pred + 1] AS confidence, substring(d.text, 1, 100) AS text_preview, d.text,
+       CASE p.label WHEN 1 THEN 'sarc' ELSE 'notsarc' END AS true_class,
+       CASE p.pred WHEN 1 THEN 'sarc' ELSE 'notsarc' END AS predicted_class
 FROM probpred p JOIN documents d ON p.doc_id = d.doc_id
 WHERE p.pred <> p.label
 QUALIFY row_number() OVER (PARTITION BY p.model ORDER BY p.doc_id) <= 20""", [PROB_PRED_CTE]))
@@ -208,7 +210,9 @@ def misclassified_examples_q(spark, sf_dir):
     return first.join(docs, "doc_id").select(
         "model", "doc_id", "label", "pred",
         F.element_at("probs", 1).alias("prob_0"), F.element_at("probs", 2).alias("prob_1"),
-        "confidence", head_chars("text", 100).alias("text_preview"))
+        "confidence", head_chars("text", 100).alias("text_preview"), "text",
+        *[F.when(F.col(c) == 1, "sarc").otherwise("notsarc").alias(n)
+          for c, n in (("label", "true_class"), ("pred", "predicted_class"))])
 
 
 @query("error_rate", with_ctes(["probabilities"], """

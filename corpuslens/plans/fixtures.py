@@ -17,6 +17,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from corpuslens.functions.numeric import round_to
+from corpuslens.sources.io import CORPUS_C_FLAGS
 
 TABLES = (
     "region nation customer supplier part orders lineitem events documents "
@@ -104,7 +105,7 @@ CORPUS_B_CTE = """corpus_b AS (
 
 
 # corpus C: indexed tweets with six 0/1 subtype flags from n_chars % k.
-SUBTYPES = ["sarcastic", "irony", "satire", "overstatement", "understatement", "rhetorical_question"]
+SUBTYPES = CORPUS_C_FLAGS
 SUBTYPE_MOD = [2, 3, 5, 7, 11, 13]
 
 

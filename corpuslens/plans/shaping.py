@@ -290,7 +290,7 @@ def pairs_mined_short_q(spark, sf_dir):
                                                      "sft_prediction", "sft_correct")
 
 
-@query("pairs_mined_summary", with_ctes(["predictions_text"], """
+SUMMARY_SQL = """
 SELECT 'mistakes_only' AS filter_strategy, count(*) AS total_examples_processed,
        count_if(NOT is_correct) AS total_examples_kept,
        CASE WHEN count(*) > 0 THEN count_if(is_correct) / count(*) ELSE 0.0 END AS sft_accuracy,
@@ -298,7 +298,10 @@ SELECT 'mistakes_only' AS filter_strategy, count(*) AS total_examples_processed,
        CASE WHEN count_if(true_label = 1) > 0 THEN count_if(is_correct AND true_label = 1) / count_if(true_label = 1) ELSE 0.0 END AS sarcastic_accuracy,
        CASE WHEN count_if(true_label = 0) > 0 THEN count_if(is_correct AND true_label = 0) / count_if(true_label = 0) ELSE 0.0 END AS non_sarcastic_accuracy,
        CASE WHEN count(*) > 0 THEN (1 - count_if(NOT is_correct) / count(*)) * 100.0 ELSE 0.0 END AS reduction_pct
-FROM mined""", [MINED_CTE]))
+FROM mined"""
+
+
+@query("pairs_mined_summary", with_ctes(["predictions_text"], SUMMARY_SQL, [MINED_CTE]))
 def pairs_mined_summary_q(spark, sf_dir):
     return PA.pairs_summary(_mined(spark, sf_dir), "mistakes_only")
 

@@ -3,6 +3,7 @@ the test tables to a fresh shared folder and reads it back."""
 
 from __future__ import annotations
 
+from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from corpuslens.functions.numeric import round_to
@@ -14,7 +15,7 @@ from corpuslens.plans import fixtures as fx
 from corpuslens.plans.evaluation import PARSED_CTE, _parsed, metrics_sql
 from corpuslens.plans.fixtures import with_ctes
 from corpuslens.plans.registry import query
-from corpuslens.plans.shaping import MINED_CTE, MODEL_ORDER, _mined
+from corpuslens.plans.shaping import MINED_CTE, MODEL_ORDER, SUMMARY_SQL, _mined
 from corpuslens.sources import io
 
 LATENCY_ORDER = ["purchase", "view", "signup", "missing", "click"]
@@ -49,9 +50,15 @@ def read_pairs_json_q(spark, sf_dir):
     return io.read_pairs_json(spark, pairs_path).drop("text")
 
 
-@query("write_pairs_json", with_ctes(["predictions_text"], """
-SELECT 'mistakes_only' AS filter_strategy, count(*) AS total_examples_processed,
-       count_if(NOT is_correct) AS total_examples_kept FROM mined""", [MINED_CTE]))
+@query("read_pairs_json_array", with_ctes(["predictions_text"], """
+SELECT doc_id, prompt, chosen, rejected, true_label, sft_prediction, sft_response, is_correct FROM mined""",
+    [MINED_CTE]))
+def read_pairs_json_array_q(spark, sf_dir):
+    path = io.write_pairs_array(_mined(spark, sf_dir), io.scratch_path(spark, "pairs-array"))
+    return io.read_pairs_json(spark, path, array_file=True).drop("text")
+
+
+@query("write_pairs_json", with_ctes(["predictions_text"], SUMMARY_SQL, [MINED_CTE]))
 def write_pairs_json_q(spark, sf_dir):
     """Pairs and the one-row summary sidecar; the sidecar is read back."""
     pairs = _mined(spark, sf_dir)
@@ -59,7 +66,7 @@ def write_pairs_json_q(spark, sf_dir):
     _, summary_path = io.write_pairs_json(PA.filter_pairs(pairs, "mistakes_only"), summary,
                                           io.scratch_path(spark, "pairs"))
     back = spark.read.schema(summary.schema).json(summary_path)
-    return back.select("filter_strategy", "total_examples_processed", "total_examples_kept")
+    return back
 
 
 @query("write_split_csv", with_ctes(["corpus_a"], f"""
@@ -119,7 +126,21 @@ def explode_latency_map_q(spark, sf_dir):
     return io.explode_latency_map(spark.read.schema(io.LATENCY_DOC).json(path), LATENCY_ORDER)
 
 
+def _inventory(spark, sf_dir):
+    paths = {t: f"{sf_dir}/{t}.parquet" for t in fx.TABLES}
+    return io.source_inventory(spark, paths | {"absent": f"{sf_dir}/absent.parquet"})
+
+
 @query("source_inventory")
 def source_inventory_q(spark, sf_dir):
-    """No oracle: DuckDB's views do not expose file sizes."""
-    return io.source_inventory(spark, {t: f"{sf_dir}/{t}.parquet" for t in fx.TABLES})
+    """Files of every table with sizes; no oracle, as DuckDB's views do not expose files."""
+    return _inventory(spark, sf_dir)
+
+
+@query("check_datasets", " UNION ALL ".join(
+    f"SELECT '{t}' AS table_name, true AS present, (SELECT count(*) FROM {t}) AS rows, "
+    f"CAST((SELECT count(*) FROM (DESCRIBE SELECT * FROM {t})) AS INTEGER) AS n_columns" for t in fx.TABLES)
+    + " UNION ALL SELECT 'absent', false, NULL, NULL")
+def check_datasets_q(spark, sf_dir):
+    """Which inputs are there, with their rows and column counts; an absent one is reported."""
+    return _inventory(spark, sf_dir).groupBy("table_name", "present").agg(F.sum("rows").alias("rows"), F.max("n_columns").alias("n_columns"))

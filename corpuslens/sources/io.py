@@ -9,6 +9,7 @@ from __future__ import annotations
 
 import uuid
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -16,7 +17,7 @@ from pyspark.sql import types as T
 from corpuslens.session import checkpoint_dir
 
 # ---------------------------------------------------------------------------
-# schemas
+# schemas: column and field names of the files read (fixed values)
 # ---------------------------------------------------------------------------
 CORPUS_A = T.StructType([T.StructField("doc_id", T.LongType()), T.StructField("class", T.StringType()),
                          T.StructField("text", T.StringType())])
@@ -89,6 +90,16 @@ def write_pairs_json(pairs: DataFrame, summary: DataFrame, path: str) -> tuple[s
     return f"{path}/pairs", f"{path}/pairs_summary"
 
 
+def write_pairs_array(pairs: DataFrame, path: str, documents: int = 8) -> str:
+    """Pairs as JSON array documents, each of which is one text value (and one task when
+    read); give enough ``documents`` for the size of the table."""
+    part = F.pmod(F.xxhash64("doc_id"), F.lit(documents))
+    rows = pairs.groupBy(part.alias("_part")).agg(F.collect_list(F.to_json(F.struct(*pairs.columns), {"ignoreNullFields": "false"})).alias("r"))
+    rows.repartition(documents, "_part").select(
+        F.concat(F.lit("["), F.array_join("r", ","), F.lit("]")).alias("value")).write.mode("overwrite").text(path)
+    return path
+
+
 def read_pairs_json(spark: SparkSession, path: str, schema: T.StructType = PAIRS, array_file: bool = False) -> DataFrame:
     """Pairs from JSON lines, or from one JSON array document (``array_file``;
     such a file is not splittable and is read by one task)."""
@@ -142,18 +153,22 @@ def explode_latency_map(doc: DataFrame, order: list[str]) -> DataFrame:
 # inventory
 # ---------------------------------------------------------------------------
 def source_inventory(spark: SparkSession, paths: dict[str, str]) -> DataFrame:
-    """Per input: file name, size in MB, rows and column count, from the
-    file metadata column (one scan of a single narrow column per file)."""
-    parts = []
+    """Per input file: path, size in MB, rows and column count of its table, from the
+    file metadata column (one scan of a single narrow column per table).  An absent
+    input is one row with ``present`` false and no counts."""
+    schema = "table_name string, present boolean, file_path string, size_mb double, rows long, n_columns int"
+    out = spark.createDataFrame([], schema)
     for name, path in paths.items():
-        df = spark.read.parquet(path)
-        n_cols = len(df.columns)
-        parts.append(df.select("_metadata.file_name", "_metadata.file_size")
-                     .groupBy("file_name").agg(F.max("file_size").alias("bytes"), F.count(F.lit(1)).alias("rows"))
-                     .select(F.lit(name).alias("table_name"), "file_name",
-                             F.round(F.col("bytes") / (1024 * 1024), 6).alias("size_mb"), "rows",
-                             F.lit(n_cols).alias("n_columns")))
-    out = parts[0]
-    for p in parts[1:]:
-        out = out.unionByName(p)
+        try:
+            df = spark.read.parquet(path)
+        except AnalysisException as e:
+            if e.getCondition() != "PATH_NOT_FOUND":
+                raise
+            out = out.unionByName(spark.createDataFrame([(name, False, None, None, None, None)], schema))
+            continue
+        files = df.select("_metadata.file_path", "_metadata.file_size").groupBy("file_path").agg(
+            F.max("file_size").alias("bytes"), F.count(F.lit(1)).alias("rows"))
+        out = out.unionByName(files.select(
+            F.lit(name).alias("table_name"), F.lit(True).alias("present"), "file_path",
+            F.round(F.col("bytes") / (1024 * 1024), 6).alias("size_mb"), "rows", F.lit(len(df.columns)).alias("n_columns")))
     return out

@@ -25,3 +25,18 @@ def test_exact_percentile_without_groups(spark):
     df = spark.range(10_001).select((F.col("id") * 1.5).alias("v"))
     got = exact_percentile(df, [], "v", 0.5, "q", accuracy=100).first()["q"]
     assert got == 7500.0
+
+
+@pytest.mark.parametrize("p", [0.25, 0.5, 0.75, 0.9])
+def test_exact_percentile_of_small_and_tied_groups(spark, p):
+    rng = np.random.default_rng(3)
+    groups = {f"n{n}": rng.normal(size=n).tolist() for n in (1, 2, 3, 4, 5, 399, 400, 401)}
+    groups["tied"] = [5.0] * 6000 + rng.normal(size=4000).tolist()
+    df = spark.createDataFrame([(g, v) for g, vs in groups.items() for v in vs], "g string, v double")
+    got = {r["g"]: r["q"] for r in exact_percentile(df, ["g"], "v", p, "q").collect()}
+    assert got == {g: pytest.approx(float(np.percentile(vs, p * 100)), rel=1e-12) for g, vs in groups.items()}
+
+
+def test_exact_percentile_of_a_null_group(spark):
+    df = spark.createDataFrame([(None, 1.0), (None, 3.0), ("a", 5.0)], "g string, v double")
+    assert {r["g"]: r["q"] for r in exact_percentile(df, ["g"], "v", 0.5, "q").collect()} == {None: 2.0, "a": 5.0}
