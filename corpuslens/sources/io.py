@@ -95,8 +95,8 @@ def write_pairs_array(pairs: DataFrame, path: str, documents: int = 8) -> str:
     read); give enough ``documents`` for the size of the table."""
     part = F.pmod(F.xxhash64("doc_id"), F.lit(documents))
     rows = pairs.groupBy(part.alias("_part")).agg(F.collect_list(F.to_json(F.struct(*pairs.columns), {"ignoreNullFields": "false"})).alias("r"))
-    rows.repartition(documents, "_part").select(
-        F.concat(F.lit("["), F.array_join("r", ","), F.lit("]")).alias("value")).write.mode("overwrite").text(path)
+    rows.select("_part", F.concat(F.lit("["), F.array_join("r", ","), F.lit("]")).alias("value")) \
+        .write.mode("overwrite").partitionBy("_part").text(path)  # a file holds one document
     return path
 
 
@@ -104,7 +104,7 @@ def read_pairs_json(spark: SparkSession, path: str, schema: T.StructType = PAIRS
     """Pairs from JSON lines, or from one JSON array document (``array_file``;
     such a file is not splittable and is read by one task)."""
     r = spark.read.schema(schema)
-    return (r.option("multiLine", "true") if array_file else r).json(path)
+    return (r.option("multiLine", "true").option("recursiveFileLookup", "true") if array_file else r).json(path)
 
 
 # ---------------------------------------------------------------------------
