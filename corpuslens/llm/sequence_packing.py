@@ -1,7 +1,7 @@
 """Pack tokenised documents into fixed-length sequences: bin completion with branch and bound.
 
-1. Each document is its token ids and an end id; only a document longer than
-   ``capacity`` is cut, into full pieces, the first of which may be shorter.
+1. Each document is its token ids and an end id (strings of special tokens are ordinary
+   text); only a document longer than ``capacity`` is cut, into full pieces, the first of which may be shorter.
 2. Sequences depend on piece lengths only, so the search runs on the histogram
    of lengths (at most ``capacity`` numbers, whatever the corpus).  A bin is
    built around the largest remaining length; undominated fillings of its gap
@@ -67,7 +67,9 @@ class _Ids(dict):
 def _ids(path: str) -> _Ids:
     from tokenizers import Tokenizer
 
-    return _Ids(Tokenizer.from_file(path))
+    tokenizer = Tokenizer.from_file(path)
+    tokenizer.encode_special_tokens = True  # their strings in a text are ordinary text
+    return _Ids(tokenizer)
 
 
 def encode(ids: _Ids, text: str) -> bytes:

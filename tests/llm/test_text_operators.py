@@ -217,9 +217,11 @@ def test_packing_round_trip(make_docs, clashing):
 
     rng = random.Random(3)
     rows = [(i, "".join(rng.choice(["the ", "don't ", "été ", "x1½ ", "\n\n", "日本", "!'s ", "  ", "_a", "\x1c"]) for _ in range(rng.choice([0, 3, 50, 700])))) for i in range(120)]
-    rows += [(500, None), (501, ""), (502, "word " * 30_000), (1, "again"), (1, "again"), (None, "null id")]
+    rows += [(500, None), (501, ""), (502, "word " * 30_000), (1, "again"), (1, "again"), (None, "null id"),
+             (503, "a <|endoftext|> b"), (504, "日 <|endoftext|> b")]
     got = sequence_packing.pack_documents(clashing(make_docs(rows))).collect()
     tok = Tokenizer.from_file(sequence_packing.default_tokenizer())
+    tok.encode_special_tokens = True
     want = collections.Counter()
     for i, text in rows:
         ids = np.array(tok.encode(text or "", add_special_tokens=False).ids + [0], "<u4")

@@ -140,8 +140,11 @@ def test_revisits_hot_url(spark):
     assert got == {i: i // 10 * 10 for i in range(3000) if i % 10}
 
 
-def test_revisits_match_oracle(spark, duck):
+@pytest.mark.parametrize("name", sorted(queries.ORACLE))
+def test_queries_match_their_oracles(spark, duck, name):
     con = duck("/root/testdata/sf0.001")
-    got = queries.op2_warc_revisits(spark, "/root/testdata/sf0.001")
-    want = con.execute(queries.ORACLE["op2_warc_revisits"]).fetchall()
-    assert sorted(map(str, (tuple(r) for r in got.collect()))) == sorted(map(str, want))
+    got = queries.QUERIES[name](spark, "/root/testdata/sf0.001")
+    want = con.execute(queries.ORACLE[name])
+    names = [c[0] for c in want.description]
+    assert sorted(got.columns) == sorted(names)
+    assert sorted(map(str, (tuple(r) for r in got.select(*names).collect()))) == sorted(map(str, want.fetchall()))
