@@ -32,8 +32,9 @@ def mean_where(value: Column, cond: Column) -> Column:
     return F.avg(F.when(cond, value))
 
 
-def domain_gap(metrics_a: DataFrame, metrics_b: DataFrame, key: str = "model", metric: str = "f1") -> DataFrame:
-    """metric on corpus A minus metric on corpus B, per model."""
-    a = metrics_a.select(key, F.col(metric).alias(f"{metric}_in_domain"))
-    b = metrics_b.select(key, F.col(metric).alias(f"{metric}_out_of_domain"))
-    return a.join(b, key).withColumn("gap", F.col(f"{metric}_in_domain") - F.col(f"{metric}_out_of_domain"))
+def domain_gap(metrics: DataFrame, key: str = "model", domain: str = "domain", metric: str = "f1") -> DataFrame:
+    """metric in the domain ``in`` minus metric in the domain ``out``, for every model that has both."""
+    of = lambda d: F.max(F.when(F.col(domain) == d, F.col(metric)))  # noqa: E731  one row per (model, domain)
+    g = metrics.groupBy(key).agg(of("in").alias(f"{metric}_in_domain"), of("out").alias(f"{metric}_out_of_domain"))
+    gap = F.col(f"{metric}_in_domain") - F.col(f"{metric}_out_of_domain")
+    return g.withColumn("gap", gap).where(F.col("gap").isNotNull())

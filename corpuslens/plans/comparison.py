@@ -177,7 +177,7 @@ def domain_gap_q(spark, sf_dir):
     p = _parsed(spark, sf_dir).join(docs, "doc_id")
     p = p.withColumn("domain", F.when(F.col("lang") == "en", "in").otherwise("out"))
     m = M.metrics_with_unclear(p, by=["model", "domain"])
-    return PG.domain_gap(m.where(F.col("domain") == "in"), m.where(F.col("domain") == "out"))
+    return PG.domain_gap(m)
 
 
 def _keymap_sql():

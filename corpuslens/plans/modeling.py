@@ -14,6 +14,7 @@ from corpuslens.plans import fixtures as fx
 from corpuslens.plans.evaluation import PARSED_CTE, _parsed
 from corpuslens.plans.fixtures import with_ctes
 from corpuslens.plans.registry import query
+from corpuslens.session import materialise
 from corpuslens.sources.io import scratch_path
 from corpuslens.streaming import jobs as ST
 
@@ -106,7 +107,7 @@ def train_text_classifier_q(spark, sf_dir):
     """Fit on the train split of corpus A, predict its test split (no SQL
     oracle: an iterative fit)."""
     c = fx.corpus_a(spark, sf_dir).withColumn("label", encode_label("class"))
-    parts = S.split_per_class(c, "class", "doc_id", 42, 0.8)
+    parts = materialise(S.split_per_class(c, "class", "doc_id", 42, 0.8))  # every pass of the fit reads it
     train = parts.where(F.col("split") == "train").select("doc_id", "text", "label")
     test = parts.where(F.col("split") == "test").select("doc_id", "text", "label")
     return SC.train_text_classifier(train, test).select("doc_id", "label", "pred", "probs")
