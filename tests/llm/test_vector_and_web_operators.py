@@ -148,3 +148,27 @@ def test_queries_match_their_oracles(spark, duck, name):
     names = [c[0] for c in want.description]
     assert sorted(got.columns) == sorted(names)
     assert sorted(map(str, (tuple(r) for r in got.select(*names).collect()))) == sorted(map(str, want.fetchall()))
+
+
+@pytest.mark.parametrize("shape", ["random", "path", "stars", "none"])
+def test_connected_components(spark, shape):
+    import random
+
+    from corpuslens.llm._spark import connected_components
+
+    rng = random.Random(6)
+    edges = {"random": [(rng.randint(0, 300), rng.randint(0, 300)) for _ in range(160)] + [(5, 5), (None, 3), (4, None)],
+             "path": [(i + 1, i) for i in range(40)], "stars": [(i % 7, i) for i in range(7, 100)] + [(3, 10), (10, 3)], "none": []}[shape]
+    up = {}
+
+    def root(x):
+        while up.setdefault(x, x) != x:
+            x = up[x]
+        return x
+
+    for a, b in edges:
+        if a is not None and b is not None and a != b:
+            a, b = root(a), root(b)
+            up[max(a, b)] = min(a, b)
+    got = connected_components(spark.createDataFrame(edges, "a long, b long")).collect()
+    assert {r.node: r.component for r in got} == {x: root(x) for x in up} and len(got) == len(up)
