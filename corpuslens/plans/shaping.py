@@ -125,12 +125,14 @@ def text_preview_q(spark, sf_dir):
 
 
 @query("rename_models", with_ctes(["predictions"], f"""
-SELECT DISTINCT model, {rename_models_sql('model', {k: v for k, v in DISPLAY_NAMES.items() if k != 'gpt4'})} AS display_name
-FROM predictions"""))
+SELECT model, {rename_models_sql('model', {k: v for k, v in DISPLAY_NAMES.items() if k != 'gpt4'})} AS display_name,
+       count(reply) AS replies, count(DISTINCT reply) AS distinct_replies
+FROM predictions GROUP BY model"""))
 def rename_models_q(spark, sf_dir):
     names = {k: v for k, v in DISPLAY_NAMES.items() if k != "gpt4"}  # gpt4 falls back to its raw name
-    return fx.predictions(spark, sf_dir).select("model").distinct() \
-             .select("model", rename_models("model", names).alias("display_name"))
+    counts = fx.predictions(spark, sf_dir).groupBy("model", "reply").agg(F.count("reply").alias("n"))
+    return counts.groupBy("model").agg(F.sum("n").alias("replies"), F.count("reply").alias("distinct_replies")) \
+                 .select("model", rename_models("model", names).alias("display_name"), "replies", "distinct_replies")
 
 
 @query("custom_order", with_ctes(["predictions"], f"""
