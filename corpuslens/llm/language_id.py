@@ -31,7 +31,7 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from ._batches import U, mix, text_blocks
-from ._spark import small_batches
+from ._spark import small, small_batches
 
 DIM_BITS = 15
 DIM = 1 << DIM_BITS
@@ -140,7 +140,7 @@ def fit(rows: DataFrame, text: str, label: str, row_id: str, per_language: int =
     df = np.zeros(DIM)
     n = 0
     counted = (rows.select("text").mapInArrow(_count_documents, "bucket long, n long")
-               .groupBy("bucket").agg(F.sum("n").alias("n")).toArrow())
+               .groupBy("bucket").agg(F.sum("n").alias("n")).toArrow())  # at most DIM + 1 rows
     for b, c in zip(counted["bucket"].to_pylist(), counted["n"].to_pylist(), strict=True):
         if b < 0:
             n = c
@@ -152,7 +152,7 @@ def fit(rows: DataFrame, text: str, label: str, row_id: str, per_language: int =
     # about twice the bound by hash, then exactly the bound: the second step sorts few rows
     sizes = rows.groupBy("label").agg(F.count("*").alias("n"))
     order = F.xxhash64(F.col("id").cast("string"), "text")
-    few = rows.withColumn("h", order).join(F.broadcast(sizes), "label")
+    few = rows.withColumn("h", order).join(small(sizes, sizes.count()), "label")
     few = few.where(F.expr(f"pmod(h, 1000000) < 2e6 * {int(per_language)} / n"))
     w = Window.partitionBy("label").orderBy("h", "id")
     sample = (few.withColumn("r", F.row_number().over(w)).where(F.col("r") <= per_language)
