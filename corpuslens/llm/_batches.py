@@ -1,7 +1,7 @@
 """Helpers that run inside tasks: word spans and 64-bit word hashes of Arrow text batches.
 
-Everything works on whole texts in blocks of bounded size, so a batch of very
-long texts needs no more memory than a batch of short ones.
+Everything works on whole texts in blocks of bounded size, so what a batch of
+long texts needs beside the texts does not grow with their length.
 """
 
 from __future__ import annotations
@@ -11,7 +11,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 
-BLOCK_BYTES = 4 << 20  # text bytes hashed at a time
+BLOCK_BYTES = 1 << 20  # text bytes worked on at a time
 _POSITIONS = 1 << 12
 
 _rng = np.random.default_rng(20240229)
@@ -74,8 +74,12 @@ def word_hashes(data: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndar
     if not len(start):
         return np.zeros(0, np.uint64)
     length = end - start
-    total = int(length.sum())
     ends = np.cumsum(length)
+    if ends[-1] > 2 * BLOCK_BYTES and len(start) > 1:  # one very long text: some words at a time
+        cuts = np.unique(np.searchsorted(ends, np.arange(BLOCK_BYTES, ends[-1], BLOCK_BYTES)) + 1)
+        parts = zip([0, *cuts], [*cuts, len(start)], strict=True)
+        return np.concatenate([word_hashes(data, start[i:j], end[i:j]) for i, j in parts if i < j])
+    total = int(ends[-1])
     place = np.arange(total) - np.repeat(ends - length, length)
     at = np.repeat(start, length) + place
     code = _PLACE[place & (_POSITIONS - 1)]
