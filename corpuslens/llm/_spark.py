@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from corpuslens.session import checkpoint_dir
 
-ARROW_ROWS = 1000  # rows of an Arrow batch: texts can be 100 kB and more
+ARROW_ROWS = 500  # rows of an Arrow batch: texts can be 100 kB and more
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -45,8 +45,8 @@ def connected_components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFr
     never gathered.  Every round is written to the shared checkpoint folder.
     Ends when every node is a centre or has one edge, to a centre.
     """
-    e = written(edges.select(F.greatest(a, b).alias("u"), F.least(a, b).alias("v"))
-                .where("u is not null and v is not null and u <> v").distinct())
+    e = written(edges.where(F.col(a).isNotNull() & F.col(b).isNotNull())
+                .select(F.greatest(a, b).alias("u"), F.least(a, b).alias("v")).where("u <> v").distinct())
     while not _stars(e):
         both = e.union(e.select(F.col("v").alias("u"), F.col("u").alias("v")))
         low = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
@@ -65,7 +65,7 @@ def _stars(e: DataFrame) -> bool:
     ends = e.select(F.col("u").alias("node"), F.col("v"), F.lit(False).alias("centre"))
     centres = e.select(F.col("v").alias("node"), F.lit(None).cast(e.schema["v"].dataType).alias("v"), F.lit(True).alias("centre"))
     n = ends.union(centres).groupBy("node").agg(F.min("v").alias("least"), F.max("v").alias("most"), F.max("centre").alias("centre"))
-    return n.where("least <> most or (centre and least is not null)").isEmpty()
+    return n.agg(F.count_if(F.expr("least <> most or (centre and least is not null)"))).first()[0] == 0
 
 
 def spread(*cols: str | Column, buckets: int) -> Column:

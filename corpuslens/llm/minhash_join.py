@@ -12,7 +12,7 @@ the whole sequence is the one shingle).  Two documents are linked when
    + 1`` rarest of either (prefix filter over a global order by list length), so
    the ``matches - 1`` longest lists of each node are skipped, and so are nodes
    whose values are shared on fewer coordinates, and lists of one.
-3. Inside a list every node meets the list's leader (a star, not all pairs);
+3. Inside a list every node meets the most central one (a star, not all pairs);
    collisions are counted on the whole signatures and pairs with ``matches``
    or more are merged into clusters.  After ``rounds`` of that, the pairs of nodes
    in one list that are still in different clusters and may be similar by size are
@@ -109,15 +109,17 @@ def features(docs: DataFrame, shingle: int, coordinates: int) -> DataFrame:
 
 
 def posting_lists(nodes: DataFrame, matches: int) -> DataFrame:
-    """key, node, n: each node under its rarest shared (coordinate, value) pairs."""
+    """key, node, n, pop: each node under its rarest shared (coordinate, value) pairs; ``pop`` is how
+    many postings share a pair with the node, largest for the text that others are copies of."""
     post = nodes.select("node", "n", F.posexplode("sig").alias("c", "v"))
     post = post.select("node", "n", (F.col("c") * F.lit(1 << 32) + F.col("v").cast("long") + F.lit(1 << 31)).alias("key"))
     shared = post.groupBy("key").agg(F.count("*").alias("df")).where("df > 1")
     own = (post.join(shared, "key").groupBy("node", "n")
            .agg(F.sort_array(F.collect_list(F.struct("df", "key"))).alias("own")))  # at most `coordinates` of them
     own = own.where(F.size("own") >= matches)
-    return own.select("node", "n", F.explode(F.expr(f"slice(own, 1, size(own) - {matches - 1})")).alias("p")).select(
-        F.col("p.key").alias("key"), "node", "n")
+    pop = F.aggregate("own", F.lit(0).cast("long"), lambda total, p: total + p["df"])
+    return own.select("node", "n", pop.alias("pop"), F.explode(F.expr(f"slice(own, 1, size(own) - {matches - 1})")).alias("p")).select(
+        F.col("p.key").alias("key"), "node", "n", "pop")
 
 
 def _agreeing(pairs: DataFrame, sigs: DataFrame, matches: int) -> DataFrame:
@@ -137,9 +139,11 @@ def clusters(nodes: DataFrame, matches: int, percent: int, rounds: int) -> DataF
     at = lists.withColumn("cluster", F.col("node"))
     for k in range(rounds + 1):
         if k < rounds:
-            lead = at.groupBy("key").agg(F.min(F.struct(F.xxhash64("cluster", F.lit(k)), "cluster", "node")).alias("lead"),
+            # the most central node leads, so a node meets the same leader in most of its lists
+            lead = at.groupBy("key").agg(F.max(F.struct("pop", "node", "cluster", "n")).alias("lead"),
                                          F.count("*").alias("m")).where("m > 1").drop("m")
             met = at.join(lead, "key").where(F.col("cluster") != F.col("lead.cluster"))
+            met = met.where(F.least("n", "lead.n") * 100 >= F.greatest("n", "lead.n") * percent)
             pairs = met.select(F.least("node", "lead.node").alias("a"), F.greatest("node", "lead.node").alias("b")).distinct()
         else:
             mixed = at.groupBy("key").agg((F.min("cluster") < F.max("cluster")).alias("open")).where("open").select("key")
@@ -149,12 +153,12 @@ def clusters(nodes: DataFrame, matches: int, percent: int, rounds: int) -> DataF
                      .where((F.col("cluster") < F.col("cb")) & (F.least("n", "nb") * 100 >= F.greatest("n", "nb") * percent))
                      .select(F.col("node").alias("a"), "b").distinct())
         more = written(_agreeing(pairs, sigs, matches))
-        if found is None or not more.isEmpty():
+        if found is None or more.count():
             edges = more if edges is None else edges.union(more)
             found = written(connected_components(edges))
         if k < rounds:
             at = (lists.join(found, "node", "left")
-                  .select("key", "node", "n", F.coalesce("component", "node").alias("cluster")))
+                  .select("key", "node", "n", "pop", F.coalesce("component", "node").alias("cluster")))
     return found.select("node", F.col("component").alias("cluster"))
 
 
@@ -221,7 +225,10 @@ def confirmed(sets: DataFrame, percent: int, block: int) -> DataFrame:
     first = at.withColumn("part", F.explode(F.coalesce(first, F.array("block"))))
     edges = written(first.repartition("cluster", "part").groupBy("cluster", "part").applyInArrow(compare, "a long, b long"))
     wide = at.where("blocks > 2")
-    found = written(connected_components(edges))
+    found = connected_components(edges)
+    if not wide.count():
+        return found
+    found = written(found)
     of = (wide.select("cluster", "node", "m", "blocks").join(found, "node", "left")
           .withColumn("component", F.coalesce("component", "node")))
     by = of.groupBy("cluster", "component").agg(F.count("*").alias("n"))
@@ -238,7 +245,7 @@ def confirmed(sets: DataFrame, percent: int, block: int) -> DataFrame:
                  .select("cluster", "node", "items", F.col("block").alias("part"), F.col("with").alias("stray")))
     second = as_stray.union(as_member).repartition("cluster", "part", "stray").groupBy("cluster", "part", "stray").applyInArrow(compare, "a long, b long")
     more = written(second)
-    if more.isEmpty():
+    if not more.count():
         return found
     return connected_components(edges.union(more))
 
