@@ -19,8 +19,8 @@ def known_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
 
 
 def one_of_each(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near duplicates (shingles of five words, similarity 0.8 or more)."""
-    return minhash_join.drop_near_duplicates(docs, shingle=5, percent=80)
+    """One row of each group of near duplicates (shingles of five words, similarity 0.8 or more)."""
+    return minhash_join.drop_near_copies(docs, shingle=5, percent=80)
 
 
 def without_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -72,6 +72,7 @@ def _keys(sets: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
 
 
 def _features(shingle: int, coordinates: int, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Columns behind doc_id and text are passed on."""
     rng = np.random.default_rng(7)
     mult = rng.integers(1, 1 << 63, coordinates, dtype=np.uint64) | U(1)
     plus = rng.integers(1, 1 << 63, coordinates, dtype=np.uint64)
@@ -95,17 +96,18 @@ def _features(shingle: int, coordinates: int, batches: Iterator[pa.RecordBatch])
         empty = n == 0
         flat = pa.array(sig.view(np.int32).ravel())
         lists = pa.ListArray.from_arrays(pa.array(np.arange(len(sets) + 1, dtype=np.int32) * coordinates), flat)
-        yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(n), pa.array(a, mask=empty), pa.array(b, mask=empty), lists],
-                                         ["doc_id", "n_shingles", "node", "check", "sig"])
+        yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(n), pa.array(a, mask=empty), pa.array(b, mask=empty), lists,
+                                          *batch.columns[2:]], ["doc_id", "n_shingles", "node", "check", "sig", *batch.schema.names[2:]])
 
 
-def features(docs: DataFrame, shingle: int, coordinates: int) -> DataFrame:
-    """doc_id, n_shingles, node (set hash), check (second hash), sig per row."""
+def features(docs: DataFrame, shingle: int, coordinates: int, text_hash: bool = False) -> DataFrame:
+    """doc_id, n_shingles, node (set hash), check (second hash), sig per row; with ``text_hash``, a hash of its text."""
     small_batches(docs.sparkSession)
     kind = docs.schema["doc_id"].dataType.simpleString()
-    return docs.select("doc_id", "text").mapInArrow(
+    more = [F.xxhash64("text").alias("text_hash")] if text_hash else []
+    return docs.select("doc_id", "text", *more).mapInArrow(
         partial(_features, shingle, coordinates),
-        f"doc_id {kind}, n_shingles long, node long, `check` long, sig array<int>")
+        f"doc_id {kind}, n_shingles long, node long, `check` long, sig array<int>" + ", text_hash long" * text_hash)
 
 
 def posting_lists(nodes: DataFrame, matches: int) -> DataFrame:
@@ -250,10 +252,10 @@ def confirmed(sets: DataFrame, percent: int, block: int) -> DataFrame:
     return connected_components(edges.union(more))
 
 
-def near_duplicates(docs: DataFrame, shingle: int = 5, percent: int = 80, coordinates: int = COORDINATES,
-                    matches: int = MATCHES, block: int = BLOCK, rounds: int = ROUNDS) -> DataFrame:
-    """doc_id, n_shingles, component_id, kept of every document."""
-    rows = written(features(docs, shingle, coordinates))
+def _judged(docs: DataFrame, shingle: int, percent: int, coordinates: int, matches: int, block: int, rounds: int,
+            text_hash: bool = False) -> tuple[DataFrame, DataFrame]:
+    """The ``features`` of every row; node, component (a node), component_id of every set."""
+    rows = written(features(docs, shingle, coordinates, text_hash))
     nodes = (rows.where("n_shingles > 0").groupBy("node").agg(
         F.first("n_shingles").alias("n"), F.first("sig").alias("sig"), F.min("doc_id").alias("low")))
     nodes = written(nodes)
@@ -268,18 +270,53 @@ def near_duplicates(docs: DataFrame, shingle: int = 5, percent: int = 80, coordi
     names = nodes.select("node", "low").join(component, "node", "left").withColumn("component", F.coalesce("component", "node"))
     names = written(names)
     least = names.groupBy("component").agg(F.min("low").alias("component_id"))
-    names = names.join(least, "component").select("node", "component_id")
-    filled = (rows.where("n_shingles > 0").select("doc_id", "n_shingles", "node").join(names, "node")
+    return rows, names.join(least, "component").select("node", "component", "component_id")
+
+
+def near_duplicates(docs: DataFrame, shingle: int = 5, percent: int = 80, coordinates: int = COORDINATES,
+                    matches: int = MATCHES, block: int = BLOCK, rounds: int = ROUNDS) -> DataFrame:
+    """doc_id, n_shingles, component_id, kept of every document."""
+    rows, names = _judged(docs, shingle, percent, coordinates, matches, block, rounds)
+    filled = (rows.where("n_shingles > 0").select("doc_id", "n_shingles", "node").join(names.drop("component"), "node")
               .select("doc_id", "n_shingles", "component_id"))
     out = filled.union(rows.where("n_shingles = 0").select("doc_id", "n_shingles", F.col("doc_id").alias("component_id")))
     return out.withColumn("kept", F.col("doc_id").eqNullSafe(F.col("component_id")))
 
 
+def drop_near_copies(docs: DataFrame, shingle: int = 5, percent: int = 80, coordinates: int = COORDINATES,
+                     matches: int = MATCHES, block: int = BLOCK, rounds: int = ROUNDS) -> DataFrame:
+    """The rows, one of each group of near duplicates; columns as they are.
+
+    A row goes only if its own text is in the group of a row that stays, whatever other
+    rows share its doc_id: of a group, the row with the smallest doc_id stays (null ids
+    last, then by hash of the text; of equal rows the first in the order of their columns).
+    Rows without words all stay.
+    """
+    rows, names = _judged(docs, shingle, percent, coordinates, matches, block, rounds, text_hash=True)
+    key = F.struct(F.col("doc_id").isNull().alias("unnamed"), "doc_id", "text_hash")
+    sets = rows.where("n_shingles > 0").groupBy("node", "doc_id", "text_hash").agg(F.count("*").alias("rows"))
+    sets = written(sets.join(names.select("node", "component"), "node").select("component", key.alias("key"), "rows"))
+    stays = sets.groupBy("component").agg(F.min("key").alias("stays"), F.sum("rows").alias("all")).where("all > 1")
+    stays = written(stays.drop("all"))  # a table of its own: the join is by broadcast, or one that can be split
+    sets = written(sets.join(small(stays, stays.count()), "component").select("key.doc_id", "key.text_hash", "rows", (F.col("key") == F.col("stays")).alias("kept")))
+    named = [F.col("doc_id").alias("own_id"), F.col("text_hash").alias("own_hash")]
+    same = docs["doc_id"].eqNullSafe(F.col("own_id")) & (F.xxhash64(docs["text"]) == F.col("own_hash"))
+    gone, again = sets.where("not kept").select(*named), sets.where("kept and rows > 1").select(*named)
+    out = docs.join(small(gone, gone.count()), same, "left_anti")
+    n = again.count()
+    if not n:
+        return out
+    again = small(again, n)
+    first = (out.join(again, same, "left_semi").groupBy("doc_id", F.xxhash64("text"))
+             .agg(F.min(F.struct(*docs.columns)).alias("_row")).select("_row.*"))
+    return out.join(again, same, "left_anti").union(first)
+
+
 def drop_near_duplicates(docs: DataFrame, **parameters) -> DataFrame:
     """The documents, one of each group of near duplicates (the smallest doc_id); columns as they are.
 
     Rows that share a doc_id count as one document: the first in the order of
-    their columns stays.
+    their columns stays, whatever the texts of the others (``drop_near_copies`` decides by row).
     """
     found = written(near_duplicates(docs, **parameters))
     ids = found.groupBy("doc_id").agg(F.max("kept").alias("kept"), F.count("*").alias("rows"))
