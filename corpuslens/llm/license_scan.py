@@ -2,17 +2,21 @@
 
 1. Words are runs of ASCII letters, digits and non-ASCII bytes, lower-cased
    (A-Z); punctuation and layout do not count.
-2. Index: hashes of ``k`` words of every template, winnowed over ``window``
-   neighbours, as an inverted index hash -> (template, position).  A template
-   shorter than ``k`` words has the one fingerprint of all its words.  The index is cut
+2. Index: hashes of runs of words of every template, as an inverted index
+   hash -> (template, position).  Changes and omissions that ``coverage`` allows leave one
+   run of the template's words whole (``whole_run``): fingerprints are that long, ``k`` words at
+   most, and winnowed over ``window`` neighbours as far as such a run still holds one (at 0.8
+   not at all).  Words put in at many places can leave no whole run.  The index is cut
    into slices of at most ``slice_size`` fingerprints, whole templates each, so what
    a task holds is bounded; each slice is one pass over the documents.
-3. Candidates: the same hashes of every text (all of them, so winnowing
-   loses none) are looked up; hits of one template whose starts differ by at
-   most ``band`` words (half the template's words, if that is less) form a candidate.
+3. Candidates: the same hashes of every text (all of them) are looked up; hits of
+   one template whose starts differ by at most ``band`` words (half the template's words, if
+   that is less; as many as ``coverage`` lets go, if that is more) form a candidate.
 4. Alignment: the words around a candidate are aligned with the template in a
-   band of so many words (local alignment: +1 equal, -1 other, -1 skipped), and the
-   match is kept when ``coverage`` of the template's words are matched.  Of overlapping
+   band of so many words (local alignment: +1 equal, -1 other, -1 skipped, of equal scores
+   more equal words; where that falls short, the most equal words with the fewest others), and the
+   match is kept when ``coverage`` of the template's words are matched; the words before and
+   behind a match are aligned again.  Of overlapping
    matches the one with more matched words stays (ties: the first template by id).
 
 Whole texts are scanned; nothing is shuffled.
@@ -79,27 +83,42 @@ def _words(texts: pa.Array) -> Iterator[tuple[int, np.ndarray, np.ndarray, np.nd
         yield first, data, offs, word_hashes(data, start, end), start, end, counts
 
 
+def least_equal(n: int, coverage: float) -> int:
+    """The smallest number of equal words that is ``coverage`` of ``n``."""
+    return next(m for m in range(max(int(coverage * n) - 1, 0), n + 2) if m >= coverage * n)
+
+
+def whole_run(n: int, coverage: float) -> int:
+    """Words of the longest run that is whole in any match of ``n`` words with as many changed or left out as ``coverage`` allows."""
+    gone = max(n - least_equal(n, coverage), 0)
+    return max(1, -(-(n - gone) // (gone + 1)))
+
+
 class Index:
-    """Inverted index of the winnowed fingerprints of some templates."""
+    """Inverted index of the fingerprints of some templates."""
 
-    def __init__(self, templates: list[tuple[str, str]], k: int, window: int):
+    def __init__(self, templates: list[tuple[str, str]], k: int, window: int, band: int, coverage: float):
         self.names = [name for name, _ in templates]
         self.words: list[np.ndarray] = []
-        self.short: dict[int, list[int]] = {}  # words of a short template -> its numbers
+        self.need: list[int] = []  # equal words of a match
+        self.side: list[int] = []  # how far starts of one match may differ
+        self.sizes: set[int] = set()  # words of the fingerprints
         keys, owner, place = [], [], []
         for i, (_, text) in enumerate(templates):
             words = np.concatenate([w[3] for w in _words(pa.array([text], pa.string()))] or [np.zeros(0, np.uint64)])
             self.words.append(words)
+            self.need.append(max(least_equal(len(words), coverage), 1))
+            self.side.append(max(min(band, len(words) // 2), len(words) - self.need[-1]))
             if not len(words):
                 continue
-            size = min(k, len(words))
+            run = whole_run(len(words), coverage)
+            size = min(k, run)
             h, n = shingles(words, np.array([len(words)]), size)
-            at = thinned(h, n, window)
+            at = thinned(h, n, min(window, run - size + 1))
             keys.append(h[at])
             owner.append(np.full(len(at), i))
             place.append(at)
-            if size < k:
-                self.short.setdefault(size, []).append(i)
+            self.sizes.add(size)
         none = np.zeros(0, np.int64)
         key = np.concatenate(keys or [np.zeros(0, np.uint64)])
         order = np.argsort(key, kind="stable")
@@ -107,10 +126,10 @@ class Index:
         self.owner, self.place = np.concatenate(owner or [none])[order], np.concatenate(place or [none])[order]
 
 
-def candidates(index: Index, words: np.ndarray, counts: np.ndarray, k: int, band: int) -> list[tuple[int, int, int, int]]:
+def candidates(index: Index, words: np.ndarray, counts: np.ndarray) -> list[tuple[int, int, int, int]]:
     """(row, template, first hit, last hit as template starts) in word positions of the block."""
     hits_at, hits_i = [], []
-    for size in [k, *index.short]:
+    for size in sorted(index.sizes):
         h, n = shingles(words, counts, size)
         full = np.repeat(counts >= size, n)
         per = np.where(counts >= size, n, 0)
@@ -120,14 +139,14 @@ def candidates(index: Index, words: np.ndarray, counts: np.ndarray, k: int, band
         times = (hi - lo)[found]
         hits_at.append(np.repeat(at[found], times))
         hits_i.append(np.repeat(lo[found], times) + np.arange(times.sum()) - np.repeat(np.cumsum(times) - times, times))
-    at, i = np.concatenate(hits_at), np.concatenate(hits_i)
-    if not len(at):
+    if not sum(map(len, hits_at)):
         return []
+    at, i = np.concatenate(hits_at), np.concatenate(hits_i)
     template, begin = index.owner[i], at - index.place[i]  # where the template would start
     row = np.searchsorted(np.cumsum(counts), at, "right")
     order = np.lexsort((begin, template, row))
     row, template, begin = row[order], template[order], begin[order]
-    apart = np.array([min(band, len(w) // 2) for w in index.words])  # matches of one short template can follow closely
+    apart = np.array(index.side)  # matches of one short template can follow closely
     new = np.ones(len(row), bool)
     new[1:] = (np.diff(row) != 0) | (np.diff(template) != 0) | (np.diff(begin) > apart[template[1:]])
     first = np.flatnonzero(new)
@@ -135,9 +154,10 @@ def candidates(index: Index, words: np.ndarray, counts: np.ndarray, k: int, band
     return list(zip(row[first].tolist(), template[first].tolist(), begin[first].tolist(), begin[last].tolist(), strict=True))
 
 
-def local_alignment(text: np.ndarray, template: np.ndarray, diagonal: int, band: int) -> tuple[int, int, int, int, int]:
-    """(start, end in the text, start, end in the template, equal words) of the best local alignment whose
-    text position less template position stays within ``band`` of ``diagonal``."""
+def local_alignment(text: np.ndarray, template: np.ndarray, diagonal: int, band: int,
+                    gain: int = 1, cost: int = 1) -> tuple[int, int, int, int, int]:
+    """(start, end in the text, start, end in the template, equal words) of the best local alignment (``gain`` per
+    equal word less ``cost`` per other one) whose text position less template position stays within ``band`` of ``diagonal``."""
     width = 2 * band + 1
     score = np.zeros((len(template) + 1, width + 1), np.int64)
     move = np.zeros((len(template) + 1, width), np.int8)  # 0 start, 1 both, 2 skips a template word, 3 skips a text word
@@ -148,15 +168,15 @@ def local_alignment(text: np.ndarray, template: np.ndarray, diagonal: int, band:
         ok = (j >= 1) & (j <= len(text))
         same = np.zeros(width, bool)
         same[ok] = text[j[ok] - 1] == template[i - 1]
-        both = score[i - 1, :width] + np.where(same, 1, -1)
+        both = score[i - 1, :width] + np.where(same, gain, -cost)
         both[~ok] = -(1 << 30)
-        skip = score[i - 1, 1:] - 1
+        skip = score[i - 1, 1:] - cost
         skip[(j < 0) | (j > len(text))] = -(1 << 30)
         s = np.maximum(np.maximum(both, skip), 0)
         m = np.where(s == 0, 0, np.where(both >= skip, 1, 2))
         for c in range(1, width):  # a skipped text word stays in the same row
-            if ok[c] and s[c - 1] - 1 > s[c]:
-                s[c], m[c] = s[c - 1] - 1, 3
+            if ok[c] and s[c - 1] - cost > s[c]:
+                s[c], m[c] = s[c - 1] - cost, 3
         score[i, :width], move[i] = s, m
         c = int(s.argmax())
         if s[c] > best[0]:
@@ -177,20 +197,36 @@ def local_alignment(text: np.ndarray, template: np.ndarray, diagonal: int, band:
     return int(offsets[c]) + i, end_j, i, end_i, equal
 
 
-def _scan(index: Index, k: int, band: int, coverage: float, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def matches(text: np.ndarray, template: np.ndarray, diagonal: int, band: int, need: int) -> Iterator[tuple[int, int, int]]:
+    """(start, end, equal words) of the alignments with ``need`` equal words, none inside another."""
+    todo = [(0, len(text))]
+    while todo:
+        a, b = todo.pop()
+        part = text[a:b]
+        if len(part) < need or np.isin(template, part).sum() < need:
+            continue
+        much = len(part) + len(template) + 1
+        x0, x1, _, _, equal = local_alignment(part, template, diagonal - a, band, much + 1, much)
+        if equal < need:  # a changed word near an end costs more there than the words behind it bring
+            x0, x1, _, _, equal = local_alignment(part, template, diagonal - a, band, much, 1)
+        if equal < need:
+            continue  # there is none: the second one has the most equal words that the band allows
+        yield a + x0, a + x1, equal
+        todo += [(a, a + x0), (a + x1, b)]
+
+
+def _scan(index: Index, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         rows, out = [], []
         for first, data, offs, words, start, end, counts in _words(batch.column(1)):
             ends = np.cumsum(counts)
-            for row, t, lo, hi in candidates(index, words, counts, k, band):
+            for row, t, lo, hi in candidates(index, words, counts):
                 begin, stop = int(ends[row] - counts[row]), int(ends[row])
-                template = index.words[t]
-                side = min(band, len(template) // 2)
+                template, side = index.words[t], index.side[t]
                 a = max(begin, lo - side)
                 part = words[a: min(stop, hi + len(template) + side)]
                 reach = side + (hi - lo + 1) // 2
-                x0, x1, y0, y1, equal = local_alignment(part, template, (lo + hi) // 2 - a, reach)
-                if equal and equal >= coverage * len(template):
+                for x0, x1, equal in matches(part, template, (lo + hi) // 2 - a, reach, index.need[t]):
                     x0, x1 = x0 + a, x1 + a
                     base = int(offs[row])
                     chars = np.cumsum((data[base: int(end[x1 - 1])] & 0xC0) != 0x80)
@@ -235,7 +271,7 @@ def scan(docs: DataFrame, templates: dict[str, str] | None = None, k: int = K, w
     schema = (f"doc_id {kind}, row long, template string, start_word long, end_word long, start long, end long, matched long, "
               "template_words long, coverage double")
     rows = docs.select("doc_id", "text", F.monotonically_increasing_id().alias("row"))
-    found = [rows.mapInArrow(partial(_scan, Index(p, k, window), k, band, coverage), schema) for p in parts]
+    found = [rows.mapInArrow(partial(_scan, Index(p, k, window, band, coverage)), schema) for p in parts]
     if len(found) == 1:
         best = found[0].mapInArrow(_best, schema)  # a row's matches are in one batch
     else:

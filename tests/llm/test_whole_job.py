@@ -2,7 +2,7 @@
 
 import random
 
-from corpuslens.llm import minhash_join
+from corpuslens.llm import license_scan, minhash_join
 
 
 def test_near_copies_go_by_row_not_by_id(make_docs, clashing):
@@ -33,3 +33,28 @@ def test_pipeline_keeps_clean_rows_of_one_id(spark, make_docs):
     rows = [(None, " ".join(f"w{rng.randrange(10_000)}" for _ in range(40))) for _ in range(30)]
     stage = dict(corpus_pipeline.STAGES)["near_duplicates"]
     assert stage(spark, make_docs(rows), "").count() == 30
+
+
+def test_license_scan_finds_all_matches_of_its_coverage(make_docs):
+    t = license_scan.TEMPLATES
+    rows, want = [], set()
+    for name in ("MIT", "CC-BY-NC-4.0", "Apache-2.0", "CC-BY-4.0", "GPL-3.0"):  # one word changed, wherever it stands
+        words = t[name].replace("-", " ").replace("4.0", "4 0").replace("2.0", "2 0").split()
+        for i in range(len(words)):
+            rows.append((len(rows), " ".join(["lorem", *words[:i], "altered", *words[i + 1:], "ipsum"])))
+            want.add((rows[-1][0], name))
+    long_notices = ("Apache-2.0-header", "BSD-2-Clause", "MIT-permission")
+    for name in long_notices:
+        words = t[name].split()
+        middle = len(words) // 2
+        for text in (words[:middle] + [f"put{i}" for i in range(8)] + words[middle:], words[:middle] + words[middle + 8:]):
+            rows.append((len(rows), " ".join(text)))
+            want.add((rows[-1][0], name))
+        rows.append((len(rows), t[name] + " " + t[name]))  # both of two in a row
+        want.add((rows[-1][0], name))
+    got = license_scan.scan(make_docs(rows)).collect()
+    assert want <= {(r.doc_id, r.template) for r in got}
+    assert all(r.coverage >= 0.8 for r in got)
+    for name in long_notices:
+        (twice,) = [i for i, text in rows if text == t[name] + " " + t[name]]
+        assert sum(r.doc_id == twice and r.template == name for r in got) == 2
