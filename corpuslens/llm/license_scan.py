@@ -215,7 +215,8 @@ def matches(text: np.ndarray, template: np.ndarray, diagonal: int, band: int, ne
         todo += [(a, a + x0), (a + x1, b)]
 
 
-def _scan(index: Index, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _scan(index: Index, alone: bool, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """All matches of each row; with ``alone`` (the only slice of the index) without those that overlap a better one."""
     for batch in batches:
         rows, out = [], []
         for first, data, offs, words, start, end, counts in _words(batch.column(1)):
@@ -234,25 +235,25 @@ def _scan(index: Index, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.Record
                     rows.append(first + row)
                     out.append((index.names[t], x0 - begin, x1 - begin, s, int(chars[-1]), equal, len(template), equal / len(template)))
         cols = list(zip(*out)) if out else [[]] * 8
-        yield pa.RecordBatch.from_arrays(
+        found = pa.RecordBatch.from_arrays(
             [batch.column(0).take(pa.array(rows, pa.int64())), batch.column(2).take(pa.array(rows, pa.int64())), pa.array(cols[0], pa.string()),
              *(pa.array(c, pa.int64()) for c in cols[1:7]), pa.array(cols[7], pa.float64())],
             ["doc_id", "row", "template", "start_word", "end_word", "start", "end", "matched", "template_words", "coverage"])
+        yield _best(found) if alone else found
 
 
-def _best(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Drop matches that overlap a better one of the same row; rows come whole and in order."""
-    for batch in batches:
-        row, name = batch.column(1).to_pylist(), batch.column(2).to_pylist()
-        s, e, n = (batch.column(i).to_pylist() for i in (5, 6, 7))
-        keep, taken, own = [], [], None
-        for i in sorted(range(len(row)), key=lambda i: (row[i], -n[i], name[i], s[i])):
-            if row[i] != own:
-                own, taken = row[i], []
-            if all(e[i] <= a or b <= s[i] for a, b in taken):
-                taken.append((s[i], e[i]))
-                keep.append(i)
-        yield batch.take(pa.array(sorted(keep, key=lambda i: (row[i], s[i])), pa.int64()))
+def _best(batch: pa.RecordBatch) -> pa.RecordBatch:
+    """Drop matches that overlap a better one of the same row; the batch holds all matches of its rows."""
+    row, name = batch.column(1).to_pylist(), batch.column(2).to_pylist()
+    s, e, n = (batch.column(i).to_pylist() for i in (5, 6, 7))
+    keep, taken, own = [], [], None
+    for i in sorted(range(len(row)), key=lambda i: (row[i], -n[i], name[i], s[i])):
+        if row[i] != own:
+            own, taken = row[i], []
+        if all(e[i] <= a or b <= s[i] for a, b in taken):
+            taken.append((s[i], e[i]))
+            keep.append(i)
+    return batch.take(pa.array(sorted(keep, key=lambda i: (row[i], s[i])), pa.int64()))
 
 
 def scan(docs: DataFrame, templates: dict[str, str] | None = None, k: int = K, window: int = WINDOW, band: int = BAND,
@@ -271,10 +272,10 @@ def scan(docs: DataFrame, templates: dict[str, str] | None = None, k: int = K, w
     schema = (f"doc_id {kind}, row long, template string, start_word long, end_word long, start long, end long, matched long, "
               "template_words long, coverage double")
     rows = docs.select("doc_id", "text", F.monotonically_increasing_id().alias("row"))
-    found = [rows.mapInArrow(partial(_scan, Index(p, k, window, band, coverage)), schema) for p in parts]
+    found = [rows.mapInArrow(partial(_scan, Index(p, k, window, band, coverage), len(parts) == 1), schema) for p in parts]
     if len(found) == 1:
-        best = found[0].mapInArrow(_best, schema)  # a row's matches are in one batch
+        best = found[0]
     else:
         best = (reduce(DataFrame.union, found).groupBy("row")
-                .applyInArrow(lambda group: pa.Table.from_batches(_best(iter(group.combine_chunks().to_batches()))), schema))
+                .applyInArrow(lambda group: pa.Table.from_batches([_best(b) for b in group.combine_chunks().to_batches()], group.schema), schema))
     return best.drop("row")

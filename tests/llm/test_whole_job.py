@@ -58,3 +58,16 @@ def test_license_scan_finds_all_matches_of_its_coverage(make_docs):
     for name in long_notices:
         (twice,) = [i for i, text in rows if text == t[name] + " " + t[name]]
         assert sum(r.doc_id == twice and r.template == name for r in got) == 2
+
+
+def test_license_overlaps_do_not_depend_on_batches(spark, make_docs):
+    t = license_scan.TEMPLATES
+    docs = make_docs([(i, t["Apache-2.0-header"]) for i in range(5)]).coalesce(1)
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    before = spark.conf.get(key)
+    try:
+        spark.conf.set(key, "1")  # matches of one document are cut apart between two Arrow stages
+        got = license_scan.scan(docs).collect()
+    finally:
+        spark.conf.set(key, before)
+    assert sorted((r.doc_id, r.template) for r in got) == [(i, "Apache-2.0-header") for i in range(5)]
