@@ -33,12 +33,13 @@ def unit(x: np.ndarray) -> np.ndarray:
     return x / np.sqrt((x * x).sum(axis=1, keepdims=True))
 
 
-def hash_sample(rows: DataFrame, v: str, n: int, most: int, dim: int) -> np.ndarray:
-    """At most ``most`` of the ``n`` rows by hash of the vector, in hash order (expected: ``most``, or all)."""
+def hash_sample(rows: DataFrame, v: str, n: int, most: int, dim: int, distinct: bool = False) -> np.ndarray:
+    """At most ``most`` of the ``n`` rows (``distinct``: of the ``n`` different vectors) by hash of the vector, in hash
+    order (expected: ``most``, or all)."""
     h = F.xxhash64(v)
     share = 1e6 * min(1.0, 1.5 * most / max(n, 1))
-    got = (rows.select(F.col(v).alias("v"), h.alias("h")).where(F.expr(f"pmod(h, 1000000) < {share}"))
-           .orderBy("h", "v").limit(most).toArrow())
+    got = rows.select(F.col(v).alias("v"), h.alias("h")).where(F.expr(f"pmod(h, 1000000) < {share}"))
+    got = (got.distinct() if distinct else got).orderBy("h", "v").limit(most).toArrow()
     return matrix(got["v"], dim)
 
 

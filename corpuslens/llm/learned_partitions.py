@@ -1,15 +1,16 @@
 """Nearest neighbours by learned partitions of a neighbour graph.
 
-1. Sample: at most ``sample_rows`` rows by hash.  Its ``neighbours``-nearest-
+1. Sample: at most ``sample_rows`` distinct vectors by hash.  Its ``neighbours``-nearest-
    neighbour graph (inner product) is cut into balanced parts: k-means cells
    with a capacity start it, then vertices move to the part that holds most of
    their neighbours, as far as capacities allow.  There are sqrt(n) / 4 parts.
 2. Classifier: one hidden layer, trained to predict the share of a vector's
    neighbours in each part (cross-entropy, Adam).
 3. Index: every row goes to its most probable part.
-4. Probes: for ``trial_queries`` rows by hash the exact neighbours among all
+4. Probes: for ``trial_queries`` distinct vectors by hash the exact neighbours among all
    rows are found in blocks, and the number of parts to search is the smallest
-   whose recall on them reaches ``recall``.
+   whose recall on them reaches ``recall``.  A vector counts once however many copies it
+   has: copies find one another in one part and say nothing of the other queries.
 5. Search: each query goes to that many most probable parts and meets their rows in
    blocks of bounded size; the best of each block are re-scored one by one in
    double precision and merged.
@@ -180,10 +181,10 @@ def _trial(queries: np.ndarray, own: np.ndarray, dim: int, k: int, batches: Iter
     yield pa.RecordBatch.from_arrays([pa.array(q), pa.array(ids), pa.array(parts), pa.array(score)], ["q", "vec_id", "part", "score"])
 
 
-def _probes(index: DataFrame, model: Classifier, dim: int, n: int, k: int, trial_queries: int, recall: float) -> int:
-    h = F.xxhash64("v", F.lit(1))
-    few = (index.where(F.expr(f"pmod(xxhash64(v, 1), 1000000) < {1e6 * min(1.0, 4.0 * trial_queries / n)}"))
-           .orderBy(h, "vec_id").limit(trial_queries).select("vec_id", "v").toArrow())
+def _probes(index: DataFrame, model: Classifier, dim: int, different: int, k: int, trial_queries: int, recall: float) -> int:
+    few = (index.where(F.expr(f"pmod(xxhash64(v, 1), 1000000) < {1e6 * min(1.0, 4.0 * trial_queries / different)}"))
+           .groupBy("v").agg(F.min("vec_id").alias("vec_id"))
+           .orderBy(F.xxhash64("v", F.lit(1)), "v").limit(trial_queries).select("vec_id", "v").toArrow())
     x, own = matrix(few["v"], dim), _ids(few["vec_id"])
     near = index.select("row", "vec_id", "v", "part").mapInArrow(partial(_trial, x, own, dim, k), "q long, vec_id long, part long, score double")
     w = Window.partitionBy("q").orderBy(F.desc("score"), "vec_id")
@@ -202,20 +203,20 @@ def search(base: DataFrame, queries: DataFrame, vec_id: str = "vec_id", vector:
     empty = base.select(F.col(vec_id).alias("query_id"), F.lit(1).alias("rank"), F.col(vec_id).alias("vec_id"), F.lit(0.0).alias("score")).where("1 = 0")
     pick = [F.monotonically_increasing_id().alias("row"), F.col(vec_id).cast("long").alias("vec_id"), F.col(vector).alias("v")]
     base, queries = (t.select(F.col(vec_id), F.col(vector)).where(usable(vector)).select(*pick) for t in (base, queries))
-    n, dim = base.agg(F.count("*"), F.max(F.size("v"))).first()
+    n, dim, different = base.agg(F.count("*"), F.max(F.size("v")), F.approx_count_distinct(F.xxhash64("v"))).first()
     asked, dim2 = queries.agg(F.count("*"), F.max(F.size("v"))).first()
     if not n or not asked:
         return empty
     dim = max(dim, dim2)
     parts = math.ceil(math.sqrt(n) / 4)
-    sample = hash_sample(base, "v", n, min(max(256 * parts, 2048), sample_rows), dim)
+    sample = hash_sample(base, "v", different, min(max(256 * parts, 2048), sample_rows), dim, distinct=True)
     kind = base.schema["v"].dataType.simpleString()
     schema = f"row long, vec_id long, v {kind}, part long"
     if len(sample) < 3:
         sample = np.concatenate([sample] * 3)
     model = train(sample, min(parts, len(sample)), neighbours)
     index = written(base.mapInArrow(partial(_route, model, dim, 1), schema))
-    probes = _probes(index, model, dim, n, k, trial_queries, recall)
+    probes = _probes(index, model, dim, different, k, trial_queries, recall)
     routed = written(queries.mapInArrow(partial(_route, model, dim, probes), schema))
     sizes = (index.groupBy("part").agg(F.ceil(F.count("*") / row_block).cast("int").alias("rb"))
              .join(routed.groupBy("part").agg(F.ceil(F.count("*") / query_block).cast("int").alias("qb")), "part"))

@@ -2,7 +2,9 @@
 
 import random
 
-from corpuslens.llm import license_scan, minhash_join
+import numpy as np
+
+from corpuslens.llm import learned_partitions, license_scan, minhash_join
 
 
 def test_near_copies_go_by_row_not_by_id(make_docs, clashing):
@@ -71,3 +73,29 @@ def test_license_overlaps_do_not_depend_on_batches(spark, make_docs):
     finally:
         spark.conf.set(key, before)
     assert sorted((r.doc_id, r.template) for r in got) == [(i, "Apache-2.0-header") for i in range(5)]
+
+
+def test_probes_are_set_by_distinct_vectors(spark):
+    from pyspark.sql import functions as F
+
+    x = np.random.default_rng(3).normal(size=(2000, 16))
+    schema = "vec_id long, embedding array<double>"
+    rows = [(i, v.tolist()) for i, v in enumerate(x)]
+    h = F.xxhash64("embedding", F.lit(1))
+    first = (spark.createDataFrame(rows, schema).where(F.pmod(h, F.lit(1_000_000)) < 200_000)
+             .orderBy(h).first())  # its copies would fill the trial
+    rows += [(10_000 + i, first.embedding) for i in range(400)]
+    base = spark.createDataFrame(rows, schema)
+    got = learned_partitions.search(base, base.where("vec_id < 200"), k=10).collect()
+    assert len(got) == 2000
+    found = {(r.query_id, r.vec_id) for r in got}
+    y, ids = np.array([v for _, v in rows]), np.array([i for i, _ in rows])
+    hits = total = 0
+    for i in range(200):
+        s = y @ y[i]
+        s[ids == i] = -np.inf
+        best = {int(ids[j]) for j in np.lexsort((ids, -s))[:10]}
+        if not any(j >= 10_000 for j in best):
+            total += 10
+            hits += sum((i, j) in found for j in best)
+    assert total > 1000 and hits >= 0.9 * total
