@@ -8,7 +8,10 @@ under the shared checkpoint directory named by the cluster
 from __future__ import annotations
 
 import uuid
+from collections.abc import Iterator
+from functools import partial
 
+import pyarrow as pa
 from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -90,13 +93,27 @@ def write_pairs_json(pairs: DataFrame, summary: DataFrame, path: str) -> tuple[s
     return f"{path}/pairs", f"{path}/pairs_summary"
 
 
-def write_pairs_array(pairs: DataFrame, path: str, documents: int = 8) -> str:
-    """Pairs as JSON array documents, each of which is one text value (and one task when
-    read); give enough ``documents`` for the size of the table."""
-    part = F.pmod(F.xxhash64("doc_id"), F.lit(documents))
-    rows = pairs.groupBy(part.alias("_part")).agg(F.collect_list(F.to_json(F.struct(*pairs.columns), {"ignoreNullFields": "false"})).alias("r"))
-    rows.select("_part", F.concat(F.lit("["), F.array_join("r", ","), F.lit("]")).alias("value")) \
-        .write.mode("overwrite").partitionBy("_part").text(path)  # a file holds one document
+def _array_documents(most_bytes: int, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """JSON objects, one a row, as JSON arrays of up to ``most_bytes`` (or of one larger object)."""
+    rows, size = [], 0
+    for batch in batches:
+        for row in batch.column(0).to_pylist():
+            n = len(row.encode()) + 1
+            if rows and size + n > most_bytes:
+                yield pa.RecordBatch.from_arrays([pa.array(["[" + ",".join(rows) + "]"])], ["value"])
+                rows, size = [], 0
+            rows.append(row)
+            size += n
+    if rows:
+        yield pa.RecordBatch.from_arrays([pa.array(["[" + ",".join(rows) + "]"])], ["value"])
+
+
+def write_pairs_array(pairs: DataFrame, path: str, most_bytes: int = 8 << 20) -> str:
+    """Pairs as JSON array documents of up to ``most_bytes``, each of which is one text value and
+    one file; their number grows with the table, their size does not.  Nothing is shuffled."""
+    rows = pairs.select(F.to_json(F.struct(*pairs.columns), {"ignoreNullFields": "false"}).alias("value"))
+    rows.mapInArrow(partial(_array_documents, most_bytes), "value string") \
+        .write.mode("overwrite").option("maxRecordsPerFile", 1).text(path)  # a file holds one document
     return path
 
 
