@@ -61,17 +61,19 @@ def checkpoint_dir(spark: SparkSession) -> str:
         sc = spark.sparkContext  # absent under Spark Connect
     except Exception:  # noqa: BLE001
         sc = None
-    if not current and sc is not None:
-        current = sc.getCheckpointDir() if hasattr(sc, "getCheckpointDir") else None
-    if not current:
-        master = sc.master if sc is not None else spark.conf.get("spark.master", "remote")
-        current = private_folder(master)
-        spark.conf.set("spark.checkpoint.dir", current)
-    if sc is not None:
+    if sc is None:
+        return current or private_folder(spark.conf.get("spark.master", "remote"))
+    if not current:  # the setting cannot be changed in a running session: the folder is kept by application
+        current = sc.getCheckpointDir() or _private.get(sc.applicationId) or private_folder(sc.master)
+        _private[sc.applicationId] = current
+    if not sc.getCheckpointDir():
         sc.setCheckpointDir(current)
     return current
 
 
+_private: dict[str, str] = {}
+
+
 def private_folder(master: str) -> str:
     if not re.fullmatch(r"local(\[.*\])?", master):
         raise RuntimeError(f"spark.checkpoint.dir is not set: master {master!r} needs a folder that all executors share")

@@ -7,9 +7,6 @@ import pytest
 ROOT = os.path.dirname(os.path.dirname(os.path.abspath(__file__)))
 sys.path.insert(0, ROOT)
 
-SF_SMALL = "/root/testdata/sf0.001"
-SF_MID = "/root/testdata/sf0.01"
-
 
 @pytest.fixture(scope="session")
 def spark():
@@ -24,7 +21,7 @@ def spark():
              .getOrCreate())
     spark.sparkContext.setLogLevel("ERROR")
     if not spark.conf.get("spark.checkpoint.dir", None):  # only where unset, as in tests
-        spark.conf.set("spark.checkpoint.dir", tempfile.mkdtemp(prefix="corpuslens-test-"))
+        spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="corpuslens-test-"))
     yield spark
     spark.stop()
 

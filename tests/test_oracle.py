@@ -2,7 +2,7 @@
 
 import pytest
 
-from conftest import SF_SMALL
+from paths import SF_SMALL
 from tools.oracle_check import compare
 
 from __spark_entry__ import entry, oracle_sql, queries
