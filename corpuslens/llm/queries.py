@@ -4,9 +4,9 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from . import (embedding_dedup, language_id, learned_partitions, license_scan, minhash_join, passage_chains, secrets_scan,
+from . import (embedding_dedup, language_id, learned_partitions, license_scan, merkle_manifest, minhash_join, passage_chains, secrets_scan,
                sequence_packing, source_mix, warc_revisits)
 from ._spark import table
 
@@ -102,3 +102,51 @@ c AS (SELECT x, min(y) AS low FROM r GROUP BY x)
 SELECT d.doc_id, coalesce(n.n, 0) AS n_shingles, least(d.doc_id, coalesce(c.low, d.doc_id)) AS component_id,
        least(d.doc_id, coalesce(c.low, d.doc_id)) = d.doc_id AS kept
 FROM d LEFT JOIN n ON n.doc_id = d.doc_id LEFT JOIN c ON c.x = d.doc_id"""
+
+
+@query
+def op13_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A document whose id's checksum is even is altered: its text loses the line feeds."""
+    even = F.crc32(F.col("doc_id").cast("string")) % 2 == 0
+    return merkle_manifest.manifest(table(spark, sf_dir, "documents"), even, F.replace(F.col("text"), F.lit("\n"), F.lit("")))
+
+
+# every character of the id, then its eight shifts, as one list to reduce
+CRC32 = """xor(4294967295, list_reduce(list_prepend(4294967295, flatten(list_transform(string_split(CAST({0} AS VARCHAR), ''),
+  lambda ch: [CAST(ascii(ch) AS BIGINT), -1, -1, -1, -1, -1, -1, -1, -1]))),
+  lambda c, o: CASE WHEN o >= 0 THEN xor(c, o) WHEN c % 2 = 1 THEN xor(c // 2, 3988292384) ELSE c // 2 END))"""
+
+
+def _field(name: str) -> str:
+    v = f"CAST({name} AS VARCHAR)"
+    return f"coalesce(CAST(strlen({v}) AS VARCHAR) || ':' || {v}, '-')"
+
+
+def _leaf(text: str) -> str:
+    return "sha256(" + " || ".join(_field(text if f == "text" else f) for f in merkle_manifest.FIELDS) + ")"
+
+
+# trees climbed level by level: t holds the documents' sources (s > 0), u the sources themselves
+ORACLE["op13_merkle_manifest"] = f"""
+WITH RECURSIVE d AS (
+  SELECT doc_id, source, {_leaf('text')} AS leaf,
+         CASE WHEN {CRC32.format('doc_id')} % 2 = 0 THEN {_leaf("replace(text, chr(10), '')")} END AS folded FROM documents),
+p AS (SELECT *, dense_rank() OVER (ORDER BY source NULLS FIRST) AS s,
+        row_number() OVER (PARTITION BY source ORDER BY doc_id NULLS FIRST, leaf, folded) - 1 AS i FROM d),
+t AS (SELECT s, 0 AS lvl, i, leaf AS h, count(*) OVER (PARTITION BY s) AS n FROM p
+      UNION ALL SELECT s, any_value(lvl) + 1, i // 3, sha256(string_agg(h, '' ORDER BY i)), (any_value(n) + 2) // 3 FROM t WHERE n > 1 GROUP BY s, i // 3),
+u AS (SELECT 0 AS lvl, s - 1 AS i, h, count(*) OVER () AS n FROM t WHERE n = 1
+      UNION ALL SELECT any_value(lvl) + 1, i // 3, sha256(string_agg(h, '' ORDER BY i)), (any_value(n) + 2) // 3 FROM u WHERE n > 1 GROUP BY i // 3),
+a AS (SELECT s, lvl, i, h, n FROM t UNION ALL SELECT 0, lvl, i, h, n FROM u),
+x AS (SELECT a.s, a.lvl, a.i, coalesce(string_agg(o.h, '' ORDER BY o.i) FILTER (WHERE o.i < a.i), '') AS l,
+             coalesce(string_agg(o.h, '' ORDER BY o.i) FILTER (WHERE o.i > a.i), '') AS r
+      FROM a JOIN a o ON o.s = a.s AND o.lvl = a.lvl AND o.i // 3 = a.i // 3 WHERE a.n > 1 GROUP BY a.s, a.lvl, a.i),
+f AS (SELECT s AS own, i AS doc, s, 0 AS lvl, i, coalesce(folded, leaf) AS h, '' AS proof FROM p
+      UNION ALL
+      SELECT own, doc, CASE WHEN x.s IS NULL THEN 0 ELSE f.s END, CASE WHEN x.s IS NULL THEN 0 ELSE f.lvl + 1 END,
+             CASE WHEN x.s IS NULL THEN own - 1 ELSE f.i // 3 END,
+             CASE WHEN x.s IS NULL THEN f.h ELSE sha256(x.l || f.h || x.r) END, proof || coalesce(x.l || x.r, '')
+      FROM f LEFT JOIN x ON x.s = f.s AND x.lvl = f.lvl AND x.i = f.i WHERE f.s > 0 OR x.s IS NOT NULL)
+SELECT p.doc_id, p.leaf, q.h AS subroot, z.h AS root, sha256(f.proof) AS proof_sha256, f.h AS folded_root, f.h = z.h AS verified
+FROM p JOIN (SELECT s, h FROM t WHERE n = 1) q ON q.s = p.s JOIN f ON f.own = p.s AND f.doc = p.i
+JOIN (SELECT max(lvl) AS top FROM u) m ON f.s = 0 AND f.lvl = m.top CROSS JOIN (SELECT h FROM u WHERE n = 1) z"""
