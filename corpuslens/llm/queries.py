@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from . import (embedding_dedup, language_id, learned_partitions, license_scan, merkle_manifest, minhash_join, passage_chains, secrets_scan,
+from . import (embedding_dedup, language_id, learned_partitions, license_scan, merkle_manifest, minhash_join, passage_chains, prefix_trie, secrets_scan,
                sequence_packing, source_mix, warc_revisits)
 from ._spark import table
 
@@ -150,3 +150,31 @@ f AS (SELECT s AS own, i AS doc, s, 0 AS lvl, i, coalesce(folded, leaf) AS h, ''
 SELECT p.doc_id, p.leaf, q.h AS subroot, z.h AS root, sha256(f.proof) AS proof_sha256, f.h AS folded_root, f.h = z.h AS verified
 FROM p JOIN (SELECT s, h FROM t WHERE n = 1) q ON q.s = p.s JOIN f ON f.own = p.s AND f.doc = p.i
 JOIN (SELECT max(lvl) AS top FROM u) m ON f.s = 0 AND f.lvl = m.top CROSS JOIN (SELECT h FROM u WHERE n = 1) z"""
+
+
+@query
+def op12_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return prefix_trie.trie(*prefix_trie.rebuild(table(spark, sf_dir, "conversations")))
+
+
+# a node is its depth and the text of all its turns; its subtree is found through the paths of owners
+ORACLE["op12_prefix_trie"] = f"""
+WITH t AS (
+  SELECT conv_id AS c, coalesce(role, '') AS role, coalesce(text, '') AS text,
+         row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, role, text) - 1 AS pos FROM conversations WHERE conv_id IS NOT NULL),
+ids AS (SELECT DISTINCT c, c - c % 100 AS base, {CRC32.format('c')} % 6 AS h FROM t),
+r AS (SELECT ids.c, pos, role, text FROM ids JOIN t ON t.c = ids.base WHERE pos < h
+      UNION ALL SELECT ids.c, pos, role, text FROM ids JOIN t ON t.c = ids.c WHERE pos >= h),
+m AS (SELECT c, row_number() OVER w AS depth, count(*) OVER (PARTITION BY c) AS turns, length(text) AS cp,
+             string_agg(length(role) || ':' || role || length(text) || ':' || text, '') OVER w AS k FROM r WINDOW w AS (PARTITION BY c ORDER BY pos)
+      UNION ALL SELECT c, 0, (SELECT count(*) FROM r WHERE r.c = ids.c), 0, '' FROM ids),
+p AS (SELECT *, lag(k) OVER (PARTITION BY c ORDER BY depth) AS parent FROM m),
+n AS (SELECT depth, k, any_value(parent) AS parent, min(c) AS c, count(*) AS n, any_value(cp) AS cp,
+             coalesce(string_agg(CASE WHEN turns = depth THEN CAST(c AS VARCHAR) END, ',' ORDER BY c), '') AS ends FROM p GROUP BY depth, k),
+kids AS (SELECT depth - 1 AS depth, parent AS k, count(*) AS kids FROM n WHERE depth > 0 GROUP BY ALL),
+x AS (SELECT n.*, coalesce(kids, 0) AS kids FROM n LEFT JOIN kids USING (depth, k)),
+s AS (SELECT p.depth, p.k, count(*) FILTER (WHERE kids = 0) AS leaves, CAST(sum((x.n - 1) * x.cp) AS BIGINT) AS saved
+      FROM x JOIN p ON p.c = x.c AND p.depth <= x.depth GROUP BY p.depth, p.k)
+SELECT x.c AS conv_id, x.depth, up.c AS parent_conv_id, x.n AS n_convs, x.kids AS n_children, s.leaves AS n_leaves,
+       s.saved AS saved_tokens, sha256(x.ends) AS ends_sha256
+FROM x JOIN s ON s.depth = x.depth AND s.k = x.k LEFT JOIN n up ON up.depth = x.depth - 1 AND up.k = x.parent"""
