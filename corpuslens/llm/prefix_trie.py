@@ -43,7 +43,7 @@ from ._batches import U, mix
 from ._places import STEP, numbered, power
 from ._spark import written
 
-BLOCK = 1 << 14  # counters of a sketch block
+BLOCK = 1 << 14  # counters of a sketch block, at most
 ROWS = 2
 MAX_WIDTH = 1 << 24
 CHUNK = 1 << 16  # bytes of joined ids
@@ -81,7 +81,7 @@ def trie(ids: DataFrame, rows: DataFrame, max_width: int = MAX_WIDTH) -> DataFra
         return ids.sparkSession.createDataFrame([], _SCHEMA)
     placed = rows.select("c", F.col("pos").alias("at"), "t1", "t2", F.col("t1").alias("p1"), F.col("t2").alias("p2"), "cp", F.col("cp").alias("upto"))
     placed = written(numbered(placed, "c", ["at", "t1", "t2"], {"p1": "poly", "p2": "poly", "upto": "sum"}))
-    width = BLOCK
+    width = 64
     while width < min(max_width, 8 * placed.count()):
         width *= 2
     sketch = _sketch(placed, width)
@@ -174,7 +174,7 @@ def _count(width: int, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordB
         for k, at in enumerate(_slots(width, d, p1, p2)):
             at, n = np.unique(at, return_counts=True)
             sketch[k, at] = np.minimum(sketch[k, at] + n, 2)
-    flat = sketch.reshape(-1, BLOCK)
+    flat = sketch.reshape(-1, min(BLOCK, width))
     used = np.flatnonzero(flat.any(axis=1))
     for b in used:
         yield pa.RecordBatch.from_pydict({"block": pa.array([int(b)]), "counts": pa.array([flat[b].tobytes()], pa.binary())})
@@ -182,13 +182,13 @@ def _count(width: int, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordB
 
 def _merge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Adds the sketches of equal blocks, one after the other (rows are sorted by block)."""
-    block, total = None, np.zeros(BLOCK, np.uint8)
+    block, total = None, np.zeros(0, np.uint8)
     for batch in batches:
         for b, counts in zip(batch.column("block").to_pylist(), batch.column("counts"), strict=True):
             if b != block:
                 if block is not None:
                     yield pa.RecordBatch.from_pydict({"block": pa.array([block]), "counts": pa.array([total.tobytes()], pa.binary())})
-                block, total = b, np.zeros(BLOCK, np.uint8)
+                block, total = b, np.zeros(len(counts.as_buffer()), np.uint8)
             total = np.minimum(total + np.frombuffer(counts.as_buffer(), np.uint8), 2)
     if block is not None:
         yield pa.RecordBatch.from_pydict({"block": pa.array([block]), "counts": pa.array([total.tobytes()], pa.binary())})
@@ -199,7 +199,8 @@ def _sketch(placed: DataFrame, width: int) -> np.ndarray:
     parts = placed.select("pos", "p1", "p2").mapInArrow(partial(_count, width), schema).withColumn("salt", F.spark_partition_id() % 32)
     once = parts.repartition("block", "salt").sortWithinPartitions("block").select("block", "counts").mapInArrow(_merge, schema)
     merged = once.repartition("block").sortWithinPartitions("block").mapInArrow(_merge, schema).toArrow()
-    sketch = np.zeros((ROWS * width // BLOCK, BLOCK), np.uint8)
+    block = min(BLOCK, width)
+    sketch = np.zeros((ROWS * width // block, block), np.uint8)
     for b, counts in zip(merged["block"].to_pylist(), merged["counts"], strict=True):
         sketch[b] = np.frombuffer(counts.as_buffer(), np.uint8)
     return sketch.reshape(ROWS, width)

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from . import (embedding_dedup, language_id, learned_partitions, license_scan, merkle_manifest, minhash_join, passage_chains, prefix_trie, secrets_scan,
-               sequence_packing, source_mix, warc_revisits)
+               sequence_packing, source_mix, toxicity, warc_revisits)
 from ._spark import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -178,3 +178,8 @@ s AS (SELECT p.depth, p.k, count(*) FILTER (WHERE kids = 0) AS leaves, CAST(sum(
 SELECT x.c AS conv_id, x.depth, up.c AS parent_conv_id, x.n AS n_convs, x.kids AS n_children, s.leaves AS n_leaves,
        s.saved AS saved_tokens, sha256(x.ends) AS ends_sha256
 FROM x JOIN s ON s.depth = x.depth AND s.k = x.k LEFT JOIN n up ON up.depth = x.depth - 1 AND up.k = x.parent"""
+
+
+@query
+def op11_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return toxicity.score(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
