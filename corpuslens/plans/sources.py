@@ -4,7 +4,6 @@ the test tables to a fresh shared folder and reads it back."""
 from __future__ import annotations
 
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from corpuslens.functions.numeric import round_to
 from corpuslens.operators import metrics as M
@@ -36,8 +35,9 @@ def read_indexed_csv_q(spark, sf_dir):
 
 @query("scan_head", with_ctes(["corpus_a"], "SELECT doc_id, class FROM corpus_a ORDER BY doc_id LIMIT 10"))
 def scan_head_q(spark, sf_dir):
-    path = io.write_csv(fx.corpus_a(spark, sf_dir), io.scratch_path(spark, "corpus-a"))
-    return io.scan_head(io.read_corpus_csv(spark, path), "doc_id", 10).select("doc_id", "class")
+    """The corpus is stored in id order; only the first file is opened."""
+    path = io.write_csv(fx.corpus_a(spark, sf_dir).orderBy("doc_id"), io.scratch_path(spark, "corpus-a"))
+    return io.scan_head(spark, path, io.CORPUS_A, 10).select("doc_id", "class")
 
 
 @query("read_pairs_json", with_ctes(["predictions_text"], """
@@ -80,8 +80,7 @@ def write_split_csv_q(spark, sf_dir):
     partition column recovered from the folder names."""
     parts = S.split_per_class(fx.corpus_a(spark, sf_dir), "class", "doc_id", 42, 0.8)
     path = io.write_csv(parts.select("doc_id", "class", "text", "split"), io.scratch_path(spark, "splits"), ["split"])
-    schema = T.StructType(io.CORPUS_A.fields + [T.StructField("split", T.StringType())])  # a new schema
-    return spark.read.schema(schema).options(**io.CSV_OPTIONS).csv(path).select("doc_id", "class", "split")
+    return io.read_corpus_csv(spark, path).select("doc_id", "class", "split")
 
 
 _DOC_MODELS_SQL = """

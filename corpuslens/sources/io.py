@@ -18,6 +18,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from corpuslens.session import checkpoint_dir
+from corpuslens.sources.records import read_csv_records, read_json_array
 
 # ---------------------------------------------------------------------------
 # schemas: column and field names of the files read (fixed values)
@@ -45,7 +46,6 @@ LATENCY_STATS = T.StructType([T.StructField(n, T.DoubleType()) for n in ("mean",
 LATENCY_DOC = T.StructType([T.StructField("results", T.MapType(T.StringType(), LATENCY_STATS))])
 
 # CSV dialect of the corpora: quoted multi-line text, quotes doubled.
-CSV_OPTIONS = {"header": "true", "multiLine": "true", "escape": '"', "quote": '"'}
 CSV_WRITE_OPTIONS = {"header": "true", "escape": '"', "quote": '"',
                      "ignoreLeadingWhiteSpace": "false", "ignoreTrailingWhiteSpace": "false"}
 
@@ -67,9 +67,8 @@ def write_csv(df: DataFrame, path: str, partition_by: list[str] | None = None) -
 
 
 def read_corpus_csv(spark: SparkSession, path: str, schema: T.StructType = CORPUS_A) -> DataFrame:
-    """Labelled CSV with quoted multi-line text.  multiLine files are read one
-    task per file, so corpora are stored as many part files."""
-    return spark.read.schema(schema).options(**CSV_OPTIONS).csv(path)
+    """Labelled CSV with quoted multi-line text; a file of any size is read by many tasks."""
+    return read_csv_records(spark, path, schema)
 
 
 def read_indexed_csv(spark: SparkSession, path: str, schema: T.StructType = CORPUS_C,
@@ -78,9 +77,18 @@ def read_indexed_csv(spark: SparkSession, path: str, schema: T.StructType = CORP
     return read_corpus_csv(spark, path, schema).withColumnRenamed("_c0", index_name)
 
 
-def scan_head(df: DataFrame, key: str, n: int) -> DataFrame:
-    """The first n rows in key order (file order is not defined in Spark)."""
-    return df.orderBy(key).limit(n)
+def scan_head(spark: SparkSession, path: str, schema: T.StructType, n: int) -> DataFrame:
+    """The first n rows in the order of the files' names and of the lines in each.
+
+    Files are opened one after the other until there are n rows, and a file is read no
+    further than that: one task, as much of one file as the rows take where it has enough.
+    """
+    rows: list = []
+    for file in sorted(spark.read.text(path).inputFiles()):  # lists names, reads nothing
+        rows += spark.read.schema(schema).options(header="true", multiLine="true", escape='"', quote='"').csv(file).limit(n - len(rows)).collect()
+        if len(rows) == n:
+            break
+    return spark.createDataFrame(rows, schema)
 
 
 # ---------------------------------------------------------------------------
@@ -118,10 +126,8 @@ def write_pairs_array(pairs: DataFrame, path: str, most_bytes: int = 8 << 20) ->
 
 
 def read_pairs_json(spark: SparkSession, path: str, schema: T.StructType = PAIRS, array_file: bool = False) -> DataFrame:
-    """Pairs from JSON lines, or from one JSON array document (``array_file``;
-    such a file is not splittable and is read by one task)."""
-    r = spark.read.schema(schema)
-    return (r.option("multiLine", "true").option("recursiveFileLookup", "true") if array_file else r).json(path)
+    """Pairs from JSON lines, or from JSON array documents (``array_file``), of which one is read by many tasks, too."""
+    return read_json_array(spark, path, schema) if array_file else spark.read.schema(schema).json(path)
 
 
 # ---------------------------------------------------------------------------

@@ -27,3 +27,18 @@ def test_indexed_csv_names_the_index(spark):
     df = io.read_indexed_csv(spark, path)
     assert df.columns[0] == "row_id"
     assert sorted((r["row_id"], r["tweet"]) for r in df.collect()) == [(0, "a"), (1, "b\nc")]
+
+
+def test_head_opens_no_more_files_than_it_needs(spark, tmp_path):
+    text = "line one\n\"quoted\" line two"
+    rows = [(i, "a", text) for i in range(40)]
+    io.write_csv(spark.createDataFrame(rows, io.CORPUS_A).orderBy("doc_id").coalesce(1), str(tmp_path / "x"))
+    (tmp_path / "x" / "part-9.csv.gz").write_text("this is no gzip file")  # reading it raises
+    assert [tuple(r) for r in io.scan_head(spark, str(tmp_path / "x"), io.CORPUS_A, 40).collect()] == rows
+    assert io.scan_head(spark, str(tmp_path / "x"), io.CORPUS_A, 0).count() == 0
+    (tmp_path / "x" / "part-9.csv.gz").unlink()
+    io.write_csv(spark.createDataFrame([(99, "b", "z")], io.CORPUS_A), str(tmp_path / "y"))
+    for f in (tmp_path / "y").glob("part-*"):
+        f.rename(tmp_path / "x" / "part-zz.csv")
+    got = io.scan_head(spark, str(tmp_path / "x"), io.CORPUS_A, 100).collect()  # goes on with the next file
+    assert [r.doc_id for r in got] == [*range(40), 99]
