@@ -37,7 +37,7 @@ def test_head_opens_no_more_files_than_it_needs(spark, tmp_path):
     assert [tuple(r) for r in io.scan_head(spark, str(tmp_path / "x"), io.CORPUS_A, 40).collect()] == rows
     assert io.scan_head(spark, str(tmp_path / "x"), io.CORPUS_A, 0).count() == 0
     (tmp_path / "x" / "part-9.csv.gz").unlink()
-    io.write_csv(spark.createDataFrame([(99, "b", "z")], io.CORPUS_A), str(tmp_path / "y"))
+    io.write_csv(spark.createDataFrame([(99, "b", "z")], io.CORPUS_A).coalesce(1), str(tmp_path / "y"))
     for f in (tmp_path / "y").glob("part-*"):
         f.rename(tmp_path / "x" / "part-zz.csv")
     got = io.scan_head(spark, str(tmp_path / "x"), io.CORPUS_A, 100).collect()  # goes on with the next file
