@@ -11,7 +11,9 @@ from pyspark.sql import functions as F
 
 
 # White space as Python's ``str.split`` and ``str.strip`` know it (fixed values), for Java and for RE2.
-SPACE = r"[\t-\r\x1c-\x20\x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]"
+# (?U): \s is Unicode white space, which the separators 1c-1f are not.
+SPACE = r"(?U)[\s\x1c-\x1f]"
+WORD = r"(?U)[^\s\x1c-\x1f]+"
 SPACE_SQL = (r"[\t-\r\x1c-\x20\x{85}\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}]")
 
 
@@ -47,8 +49,8 @@ def words_sql(e: str) -> str:
 
 
 def first_words(c: Column | str, n: int) -> Column:
-    """``str.split()[:n]``."""
-    return F.slice(words(c), 1, n)
+    """``str.split()[:n]``; the text behind them is not cut up."""
+    return F.slice(F.filter(F.split(col(c), f"{SPACE}+", n + 2), lambda x: x != ""), 1, n)
 
 
 def first_words_sql(e: str, n: int) -> str:
@@ -56,7 +58,8 @@ def first_words_sql(e: str, n: int) -> str:
 
 
 def word_count(c: Column | str) -> Column:
-    return F.size(words(c))
+    """``len(str.split())``, counted without building the words."""
+    return F.regexp_count(col(c), F.lit(WORD))
 
 
 def word_count_sql(e: str) -> str:

@@ -12,8 +12,9 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from corpuslens.functions import prompts as PR
-from corpuslens.functions.text import col, words
+from corpuslens.functions.text import col, first_words, words
 from corpuslens.operators.sampling import global_position, with_ranges
+from corpuslens.session import materialise
 
 FILTERS = ("all", "mistakes_only", "confident_mistakes")
 
@@ -104,20 +105,33 @@ def build_vocabulary(docs: DataFrame, text: str = "text") -> DataFrame:
     return pos.select("word", (F.col("_pos") + FIRST_WORD_ID - 1).cast("long").alias("id"), "n")
 
 
+FREQUENT_WORDS, FREQUENT_BYTES = 20_000, 64  # at most so many words of so many bytes are broadcast
+
+
 def encode_fixed_length(docs: DataFrame, vocab: DataFrame, key: str = "doc_id", text: str = "text",
                         max_length: int = 128) -> DataFrame:
-    """input_ids cut / padded to ``max_length`` and the attention mask.
-
-    Only the first ``max_length`` words of a text can reach the output, so
-    only they are exploded and looked up; the join to the vocabulary is a
-    shuffle join (the vocabulary grows with the corpus) with AQE splitting hot
-    words."""
-    toks = docs.select(key, F.posexplode_outer(F.slice(words(F.lower(col(text))), 1, max_length)).alias("pos", "word"))
-    ided = toks.join(vocab.select("word", "id"), "word", "left") \
-               .select(key, "pos", F.when(F.col("pos").isNotNull(), F.coalesce("id", F.lit(UNK_ID).cast("long"))).alias("id"))
-    per_doc = ided.groupBy(key).agg(F.array_sort(F.collect_list(F.when(F.col("pos").isNotNull(), F.struct("pos", "id")))).alias("s"))
+    """input_ids cut / padded to ``max_length`` and the attention mask, one row for every row of
+    ``docs``: rows with equal or null keys stay apart.
+
+    Only the first ``max_length`` words of a text can reach the output, so only they are cut
+    off, numbered by row and stored.  The most frequent words meet a broadcast of bounded
+    size; the others are looked up by a shuffle join (the vocabulary grows with the corpus).
+    """
+    row, words_ = "_row", "_words"
+    heads = materialise(docs.select(F.monotonically_increasing_id().alias(row), col(key).alias("_key"),
+                                    first_words(F.lower(col(text)), max_length).alias(words_)))
+    vocab = materialise(vocab.select("word", "id"))  # read several times
+    tokens = heads.select(row, F.posexplode(words_).alias("pos", "word"))
+    often = (F.col("id") < FREQUENT_WORDS + FIRST_WORD_ID) & (F.octet_length("word") <= FREQUENT_BYTES)
+    frequent = F.broadcast(vocab.where(often).select("word", "id"))
+    known = tokens.join(frequent, "word")
+    others = tokens.join(frequent, "word", "left_anti").join(vocab.where(~often).select("word", "id"), "word", "left")
+    ided = known.union(others).select(row, F.struct("pos", F.coalesce("id", F.lit(UNK_ID).cast("long")).alias("id")).alias("t"))
+    keys = heads.select(row, F.lit(None).cast("struct<pos: int, id: bigint>").alias("t"), F.struct("_key").alias("k"))
+    rows = ided.withColumn("k", F.lit(None).cast(keys.schema["k"].dataType)).union(keys)
+    per_row = rows.groupBy(row).agg(F.max("k").alias("k"), F.array_sort(F.collect_list("t")).alias("s"))
     ids = F.transform(F.col("s"), lambda x: x["id"])
     pad = F.array_repeat(F.lit(PAD_ID).cast("long"), F.lit(max_length) - F.size(ids))
-    return per_doc.select(key, F.concat(ids, pad).alias("input_ids"),
+    return per_row.select(F.col("k._key").alias(key), F.concat(ids, pad).alias("input_ids"),
                           F.concat(F.array_repeat(F.lit(1), F.size(ids)),
                                    F.array_repeat(F.lit(0), F.lit(max_length) - F.size(ids))).alias("attention_mask"))

@@ -133,3 +133,24 @@ def test_absent_inputs_are_reported(spark):
     got = {r.table_name: (r.present, r.rows) for r in source_inventory(spark, {
         "labels": "/root/testdata/sf0.001/labels.parquet", "gone": "/root/testdata/sf0.001/gone.parquet"}).collect()}
     assert got["gone"] == (False, None) and got["labels"][0] is True
+
+
+def test_word_counts_and_first_words_follow_python(spark):
+    df = spark.createDataFrame([*enumerate(TEXTS), (99, None)], "i int, t string")
+    got = {r.i: (r.n, r.w) for r in df.select("i", TX.word_count("t").alias("n"), TX.first_words("t", 2).alias("w")).collect()}
+    assert got.pop(99) == (None, None)
+    assert got == {i: (len(t.split()), t.split()[:2]) for i, t in enumerate(TEXTS)}
+
+
+def test_encoding_has_a_row_for_every_row(spark):
+    rows = [(1, "a b a"), (1, "b c"), (None, "a"), (None, None), (2, ""), (3, " \n"), (4, "a " * 300), (4, "a " * 300), (5, "long" * 40 + " a")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    vocab = spark.createDataFrame([("a", 2), ("b", 3), ("long" * 40, 50_000)], "word string, id long")
+    got = PA.encode_fixed_length(docs, vocab, max_length=8).collect()
+    ids = {"a": 2, "b": 3, "long" * 40: 50_000}
+
+    def plain(text):
+        w = [ids.get(x, PA.UNK_ID) for x in (text or "").lower().split()[:8]]
+        return w + [PA.PAD_ID] * (8 - len(w)), [1] * len(w) + [0] * (8 - len(w))
+
+    assert sorted(map(str, [(r.doc_id, (r.input_ids, r.attention_mask)) for r in got])) == sorted(map(str, [(i, plain(t)) for i, t in rows]))
