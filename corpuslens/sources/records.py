@@ -24,7 +24,6 @@ from functools import partial
 
 import numpy as np
 import pyarrow as pa
-import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -78,7 +77,7 @@ def records(spark: SparkSession, path: str | list[str], dialect: Dialect) -> Dat
         *[F.col(c) for c in extra])
     heads = pieces.select("file_", "start_", "flip_", "out_", "in_", F.substring(F.regexp_replace("value", r"^\s+", ""), 1, 1).alias("value"))
     effects = heads.mapInArrow(partial(_effects, dialect.step), "file_ long, start_ long, flip int, outside int, inside int, opener string")
-    states = _states(effects.orderBy("file_", "start_").collect(), dialect)
+    states = _states(sorted(effects.collect(), key=lambda e: (e["file_"], e["start_"])), dialect)
     kinds = ", ".join(f"`{c}` {text.schema[c].dataType.simpleString()}" for c in extra)
     schema = "record string, first boolean, kind_ int, file_ long, start_ long" + (", " + kinds if kinds else "")
     cut = materialise(pieces.mapInArrow(partial(_cut, states, dialect.separator, dialect.step, extra), schema))
@@ -87,6 +86,7 @@ def records(spark: SparkSession, path: str | list[str], dialect: Dialect) -> Dat
 
 
 WHOLE, HEAD, MIDDLE, TAIL = range(4)
+FLUSH = 4 << 20  # characters of records that a task gathers for one Arrow batch
 
 
 def _joined(fragments: DataFrame, separator: str, extra: list[str]) -> DataFrame:
@@ -154,18 +154,28 @@ def _effects(step: int, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.Record
 
 def _cut(states: dict, separator: str, step: int, extra: list[str], batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     split, inside, depth, base, open_, ends, more, fresh = None, 0, 0, 0, [], 0, {}, True
+    out: list[tuple[str, bool, int]] = []  # records of the split that were put together: text, first, kind
+    size = 0
 
-    def rows(texts: pa.Array, kind: int, first: list[bool], cols: dict[str, pa.Array]) -> pa.RecordBatch:
+    def rows(texts: pa.Array, first: list[bool], kind: list[int]) -> pa.RecordBatch:
         n = len(texts)
         return pa.RecordBatch.from_pydict({
-            "record": texts, "first": pa.array(first, pa.bool_()), "kind_": pa.array(np.full(n, kind, np.int32)),
-            "file_": pa.array(np.full(n, split[0])), "start_": pa.array(np.full(n, split[1])), **cols})
+            "record": texts, "first": pa.array(first, pa.bool_()), "kind_": pa.array(kind, pa.int32()),
+            "file_": pa.array(np.full(n, split[0])), "start_": pa.array(np.full(n, split[1])),
+            **{c: v.take(pa.array(np.zeros(n, int))) for c, v in more.items()}})
+
+    def flush() -> Iterator[pa.RecordBatch]:
+        nonlocal out, size
+        if out:
+            texts, first, kind = zip(*out, strict=True)
+            yield rows(pa.array(texts, pa.string()), list(first), list(kind))
+            out, size = [], 0
 
     def rest() -> Iterator[pa.RecordBatch]:
         """What the split leaves open."""
         if open_:
-            kind = TAIL if ends or fresh else MIDDLE
-            yield rows(pa.array([separator.join(open_)]), kind, [split[1] == 0 and not ends], more)
+            out.append((separator.join(open_), split[1] == 0 and not ends, TAIL if ends or fresh else MIDDLE))
+        yield from flush()
 
     for batch in batches:
         value = batch.column("value")
@@ -189,14 +199,16 @@ def _cut(states: dict, separator: str, step: int, extra: list[str], batches: Ite
                 single[0] = False
             at = stop[single]
             if len(at):
-                lead = split[1] == 0 and not ends and single[0]
-                yield rows(value.take(pa.array(at + a)), WHOLE, [bool(lead)] + [False] * (len(at) - 1),
-                           {c: pc.take(batch.column(c), pa.array(at + a)) for c in extra})
+                lead = bool(split[1] == 0 and not ends and single[0])
+                yield rows(value.take(pa.array(at + a)), [lead] + [False] * (len(at) - 1), [WHOLE] * len(at))
             for i in np.flatnonzero(~single):
                 text = separator.join([*open_, *value.slice(a + int(begin[i]), int(stop[i] - begin[i]) + 1).to_pylist()])
                 open_ = []
                 edge = not ends and i == 0
-                yield rows(pa.array([text]), HEAD if edge and not fresh else WHOLE, [bool(edge and split[1] == 0)], more)
+                out.append((text, bool(edge and split[1] == 0), HEAD if edge and not fresh else WHOLE))
+                size += len(text)
+                if size > FLUSH:
+                    yield from flush()
             ends += len(stop)
             open_ = value.slice(a + int(stop[-1]) + 1, b - a - int(stop[-1]) - 1).to_pylist()
     if split is not None:
