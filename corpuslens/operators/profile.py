@@ -11,6 +11,7 @@ from pyspark.sql.window import Window
 
 from corpuslens.functions.text import col, word_count
 from corpuslens.operators.quantiles import exact_percentile
+from corpuslens.session import null_safe_join
 
 QUARTILES = (0.25, 0.5, 0.75)
 
@@ -51,7 +52,7 @@ def describe(df: DataFrame, value: str, by: Sequence[str] = (), exact: bool = Tr
         out = df.groupBy(*by).agg(*base) if by else df.agg(*base)
         for q, n in zip(QUARTILES, names):
             p = exact_percentile(df, list(by), value, q, n)
-            out = out.join(p, list(by), "left") if by else _with_scalar(out, p, n)
+            out = null_safe_join(out, p, list(by), "left") if by else _with_scalar(out, p, n)
         return out.select(*by, "count", "mean", "std", "min", *names, "max")
     g = df.groupBy(*by).agg(*base, *qs) if by else df.agg(*base, *qs)
     return g.select(*by, "count", "mean", "std", "min", *names, "max")

@@ -24,11 +24,10 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from corpuslens.session import materialise, null_safe_join
+from corpuslens.session import is_small, materialise, null_safe_join
 
 ACCURACY = 100_000
 MARGIN = 4.0 / ACCURACY
-MAX_BROADCAST_GROUPS = 200_000
 
 
 def exact_percentile(df: DataFrame, by: Sequence[str], value: str, p: float, name: str = "pct",
@@ -57,7 +56,7 @@ def exact_percentile(df: DataFrame, by: Sequence[str], value: str, p: float, nam
             joined = joined.withColumn(c, F.lit(row[c]))
     else:
         brackets = materialise(brackets)
-        joined = null_safe_join(base, brackets, by, hint=brackets.count() <= MAX_BROADCAST_GROUPS)
+        joined = null_safe_join(base, brackets, by, hint=is_small(brackets))
     # percentile_approx counts ranks to n, the definition here to n - 1: the value next to the bracket may be wanted
     v = F.col("_v")
     below = joined.groupBy(*by).agg(F.count_if(v < F.col("_lo")).alias("_below"), F.max(F.when(v < F.col("_lo"), v)).alias("_prev"),

@@ -15,9 +15,8 @@ from pyspark.sql.window import Window
 
 from corpuslens.operators.compare import top_k_per_group
 from corpuslens.operators.quantiles import exact_percentile
-from corpuslens.session import materialise, null_safe_join
+from corpuslens.session import is_small, materialise, null_safe_join
 
-MAX_BROADCAST_ROWS = 2_000_000
 
 
 def unpivot_metrics(df: DataFrame, ids: Sequence[str], metrics: Sequence[str],
@@ -54,7 +53,7 @@ def latency_stats_for(models: DataFrame, timings: DataFrame, key: str = "model",
     """Stats for every model of ``models``; a model without timings gets all
     zeros and n_runs 0."""
     stats = latency_stats(timings, [key], ms)
-    out = models.select(key).join(stats, key, "left")
+    out = null_safe_join(models.select(key), stats, [key], "left")
     return out.select(key, *[F.coalesce(F.col(c), F.lit(0.0)).alias(c) for c in ("mean", "std", "min", "max", "median")],
                       F.coalesce(F.col("n_runs"), F.lit(0)).cast("long").alias("n_runs"))
 
@@ -67,8 +66,8 @@ def warmup_trim(df: DataFrame, by: Sequence[str], order: Sequence[str], w: int,
     """
     first = top_k_per_group(df.select(*by, *order, id_col), by, [F.col(c) for c in order], w).select(id_col)
     first = materialise(first)
-    # groups * w ids: broadcast when the count allows, so the timings are not shuffled
-    side = F.broadcast(first) if first.count() <= MAX_BROADCAST_ROWS else first
+    # groups * w ids: broadcast when they are few bytes, so the timings are not shuffled
+    side = F.broadcast(first) if is_small(first) else first
     return df.join(side, id_col, "left_anti")
 
 

@@ -23,9 +23,8 @@ How it scales (no group is ever collected into one task):
 4. one pass over the wide rows compares (key, id) with the group's last one:
    a filter behind one join with a table of one row per group.
 
-That table is broadcast when its counted rows are under
-``MAX_BROADCAST_GROUPS``; otherwise the join is left to a shuffle join with
-AQE skew splitting.
+That table is broadcast when its measured bytes are few (``session.is_small``);
+otherwise the join is left to a shuffle join with AQE skew splitting.
 """
 
 from __future__ import annotations
@@ -36,10 +35,11 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from corpuslens.session import materialise, null_safe_join
+from corpuslens.session import is_small, materialise, null_safe_join
 
 BUCKET_HEX_DIGITS = 3
-MAX_BROADCAST_GROUPS = 200_000
+SMALL_SAMPLE = 100_000
+SHUFFLE_HEX_DIGITS = 5  # 1,048,576 buckets of a full shuffle
 
 QuotaFn = Callable[[DataFrame], DataFrame]
 
@@ -144,7 +144,7 @@ def select_by_quota(df: DataFrame, by: Sequence[str], key: Column, tiebreak: str
     rank = F.row_number().over(Window.partitionBy(*by).orderBy("_k", "_t"))
     last = last.withColumn("_i", rank).where(F.col("_i") == F.col("_need"))
     last = materialise(last.select(*by, F.struct("_k", "_t").alias("_last")))
-    side = whole or last.count() <= MAX_BROADCAST_GROUPS
+    side = whole or is_small(last)
     out = null_safe_join(df.withColumn("_k", key), last, by, "left", hint=side)
     # a group whose quota is 0 has no last row: it takes nothing
     out = out.withColumn("_sel", F.coalesce(F.struct(F.col("_k"), tb.alias("_t")) <= F.col("_last"), F.lit(False))).drop("_last")
@@ -238,15 +238,50 @@ def balance_to_minority(df: DataFrame, label: str, id_col: str, n: int, seed: in
 
 
 def sample_random(df: DataFrame, id_col: str, n: int, seed: int = 42) -> DataFrame:
+    if n <= SMALL_SAMPLE:
+        small = _small_samples(df, id_col, n, [seed])
+        if small is not None:
+            return small.drop("_r")
     sel = select_by_quota(df, [], seed_key(seed, id_col), id_col, quota_fixed(n))
     return sel.where("_sel").drop("_sel", "_k")
 
 
+def _small_samples(df: DataFrame, id_col: str, n: int, seeds: Sequence[int]) -> DataFrame | None:
+    """The n rows first in each seed's order, with the seed's number ``_r``, from one scan of ``df``.
+
+    A row takes part in a sample only if its key is under a bound that some more than n
+    rows are expected to pass, so rows are not repeated per seed.  The (key, id) at which a sample
+    ends is found on counts per (key, id), so many rows of one id are no hot group.  None
+    where fewer rows than needed passed (rare: six standard deviations); the exact-n core
+    then does the work.
+    """
+    total = df.count()
+    share = min(1.0, (n + 6 * n ** 0.5 + 40) / max(total, 1))
+    bound = F.lit("g") if share == 1.0 else F.lit(f"{int(share * 16 ** 12):012x}")
+    keys = F.array(*[F.struct(F.lit(r).alias("_r"), seed_key(seed, id_col).alias("_k")) for r, seed in enumerate(seeds)])
+    passed = F.filter(keys, lambda x: x["_k"] < bound)
+    picked = materialise(df.select("*", F.inline(passed)))
+    sums = picked.groupBy("_r", "_k", id_col).agg(F.count(F.lit(1)).alias("_c"))
+    run = Window.partitionBy("_r").orderBy("_k", id_col).rowsBetween(Window.unboundedPreceding, 0)
+    sums = sums.withColumn("_cum", F.sum("_c").over(run))
+    need = min(n, total)
+    ends = sums.where(F.col("_cum") >= need).groupBy("_r").agg(F.min(F.struct(F.col("_k").alias("_lk"), F.col(id_col).alias("_li"))).alias("_last"))
+    ends = materialise(ends)
+    if need and ends.count() < len(seeds):
+        return None
+    out = picked.join(F.broadcast(ends), "_r").where(F.struct(F.col("_k").alias("_lk"), F.col(id_col).alias("_li")) <= F.col("_last"))
+    return (out if need else picked.limit(0)).select(*df.columns, "_r")
+
+
 def sample_multi_seed(df: DataFrame, id_col: str, n: int, runs: int, seed_step: int = 100) -> DataFrame:
     """``runs`` samples of n rows, run r drawn with seed r * seed_step.
 
-    Rows are repeated per run with ``explode`` of the short run list (no
-    join); every run is one group of the exact-n core."""
+    Small samples come from one scan; for large ones rows are repeated per run with
+    ``explode`` of the short run list (no join) and every run is one group of the exact-n core."""
+    if n <= SMALL_SAMPLE:
+        small = _small_samples(df, id_col, n, [r * seed_step for r in range(runs)])
+        if small is not None:
+            return small.withColumnRenamed("_r", "run").withColumn("seed", F.col("run") * seed_step)
     seeds = F.array(*[F.lit(r) for r in range(runs)])
     rep = df.withColumn("run", F.explode(seeds))
     key = seed_key(F.col("run") * seed_step, id_col)
@@ -256,7 +291,8 @@ def sample_multi_seed(df: DataFrame, id_col: str, n: int, runs: int, seed_step:
 
 def shuffle_seeded(df: DataFrame, id_col: str, seed: int = 42) -> DataFrame:
     """Full shuffle: rows with their 1-based position in md5(seed:id) order."""
-    pos = global_position(df, [], seed_key(seed, id_col), id_col)
+    key = seed_key(seed, id_col)
+    pos = global_position(df, [], key, id_col, bucket=F.substring(key, 1, SHUFFLE_HEX_DIGITS))
     return pos.withColumnRenamed("_pos", "position").drop("_k")
 
 

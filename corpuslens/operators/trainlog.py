@@ -2,8 +2,7 @@
 
 Log tables are per run: ``(run, step, ...)`` and ``(run, epoch, ...)``.
 Per-step tables are first reduced with grouped aggregates (map-side
-combine); windows then run per run over the reduced rows.  A run's log is
-bounded by its number of steps, so one run fits one task.
+combine); windows then run inside ranges of (run, step), not over a whole run.
 """
 
 from __future__ import annotations
@@ -12,10 +11,9 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from corpuslens.session import materialise, null_safe_join
+from corpuslens.session import null_safe_join
 
 EPS = 1e-8
-MAX_BROADCAST_MARKS = 2_000_000  # epoch ends over all runs, 8 bytes each
 
 
 def reward_ratio(log: DataFrame, run: str = "run", step: str = "step") -> DataFrame:
@@ -61,34 +59,31 @@ def log_batch_table(log: DataFrame) -> DataFrame:
 
 
 def epoch_metrics(epochs: DataFrame, log: DataFrame, run: str = "run") -> DataFrame:
-    """Each epoch row with the loss of the latest log entry at or before its
-    end step (0 when there is none).
-
-    An as-of lookup without pairing epochs with earlier log rows and without
-    ranking a whole run in one task:
-
-    1. per run, the sorted epoch end steps (one short array per run);
-    2. every log row finds its epoch interval (the first end step >= its
-       step) from that array;
-    3. ``max_by(loss, step)`` per (run, interval): a partial aggregate, so a
-       hot run is reduced map-side;
-    4. the last loss is carried forward over the small per-epoch table.
+    """Each epoch row with the loss of the latest log entry at or before its end step (0 when there is none).
+
+    A segmented scan over log entries and epochs together: rows are cut into ranges of
+    (run, step) with edges drawn from the data; the last loss of every range is carried over
+    the ranges before an epoch's, and a window inside the range adds the entries before it.
+    So neither a run's epochs nor its log pass one task or one value, and nothing is broadcast.
+
+    Of entries with one step the largest loss counts.  Entries without step or loss are no
+    entries; an epoch without end step has none before it.  A null run is a run.
     """
-    ends = materialise(epochs.groupBy(run).agg(F.array_sort(F.collect_set("end_step")).alias("_ends")))
-    # one short row per run: broadcast it (size checked), so a hot run's log
-    # rows are never shuffled by run; beyond the bound AQE splits skewed runs
-    marks = ends.agg(F.sum(F.size("_ends") + 8)).first()[0] or 0
-    hint = marks <= MAX_BROADCAST_MARKS
-    entries = null_safe_join(log.where(F.col("loss").isNotNull()).select(run, "step", "loss"), ends, [run], hint=hint)
-    interval = F.size(F.filter(F.col("_ends"), lambda e: e < F.col("step")))
-    last = entries.where(F.col("step") <= F.element_at("_ends", -1)) \
-        .groupBy(run, interval.alias("_k")).agg(F.max_by("loss", "step").alias("_loss"))
-    marks = null_safe_join(epochs, ends, [run], hint=hint).withColumn(
-        "_k", F.array_position("_ends", F.col("end_step")).cast("int") - 1)
-    marks = null_safe_join(marks, last, [run, "_k"], "left")
-    w = Window.partitionBy(run).orderBy("_k", "epoch").rowsBetween(Window.unboundedPreceding, 0)
-    out = marks.withColumn("train_loss", F.coalesce(F.last("_loss", ignorenulls=True).over(w), F.lit(0.0)))
-    return out.drop("_ends", "_k", "_loss")
+    from corpuslens.operators.sampling import with_ranges
+
+    entry = log.where(F.col("loss").isNotNull() & F.col("step").isNotNull()).select(
+        run, F.col("step").cast("double").alias("_s"), F.lit(0).alias("_kind"), F.col("loss").alias("_loss"))
+    marks = epochs.withColumns({"_s": F.col("end_step").cast("double"), "_kind": F.lit(1)})
+    rows = with_ranges(entry.unionByName(marks, allowMissingColumns=True), [run, "_s", "_kind", "_loss"], "_bk")
+    at = F.struct("_s", "_loss")
+    ranges = rows.groupBy(run, "_bk").agg(F.max(F.when(F.col("_kind") == 0, at)).alias("_end"))
+    earlier = Window.partitionBy(run).orderBy("_bk").rowsBetween(Window.unboundedPreceding, -1)
+    ranges = ranges.select(run, "_bk", F.last("_end", ignorenulls=True).over(earlier).alias("_before"))
+    inside = Window.partitionBy(run, "_bk").orderBy("_s", "_kind", "_loss").rowsBetween(Window.unboundedPreceding, 0)
+    rows = rows.withColumn("_in", F.last("_loss", ignorenulls=True).over(inside)).where("_kind = 1")
+    found = null_safe_join(rows, ranges, [run, "_bk"])
+    loss = F.when(F.col("_s").isNotNull(), F.coalesce("_in", "_before._loss"))
+    return found.withColumn("train_loss", F.coalesce(loss, F.lit(0.0))).select(*epochs.columns, "train_loss")
 
 
 def running_best(df: DataFrame, value: str = "eval_f1", run: str = "run", order: str = "epoch") -> DataFrame:

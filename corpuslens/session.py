@@ -88,6 +88,15 @@ def materialise(df: DataFrame) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+BROADCAST_BYTES = 32 << 20
+
+
+def is_small(df: DataFrame, limit: int = BROADCAST_BYTES) -> bool:
+    """Whether the rows of a (stored) table take at most ``limit`` bytes, as text with a few bytes each on top."""
+    size = F.sum(F.octet_length(F.to_json(F.struct(*[F.col(f"`{c}`") for c in df.columns]))) + 32)
+    return (df.agg(size.alias("n")).first()["n"] or 0) <= limit
+
+
 def null_safe_join(left: DataFrame, right: DataFrame, keys: Sequence[str], how: str = "inner", hint: bool = False) -> DataFrame:
     """Join on ``keys`` where null equals null; the key columns come once, from ``left``."""
     renamed = right.withColumnsRenamed({k: f"_r_{k}" for k in keys})

@@ -154,3 +154,35 @@ def test_encoding_has_a_row_for_every_row(spark):
         return w + [PA.PAD_ID] * (8 - len(w)), [1] * len(w) + [0] * (8 - len(w))
 
     assert sorted(map(str, [(r.doc_id, (r.input_ids, r.attention_mask)) for r in got])) == sorted(map(str, [(i, plain(t)) for i, t in rows]))
+
+
+def test_epoch_losses_as_of_the_end_step(spark):
+    """Against plain Python: a run with thousands of epochs, ties, nulls, entries on both sides of every range."""
+    import random
+
+    rng = random.Random(3)
+    keep = spark.conf.get("spark.sql.adaptive.coalescePartitions.enabled")
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    try:
+        log = [(rng.choice(["hot", "hot", "b", None]), rng.choice([None, rng.randrange(5000), rng.randrange(5000)]),
+                rng.choice([None, rng.random(), rng.random()])) for _ in range(4000)]
+        log += [("late", 4000, 0.5), ("hot", 77, 0.1), ("hot", 77, 0.9)]
+        epochs = [(rng.choice(["hot", "hot", "b", None, "late", "none"]), i, rng.choice([None, *[rng.randrange(5000)] * 9]), "x") for i in range(3000)]
+        got = T.epoch_metrics(spark.createDataFrame(epochs, "run string, epoch int, end_step long, other string"),
+                              spark.createDataFrame(log, "run string, step long, loss double"))
+        assert got.columns == ["run", "epoch", "end_step", "other", "train_loss"]
+        want = []
+        for run, epoch, end, other in epochs:
+            before = [(s, v) for r, s, v in log if r == run and s is not None and v is not None and end is not None and s <= end]
+            want.append((run, epoch, end, other, max(before)[1] if before else 0.0))
+        assert sorted(map(tuple, got.collect()), key=lambda r: r[1]) == want
+    finally:
+        spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", keep)
+
+
+def test_describe_keeps_the_quartiles_of_a_null_group(spark):
+    from corpuslens.operators import profile as PF
+
+    df = spark.createDataFrame([(None, 1.0), (None, 3.0), ("a", 2.0)], "g string, v double")
+    got = {r.g: (r["count"], r.p50) for r in PF.describe(df, "v", ["g"]).collect()}
+    assert got == {None: (2, 2.0), "a": (1, 2.0)}

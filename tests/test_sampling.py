@@ -67,3 +67,19 @@ def test_quota_larger_than_group_takes_all(spark):
     df = _data(spark, 100, 0.5)
     out = S.sample_balanced(df, "class", "doc_id", 1000)
     assert out.count() == 100
+
+
+def test_small_samples_from_one_scan_equal_the_exact_core(spark, monkeypatch):
+    rows = [(i if i % 3 else 42, f"t{i}") for i in range(3000)]  # a third of the rows share one id
+    df = spark.createDataFrame(rows, "doc_id long, t string").repartition(7)
+    for n in (0, 1, 10, 500, 5000):
+        small = S.sample_random(df, "doc_id", n, seed=5)
+        many = S.sample_multi_seed(df, "doc_id", n, 3)
+        monkeypatch.setattr(S, "SMALL_SAMPLE", -1)
+        assert small.columns == df.columns
+        assert sorted(map(tuple, small.collect())) == sorted(map(tuple, S.sample_random(df, "doc_id", n, seed=5).collect()))
+        core = S.sample_multi_seed(df, "doc_id", n, 3)
+        key = lambda d: sorted((r.run, r.seed, r.doc_id, r.t) for r in d.collect())
+        assert key(many) == key(core)
+        monkeypatch.undo()
+    assert S.sample_random(df.limit(0), "doc_id", 5).collect() == []
