@@ -13,11 +13,13 @@ from corpuslens.operators import metrics as M
 from corpuslens.operators import profile as PF
 from corpuslens.operators import runs as R
 from corpuslens.operators import sampling as S
+from corpuslens.operators import sketches as SK
 from corpuslens.operators import trainlog as T
 from corpuslens.operators.scoring import predicted_confidence, probs_to_pred
 from corpuslens.plans import fixtures as fx
 from corpuslens.plans.fixtures import with_ctes
 from corpuslens.plans.registry import query
+from corpuslens.sources.io import scratch_path
 
 METRICS = ["accuracy", "precision", "recall", "f1"]
 RUNS, PER_RUN, SEED_STEP = 5, 50, 100
@@ -220,6 +222,13 @@ def describe_lengths_q(spark, sf_dir):
     return _round_describe(PF.describe_columns(t, ["text_length", "word_count"]), ["measure"])
 
 
+@query("describe_lengths_approx")
+def describe_lengths_approx_q(spark, sf_dir):
+    """Quartiles from one sketch per file, merged (no oracle: approximate; the rank error is tested)."""
+    store = SK.update_store(spark, scratch_path(spark, "sketches"), f"{sf_dir}/documents.parquet", PF.text_lengths, ["text_length", "word_count"])
+    return SK.describe_sketches(store)
+
+
 _CONFIDENCE_CTE = "conf AS (SELECT model, CASE WHEN probs[2] > probs[1] THEN probs[2] ELSE probs[1] END AS v FROM probabilities)"
 
 

@@ -10,6 +10,7 @@ from corpuslens.functions import parsing as P
 from corpuslens.functions import prompts as PR
 from corpuslens.functions.text import head_chars, stringify, stringify_sql, words_sql
 from corpuslens.operators import pairs as PA
+from corpuslens.operators import subwords as SW
 from corpuslens.operators.compare import custom_order, custom_order_sql, rename_models, rename_models_sql
 from corpuslens.operators.normalize import (
     decode_prediction, encode_label, map_label, normalize_schema, percent_text, signed_points,
@@ -251,6 +252,14 @@ def encode_fixed_length_q(spark, sf_dir):
     return PA.encode_fixed_length(docs, vocab, max_length=128)
 
 
+@query("encode_subwords")
+def encode_subwords_q(spark, sf_dir):
+    """Sub-word ids of a public byte-level vocabulary, 128 per text (no oracle: SQL has no tokenizer)."""
+    import public_tokenizers
+
+    return SW.encode_subwords(fx.table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"))
+
+
 MINED_CTE = f"""mined AS (
   SELECT p.doc_id, {PR.prompt_quoted_sql('p.text', 0)} AS prompt,
          CASE WHEN p.label = 1 THEN '{PR.PAIR_YES}' ELSE '{PR.PAIR_NO}' END AS chosen,
