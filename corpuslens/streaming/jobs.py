@@ -6,8 +6,10 @@
   take the newest, so a failed write cannot lose the state before it (the final
   state equals the batch ``confusion_counts``).
 * ``stream_metric_log``: training-log rows appended as they come, whatever the
-  order of their times; source and sink are exactly-once, nothing is dropped.
-  Steps that were logged twice are merged on the read side.
+  order of their times.  Keyed state tells which steps of a run were logged
+  before: the first row of a (run, step) is kept, later ones are written as
+  refused, and rows without run or step are kept as they are.  Source and sink are
+  exactly-once: rows in = rows kept + rows refused.
 
 Both take a streaming DataFrame and a shared folder for checkpoints and
 output; tests drive them with ``trigger(availableNow=True)``.
@@ -15,9 +17,14 @@ output; tests drive them with ``trigger(availableNow=True)``.
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
+from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 
 def confusion_stream(preds: DataFrame, pred: str = "pred", label: str = "label") -> DataFrame:
@@ -48,20 +55,64 @@ def read_confusion(spark: SparkSession, out_path: str) -> DataFrame:
     return batches.where(F.col("batch") == (-1 if newest is None else newest)).drop("batch")
 
 
+STEP_RANGE = 1 << 16  # steps of a run that share one state: two bytes each once seen
+ROW_FORMAT = {"ignoreNullFields": "false", "timestampFormat": "yyyy-MM-dd'T'HH:mm:ss.SSSSSSXXX",
+              "timestampNTZFormat": "yyyy-MM-dd'T'HH:mm:ss.SSSSSS"}
+
+
+def _first_of_each_step(key: tuple, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+    """The rows of one run and range of steps with ``refused``: the earliest row of a step not seen before is kept.
+
+    Of the rows of this micro-batch only the best so far of each step wait; the others go on.
+    """
+    if key[2] >= 0:  # rows without run or step
+        for frame in frames:
+            yield frame[["row"]].assign(refused=False)
+        return
+    seen = np.frombuffer(state.get[0], np.uint16) if state.exists else np.zeros(0, np.uint16)
+    best: pd.DataFrame | None = None
+    for frame in frames:
+        rows = frame if best is None else pd.concat([best, frame])
+        rows = rows.sort_values(["step", "at", "row"], kind="stable")
+        again = rows.duplicated("step").to_numpy()
+        yield rows.loc[again, ["row"]].assign(refused=True)
+        best = rows[~again].reset_index(drop=True)
+    if best is not None and len(best):
+        steps = best["step"].to_numpy().astype(np.uint16)
+        yield best[["row"]].assign(refused=np.isin(steps, seen))
+        state.update((np.union1d(seen, steps).tobytes(),))
+
+
 def start_metric_log(log: DataFrame, out_path: str, checkpoint: str, available_now: bool = True) -> StreamingQuery:
-    """Append every row."""
-    w = log.writeStream.outputMode("append").format("parquet") \
+    """Append every row, with ``refused`` true for a (run, step) that was logged before.
+
+    ``log`` has ``run``, an integer ``step`` and ``ts``; within a micro-batch the earliest ``ts`` (null first) counts
+    as first.  Rows travel as JSON text, so nulls, NaN and large integers come out as they went in.
+    """
+    named = F.col("run").isNotNull() & F.col("step").isNotNull()
+    row = F.to_json(F.struct(*log.columns), ROW_FORMAT)
+    keyed = log.select(
+        F.col("run").cast("string").alias("run"), F.when(named, F.expr(f"floor(step / {STEP_RANGE})")).alias("steps"),
+        F.when(named, F.lit(-1)).otherwise(F.pmod(F.xxhash64(row), F.lit(64)).cast("int")).alias("spread"),
+        F.coalesce(F.pmod(F.col("step"), F.lit(STEP_RANGE)).cast("int"), F.lit(0)).alias("step"),
+        F.coalesce(F.unix_micros(F.col("ts").cast("timestamp")), F.lit(-1 << 63)).alias("at"), row.alias("row"))
+    marked = keyed.groupBy("run", "steps", "spread").applyInPandasWithState(
+        _first_of_each_step, "row string, refused boolean", "seen binary", "append", GroupStateTimeout.NoTimeout)
+    rows = marked.select(F.from_json("row", log.schema, ROW_FORMAT).alias("r"), "refused").select("r.*", "refused")
+    w = rows.writeStream.outputMode("append").format("parquet").partitionBy("refused") \
         .option("path", out_path).option("checkpointLocation", checkpoint)
     w = w.trigger(availableNow=True) if available_now else w.trigger(processingTime="10 seconds")
     return w.start()
 
 
 def read_metric_log(spark: SparkSession, out_path: str) -> DataFrame:
-    """The log with one row per (run, step): of a step logged twice, the earliest entry."""
-    log = spark.read.parquet(out_path)
-    others = [c for c in log.columns if c not in ("run", "step", "ts")]
-    first = F.min(F.struct("ts", *others)).alias("row")
-    return log.groupBy("run", "step").agg(first).select("run", "step", "row.*").select(*log.columns)
+    """The rows kept: the first of each (run, step) and all rows without run or step."""
+    return spark.read.parquet(out_path).where(~F.col("refused").cast("boolean")).drop("refused")
+
+
+def read_refused(spark: SparkSession, out_path: str) -> DataFrame:
+    """The rows whose (run, step) was logged before."""
+    return spark.read.parquet(out_path).where(F.col("refused").cast("boolean")).drop("refused")
 
 
 def run_to_end(q: StreamingQuery, timeout_s: float | None = None) -> None:

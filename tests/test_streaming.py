@@ -37,20 +37,46 @@ def test_confusion_state_over_three_batches_equals_batch(spark):
     assert got == want
 
 
-def test_metric_log_keeps_late_rows_and_merges_repeated_steps(spark):
-    src = _folder(spark, "log")
+LOG = "run long, step long, loss double, learning_rate double, epoch double, ts timestamp"
+
+
+def _logged(spark, batches, schema=LOG):
+    src, base = _folder(spark, "log"), _folder(spark, "logout")
+    for i, rows in enumerate(batches):
+        spark.createDataFrame(rows, schema).coalesce(1).write.parquet(f"{src}/b{i}")
+    stream = spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).option("recursiveFileLookup", "true").parquet(src)
+    ST.run_to_end(ST.start_metric_log(stream, f"{base}/out", f"{base}/ckpt"))
+    kept, refused = ST.read_metric_log(spark, f"{base}/out"), ST.read_refused(spark, f"{base}/out")
+    assert kept.columns == refused.columns == stream.columns
+    return kept.collect(), refused.collect()
+
+
+def test_metric_log_keeps_late_rows_and_refuses_repeated_steps(spark):
     t0 = dt.datetime(2024, 1, 1)
-    schema = "run long, step long, loss double, learning_rate double, epoch double, ts timestamp"
     day = lambda k, steps: [(1, s, 0.5 + s, 1e-5, 1.0, t0 + dt.timedelta(days=k, minutes=s)) for s in steps]
-    for name, rows in (("a", day(10, range(20, 30))), ("b", day(1, range(10))), ("c", day(2, range(10, 20))), ("d", day(1, range(5)))):
-        spark.createDataFrame(rows, schema).coalesce(1).write.parquet(f"{src}/{name}")
-    stream = spark.readStream.schema(schema).option("maxFilesPerTrigger", 1) \
-        .option("recursiveFileLookup", "true").parquet(src)
-    base = _folder(spark, "logout")
-    ST.run_to_end(ST.start_metric_log(stream, f"{base}/out", f"{base}/ckpt"))
-    assert spark.read.parquet(f"{base}/out").count() == 35  # every row, however late
-    out = ST.read_metric_log(spark, f"{base}/out")
-    assert sorted(r.step for r in out.collect()) == list(range(30)) and out.columns == stream.columns
+    kept, refused = _logged(spark, [day(10, range(20, 30)), day(1, range(10)), day(2, range(10, 20)), day(1, range(5))])
+    assert sorted(r.step for r in kept) == list(range(30))
+    assert sorted(r.step for r in refused) == list(range(5))
+
+
+def test_metric_log_accounts_for_every_row(spark):
+    t = lambda k: dt.datetime(2024, 1, 1, 0, 0, 0, k)  # noqa: E731  microseconds apart
+    big = (1 << 62) + 1
+    batches = [[(7, big, float("nan"), None, 1.0, t(3)), (7, big, 2.0, None, 1.0, t(2)), (None, 5, 1.0, 0.1, 1.0, t(1)), (None, 5, 1.0, 0.1, 1.0, t(1))],
+               [(7, big, 9.0, None, 1.0, t(1)), (7, None, None, None, None, None), (7, -3, 1.0, 0.1, 1.0, None), (7, -3, 2.0, 0.1, 1.0, t(0))],
+               [(8, big, 1 / 3, 5e-324, 1.0, t(1)), (7, big + 1, 1.0, 1.0, 1.0, t(1)), (7, -3 + (1 << 16), 1.0, 1.0, 1.0, t(1))]]
+    kept, refused = _logged(spark, batches)
+    rows = [r for b in batches for r in b]
+    assert sorted(map(str, map(tuple, kept + refused))) == sorted(map(str, rows))
+    assert sorted(str(tuple(r)) for r in refused) == sorted(map(str, [batches[0][0], batches[1][0], batches[1][3]]))
+
+
+def test_metric_log_with_one_hot_step(spark):
+    t0 = dt.datetime(2024, 1, 1)
+    rows = [(1, 1 if i % 3 else i, float(i), 0.1, 1.0, t0 + dt.timedelta(seconds=i)) for i in range(30_000)]
+    kept, refused = _logged(spark, [rows])
+    assert len(kept) + len(refused) == len(rows) and len(kept) == 10_001
+    assert [r.loss for r in kept if r.step == 1] == [1.0]
 
 
 @pytest.mark.parametrize("folder", [False, True])
