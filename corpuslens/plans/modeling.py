@@ -9,6 +9,8 @@ from corpuslens.functions import parsing as P
 from corpuslens.functions.text import words_sql
 from corpuslens.operators import sampling as S
 from corpuslens.operators import scoring as SC
+from corpuslens.operators import trainlog as TL
+from corpuslens.operators import training as TR
 from corpuslens.operators.normalize import encode_label
 from corpuslens.plans import fixtures as fx
 from corpuslens.plans.evaluation import PARSED_CTE, _parsed
@@ -113,6 +115,17 @@ def train_text_classifier_q(spark, sf_dir):
     return SC.train_text_classifier(train, test).select("doc_id", "label", "pred", "probs")
 
 
+@query("train_epochs")
+def train_epochs_q(spark, sf_dir):
+    """Fit on the train split epoch by epoch, evaluate on the test split after each, with the running best F1
+    (no oracle: an iterative fit)."""
+    c = fx.corpus_a(spark, sf_dir).withColumn("label", encode_label("class"))
+    parts = materialise(S.split_per_class(c, "class", "doc_id", 42, 0.8))
+    train, test = (parts.where(F.col("split") == s) for s in ("train", "test"))
+    history = spark.createDataFrame(TR.fit_epochs(train, test).history, TR.HISTORY).withColumn("run", F.lit(0)).drop("is_new_best")
+    return TL.running_best(history).drop("run")
+
+
 # ---------------------------------------------------------------------------
 # 2.13 streaming
 # ---------------------------------------------------------------------------
