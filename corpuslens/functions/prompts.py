@@ -49,8 +49,8 @@ NEGATIVE_REASONS = [
     "Not sarcastic. The statement is genuine and means exactly what it says.",
     "No sarcasm detected. This is a factual or sincere expression without ironic intent.",
 ]
-REJECT_FOR_SARCASTIC = "Not sarcastic."
-REJECT_FOR_LITERAL = "This is sarcastic."
+SHORT_NEGATIVE = "Not sarcastic."
+SHORT_POSITIVE = "This is sarcastic."
 
 
 def sql_str(s: str) -> str:

@@ -72,13 +72,13 @@ def pairs_summary(pairs: DataFrame, strategy: str = "mistakes_only", by: list[st
 def synthetic_rich_pairs(df: DataFrame, text: str, label: str, pick: Column) -> DataFrame:
     """Chosen: one of seven reason texts of the true class (picked by ``pick``,
     0..6); rejected: the fixed short opposite answer."""
-    sarc = F.array(*[F.lit(x) for x in PR.POSITIVE_REASONS])
+    positive = F.array(*[F.lit(x) for x in PR.POSITIVE_REASONS])
     lit_ = F.array(*[F.lit(x) for x in PR.NEGATIVE_REASONS])
     idx = (pick + 1).cast("int")
     truth = col(label) == 1
     return df.select("*", PR.prompt_definition(col(text)).alias("prompt"),
-                     F.when(truth, F.element_at(sarc, idx)).otherwise(F.element_at(lit_, idx)).alias("chosen"),
-                     F.when(truth, F.lit(PR.REJECT_FOR_SARCASTIC)).otherwise(F.lit(PR.REJECT_FOR_LITERAL))
+                     F.when(truth, F.element_at(positive, idx)).otherwise(F.element_at(lit_, idx)).alias("chosen"),
+                     F.when(truth, F.lit(PR.SHORT_NEGATIVE)).otherwise(F.lit(PR.SHORT_POSITIVE))
                      .alias("rejected"))
 
 

@@ -305,6 +305,7 @@ def split_ratio_q(spark, sf_dir):
                   (tr / te).alias("train_test_ratio"))
 
 
+# Row labels of the summary table (fixed values).
 SUMMARY_METRICS = ["Total Samples", "Sarcastic Samples", "Non-Sarcastic Samples", "Class Balance (%)",
                    "Avg Character Length", "Avg Word Count", "Min Character Length", "Max Character Length",
                    "Min Word Count", "Max Word Count"]

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from corpuslens.functions import parsing as P
 from corpuslens.functions.numeric import round_to
 from corpuslens.functions.text import head_chars
 from corpuslens.operators import metrics as M
@@ -180,6 +181,23 @@ def domain_gap_q(spark, sf_dir):
     return PG.domain_gap(m)
 
 
+# the second corpus: the same texts under their other label, with replies of their own
+PREDICTIONS_B_CTE = fx.PREDICTIONS_CTE.replace("predictions AS", "predictions_b AS").replace("l.toxic", "l.quality")
+PARSED_B_CTE = PARSED_CTE.replace("parsed AS", "parsed_b AS").replace("FROM predictions", "FROM predictions_b")
+
+
+@query("domain_gap_corpora", with_ctes(["predictions"], """
+, a AS (""" + metrics_sql("parsed") + "), b AS (" + metrics_sql("parsed_b") + """)
+SELECT a.model, a.f1 AS f1_in_domain, b.f1 AS f1_out_of_domain, a.f1 - b.f1 AS gap FROM a JOIN b ON a.model = b.model""",
+    [PARSED_CTE, PREDICTIONS_B_CTE, PARSED_B_CTE]))
+def domain_gap_corpora_q(spark, sf_dir):
+    """The gap between two corpora, each with its own labels and replies."""
+    labels = fx.table(spark, sf_dir, "labels")
+    second = fx.predictions_from(labels.withColumn("toxic", F.col("quality"))).withColumn("pred", P.parse_contains_unclear("reply"))
+    both = _parsed(spark, sf_dir).withColumn("domain", F.lit("in")).unionByName(second.withColumn("domain", F.lit("out")))
+    return PG.domain_gap(M.metrics_with_unclear(both, by=["model", "domain"]))
+
+
 def _keymap_sql():
     return "(VALUES " + ", ".join(f"('{m}', '{k}')" for m, k in LATENCY_KEYS.items()) + ") AS km(model, lat_key)"
 

@@ -325,7 +325,7 @@ def _reasons_sql(xs):
 SELECT doc_id, {PR.prompt_definition_sql('text')} AS prompt,
        CASE WHEN class = 'sarc' THEN {_reasons_sql(PR.POSITIVE_REASONS)}[(doc_id * 31 + 42) % 7 + 1]
             ELSE {_reasons_sql(PR.NEGATIVE_REASONS)}[(doc_id * 31 + 42) % 7 + 1] END AS chosen,
-       CASE WHEN class = 'sarc' THEN '{PR.REJECT_FOR_SARCASTIC}' ELSE '{PR.REJECT_FOR_LITERAL}' END AS rejected
+       CASE WHEN class = 'sarc' THEN '{PR.SHORT_NEGATIVE}' ELSE '{PR.SHORT_POSITIVE}' END AS rejected
 FROM corpus_a"""))
 def pairs_synthetic_rich_q(spark, sf_dir):
     df = fx.corpus_a(spark, sf_dir).withColumn("label", encode_label("class"))

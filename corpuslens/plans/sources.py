@@ -10,6 +10,7 @@ from corpuslens.operators import metrics as M
 from corpuslens.operators import pairs as PA
 from corpuslens.operators import runs as R
 from corpuslens.operators import sampling as S
+from corpuslens.operators.normalize import encode_label
 from corpuslens.plans import fixtures as fx
 from corpuslens.plans.evaluation import PARSED_CTE, _parsed, metrics_sql
 from corpuslens.plans.fixtures import with_ctes
@@ -143,3 +144,13 @@ def source_inventory_q(spark, sf_dir):
 def check_datasets_q(spark, sf_dir):
     """Which inputs are there, with their rows and column counts; an absent one is reported."""
     return _inventory(spark, sf_dir).groupBy("table_name", "present").agg(F.sum("rows").alias("rows"), F.max("n_columns").alias("n_columns"))
+
+
+@query("check_label_rates", with_ctes(["corpus_a", "corpus_b"], """
+SELECT 'corpus_a' AS table_name, 'doc_id, class, text, label' AS columns, count(class) AS samples,
+       count(*) FILTER (WHERE class = 'sarc') AS positives, count(*) FILTER (WHERE class = 'sarc') / count(class) AS rate FROM corpus_a
+UNION ALL SELECT 'corpus_b', 'doc_id, comment, label, lang', count(label), CAST(sum(label) AS BIGINT), sum(label) / count(label) FROM corpus_b"""))
+def check_label_rates_q(spark, sf_dir):
+    """Column names and label rate of each corpus."""
+    a = fx.corpus_a(spark, sf_dir).withColumn("label", encode_label("class"))
+    return io.label_rates({"corpus_a": (a, "label"), "corpus_b": (fx.corpus_b(spark, sf_dir), "label")})

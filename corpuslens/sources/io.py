@@ -195,3 +195,15 @@ def source_inventory(spark: SparkSession, paths: dict[str, str]) -> DataFrame:
             F.lit(name).alias("table_name"), F.lit(True).alias("present"), "file_path",
             F.round(F.col("bytes") / (1024 * 1024), 6).alias("size_mb"), "rows", F.lit(len(df.columns)).alias("n_columns")))
     return out
+
+
+def label_rates(tables: dict[str, tuple[DataFrame, str]]) -> DataFrame:
+    """table_name, columns (names in order), samples, positives and positive rate (0 without samples) of each table's 0/1 label."""
+    parts = [df.agg(F.count(label).alias("samples"), F.coalesce(F.sum(F.col(label).cast("long")), F.lit(0)).alias("positives"))
+             .select(F.lit(name).alias("table_name"), F.lit(", ".join(df.columns)).alias("columns"), "samples", "positives",
+                     F.when(F.col("samples") > 0, F.col("positives") / F.col("samples")).otherwise(F.lit(0.0)).alias("rate"))
+             for name, (df, label) in tables.items()]
+    out = parts[0]
+    for part in parts[1:]:
+        out = out.unionByName(part)
+    return out
