@@ -99,21 +99,3 @@ def test_probes_are_set_by_distinct_vectors(spark):
             total += 10
             hits += sum((i, j) in found for j in best)
     assert total > 1000 and hits >= 0.9 * total
-
-
-def test_pairs_array_documents_are_bounded(spark, tmp_path):
-    from corpuslens.sources import io
-
-    rows = [(None if i % 3 else i, "p", "c", "r", 1, 0, None, False, f"é{i}\n\"{'x' * 3000}") for i in range(4000)]
-    pairs = spark.createDataFrame(rows, io.PAIRS).repartition(3)
-    io.write_pairs_array(pairs, str(tmp_path / "pairs"))
-    sizes = [p.stat().st_size for p in (tmp_path / "pairs").rglob("part-*")]
-    assert max(sizes) <= (8 << 20) + 2 and len(sizes) == 3
-    wide = pairs.union(pairs).union(pairs).coalesce(1)
-    io.write_pairs_array(wide, str(tmp_path / "wide"))  # three times the rows: more documents, none larger
-    sizes = [p.stat().st_size for p in (tmp_path / "wide").rglob("part-*")]
-    assert max(sizes) <= (8 << 20) + 2 and len(sizes) > 3
-    back = io.read_pairs_json(spark, str(tmp_path / "wide"), array_file=True)
-    assert sorted(map(str, back.collect())) == sorted(map(str, wide.collect()))
-    io.write_pairs_array(pairs.limit(0), str(tmp_path / "none"))
-    assert io.read_pairs_json(spark, str(tmp_path / "none"), array_file=True).collect() == []
