@@ -1,7 +1,7 @@
 """Pack tokenised documents into fixed-length sequences: bin completion with branch and bound.
 
-1. Each document is its token ids and an end id (strings of special tokens are ordinary
-   text); only a document longer than ``capacity`` is cut, into full pieces, the first of which may be shorter.
+1. Each document is its token ids, as the tokenizer file gives them, and an end id (strings of
+   special tokens are ordinary text on demand); only a document longer than ``capacity`` is cut, into full pieces, the first of which may be shorter.
 2. Sequences depend on piece lengths only, so the search runs on the histogram
    of lengths (at most ``capacity`` numbers, whatever the corpus).  A bin is
    built around the largest remaining length; undominated fillings of its gap
@@ -11,9 +11,9 @@
    Best-fit decreasing gives the first incumbent; a branch is cut when its
    waste so far rules out using fewer bins than the incumbent.  The search ends at the
    lower bound ceil(tokens / capacity) or after ``nodes`` bins.
-3. Pieces of one length are interchangeable: their ranks (counts per length
-   and hash bucket, running sums over those, a window inside one bucket) are
-   mapped to the bins and places that the search gave to that length.
+3. Pieces of one length are interchangeable: their ranks (`_places.numbered`: by range,
+   so that a length that most pieces have is no task of its own) are mapped to the bins
+   and places that the search gave to that length.
 
 Defined results: null and empty texts are the end id alone.  Rows are packed
 one by one, so repeated rows are packed again.  An empty table gives an empty
@@ -30,13 +30,13 @@ from functools import lru_cache, partial
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window, functions as F
+from pyspark.sql import DataFrame, functions as F
 
-from ._spark import small_batches, spread, written
+from ._places import numbered
+from ._spark import small_batches, written
 
 END_ID = 0
 CAPACITY = 2048
-BUCKETS = 1024
 #: Runs that the byte-level pre-tokenizer never joins with their neighbours, in Latin text.
 CHUNK = re.compile(r" ?[^\W_]+| ?(?:[^\w\s]|_)+(?:(?<=')[^\W_]+)?|\s+(?!\S)|\s+")
 OTHER = re.compile(r"[^\t\n\r\x20-\x7e\xa1-ɏ]")
@@ -53,8 +53,9 @@ def default_tokenizer() -> str:
 class _Ids(dict):
     """Chunk -> its ids as little-endian bytes, worked out by the tokenizer at first use."""
 
-    def __init__(self, tokenizer):
+    def __init__(self, tokenizer, special: re.Pattern | None):
         self.tokenizer = tokenizer
+        self.special = special  # strings that the tokenizer takes as one id
 
     def __missing__(self, chunk: str) -> bytes:
         ids = np.array(self.tokenizer.encode(chunk, add_special_tokens=False).ids, "<u4").tobytes()
@@ -63,13 +64,14 @@ class _Ids(dict):
         return ids
 
 
-@lru_cache(maxsize=1)
-def _ids(path: str) -> _Ids:
+@lru_cache(maxsize=2)
+def _ids(path: str, plain_special: bool = False) -> _Ids:
     from tokenizers import Tokenizer
 
     tokenizer = Tokenizer.from_file(path)
-    tokenizer.encode_special_tokens = True  # their strings in a text are ordinary text
-    return _Ids(tokenizer)
+    tokenizer.encode_special_tokens = plain_special
+    added = [] if plain_special else [re.escape(t.content) for t in tokenizer.get_added_tokens_decoder().values()]
+    return _Ids(tokenizer, re.compile("|".join(added)) if added else None)
 
 
 def encode(ids: _Ids, text: str) -> bytes:
@@ -77,13 +79,13 @@ def encode(ids: _Ids, text: str) -> bytes:
 
     Latin text is looked up chunk by chunk, any other text goes to the tokenizer as a whole.
     """
-    if OTHER.search(text):
+    if OTHER.search(text) or (ids.special and ids.special.search(text)):
         return np.array(ids.tokenizer.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
     return b"".join(map(ids.__getitem__, CHUNK.findall(text)))
 
 
-def _cut(path: str, capacity: int, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    ids = _ids(path)
+def _cut(path: str, plain_special: bool, capacity: int, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    ids = _ids(path, plain_special)
     end = END_ID.to_bytes(4, "little")
     for batch in batches:
         row, piece, start, length, crc = [], [], [], [], []
@@ -104,12 +106,15 @@ def _cut(path: str, capacity: int, batches: Iterator[pa.RecordBatch]) -> Iterato
              pa.array(length, pa.int64()), pa.array(crc, pa.int64())], ["doc_id", "piece", "start", "length", "ids_crc32"])
 
 
-def pieces(docs: DataFrame, tokenizer: str | None = None, capacity: int = CAPACITY) -> DataFrame:
-    """doc_id, piece, start, length, ids_crc32 of every piece of every document."""
+def pieces(docs: DataFrame, tokenizer: str | None = None, capacity: int = CAPACITY, plain_special: bool = False) -> DataFrame:
+    """doc_id, piece, start, length, ids_crc32 of every piece of every document.
+
+    ``plain_special`` takes strings of special tokens in a text as ordinary text.
+    """
     small_batches(docs.sparkSession)
     kind = docs.schema["doc_id"].dataType.simpleString()
     return docs.select("doc_id", "text").mapInArrow(
-        partial(_cut, tokenizer or default_tokenizer(), capacity),
+        partial(_cut, tokenizer or default_tokenizer(), plain_special, capacity),
         f"doc_id {kind}, piece int, start long, length long, ids_crc32 long")
 
 
@@ -248,20 +253,16 @@ def _layout(plan: list[tuple[tuple[int, ...], int]]) -> dict[str, np.ndarray]:
 
 def pack(cut: DataFrame, capacity: int = CAPACITY) -> DataFrame:
     """Add sequence_id and offset to pieces (doc_id, piece, start, length, ids_crc32)."""
-    cut = cut.withColumn("bucket", spread("doc_id", "piece", "ids_crc32", buckets=BUCKETS))
-    sizes = cut.groupBy("length", "bucket").agg(F.count("*").alias("n"))
-    histogram = sizes.groupBy("length").agg(F.sum("n").alias("n")).collect()  # at most `capacity` rows
+    histogram = cut.groupBy("length").agg(F.count("*").alias("n")).collect()  # at most `capacity` rows
     layout = _layout(search({r["length"]: r["n"] for r in histogram}, capacity))
-    before = Window.partitionBy("length").orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)
-    sizes = sizes.select("length", "bucket", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("base"))
-    inside = Window.partitionBy("length", "bucket").orderBy("doc_id", "piece", "ids_crc32", "start")
-    ranked = cut.withColumn("r", F.row_number().over(inside) - 1).join(sizes, ["length", "bucket"])
-    ranked = ranked.select("doc_id", "piece", "start", "length", "ids_crc32", (F.col("base") + F.col("r")).alias("rank"))
+    cols = ["doc_id", "piece", "start", "length", "ids_crc32"]
+    ranked = numbered(cut.select(*cols), "length", ["doc_id", "piece", "ids_crc32", "start"])
+    ranked = ranked.select(*cols, F.col("pos").alias("rank"))
     kind = cut.schema["doc_id"].dataType.simpleString()
     return ranked.mapInArrow(partial(_place, capacity, layout),
                              f"doc_id {kind}, piece int, start long, length long, ids_crc32 long, sequence_id long, offset long")
 
 
-def pack_documents(docs: DataFrame, tokenizer: str | None = None, capacity: int = CAPACITY) -> DataFrame:
-    """Every piece of every document with its sequence and place there."""
-    return pack(written(pieces(docs, tokenizer, capacity)), capacity)
+def pack_documents(docs: DataFrame, tokenizer: str | None = None, capacity: int = CAPACITY, plain_special: bool = False) -> DataFrame:
+    """Every piece of every document with its sequence and place there (``plain_special``: see ``pieces``)."""
+    return pack(written(pieces(docs, tokenizer, capacity, plain_special)), capacity)
