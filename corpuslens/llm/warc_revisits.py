@@ -21,8 +21,10 @@ response that was checked, headers are null) or ``no_response``.
 
 Defined results: a null url or time never matches (``no_response``); null
 headers are empty; null header values are left out; records of any other kind
-are ignored; repeated revisit rows give one row each.  An empty table gives an empty
-result.  Payloads are not read: ``resolved_id`` names the record that holds it.
+are ignored; every revisit row gives one row, whatever rows share its record_id, url or
+time.  Responses need no record_id and may share one: headers are those of the response
+that was found (of responses with one url and time the largest record_id, nulls first, then
+the larger validators).  An empty table gives an empty result.  Payloads are not read: ``resolved_id`` names the record that holds it.
 """
 
 from __future__ import annotations
@@ -84,11 +86,11 @@ def last_before(events: DataFrame, buckets: int) -> DataFrame:
 def resolve(records: DataFrame, buckets: int = 64) -> DataFrame:
     """record_id, url (canonical), outcome, matched_by, resolved_id, headers (name: value lines) per revisit."""
     rows = written(records.where("kind in ('response', 'revisit')").select(
-        "record_id", canonical_url(F.col("url")).alias("url"), F.col("fetched").cast("long").alias("fetched"), "kind",
-        header_entries(F.col("headers")).alias("entries")))
-    checked = rows.select("record_id", "url", "fetched", "kind", _value(F.col("entries"), "etag").alias("etag"),
+        F.monotonically_increasing_id().alias("row"), "record_id", canonical_url(F.col("url")).alias("url"),
+        F.col("fetched").cast("long").alias("fetched"), "kind", header_entries(F.col("headers")).alias("entries")))
+    checked = rows.select("row", "record_id", "url", "fetched", "kind", _value(F.col("entries"), "etag").alias("etag"),
                           _value(F.col("entries"), "last-modified").alias("modified"))
-    response = F.when(F.col("kind") == "response", F.struct("record_id", "etag", "modified"))
+    response = F.when(F.col("kind") == "response", F.struct("record_id", "etag", "modified", "row"))
     events = checked.where("url is not null and fetched is not null").select("url", "fetched", response.alias("r"))
     found = last_before(events, buckets)
     r = checked.where("kind = 'revisit'").drop("kind").join(found, ["url", "fetched"], "left")
@@ -100,20 +102,19 @@ def resolve(records: DataFrame, buckets: int = 64) -> DataFrame:
           .when(old.isNull() & F.col("found.modified").isNull(), F.lit("none")))
     r = r.withColumn("matched_by", F.when(F.col("found").isNotNull(), by))
     r = r.withColumn("outcome", F.when(F.col("found").isNull(), "no_response").when(F.col("matched_by").isNull(), "mismatch").otherwise("resolved"))
-    r = r.select("record_id", "url", "fetched", "outcome", "matched_by", F.col("found.record_id").alias("resolved_id"))
-    # headers travel only for resolved revisits
-    stored = rows.where("kind = 'response'").groupBy(F.col("record_id").alias("resolved_id")).agg(F.first("entries").alias("stored"))
-    own = rows.where("kind = 'revisit'").select("record_id", "url", "fetched", F.col("entries").alias("sent")).distinct()
-    one = r.groupBy("record_id", "url", "fetched", "outcome", "matched_by", "resolved_id").agg(F.count("*").alias("copies"))
-    out = one.join(stored, "resolved_id", "left").join(
-        own.withColumnsRenamed({"record_id": "own_id", "url": "own_url", "fetched": "own_time"}),
-        F.col("record_id").eqNullSafe(F.col("own_id")) & F.col("url").eqNullSafe(F.col("own_url")) & F.col("fetched").eqNullSafe(F.col("own_time")), "left")
+    resolved = F.col("outcome") == "resolved"
+    r = written(r.select("row", "record_id", "url", "outcome", "matched_by", F.col("found.record_id").alias("resolved_id"),
+                         F.when(resolved, F.col("found.row")).alias("of")))
+    # headers travel only for resolved revisits; rows are found again by their number, which is theirs alone
+    sent = rows.where("kind = 'revisit'").select("row", F.col("entries").alias("sent"))
+    stored = rows.where("kind = 'response'").select(F.col("row").alias("of"), F.col("entries").alias("stored"))
+    out = r.where(resolved).join(sent, "row").join(stored, "of")
     new = F.filter("sent", lambda e: ~e["key"].isin(*KEPT_FROM_RESPONSE))
     kept = F.filter("stored", lambda e: ~F.exists(new, lambda o: o["key"] == e["key"]))
     merged = F.transform(F.array_sort(F.concat(kept, new)), lambda e: F.concat_ws(": ", e["key"], e["value"]))
-    out = out.withColumn("headers", F.when(F.col("outcome") == "resolved", F.array_join(merged, "\n")))
-    out = out.withColumn("copy", F.explode(F.sequence(F.lit(1).cast("long"), "copies")))
-    return out.select("record_id", "url", "outcome", "matched_by", "resolved_id", "headers")
+    cols = ["record_id", "url", "outcome", "matched_by", "resolved_id"]
+    return out.select(*cols, F.array_join(merged, "\n").alias("headers")).union(
+        r.where(~resolved).select(*cols, F.lit(None).cast("string")))
 
 
 def capture_log(pages: DataFrame) -> DataFrame:
