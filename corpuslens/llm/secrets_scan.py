@@ -215,4 +215,4 @@ def redact(docs: DataFrame) -> DataFrame:
     out = docs.withColumn(new, redact_column(model, docs["text"]))
     length = F.when(F.col("n_chars") == F.length("text"), F.length(new).cast("long")).otherwise(F.col("n_chars"))
     return out.select(*[F.col(new).alias("text") if c == "text" else length.alias("n_chars") if c == "n_chars"
-                        else F.col(c) for c in names])
+                        else F.col(f"`{c}`") for c in names])

@@ -40,6 +40,7 @@ from ._spark import small_batches, spread, written
 WORD = r"[^\x20\x09-\x0D]+"
 GOLDEN = 0.6180339887498949
 BUCKETS = 4096
+COPIES = 4096
 RUN = 65536  # slots counted together
 
 
@@ -117,7 +118,9 @@ def pieces(rows: DataFrame, sources: DataFrame, block: int, cap: float) -> DataF
               .rowsBetween(Window.unboundedPreceding, -1))
     rows = rows.withColumn("before", F.coalesce(F.sum(F.col("size") * F.col("copies")).over(inside), F.lit(0)))
     rows = rows.join(sums, ["source_no", "bucket"])
-    rows = rows.withColumn("copy", F.explode(F.sequence(F.lit(0), (F.col("copies") - 1).cast("int"))))
+    some = F.lit(COPIES).cast("long")  # copies are numbered in two steps, so that no row holds a list of all
+    rows = rows.withColumn("copy", F.explode(F.sequence(F.lit(0).cast("long"), F.col("copies") - 1, some)))
+    rows = rows.withColumn("copy", F.explode(F.sequence(F.col("copy"), F.least(F.col("copy") + some, F.col("copies")) - 1)))
     rows = rows.withColumn("offset", F.col("base") + F.col("before") + F.col("copy") * F.col("size"))
     passes = range(-int(-cap // 1))
     rows = rows.withColumn("begin", F.explode(F.array(*[F.col("offset") + F.col("source_size") * i for i in passes])))
@@ -177,7 +180,7 @@ def mixed_documents(docs: DataFrame) -> DataFrame:
     """
     small_batches(docs.sparkSession)
     names = docs.columns
-    doc = F.struct(*[F.col(c) for c in names])
+    doc = F.struct(*[F.col(f"`{c}`") for c in names])
     keyed = docs.select(doc.alias("doc"), F.sha2(F.to_json(doc, {"ignoreNullFields": "false"}), 256).alias("id"))
     rows = keyed.select(F.col("id").alias("key"), F.col("doc.source").alias("source"), words(F.col("doc.text")).alias("size"))
     got = mix(rows).groupBy("key", "size").agg(
@@ -189,5 +192,5 @@ def mixed_documents(docs: DataFrame) -> DataFrame:
     out = out.withColumn("cut", first_words(F.when(part, F.col("doc.text")), F.col("rest").cast("int")))
     text = F.when(part, F.col("cut")).otherwise(F.col("doc.text"))
     length = F.when(part & (F.col("doc.n_chars") == F.length("doc.text")), F.length("cut").cast("long")).otherwise(F.col("doc.n_chars"))
-    return out.select(*[text.alias(c) if c == "text" else length.alias(c) if c == "n_chars" else F.col(f"doc.{c}").alias(c)
+    return out.select(*[text.alias(c) if c == "text" else length.alias(c) if c == "n_chars" else F.col("doc").getField(c).alias(c)
                         for c in names])
