@@ -5,7 +5,8 @@ set of their distinct ``shingle``-word shingles (64-bit hashes; fewer words:
 the whole sequence is the one shingle).  Two documents are linked when
 100 * |A and B| >= percent * |A or B|; links are confirmed on the full sets.
 
-1. Equal sets are one node from here on (copies are never paired).
+1. Equal sets are one node from here on (copies are never paired).  Sets are told apart
+   by a 64-bit hash: among 10^9 different sets the chance that any two share one is 3 %.
 2. Each node has a signature of ``coordinates`` minima and is posted under each
    (coordinate, value) pair.  A pair of nodes that agree on ``matches``
    coordinates must meet in a list that is among the ``coordinates - matches
@@ -59,16 +60,15 @@ def row_sets(texts: pa.Array, shingle: int) -> Iterator[np.ndarray]:
             yield np.unique(h[ends[r] - n[r]: ends[r]])
 
 
-def _keys(sets: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
-    """Two independent 64-bit hashes of each set; empty sets give 0."""
+def _keys(sets: list[np.ndarray]) -> np.ndarray:
+    """A 64-bit hash of each set; empty sets give that of no element."""
     n = np.array([len(s) for s in sets], np.int64)
-    a, b = np.zeros(len(sets), np.uint64), np.zeros(len(sets), np.uint64)
+    a = np.zeros(len(sets), np.uint64)
     if n.sum():
         x = np.concatenate(sets)
         at = (np.cumsum(n) - n)[n > 0]
         a[n > 0] = np.add.reduceat(mix(x ^ U(0x5851F42D4C957F2D)), at)
-        b[n > 0] = np.add.reduceat(mix(x ^ U(0x14057B7EF767814F)), at)
-    return mix(a + n.astype(np.uint64)).view(np.int64), b.view(np.int64)
+    return mix(a + n.astype(np.uint64)).view(np.int64)
 
 
 def _features(shingle: int, coordinates: int, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -92,22 +92,21 @@ def _features(shingle: int, coordinates: int, batches: Iterator[pa.RecordBatch])
             for c in range(coordinates):
                 sig[rows, c] = np.minimum.reduceat(((x * mult[c] + plus[c]) >> U(32)).astype(np.uint32), at)
             i = j
-        a, b = _keys(sets)
         empty = n == 0
         flat = pa.array(sig.view(np.int32).ravel())
         lists = pa.ListArray.from_arrays(pa.array(np.arange(len(sets) + 1, dtype=np.int32) * coordinates), flat)
-        yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(n), pa.array(a, mask=empty), pa.array(b, mask=empty), lists,
-                                          *batch.columns[2:]], ["doc_id", "n_shingles", "node", "check", "sig", *batch.schema.names[2:]])
+        yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(n), pa.array(_keys(sets), mask=empty), lists,
+                                          *batch.columns[2:]], ["doc_id", "n_shingles", "node", "sig", *batch.schema.names[2:]])
 
 
 def features(docs: DataFrame, shingle: int, coordinates: int, text_hash: bool = False) -> DataFrame:
-    """doc_id, n_shingles, node (set hash), check (second hash), sig per row; with ``text_hash``, a hash of its text."""
+    """doc_id, n_shingles, node (set hash), sig per row; with ``text_hash``, a hash of its text."""
     small_batches(docs.sparkSession)
     kind = docs.schema["doc_id"].dataType.simpleString()
     more = [F.xxhash64("text").alias("text_hash")] if text_hash else []
     return docs.select("doc_id", "text", *more).mapInArrow(
         partial(_features, shingle, coordinates),
-        f"doc_id {kind}, n_shingles long, node long, `check` long, sig array<int>" + ", text_hash long" * text_hash)
+        f"doc_id {kind}, n_shingles long, node long, sig array<int>" + ", text_hash long" * text_hash)
 
 
 def posting_lists(nodes: DataFrame, matches: int) -> DataFrame:
@@ -167,9 +166,7 @@ def clusters(nodes: DataFrame, matches: int, percent: int, rounds: int) -> DataF
 def _set_rows(shingle: int, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         sets = list(row_sets(batch.column(0), shingle))
-        node, check = _keys(sets)
-        yield pa.RecordBatch.from_arrays([pa.array(node), pa.array(check), pa.array([s.tobytes() for s in sets], pa.binary())],
-                                         ["node", "check", "items"])
+        yield pa.RecordBatch.from_arrays([pa.array(_keys(sets)), pa.array([s.tobytes() for s in sets], pa.binary())], ["node", "items"])
 
 
 def linked(sets: list[np.ndarray], percent: int) -> np.ndarray:
@@ -264,7 +261,7 @@ def _judged(docs: DataFrame, shingle: int, percent: int, coordinates: int, match
     low = written(group.join(nodes.select("node", "low"), "node"))
     ids = small(low.select("low").distinct(), found)
     text = docs.select("doc_id", "text").join(ids, docs["doc_id"].eqNullSafe(F.col("low")), "left_semi")
-    sets = text.select("text").mapInArrow(partial(_set_rows, shingle), "node long, `check` long, items binary")
+    sets = text.select("text").mapInArrow(partial(_set_rows, shingle), "node long, items binary")
     sets = sets.join(small(group, found), "node").dropDuplicates(["node"]).select("cluster", "node", "items")
     component = confirmed(written(sets), percent, block)
     names = nodes.select("node", "low").join(component, "node", "left").withColumn("component", F.coalesce("component", "node"))
@@ -299,38 +296,23 @@ def drop_near_copies(docs: DataFrame, shingle: int = 5, percent: int = 80, coord
     stays = sets.groupBy("component").agg(F.min("key").alias("stays"), F.sum("rows").alias("all")).where("all > 1")
     stays = written(stays.drop("all"))  # a table of its own: the join is by broadcast, or one that can be split
     sets = written(sets.join(small(stays, stays.count()), "component").select("key.doc_id", "key.text_hash", "rows", (F.col("key") == F.col("stays")).alias("kept")))
-    named = [F.col("doc_id").alias("own_id"), F.col("text_hash").alias("own_hash")]
-    same = docs["doc_id"].eqNullSafe(F.col("own_id")) & (F.xxhash64(docs["text"]) == F.col("own_hash"))
+    doc_id, text_hash = (_free(docs, c) for c in ("own_id", "own_hash"))
+    named = [F.col("doc_id").alias(doc_id), F.col("text_hash").alias(text_hash)]
+    same = docs["doc_id"].eqNullSafe(F.col(doc_id)) & (F.xxhash64(docs["text"]) == F.col(text_hash))
     gone, again = sets.where("not kept").select(*named), sets.where("kept and rows > 1").select(*named)
     out = docs.join(small(gone, gone.count()), same, "left_anti")
     n = again.count()
     if not n:
         return out
     again = small(again, n)
+    row = F.struct(*[F.col(f"`{c}`") for c in docs.columns])
     first = (out.join(again, same, "left_semi").groupBy("doc_id", F.xxhash64("text"))
-             .agg(F.min(F.struct(*docs.columns)).alias("_row")).select("_row.*"))
+             .agg(F.min_by(row, F.to_json(row, {"ignoreNullFields": "false"})).alias("_row")).select("_row.*"))
     return out.join(again, same, "left_anti").union(first)
 
 
-def drop_near_duplicates(docs: DataFrame, **parameters) -> DataFrame:
-    """The documents, one of each group of near duplicates (the smallest doc_id); columns as they are.
-
-    Rows that share a doc_id count as one document: the first in the order of
-    their columns stays, whatever the texts of the others (``drop_near_copies`` decides by row).
-    """
-    found = written(near_duplicates(docs, **parameters))
-    ids = found.groupBy("doc_id").agg(F.max("kept").alias("kept"), F.count("*").alias("rows"))
-    gone = ids.where("not kept")
-    n = gone.count()
-    names = docs.columns
-    gone = small(gone.select(F.col("doc_id").alias("gone_id")), n)
-    out = docs.join(gone, docs["doc_id"].eqNullSafe(gone["gone_id"]), "left_anti")
-    again = ids.where("kept and rows > 1").select(F.col("doc_id").alias("again_id"))
-    n = again.count()
-    if not n:
-        return out
-    again = small(again, n)
-    once = out.join(again, out["doc_id"].eqNullSafe(again["again_id"]), "left_anti")
-    repeated = out.join(again, out["doc_id"].eqNullSafe(again["again_id"]), "left_semi")
-    first = repeated.groupBy("doc_id").agg(F.min(F.struct(*names)).alias("row")).select("row.*")
-    return once.union(first)
+def _free(df: DataFrame, name: str) -> str:
+    """``name``, longer where ``df`` has such a column."""
+    while name in df.columns:
+        name += "_"
+    return name

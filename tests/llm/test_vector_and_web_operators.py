@@ -172,3 +172,19 @@ def test_connected_components(spark, shape):
             up[max(a, b)] = min(a, b)
     got = connected_components(spark.createDataFrame(edges, "a long, b long")).collect()
     assert {r.node: r.component for r in got} == {x: root(x) for x in up} and len(got) == len(up)
+
+
+def test_revisits_with_repeated_and_missing_ids(spark):
+    """Rows out are rows in; headers are those of the response that was found."""
+    rows = [
+        (1, "https://a.com/x", 10, "response", {"etag": '"1"', "from": "x"}),
+        (1, "https://a.com/y", 10, "response", {"etag": '"1"', "from": "y"}),
+        (None, "https://a.com/z", 10, "response", {"etag": '"1"', "from": "z"}),
+        (7, "https://a.com/x", 20, "revisit", {"etag": '"1"', "n": "1"}), (7, "https://a.com/x", 20, "revisit", {"etag": '"1"', "n": "2"}),
+        (8, "https://a.com/y", 20, "revisit", {"etag": '"1"'}), (None, "https://a.com/z", 20, "revisit", {"etag": '"1"'}),
+        (None, "https://a.com/z", 20, "revisit", {"etag": '"1"'}), (None, None, None, "revisit", None), (None, None, None, "revisit", None)]
+    got = [(r.record_id, r.outcome, r.resolved_id, r.headers) for r in warc_revisits.resolve(spark.createDataFrame(rows, RECORDS)).collect()]
+    want = [(7, "resolved", 1, 'etag: "1"\nfrom: x\nn: 1'), (7, "resolved", 1, 'etag: "1"\nfrom: x\nn: 2'), (8, "resolved", 1, 'etag: "1"\nfrom: y'),
+            (None, "resolved", None, 'etag: "1"\nfrom: z'), (None, "resolved", None, 'etag: "1"\nfrom: z'),
+            (None, "no_response", None, None), (None, "no_response", None, None)]
+    assert sorted(got, key=str) == sorted(want, key=str)

@@ -99,3 +99,29 @@ def test_probes_are_set_by_distinct_vectors(spark):
             total += 10
             hits += sum((i, j) in found for j in best)
     assert total > 1000 and hits >= 0.9 * total
+
+
+def test_stages_keep_columns_of_any_name_and_type(spark, make_docs):
+    import corpus_pipeline
+    from pyspark.sql import functions as F
+
+    rng = random.Random(7)
+    rows = [(i % 20, " ".join(f"the {rng.choice(['house', 'garden', 'river', 'word'])}{rng.randrange(99)} and" for _ in range(30)), "en", "s") for i in range(60)]
+    rows += [rows[0]] * 5
+    docs = make_docs(rows).withColumns({"own_id": F.lit(1), "own_hash": F.lit("h"), "a.b": F.lit(2), "m": F.create_map(F.lit("k"), F.lit(1)),
+                                        "p": F.lit(3), "found": F.array(F.lit(1))})
+    for name, stage in corpus_pipeline.STAGES[:-1]:
+        out = stage(spark, docs, "")
+        assert out.columns == docs.columns and dict(out.dtypes) == dict(docs.dtypes), name
+        assert out.count() > 0
+    assert dict(corpus_pipeline.STAGES)["near_duplicates"](spark, docs, "").count() == 60
+    assert corpus_pipeline.STAGES[-1][1](spark, docs, "").count() >= 65
+
+
+def test_many_copies_of_one_row_in_the_mix(spark):
+    from corpuslens.llm import source_mix
+
+    docs = spark.range(30_000).selectExpr("cast(null as long) doc_id", "'a b c' text", "'s' source")
+    got = source_mix.taken(docs).groupBy("taken").count().collect()
+    assert sum(r["count"] for r in got) == 30_000
+    assert abs(sum(r["count"] * r.taken for r in got) - 1.5 * 90_000) < 200
