@@ -34,8 +34,8 @@ def mixed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def packed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Token pieces of all documents with their sequence and place."""
-    return sequence_packing.pack_documents(docs)
+    """Token pieces of all documents with their sequence and place; strings of special tokens are ordinary text."""
+    return sequence_packing.pack_documents(docs, plain_special=True)
 
 
 STAGES = [
