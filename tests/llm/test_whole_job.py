@@ -125,3 +125,89 @@ def test_many_copies_of_one_row_in_the_mix(spark):
     got = source_mix.taken(docs).groupBy("taken").count().collect()
     assert sum(r["count"] for r in got) == 30_000
     assert abs(sum(r["count"] * r.taken for r in got) - 1.5 * 90_000) < 200
+
+
+def _covered(rows, doc_id, start, end):
+    """Share of the words of a span that reported passages of the text cover."""
+    seen = np.zeros(end - start, bool)
+    for r in rows:
+        if r.doc_id == doc_id:
+            seen[max(r.start - start, 0): max(r.end - start, 0)] = True
+    return seen.mean()
+
+
+def test_passage_behind_holders_of_its_parts(make_docs):
+    """Two texts share 100 words; 180 others hold 34 to 44 of those, each too few."""
+    from corpuslens.llm import passage_chains
+
+    rng = random.Random(2)
+    fresh = lambda n: [f"x{rng.randrange(10**9)}" for _ in range(n)]
+    core = fresh(100)
+    rows = [(i, " ".join(fresh(40) + core + fresh(40))) for i in (0, 1)]
+    for i in range(180):
+        n, at = rng.randint(34, 44), rng.randint(0, 56)
+        rows.append((10 + i, " ".join(fresh(30) + core[at: at + n] + fresh(30))))
+    rng.shuffle(rows)
+    got = passage_chains.shared_passages(make_docs(rows)).collect()
+    assert all(_covered(got, i, 40, 140) > 0.95 for i in (0, 1))
+    assert all(r.matched >= 36 for r in got)
+
+
+def test_fuzzy_passages_are_found(make_docs):
+    from corpuslens.llm import passage_chains
+
+    rng = random.Random(3)
+    fresh = lambda n: [f"x{rng.randrange(10**9)}" for _ in range(n)]
+    rows, kind = [], {}
+    for words, share in ((50, 0.10), (60, 0.15), (60, 0.18), (50, 0.18), (100, 0.18)):
+        for _ in range(80):
+            core = fresh(words)
+            other = list(core)
+            for i in rng.sample(range(words), round(words * share)):
+                other[i] = fresh(1)[0]
+            i = len(rows)
+            rows += [(i, " ".join(fresh(50) + core + fresh(50))), (i + 1, " ".join(fresh(50) + other + fresh(50)))]
+            kind[i] = (words, share)
+    got = passage_chains.shared_passages(make_docs(rows)).collect()
+    assert all(r.doc_id // 2 == r.match_doc_id // 2 and r.matched * 100 >= 80 * (r.end - r.start) for r in got)
+    for pair in sorted(set(kind.values())):
+        found = [any(r.doc_id in (i, i + 1) for r in got) for i, p in kind.items() if p == pair]
+        assert sum(found) >= (0.95 if pair != (50, 0.18) else 0.9) * len(found), (pair, sum(found))
+
+
+def test_exact_passages_against_all_pairs(make_docs):
+    """Every run of 52 equal words that two texts share is covered, in families that overlap one another."""
+    from corpuslens.llm import passage_chains
+
+    rng = random.Random(4)
+    fresh = lambda n: [f"x{rng.randrange(10**9)}" for _ in range(n)]
+    pool = [fresh(200) for _ in range(6)]
+    texts = []
+    for _ in range(120):
+        text = []
+        for _ in range(3):
+            source = rng.choice(pool)
+            n = rng.choice([20, 44, 52, 60, 90])
+            at = rng.randint(0, 200 - n)
+            text += fresh(rng.randint(5, 30)) + source[at: at + n]
+        texts.append(text)
+    got = passage_chains.shared_passages(make_docs([(i, " ".join(t)) for i, t in enumerate(texts)])).collect()
+    runs = {}
+    for i, t in enumerate(texts):
+        for x in range(len(t) - 51):
+            runs.setdefault(tuple(t[x: x + 52]), []).append((i, x))
+    spans = [(i, x) for held in runs.values() if len({i for i, _ in held}) > 1 for i, x in held]
+    assert len(spans) > 500
+    missed = [s for s in spans if _covered(got, s[0], s[1], s[1] + 52) < 0.8]
+    assert not missed, (len(missed), len(spans))
+
+
+def test_repeated_rows_are_copies_of_one(make_docs):
+    from corpuslens.llm import passage_chains
+
+    text = " ".join(f"w{i}" for i in range(80))
+    rows = [(7, text)] * 3 + [(None, text + " more")] * 5 + [(8, "short")] * 2 + [(9, "a " * 3 + text)]
+    got = passage_chains.shared_passages(make_docs(rows)).collect()
+    copies = [(r.doc_id, r.match_doc_id) for r in got if r.copy]
+    assert sorted(copies, key=str) == sorted([(7, 7)] * 2 + [(None, None)] * 4, key=str)
+    assert {r.doc_id for r in got if not r.copy} == {7, None, 9}
