@@ -16,8 +16,11 @@
    band of so many words (local alignment: +1 equal, -1 other, -1 skipped, of equal scores
    more equal words; where that falls short, the most equal words with the fewest others), and the
    match is kept when ``coverage`` of the template's words are matched; the words before and
-   behind a match are aligned again.  Of overlapping
-   matches the one with more matched words stays (ties: the first template by id).
+   behind a match are aligned again.  Of overlapping matches the one with the most equal words stays,
+   less the template's words that are missing and the text's that were put in: so a licence whose
+   notice differs from another's by a word is told apart (ties: the first template by name).
+
+``TEMPLATES`` holds notices; ``read_templates`` takes a folder of whole licence texts, one file each.
 
 Whole texts are scanned; nothing is shuffled.
 
@@ -33,7 +36,7 @@ from functools import partial, reduce
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from ._batches import lower_ascii, shingles, text_blocks, word_hashes, word_spans
 from ._spark import small_batches
@@ -41,8 +44,61 @@ from .passage_chains import thinned
 
 K, WINDOW, BAND, COVERAGE, SLICE = 4, 4, 6, 0.8, 200_000
 
-# Short notices of public licences, as their stewards ask to put them in files.
+# Notices of public licences, as their stewards ask to put them in files, and the granting
+# paragraphs of the short ones.
 TEMPLATES = {
+    "0BSD": "Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted.",
+    "AGPL-3.0-header": (
+        "This program is free software: you can redistribute it and/or modify it under the terms of the GNU Affero General "
+        "Public License as published by the Free Software Foundation, either version 3 of the License, or (at your option) any "
+        "later version."),
+    "BSD-3-Clause": (
+        "Redistribution and use in source and binary forms, with or without modification, are permitted provided that the "
+        "following conditions are met: 1. Redistributions of source code must retain the above copyright notice, this list "
+        "of conditions and the following disclaimer. 2. Redistributions in binary form must reproduce the above copyright "
+        "notice, this list of conditions and the following disclaimer in the documentation and/or other materials provided "
+        "with the distribution. 3. Neither the name of the copyright holder nor the names of its contributors may be used to "
+        "endorse or promote products derived from this software without specific prior written permission."),
+    "BSL-1.0": (
+        "Permission is hereby granted, free of charge, to any person or organization obtaining a copy of the software and "
+        "accompanying documentation covered by this license (the \"Software\") to use, reproduce, display, distribute, "
+        "execute, and transmit the Software, and to prepare derivative works of the Software, and to permit third-parties to "
+        "whom the Software is furnished to do so, all subject to the following:"),
+    "CC-BY-NC-4.0-notice": "This work is licensed under a Creative Commons Attribution-NonCommercial 4.0 International License",
+    "CC-BY-SA-4.0": "This work is licensed under a Creative Commons Attribution-ShareAlike 4.0 International License",
+    "CC0-1.0": "has waived all copyright and related or neighboring rights to this work",
+    "EPL-2.0-header": (
+        "This program and the accompanying materials are made available under the terms of the Eclipse Public License 2.0 "
+        "which is available at https://www.eclipse.org/legal/epl-2.0/"),
+    "GPL-2.0-header": (
+        "This program is free software; you can redistribute it and/or modify it under the terms of the GNU General Public "
+        "License as published by the Free Software Foundation; either version 2 of the License, or (at your option) any "
+        "later version."),
+    "ISC": (
+        "Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby "
+        "granted, provided that the above copyright notice and this permission notice appear in all copies."),
+    "LGPL-2.1-header": (
+        "This library is free software; you can redistribute it and/or modify it under the terms of the GNU Lesser General "
+        "Public License as published by the Free Software Foundation; either version 2.1 of the License, or (at your option) "
+        "any later version."),
+    "LGPL-3.0-header": (
+        "This program is free software: you can redistribute it and/or modify it under the terms of the GNU Lesser General "
+        "Public License as published by the Free Software Foundation, either version 3 of the License, or (at your option) any "
+        "later version."),
+    "MPL-2.0-header": (
+        "This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0. If a copy of the MPL was not "
+        "distributed with this file, You can obtain one at http://mozilla.org/MPL/2.0/."),
+    "Unlicense": (
+        "This is free and unencumbered software released into the public domain. Anyone is free to copy, modify, publish, "
+        "use, compile, sell, or distribute this software, either in source code form or as a compiled binary, for any "
+        "purpose, commercial or non-commercial, and by any means."),
+    "Zlib": (
+        "Permission is granted to anyone to use this software for any purpose, including commercial applications, and to "
+        "alter it and redistribute it freely, subject to the following restrictions: 1. The origin of this software must not "
+        "be misrepresented; you must not claim that you wrote the original software. If you use this software in a product, an "
+        "acknowledgment in the product documentation would be appreciated but is not required. 2. Altered source versions must "
+        "be plainly marked as such, and must not be misrepresented as being the original software. 3. This notice may not be "
+        "removed or altered from any source distribution."),
     "Apache-2.0": "Licensed under the Apache License, Version 2.0",
     "Apache-2.0-header": (
         "Licensed under the Apache License, Version 2.0 (the \"License\"); you may not use this file except in compliance "
@@ -218,7 +274,7 @@ def matches(text: np.ndarray, template: np.ndarray, diagonal: int, band: int, ne
 def _scan(index: Index, alone: bool, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """All matches of each row; with ``alone`` (the only slice of the index) without those that overlap a better one."""
     for batch in batches:
-        rows, out = [], []
+        rows, out, counted, chars = [], [], -1, None
         for first, data, offs, words, start, end, counts in _words(batch.column(1)):
             ends = np.cumsum(counts)
             for row, t, lo, hi in candidates(index, words, counts):
@@ -230,10 +286,11 @@ def _scan(index: Index, alone: bool, batches: Iterator[pa.RecordBatch]) -> Itera
                 for x0, x1, equal in matches(part, template, (lo + hi) // 2 - a, reach, index.need[t]):
                     x0, x1 = x0 + a, x1 + a
                     base = int(offs[row])
-                    chars = np.cumsum((data[base: int(end[x1 - 1])] & 0xC0) != 0x80)
+                    if counted != first + row:  # code points up to each byte of the text, once for all its matches
+                        counted, chars = first + row, np.cumsum((data[base: int(offs[row + 1])] & 0xC0) != 0x80, dtype=np.int32)
                     s = int(chars[start[x0] - base]) - 1
                     rows.append(first + row)
-                    out.append((index.names[t], x0 - begin, x1 - begin, s, int(chars[-1]), equal, len(template), equal / len(template)))
+                    out.append((index.names[t], x0 - begin, x1 - begin, s, int(chars[end[x1 - 1] - 1 - base]), equal, len(template), equal / len(template)))
         cols = list(zip(*out)) if out else [[]] * 8
         found = pa.RecordBatch.from_arrays(
             [batch.column(0).take(pa.array(rows, pa.int64())), batch.column(2).take(pa.array(rows, pa.int64())), pa.array(cols[0], pa.string()),
@@ -245,9 +302,10 @@ def _scan(index: Index, alone: bool, batches: Iterator[pa.RecordBatch]) -> Itera
 def _best(batch: pa.RecordBatch) -> pa.RecordBatch:
     """Drop matches that overlap a better one of the same row; the batch holds all matches of its rows."""
     row, name = batch.column(1).to_pylist(), batch.column(2).to_pylist()
-    s, e, n = (batch.column(i).to_pylist() for i in (5, 6, 7))
+    first, last, s, e, n, size = (batch.column(i).to_pylist() for i in (3, 4, 5, 6, 7, 8))
+    worth = [3 * n[i] - size[i] - (last[i] - first[i]) for i in range(len(row))]
     keep, taken, own = [], [], None
-    for i in sorted(range(len(row)), key=lambda i: (row[i], -n[i], name[i], s[i])):
+    for i in sorted(range(len(row)), key=lambda i: (row[i], -worth[i], -n[i], name[i], s[i])):
         if row[i] != own:
             own, taken = row[i], []
         if all(e[i] <= a or b <= s[i] for a, b in taken):
@@ -256,6 +314,16 @@ def _best(batch: pa.RecordBatch) -> pa.RecordBatch:
     return batch.take(pa.array(sorted(keep, key=lambda i: (row[i], s[i])), pa.int64()))
 
 
+def read_templates(spark: SparkSession, folder: str, most_bytes: int = 64 << 20) -> dict[str, str]:
+    """{file name without its ending: text} of a folder of licence texts; raises where they are over ``most_bytes``."""
+    files = spark.read.option("recursiveFileLookup", "true").text(folder, wholetext=True).select(
+        F.regexp_extract(F.col("_metadata.file_name"), r"^(.+?)(\.[A-Za-z]+)?$", 1).alias("name"), "value", F.octet_length("value").alias("n"))
+    size = files.agg(F.sum("n")).first()[0] or 0
+    if size > most_bytes:
+        raise ValueError(f"{size} bytes of templates; the bound is {most_bytes}")
+    return {r["name"]: r["value"] for r in files.collect()}
+
+
 def scan(docs: DataFrame, templates: dict[str, str] | None = None, k: int = K, window: int = WINDOW, band: int = BAND,
          coverage: float = COVERAGE, slice_size: int = SLICE) -> DataFrame:
     """doc_id, template, start_word, end_word, start, end (code points), matched, template_words, coverage per match."""

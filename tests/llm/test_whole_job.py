@@ -211,3 +211,61 @@ def test_repeated_rows_are_copies_of_one(make_docs):
     copies = [(r.doc_id, r.match_doc_id) for r in got if r.copy]
     assert sorted(copies, key=str) == sorted([(7, 7)] * 2 + [(None, None)] * 4, key=str)
     assert {r.doc_id for r in got if not r.copy} == {7, None, 9}
+
+
+def _equal_words(text, template):
+    """Most equal words of any alignment, unbanded."""
+    row = [0] * (len(template) + 1)
+    for a in text:
+        now = [0]
+        for j, b in enumerate(template, 1):
+            now.append(max(row[j], now[-1], row[j - 1] + (a == b)))
+        row = now
+    return row[-1]
+
+
+def test_every_template_is_named_right_in_itself_and_its_variants(make_docs):
+    """Against unbanded alignment with every template: the text's own template is the best one, and it is reported."""
+    import re
+
+    cut = lambda t: re.findall(r"[a-z0-9]+", t.lower())
+    rng = random.Random(9)
+    templates = {n: cut(t) for n, t in license_scan.TEMPLATES.items()}
+    rows, own = [], []
+    for name, words in templates.items():
+        variants = [list(words)]
+        if len(words) >= 20:
+            for _ in range(3):
+                changed = list(words)
+                for i in rng.sample(range(len(words)), len(words) // 10):
+                    changed[i] = f"x{rng.randrange(999)}"
+                variants.append(changed)
+            at = rng.randrange(5, len(words) - 5)
+            variants += [words[:at] + ["put", "in"] + words[at:], words[: len(words) * 9 // 10]]
+        for v in variants:
+            worth = {n: 3 * (e := _equal_words(v, t)) - len(t) - len(v) for n, t in templates.items() if (e := _equal_words(v, t)) >= 0.8 * len(t)}
+            if name in worth and sum(w == max(worth.values()) for w in worth.values()) == 1 and max(worth, key=worth.get) == name:
+                rows.append((len(rows), " ".join(["lorem ipsum dolor", *v, "sit amet"])))
+                own.append(name)
+    assert set(own) == set(templates) and len(own) > 80
+    got = {}
+    for r in license_scan.scan(make_docs(rows)).collect():
+        got.setdefault(r.doc_id, []).append(r.template)
+    assert [got.get(i) for i in range(len(own))] == [[n] for n in own]
+
+
+def test_whole_licence_texts_from_a_folder(spark, make_docs, tmp_path):
+    rng = random.Random(10)
+    texts = {n: " ".join(f"{rng.choice('abcdefgh')}{rng.randrange(300)}" for _ in range(2500)) for n in ("One-1.0", "Two")}
+    for n, t in texts.items():
+        (tmp_path / f"{n}.txt").write_text(t)
+    templates = license_scan.read_templates(spark, str(tmp_path))
+    assert templates == texts
+    words = texts["Two"].split()
+    for i in rng.sample(range(2500), 200):
+        words[i] = "changed"
+    docs = make_docs([(1, "before " + texts["One-1.0"] + " behind"), (2, " ".join(words)), (3, " ".join(words[:1500])), (4, "other words")])
+    got = [(r.doc_id, r.template, r.start_word) for r in license_scan.scan(docs, templates).collect()]
+    assert sorted(got) == [(1, "One-1.0", 1), (2, "Two", 0)]
+    with __import__("pytest").raises(ValueError):
+        license_scan.read_templates(spark, str(tmp_path), 100)
