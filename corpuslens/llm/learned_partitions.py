@@ -196,6 +196,9 @@ def _probes(index: DataFrame, model: Classifier, dim: int, different: int, k: in
     return int(needed[min(len(needed) - 1, math.ceil(recall * len(needed)) - 1)]) + 1
 
 
+SAMPLE_PER_PART = 64  # sample rows behind a part, at least: 256 parts with the default sample, however many rows
+
+
 def search(base: DataFrame, queries: DataFrame, vec_id: str = "vec_id", vector: str = "embedding", k: int = 20,
            sample_rows: int = 16_384, neighbours: int = 10, trial_queries: int = 256, recall: float = 0.96,
            row_block: int = 4096, query_block: int = 1024) -> DataFrame:
@@ -208,7 +211,7 @@ def search(base: DataFrame, queries: DataFrame, vec_id: str = "vec_id", vector:
     if not n or not asked:
         return empty
     dim = max(dim, dim2)
-    parts = math.ceil(math.sqrt(n) / 4)
+    parts = min(math.ceil(math.sqrt(n) / 4), max(sample_rows // SAMPLE_PER_PART, 1))  # each part is learned from enough rows
     sample = hash_sample(base, "v", different, min(max(256 * parts, 2048), sample_rows), dim, distinct=True)
     kind = base.schema["v"].dataType.simpleString()
     schema = f"row long, vec_id long, v {kind}, part long"

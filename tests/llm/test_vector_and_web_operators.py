@@ -188,3 +188,32 @@ def test_revisits_with_repeated_and_missing_ids(spark):
             (None, "resolved", None, 'etag: "1"\nfrom: z'), (None, "resolved", None, 'etag: "1"\nfrom: z'),
             (None, "no_response", None, None), (None, "no_response", None, None)]
     assert sorted(got, key=str) == sorted(want, key=str)
+
+
+def test_few_probes_suffice_on_clustered_vectors(spark, monkeypatch):
+    """Sixty clusters: a query meets a small share of the rows, and recall against brute force stays over 0.9."""
+    rng = np.random.default_rng(11)
+    centres = rng.normal(size=(60, 24))
+    x = (centres[rng.integers(0, 60, 6000)] + 0.15 * rng.normal(size=(6000, 24)))
+    base = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "vec_id long, embedding array<double>")
+    seen = {}
+    probes = learned_partitions._probes
+
+    def measured(index, model, dim, *rest):
+        seen["probes"] = probes(index, model, dim, *rest)
+        seen["parts"] = index.select("part").distinct().count()
+        return seen["probes"]
+
+    monkeypatch.setattr(learned_partitions, "_probes", measured)
+    got = learned_partitions.search(base, base.where("vec_id % 20 = 0"), k=10).collect()
+    assert seen["parts"] >= 15 and seen["probes"] <= seen["parts"] / 3, seen
+    found = {(r.query_id, r.vec_id) for r in got}
+    best = [(i, int(j)) for i in range(0, 6000, 20) for j in np.argsort(-np.where(np.arange(6000) == i, -np.inf, x @ x[i]))[:10]]
+    assert np.mean([p in found for p in best]) >= 0.9
+
+
+def test_parts_are_bounded_by_the_sample(spark):
+    x = np.random.default_rng(1).normal(size=(3000, 8))
+    base = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "vec_id long, embedding array<double>")
+    got = learned_partitions.search(base, base.where("vec_id < 50"), k=5, sample_rows=256).collect()
+    assert len(got) == 250
