@@ -58,3 +58,22 @@ def test_pairs_array_documents_are_bounded(spark, tmp_path):
     assert sorted(map(str, back.collect())) == sorted(map(str, wide.collect()))
     io.write_pairs_array(pairs.limit(0), str(tmp_path / "none"))
     assert io.read_pairs_json(spark, str(tmp_path / "none"), array_file=True).collect() == []
+
+
+def test_inventory_sizes_are_those_of_the_files(spark, tmp_path):
+    import os
+
+    spark.range(1000).repartition(3).write.parquet(str(tmp_path / "t"))
+    spark.createDataFrame([], "a int, b string").coalesce(1).write.parquet(str(tmp_path / "none"))
+    got = io.source_inventory(spark, {"t": str(tmp_path / "t"), "none": str(tmp_path / "none"), "absent": str(tmp_path / "absent")}).collect()
+    files = {str(p): os.path.getsize(p) / (1 << 20) for p in (tmp_path / "t").glob("part-*")}
+    found = {"/" + r.file_path.removeprefix("file:").lstrip("/"): r.size_mb for r in got if r.table_name == "t"}
+    assert set(found) == set(files) and all(abs(found[p] - files[p]) < 1e-6 for p in files)
+    assert sum(r.rows for r in got if r.table_name == "t") == 1000
+    assert [(r.present, r.rows) for r in got if r.table_name == "absent"] == [(False, None)]
+
+
+def test_label_rates_of_empty_and_null_labels(spark):
+    a = spark.createDataFrame([(1,), (0,), (None,)], "y int")
+    got = {r.table_name: tuple(r)[1:] for r in io.label_rates({"a": (a, "y"), "b": (a.limit(0), "y")}).collect()}
+    assert got == {"a": ("y", 2, 1, 0.5), "b": ("y", 0, 0, 0.0)}
