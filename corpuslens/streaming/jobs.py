@@ -19,8 +19,8 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 
-import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
@@ -55,32 +55,72 @@ def read_confusion(spark: SparkSession, out_path: str) -> DataFrame:
     return batches.where(F.col("batch") == (-1 if newest is None else newest)).drop("batch")
 
 
-STEP_RANGE = 1 << 16  # steps of a run that share one state: two bytes each once seen
+STEP_RANGE = 1 << 16  # steps of a run that share one state
+STATES = 512  # states that the runs and ranges of steps are dealt over, however many there are
+WAITING = 10_000  # rows of a micro-batch that may wait before repeated steps among them are refused
 ROW_FORMAT = {"ignoreNullFields": "false", "timestampFormat": "yyyy-MM-dd'T'HH:mm:ss.SSSSSSXXX",
               "timestampNTZFormat": "yyyy-MM-dd'T'HH:mm:ss.SSSSSS"}
 
 
+def _earliest(rows: pd.DataFrame) -> tuple[pd.DataFrame, pd.DataFrame]:
+    """(the earliest row of each run and step, the other rows)."""
+    repeated = rows.duplicated(["run", "step"], keep=False).to_numpy()
+    if not repeated.any():
+        return rows, rows.iloc[:0]
+    some = rows[repeated].sort_values(["run", "step", "at", "row"], kind="stable")
+    again = some.duplicated(["run", "step"]).to_numpy()
+    return pd.concat([rows[~repeated], some[~again]]), some[again]
+
+
+def _pack(steps: pd.DataFrame) -> bytes:
+    table = pa.table({"run": pa.array(steps["run"], pa.string()).dictionary_encode(), "step": pa.array(steps["step"], pa.int64())})
+    sink = pa.BufferOutputStream()
+    with pa.ipc.new_stream(sink, table.schema) as writer:
+        writer.write_table(table)
+    return sink.getvalue().to_pybytes()
+
+
+def _unpack(data: bytes) -> pd.DataFrame:
+    table = pa.ipc.open_stream(data).read_all()
+    return pd.DataFrame({"run": table["run"].cast(pa.string()).to_pandas(), "step": table["step"].to_numpy()})
+
+
 def _first_of_each_step(key: tuple, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-    """The rows of one run and range of steps with ``refused``: the earliest row of a step not seen before is kept.
+    """The rows of one state's runs and steps with ``refused``: the earliest row of a step not seen before is kept.
 
     Of the rows of this micro-batch only the best so far of each step wait; the others go on.
     """
-    if key[2] >= 0:  # rows without run or step
+    if key[0] < 0:  # rows without run or step
         for frame in frames:
             yield frame[["row"]].assign(refused=False)
         return
-    seen = np.frombuffer(state.get[0], np.uint16) if state.exists else np.zeros(0, np.uint16)
-    best: pd.DataFrame | None = None
+    best, waiting, n = None, [], 0
+
+    def settle() -> pd.DataFrame:
+        nonlocal best, waiting, n
+        best, others = _earliest(pd.concat(waiting if best is None else [best, *waiting], ignore_index=True))
+        waiting, n = [], 0
+        return others[["row"]].assign(refused=True)
+
     for frame in frames:
-        rows = frame if best is None else pd.concat([best, frame])
-        rows = rows.sort_values(["step", "at", "row"], kind="stable")
-        again = rows.duplicated("step").to_numpy()
-        yield rows.loc[again, ["row"]].assign(refused=True)
-        best = rows[~again].reset_index(drop=True)
-    if best is not None and len(best):
-        steps = best["step"].to_numpy().astype(np.uint16)
-        yield best[["row"]].assign(refused=np.isin(steps, seen))
-        state.update((np.union1d(seen, steps).tobytes(),))
+        waiting.append(frame[["run", "step", "at", "row"]])
+        n += len(frame)
+        if n > max(WAITING, 0 if best is None else len(best)):
+            yield settle()
+    if waiting:
+        yield settle()
+    if best is None or not len(best):
+        return
+    steps = best[["run", "step"]]
+    if not state.exists:
+        yield best[["row"]].assign(refused=False)
+        state.update((_pack(steps),))
+        return
+    seen = _unpack(state.get[0])
+    refused = (steps.merge(seen, "left", ["run", "step"], indicator=True)["_merge"] == "both").to_numpy()
+    yield best[["row"]].assign(refused=refused)
+    if not refused.all():
+        state.update((_pack(pd.concat([seen, steps[~refused]], ignore_index=True)),))
 
 
 def start_metric_log(log: DataFrame, out_path: str, checkpoint: str, available_now: bool = True) -> StreamingQuery:
@@ -91,12 +131,13 @@ def start_metric_log(log: DataFrame, out_path: str, checkpoint: str, available_n
     """
     named = F.col("run").isNotNull() & F.col("step").isNotNull()
     row = F.to_json(F.struct(*log.columns), ROW_FORMAT)
+    # one group takes many runs: a group a run and range would be as many as the rows where runs are short
+    steps = F.xxhash64(F.col("run").cast("string"), F.expr(f"step div {STEP_RANGE}"))
     keyed = log.select(
-        F.col("run").cast("string").alias("run"), F.when(named, F.expr(f"floor(step / {STEP_RANGE})")).alias("steps"),
-        F.when(named, F.lit(-1)).otherwise(F.pmod(F.xxhash64(row), F.lit(64)).cast("int")).alias("spread"),
-        F.coalesce(F.pmod(F.col("step"), F.lit(STEP_RANGE)).cast("int"), F.lit(0)).alias("step"),
+        F.when(named, F.pmod(steps, F.lit(STATES))).otherwise(-1 - F.pmod(F.xxhash64(row), F.lit(64))).cast("int").alias("state"),
+        F.col("run").cast("string").alias("run"), F.coalesce(F.col("step").cast("long"), F.lit(0)).alias("step"),
         F.coalesce(F.unix_micros(F.col("ts").cast("timestamp")), F.lit(-1 << 63)).alias("at"), row.alias("row"))
-    marked = keyed.groupBy("run", "steps", "spread").applyInPandasWithState(
+    marked = keyed.groupBy("state").applyInPandasWithState(
         _first_of_each_step, "row string, refused boolean", "seen binary", "append", GroupStateTimeout.NoTimeout)
     rows = marked.select(F.from_json("row", log.schema, ROW_FORMAT).alias("r"), "refused").select("r.*", "refused")
     w = rows.writeStream.outputMode("append").format("parquet").partitionBy("refused") \

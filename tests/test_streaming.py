@@ -2,8 +2,10 @@
 the batch result; duplicate (run, step) log rows are dropped."""
 
 import datetime as dt
+import random
 import uuid
 
+import pandas as pd
 import pytest
 from pyspark.errors import AnalysisException
 from pyspark.sql import functions as F
@@ -79,6 +81,45 @@ def test_metric_log_with_one_hot_step(spark):
     assert [r.loss for r in kept if r.step == 1] == [1.0]
 
 
+def test_metric_log_keeps_few_states_of_many_runs(spark):
+    t0 = dt.datetime(2024, 1, 1)
+    rows = [(i % 4000, i * 100_000, float(i), 0.1, 1.0, t0) for i in range(8000)]
+    src, base = _folder(spark, "runs"), _folder(spark, "runsout")
+    for i in range(2):  # the second batch logs 2,000 steps again
+        spark.createDataFrame(rows[i * 3000: i * 3000 + 5000], LOG).coalesce(1).write.parquet(f"{src}/b{i}")
+    stream = spark.readStream.schema(LOG).option("maxFilesPerTrigger", 1).option("recursiveFileLookup", "true").parquet(src)
+    q = ST.start_metric_log(stream, f"{base}/out", f"{base}/ckpt")
+    ST.run_to_end(q)
+    assert sum(s["numRowsTotal"] for s in q.lastProgress["stateOperators"]) <= 600
+    assert sorted(r.loss for r in ST.read_metric_log(spark, f"{base}/out").collect()) == [float(i) for i in range(8000)]
+    assert sorted(r.loss for r in ST.read_refused(spark, f"{base}/out").collect()) == [float(i) for i in range(3000, 5000)]
+
+
+class _State:
+    def __init__(self):
+        self.get, self.exists = None, False
+
+    def update(self, value):
+        self.get, self.exists = value, True
+
+
+def test_first_of_each_step_against_plain_code(monkeypatch):
+    monkeypatch.setattr(ST, "WAITING", 20)
+    rng, state, seen = random.Random(5), _State(), set()
+    for _ in range(4):
+        rows = [(rng.choice(["1", "2", "ü"]), rng.choice([-1 << 62, 7, (1 << 62) + rng.randrange(30)]), rng.randrange(5), f"r{i}-{rng.random()}")
+                for i in range(200)]
+        frames = [pd.DataFrame(rows[i: i + 13], columns=["run", "step", "at", "row"]) for i in range(0, 200, 13)]
+        got = pd.concat(list(ST._first_of_each_step((3,), iter(frames), state)))
+        want = set()
+        for run, step, _, row in sorted(rows, key=lambda r: r[2:]):
+            if (run, step) not in seen:
+                seen.add((run, step))
+                want.add(row)
+        assert set(got["row"][~got["refused"].astype(bool)]) == want
+        assert sorted(got["row"]) == sorted(r[3] for r in rows)
+
+
 @pytest.mark.parametrize("folder", [False, True])
 def test_table_stream_reads_a_file_or_a_folder(spark, folder):
     labels = spark.read.parquet("/root/testdata/sf0.001/labels.parquet")
