@@ -90,12 +90,34 @@ def score_lexical(df: DataFrame, text: str = "text", key: str = "doc_id") -> Dat
         (1.0 - F.col("p_yes")).alias("p_no"), F.lit(None).cast("string").alias("error"))
 
 
+def _scored(scorer: Callable[[pd.Series], pd.DataFrame], texts: pd.Series) -> pd.DataFrame:
+    """Reply, p_yes, p_no and error of each text: whatever a scorer raises, the other rows go on."""
+    parts, todo = [], [(0, len(texts))]
+    while todo:
+        i, j = todo.pop()
+        try:
+            parts.append((i, scorer(texts.iloc[i:j].reset_index(drop=True)).assign(error=None)))
+        except Exception as e:  # noqa: BLE001
+            if j - i > 1:
+                m = (i + j) // 2
+                todo += [(i, m), (m, j)]
+            else:
+                parts.append((i, f"{type(e).__name__}: {e}"))
+    errors = [(i, p) for i, p in parts if isinstance(p, str)]
+    frames = [(i, p) for i, p in parts if not isinstance(p, str)]
+    out = [p[["reply", "p_yes", "p_no", "error"]].astype({"p_yes": float, "p_no": float}).set_axis(range(i, i + len(p))) for i, p in frames]
+    if errors:
+        out.append(pd.DataFrame({"reply": None, "p_yes": float("nan"), "p_no": float("nan"), "error": [e for _, e in errors]},
+                                index=[i for i, _ in errors]))
+    return (out[0] if len(out) == 1 else pd.concat(out)).sort_index()
+
+
 def score_batches(df: DataFrame, text: str = "text", key: str = "doc_id",
                   scorer_factory: Callable[[], Callable[[pd.Series], pd.DataFrame]] = lexical_scorer) -> DataFrame:
     """One reply (and yes/no scores) per row, computed batch by batch.
 
-    When a batch raises, its rows are scored one by one; a row that raises is kept
-    with the error text and null scores, so the caller can report and drop it
+    When a batch raises, it is halved until the rows that raise stand alone; these are kept
+    with the error text and null scores, so the caller can report and drop them
     (``score_errors_skipped``).
     """
 
@@ -104,18 +126,7 @@ def score_batches(df: DataFrame, text: str = "text", key: str = "doc_id",
         for pdf in batches:
             if pdf.empty:
                 continue
-            try:
-                res = scorer(pdf[text]).assign(error=None)
-            except Exception:  # noqa: BLE001  whatever a scorer raises, the other rows go on
-                rows = []
-                for i in range(len(pdf)):
-                    try:
-                        rows.append(scorer(pdf[text].iloc[i: i + 1].reset_index(drop=True)).assign(error=None))
-                    except Exception as e:  # noqa: BLE001
-                        rows.append(pd.DataFrame({"reply": [None], "p_yes": [None], "p_no": [None],
-                                                  "error": [f"{type(e).__name__}: {e}"]}))
-                res = pd.concat([r.astype({"p_yes": float, "p_no": float}) for r in rows])
-            out = res[["reply", "p_yes", "p_no", "error"]].reset_index(drop=True)
+            out = _scored(scorer, pdf[text].reset_index(drop=True))
             out.insert(0, "doc_id", pdf[key].astype("int64").to_numpy())
             yield out
 

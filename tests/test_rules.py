@@ -2,6 +2,7 @@
 
 import statistics
 
+import numpy as np
 import pandas as pd
 import pytest
 
@@ -101,6 +102,26 @@ def test_a_raising_scorer_loses_only_its_row(spark):
     assert SC.score_batches(df.limit(0), scorer_factory=factory).collect() == []
 
 
+def test_a_row_that_raises_does_not_send_its_batch_row_by_row():
+    calls = []
+
+    def scorer(texts):
+        calls.append(len(texts))
+        if (texts == "bad").any():
+            raise ValueError("bad text")
+        return pd.DataFrame({"reply": texts, "p_yes": 1.0, "p_no": 0.0})
+
+    texts = pd.Series([f"t{i}" for i in range(2000)])
+    bad = [0, 700, 701, 1999]
+    texts[bad] = "bad"
+    got = SC._scored(scorer, texts)
+    assert list(got.index) == list(range(2000)) and len(calls) < 100
+    assert list(np.flatnonzero(got["error"] == "ValueError: bad text")) == bad
+    assert list(np.flatnonzero(got["reply"] != texts)) == bad and list(np.flatnonzero(got["p_yes"].isna())) == bad
+    every = SC._scored(scorer, pd.Series(["bad"] * 5))
+    assert list(every["error"]) == ["ValueError: bad text"] * 5 and every["reply"].isna().all()
+
+
 def test_lexical_score_as_columns_equals_the_batched_one(spark):
     df = spark.createDataFrame([(0, "Oh great, sure!"), (1, None), (2, ""), (3, "wow\u00a0yeah plain words here")], "doc_id long, text string")
     a, b = ({r.doc_id: (r.reply, r.p_yes, r.p_no) for r in f(df).collect()} for f in (SC.score_lexical, SC.score_batches))
