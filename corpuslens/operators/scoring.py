@@ -10,8 +10,7 @@ from __future__ import annotations
 
 from collections.abc import Callable, Iterator
 
-import re
-
+import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -68,14 +67,12 @@ SCORE_SCHEMA = "doc_id long, reply string, p_yes double, p_no double, error stri
 def lexical_scorer() -> Callable[[pd.Series], pd.DataFrame]:
     cues = SCORER_CUES
 
-    def score(texts: pd.Series) -> pd.DataFrame:
-        lowered = texts.fillna("").str.lower()
-        hits = sum(lowered.str.count(re.escape(c)) for c in cues)
-        words = lowered.str.split().str.len().clip(lower=1)
-        rate = hits / words
-        p_yes = (rate * 10).clip(upper=1.0)
-        return pd.DataFrame({"reply": ["Yes" if r >= 0.5 else "No" for r in p_yes],
-                             "p_yes": p_yes.astype(float), "p_no": (1.0 - p_yes).astype(float)})
+    def score(texts: pd.Series) -> pd.DataFrame:  # plain strings: a call on one row costs little
+        lowered = [t.lower() for t in texts.fillna("")]
+        hits = np.array([sum(t.count(c) for c in cues) for t in lowered], float)
+        words = np.array([max(len(t.split()), 1) for t in lowered], float)
+        p_yes = np.minimum(hits / words * 10, 1.0)
+        return pd.DataFrame({"reply": np.where(p_yes >= 0.5, "Yes", "No").astype(object), "p_yes": p_yes, "p_no": 1.0 - p_yes})
 
     return score
 
@@ -90,33 +87,36 @@ def score_lexical(df: DataFrame, text: str = "text", key: str = "doc_id") -> Dat
         (1.0 - F.col("p_yes")).alias("p_no"), F.lit(None).cast("string").alias("error"))
 
 
+FEW = 4  # rows of a batch that raises: scored one by one from here on
+
+
 def _scored(scorer: Callable[[pd.Series], pd.DataFrame], texts: pd.Series) -> pd.DataFrame:
     """Reply, p_yes, p_no and error of each text: whatever a scorer raises, the other rows go on."""
     parts, todo = [], [(0, len(texts))]
     while todo:
         i, j = todo.pop()
         try:
-            parts.append((i, scorer(texts.iloc[i:j].reset_index(drop=True)).assign(error=None)))
+            got = scorer(texts.iloc[i:j].reset_index(drop=True))
         except Exception as e:  # noqa: BLE001
-            if j - i > 1:
+            if j - i > FEW:
                 m = (i + j) // 2
                 todo += [(i, m), (m, j)]
+            elif j - i > 1:
+                todo += [(k, k + 1) for k in range(i, j)]
             else:
-                parts.append((i, f"{type(e).__name__}: {e}"))
-    errors = [(i, p) for i, p in parts if isinstance(p, str)]
-    frames = [(i, p) for i, p in parts if not isinstance(p, str)]
-    out = [p[["reply", "p_yes", "p_no", "error"]].astype({"p_yes": float, "p_no": float}).set_axis(range(i, i + len(p))) for i, p in frames]
-    if errors:
-        out.append(pd.DataFrame({"reply": None, "p_yes": float("nan"), "p_no": float("nan"), "error": [e for _, e in errors]},
-                                index=[i for i, _ in errors]))
-    return (out[0] if len(out) == 1 else pd.concat(out)).sort_index()
+                parts.append((i, [None], [np.nan], [np.nan], [f"{type(e).__name__}: {e}"]))
+        else:
+            parts.append((i, got["reply"], got["p_yes"], got["p_no"], [None] * len(got)))
+    parts.sort(key=lambda p: p[0])
+    kinds = {"reply": object, "p_yes": float, "p_no": float, "error": object}
+    return pd.DataFrame({name: np.concatenate([np.asarray(p[k], kind) for p in parts]) for k, (name, kind) in enumerate(kinds.items(), 1)})
 
 
 def score_batches(df: DataFrame, text: str = "text", key: str = "doc_id",
                   scorer_factory: Callable[[], Callable[[pd.Series], pd.DataFrame]] = lexical_scorer) -> DataFrame:
     """One reply (and yes/no scores) per row, computed batch by batch.
 
-    When a batch raises, it is halved until the rows that raise stand alone; these are kept
+    When a batch raises, it is halved (the last few rows taken one by one) until the rows that raise stand alone; these are kept
     with the error text and null scores, so the caller can report and drop them
     (``score_errors_skipped``).
     """

@@ -122,6 +122,33 @@ def test_a_row_that_raises_does_not_send_its_batch_row_by_row():
     assert list(every["error"]) == ["ValueError: bad text"] * 5 and every["reply"].isna().all()
 
 
+def test_many_rows_that_raise_cost_little_more_than_row_by_row():
+    calls = []
+
+    def scorer(texts):
+        calls.append(len(texts))
+        if (texts == "bad").any():
+            raise ValueError("bad text")
+        return pd.DataFrame({"reply": texts, "p_yes": 1.0, "p_no": 0.0})
+
+    texts = pd.Series(["bad" if i % 2 else f"t{i}" for i in range(2000)])
+    got = SC._scored(scorer, texts)
+    assert len(calls) <= 1.6 * len(texts)
+    assert list(got["reply"][::2]) == list(texts[::2]) and got["error"][::2].isna().all()
+    assert (got["error"][1::2] == "ValueError: bad text").all() and got["reply"][1::2].isna().all()
+
+
+def test_lexical_scorer_counts_as_pandas_does():
+    rng = np.random.default_rng(0)
+    bits = [*SC.SCORER_CUES, "OH", "a", "!!", "\u00a0", "\n", " ", " x ", "\x1c", "é"]
+    texts = pd.Series(["".join(rng.choice(bits, rng.integers(0, 30))) for _ in range(300)] + [None, ""], dtype=object)
+    got = SC.lexical_scorer()(texts)
+    low = texts.fillna("").str.lower()
+    want = (sum(low.str.count(c) for c in SC.SCORER_CUES) / low.str.split().str.len().clip(lower=1) * 10).clip(upper=1.0)
+    assert list(got["p_yes"]) == list(want) and list(got["p_no"]) == list(1.0 - want)
+    assert list(got["reply"]) == ["Yes" if p >= 0.5 else "No" for p in want]
+
+
 def test_lexical_score_as_columns_equals_the_batched_one(spark):
     df = spark.createDataFrame([(0, "Oh great, sure!"), (1, None), (2, ""), (3, "wow\u00a0yeah plain words here")], "doc_id long, text string")
     a, b = ({r.doc_id: (r.reply, r.p_yes, r.p_no) for r in f(df).collect()} for f in (SC.score_lexical, SC.score_batches))
