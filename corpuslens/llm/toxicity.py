@@ -131,6 +131,11 @@ def _sigmoid(x: np.ndarray) -> np.ndarray:
     return f32(0.5) * np.tanh(f32(0.5) * x) + f32(0.5)
 
 
+def _wide(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """``a @ b`` summed in double precision: in single precision the last bits depend on a row's place in its block."""
+    return (a.astype(np.float64) @ b.astype(np.float64)).astype(f32)
+
+
 def _states(p: dict[str, np.ndarray], proj: np.ndarray, idx: np.ndarray, n: np.ndarray, keep: list | None = None) -> np.ndarray:
     """States of both directions at every word of each window (windows x WINDOW x 2 HIDDEN)."""
     k = 3 * HIDDEN
@@ -141,7 +146,7 @@ def _states(p: dict[str, np.ndarray], proj: np.ndarray, idx: np.ndarray, n: np.n
     for t in range(WINDOW):
         u = WINDOW - 1 - t
         x[0], x[1] = front[idx[:, t]], back[idx[:, u]]
-        g = h @ p["h"]
+        g = h @ p["h"] if keep is not None else _wide(h, p["h"])
         zr = _sigmoid(x[:, :, : 2 * HIDDEN] + g[:, :, : 2 * HIDDEN])
         z, r, gn = zr[:, :, :HIDDEN], zr[:, :, HIDDEN:], g[:, :, 2 * HIDDEN:]
         new = np.tanh(x[:, :, 2 * HIDDEN:] + r * gn)
@@ -169,7 +174,8 @@ def window_logits(m: Model, proj: np.ndarray, index: np.ndarray, first: np.ndarr
     for i in range(0, len(first), 2048):
         j = slice(i, i + 2048)
         idx = index[np.minimum(first[j, None] + np.arange(WINDOW), len(index) - 1)]
-        out[j] = _pool(m.dense, _states(m.dense, proj, idx, n[j]), n[j])[0]
+        pooled = _pool(m.dense, _states(m.dense, proj, idx, n[j]), n[j])[2]
+        out[j] = _wide(pooled, m.dense["w"]) + m.dense["b"][0]
     return out
 
 
@@ -394,7 +400,7 @@ class Scorer:
             for k in range(0, len(i), 4096):
                 j = i[k: k + 4096]
                 x = _inputs(self.m, (h[j] & U((1 << WORD_BITS) - 1)).astype(np.int64), *char_grams(data, start[j], end[j]))
-                added.append(x @ self.m.dense["x"] + self.m.dense["xb"])
+                added.append(_wide(x, self.m.dense["x"]) + self.m.dense["xb"])
             if len(self.known) > KNOWN:  # keep only what this block uses
                 self.known, self.proj = uniq[~new], self.proj[at[~new]]
             known = np.concatenate([self.known, uniq[new]])

@@ -69,6 +69,16 @@ def test_batched_network_equals_plain_one(n):
     np.testing.assert_allclose(score[0], 1 / (1 + np.exp(-want.max())), rtol=2e-4, atol=1e-5)
 
 
+def test_a_score_does_not_depend_on_the_texts_beside_it():
+    m = model()
+    for seed in range(30):
+        rng = random.Random(seed)
+        text, *others = [" ".join(rng.choice(["Ab", "über", "x", "word7"]) for _ in range(rng.randint(1, 150))) for _ in range(rng.randint(1, 9))]
+        alone = T.Scorer(m).score(pa.array([text]))[0][0]
+        score = T.Scorer(m).score(pa.array([text, *others, text]))[0]
+        assert score[0] == score[-1] == alone
+
+
 def test_windows_overlap_and_cover_every_word():
     counts = np.array([0, 1, 32, 33, 47, 48, 49, 0, 500])
     row, first, n = T.window_table(counts)
