@@ -1,8 +1,11 @@
 """Cases in which an operator once did less than the whole job."""
 
+import collections
 import random
 
 import numpy as np
+import pyarrow as pa
+import pytest
 
 from corpuslens.llm import learned_partitions, license_scan, minhash_join
 
@@ -175,6 +178,54 @@ def test_fuzzy_passages_are_found(make_docs):
         assert sum(found) >= (0.95 if pair != (50, 0.18) else 0.9) * len(found), (pair, sum(found))
 
 
+def test_fuzzy_passage_whose_seeds_others_hold(make_docs):
+    """Four texts share three lines of 17 words, each with words of its own between them; 120 other texts hold each line alone."""
+    from corpuslens.llm import passage_chains
+
+    rng = random.Random(6)
+    fresh = lambda n: [f"x{rng.randrange(10**9)}" for _ in range(n)]
+    lines = [fresh(17) for _ in range(3)]
+    rows = [(i, " ".join(fresh(40) + lines[0] + fresh(1) + lines[1] + fresh(1) + lines[2] + fresh(40))) for i in range(4)]
+    rows += [(10 + i, " ".join(fresh(40) + lines[i % 3] + fresh(40))) for i in range(360)]
+    rng.shuffle(rows)
+    got = passage_chains.shared_passages(make_docs(rows)).collect()
+    assert {r.doc_id for r in got} | {r.match_doc_id for r in got} == set(range(4))
+    assert all((r.start, r.end, r.match_start, r.match_end, r.matched) == (40, 93, 40, 93, 51) for r in got)
+
+
+@pytest.mark.parametrize("blocks", [1, 5])
+def test_all_holders_of_a_seed_against_all_pairs(blocks):
+    """Holders of one very common line: the pairs that go on are those a plain count finds."""
+    from corpuslens.llm import passage_chains as P
+
+    rng = np.random.default_rng(6)
+    n, width = 600, P.BEFORE + P.AFTER
+    around = rng.integers(1, 60, (n, width)).astype(np.uint8)
+    around[:, 50:60] = np.arange(1, 11)
+    for i in range(0, n, 3):  # every third is like the row before it
+        around[i, 20: 20 + int(rng.integers(1, 20))] = 7  # repeats
+        around[i, 30:75] = around[i - 1, 30:75]
+        around[i, rng.integers(30, 75, int(rng.integers(0, 20)))] = 99
+    around[:40, :30] = 0
+    d, label = rng.permutation(n).astype(np.int64) // 2, rng.integers(0, 50, n)
+    block = np.arange(n) % blocks
+    rows = sorted((1, min(b, w), max(b, w), int(b), i) for i, b in enumerate(block) for w in range(blocks))
+    rows += sorted((2 + i // 7, 0, 0, 0, i) for i in range(n))  # small groups
+    at = np.array([r[4] for r in rows])
+    cols = [pa.array([r[c] for r in rows]) for c in range(4)] + [
+        pa.array(d[at]), pa.array(at.astype(np.int32)), pa.array(label[at]), pa.array([around[i].tobytes() for i in at], pa.binary())]
+    table = pa.table(cols, names=["seed", "lo", "hi", "block", "d", "x", "class", "around"])
+    got = collections.Counter(r for b in P._all_met(17, iter(table.to_batches(max_chunksize=100)))
+                              for r in zip(*(c.to_pylist() for c in b.columns), strict=True))
+    count = [collections.Counter(p for p in zip(row[:-1].tolist(), row[1:].tolist(), strict=True) if 0 not in p) for row in around]
+    good = [(i, j) for i in range(n) for j in range(i) if d[i] != d[j] and label[i] != label[j] and sum((count[i] & count[j]).values()) >= 17]
+    want = collections.Counter()
+    for i, j in good:
+        i, j = (i, j) if d[i] > d[j] else (j, i)
+        want[d[i], d[j], i, j] += 1 + (i // 7 == j // 7)
+    assert len(good) > 100 and got == want
+
+
 def test_exact_passages_against_all_pairs(make_docs):
     """Every run of 52 equal words that two texts share is covered, in families that overlap one another."""
     from corpuslens.llm import passage_chains
