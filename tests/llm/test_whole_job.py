@@ -226,6 +226,80 @@ def test_all_holders_of_a_seed_against_all_pairs(blocks):
     assert len(good) > 100 and got == want
 
 
+def test_rows_of_linked_texts_grow_with_the_texts(make_docs):
+    """Every two neighbours of a long chain of drifting texts share their passage: one class, and no row for every pair."""
+    from corpuslens.llm import passage_chains
+
+    rng = random.Random(8)
+    fresh = lambda n: [f"x{rng.randrange(10**9)}" for _ in range(n)]
+    core, rows, n = fresh(60), [], 150
+    for i in range(n):
+        core = list(core)
+        core[rng.randrange(60)] = fresh(1)[0]
+        rows.append((i, " ".join(fresh(20) + core + fresh(20))))
+    rng.shuffle(rows)
+    got = passage_chains.shared_passages(make_docs(rows)).collect()
+    names = list(range(n))
+    for _ in range(n):
+        for r in got:
+            names[r.doc_id] = names[r.match_doc_id] = min(names[r.doc_id], names[r.match_doc_id])
+    assert set(names) == {0}
+    assert all(_covered(got, i, 20, 80) + _covered_as_match(got, i, 20, 80) > 0.7 for i in range(n))
+    assert len(got) <= 6 * n, len(got)
+
+
+def _covered_as_match(rows, doc_id, start, end):
+    seen = np.zeros(end - start, bool)
+    for r in rows:
+        if r.match_doc_id == doc_id:
+            seen[max(r.match_start - start, 0): max(r.match_end - start, 0)] = True
+    return seen.mean()
+
+
+def test_words_that_can_hold_a_passage_against_plain_tables():
+    from corpuslens.llm import passage_chains as P
+
+    rng = np.random.default_rng(9)
+    plain = lambda a, b: np.array([[_equal_words([x for x in a[:i] if x] or [-1], [y for y in b[:j] if y] or [-2]) for j in range(len(b) + 1)]
+                                   for i in range(len(a) + 1)])
+    seen = set()
+    for change in (0.1, 0.3, 0.5):
+        a = rng.integers(0, 6, (12, 16)).astype(np.uint8)
+        b = np.where(rng.random(a.shape) < change, rng.integers(0, 6, a.shape), a).astype(np.uint8)
+        got = P.may_share(a, b, 8, 10, 80)
+        for u, v, g in zip(a.tolist(), b.tolist(), got, strict=True):
+            left, right = plain(u[7::-1], v[7::-1]), plain(u[8:], v[8:])
+            length = np.add.outer(np.arange(9), np.arange(9))
+            match = left[:, :, None, None] + right
+            want = bool(((match >= 8) & (200 * match >= 80 * (length[:, :, None, None] + length))).any())
+            assert g == want
+            seen.add(want)
+    assert seen == {True, False}
+
+
+def test_thinned_seeds_against_plain_windows():
+    from corpuslens.llm import passage_chains as P
+
+    rng = np.random.default_rng(10)
+    for _ in range(200):
+        n, window = rng.integers(0, 30, rng.integers(0, 8)), int(rng.integers(1, 14))
+        h = rng.integers(0, rng.choice([3, 1000]), n.sum()).astype(np.uint64)
+        want, begin = set(), 0
+        for size in n.tolist():
+            own = h[begin: begin + size].tolist()
+            value = [2**64 - 1 if i and own[i] == own[i - 1] else v for i, v in enumerate(own)]
+            for i in range(max(size - window, 0) + 1 if size else 0):
+                want.add(begin + min(range(i, min(i + window, size)), key=lambda j: (value[j], j)))
+            begin += size
+        assert P.thinned(h, n, window).tolist() == sorted(want)
+        row, place = np.repeat(np.arange(len(n)), n), np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
+        last, plain = {}, []
+        for r, x, v in zip(row.tolist(), place.tolist(), h.tolist(), strict=True):
+            plain.append(x - last.get((r, v), -99) >= 5)
+            last[r, v] = x
+        assert P.first_of_runs(row, place, h, 5).tolist() == plain
+
+
 def test_exact_passages_against_all_pairs(make_docs):
     """Every run of 52 equal words that two texts share is covered, in families that overlap one another."""
     from corpuslens.llm import passage_chains
